@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding, simhash, warc
+from . import decontamination, interleaved, line_dedup, packing, sharding, simhash, warc
 
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleaved.document_media(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
@@ -39,7 +43,23 @@ def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(sized, SHARD_BYTES)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
+    "op9_decontaminate": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+j AS (SELECT item_id, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM j)),
+dw AS (SELECT doc_id, s, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, (SELECT DISTINCT m FROM iw))),
+h AS (SELECT doc_id, s, m, item_id FROM dw JOIN iw USING (m, win)),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS pos FROM h) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(v, ',' ORDER BY v)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS v FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN p USING (doc_id) LEFT JOIN g USING (doc_id)""",
     "op4_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d),
