@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, interleaved, line_dedup, packing, sharding, simhash, warc
+from . import decontamination, interleaved, line_dedup, packing, pii, quality, sharding, simhash, warc
 
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
@@ -19,6 +19,16 @@ def op1_media_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved.document_media(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
+def op3_quality_bytecnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
