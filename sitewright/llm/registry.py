@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, interleaved, line_dedup, packing, pii, quality, sharding, simhash, warc
+from . import decontamination, interleaved, line_dedup, packing, pii, quality, sharding, simhash, suffix_dedup, warc
 
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
@@ -57,6 +57,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
     "op9_decontaminate": rf"""
