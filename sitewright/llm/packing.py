@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_key, key_back, slices, written
 
-#: Words whose ids a Python worker remembers before it starts again.
-REMEMBERED = 200_000
+#: Words, and pieces of words, whose ids a Python worker remembers before it starts again.
+REMEMBERED = 500_000
+#: Fixed values of the vocabulary's form: how it splits lower-case text, and the character that stands for each byte.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
+#: Words of these characters are in normal form C and have no white space, and each character has one lower-case form.
+PLAIN = regex.compile("[!-~\u00a1-\u012f]+")
 
 
 def best_two_fit(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -73,23 +82,47 @@ def best_two_fit(lengths: np.ndarray, room: int) -> np.ndarray:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, tokenizer.model, {}, {}
 
 
 def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
     The vocabulary drops white space and never joins across it, so ids of a text are those of its words one after the
-    other, and a worker remembers the words it has met.
+    other, and a worker remembers the words it has met. Words of plain characters are lower-cased and split here, and
+    the tokenizer's model gives each piece's ids once; all others, and those that may hold a special token, go through
+    the whole tokenizer.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, model, known, pieces = _tokenizer(path)
     words = [t.split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
-    if len(known) + len(new) > REMEMBERED:
+    new = {w for ws in words for w in ws if w not in known}
+    if len(known) + len(new) > REMEMBERED or len(pieces) > REMEMBERED:
         known.clear()
-        new = list({w for ws in words for w in ws})
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
+        pieces.clear()
+        new = {w for ws in words for w in ws}
+    other = []
+    assert sys.byteorder == "little" and array("I").itemsize == 4
+
+    def piece_ids(p: str) -> bytes:
+        if (found := pieces.get(p)) is None:
+            shown = p if p.isascii() else "".join(BYTES[b] for b in p.encode())
+            found = pieces[p] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+        return found
+
+    for w in new:
+        s = w.decode()
+        low = s.lower()
+        if not (w.isascii() and low.isalpha()) and ("<|" in s or not PLAIN.fullmatch(s)):
+            other.append(w)
+        elif low.isalpha():
+            known[w] = piece_ids(low)
+        elif low[:-1].isalpha() and low[-1] in ".,":
+            known[w] = piece_ids(low[:-1]) + piece_ids(low[-1])
+        else:
+            known[w] = b"".join(map(piece_ids, PIECE.findall(low)))
+    for i in range(0, len(other), 4096):
+        part = other[i : i + 4096]
         for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
             known[w] = np.array(e.ids, "<u4").tobytes()
     return [b"".join(map(known.__getitem__, ws)) for ws in words]
