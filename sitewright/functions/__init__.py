@@ -1 +1 @@
-"""Functions of the site screening library."""
+"""Column functions: geometry, text rules, units, seeded draws."""
