@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("places",)
+MODULES: tuple[str, ...] = ("places", "records")
 
 
 def queries() -> dict:
