@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("places", "records", "rankings", "supply", "roads")
+MODULES: tuple[str, ...] = ("places", "records", "rankings", "supply", "roads", "trials", "files")
 
 
 def queries() -> dict:

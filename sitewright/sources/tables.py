@@ -16,20 +16,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder spark.checkpoint.dir and read again; only a local session may lack the setting."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir that all executors share; only a local session may lack the setting."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="sitewright-")
-        base = _own[app]
-    path, schema = os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex}"), df.schema
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="sitewright-")
+    return _own[app]
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
+    path, schema = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}"), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
