@@ -137,7 +137,10 @@ class Field:
 
 
 def count_labels(docs: DataFrame, text: str) -> DataFrame:
-    """(part, a, b, n): how often shape a has label b, and labels a and b stand at the ends of an edge."""
+    """(part, a, b, n): how often shape a has label b, and labels a and b stand at the ends of an edge.
+
+    Where a pattern has one of two similar tokens only, the other's label is what the field is to find out, so such edges
+    between similar tokens don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -146,8 +149,8 @@ def count_labels(docs: DataFrame, text: str) -> DataFrame:
                 texts = [t or "" for t in batch.column(0).to_pylist()]
                 g = graph_of(texts, [base_spans(t) for t in texts])
                 seen.update(("unary", s, y) for s, y in zip(g.shape, g.label))
-                for part, edges in (("chain", g.chain), ("skip", g.skip)):
-                    seen.update((part, g.label[i], g.label[j]) for i, j in edges)
+                seen.update(("chain", g.label[i], g.label[j]) for i, j in g.chain)
+                seen.update(("skip", g.label[i], g.label[j]) for i, j in g.skip if (g.label[i] > 0) == (g.label[j] > 0))
         if seen:
             yield pa.RecordBatch.from_pylist([{"part": p, "a": a, "b": b, "n": n} for (p, a, b), n in seen.items()], schema=pa.schema([("part", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
 
@@ -157,13 +160,13 @@ def count_labels(docs: DataFrame, text: str) -> DataFrame:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 4000) -> Field:
     """Piecewise training on a bounded sample: the `most` documents with the smallest hash of their id, whose labels are
     the patterns' own matches. Each potential is the log ratio of how often values meet to how often they would by
-    chance, smoothed by half a count; the sums that reach the driver are at most 1,024 shapes by five labels."""
+    chance, smoothed; the sums that reach the driver are at most 1,024 shapes by five labels."""
     ids = docs.select(F.col(doc_id).alias("_id")).filter("_id IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
     counts = {"unary": np.zeros((SHAPES, LABELS)), "chain": np.zeros((LABELS, LABELS)), "skip": np.zeros((LABELS, LABELS))}
     for r in count_labels(docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi"), text).collect():
         counts[r.part][r.a, r.b] += r.n
     prior = counts["unary"].sum(0) + 0.5
-    prior /= prior.sum()
+    prior = 0.2 * prior / prior.sum() + 0.8 * np.eye(LABELS)[0]  # a shape that was never seen is none of the kinds, most likely
     u = counts["unary"] + 2 * prior
     unary = np.log(u / u.sum(1, keepdims=True))
 
@@ -178,7 +181,7 @@ def beliefs(field: Field, g: Graph, rounds: int = 10) -> np.ndarray:
     """Label probabilities of each token by loopy sum-product over all documents' graphs at once, messages damped by half.
     Tokens of a pattern's match keep its label."""
     n = len(g.doc)
-    label = np.array(g.label)
+    label = np.array(g.label, np.int64)
     local = field.unary[np.array(g.shape, np.int64)].copy() if n else np.zeros((0, LABELS))
     fixed = label > 0
     local[fixed] = -30.0
@@ -210,7 +213,7 @@ def added_spans(field: Field, g: Graph, bar: float = 0.5) -> list[tuple[int, int
     linked = {j for _, j in g.chain}
     out: list[tuple[int, int, int, int]] = []
     before = -2
-    for i in np.flatnonzero((np.array(g.label) == 0) & (p[:, 1:].max(1, initial=0) > bar)).tolist() if g.doc else ():
+    for i in np.flatnonzero((np.array(g.label, np.int64) == 0) & (p[:, 1:].max(1, initial=0) > bar)).tolist() if g.doc else ():
         kind = int(p[i, 1:].argmax())
         if before == i - 1 and i in linked and out[-1][:2] == (g.doc[i], kind):
             out[-1] = (g.doc[i], kind, out[-1][2], g.span[i][1])
