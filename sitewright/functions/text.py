@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that name or exclude kinds of places, in the order in which rules ask for them.
 NAMES = {
@@ -65,12 +66,12 @@ def normal_name(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(c), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unaccented(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFD").str.replace(r"[̀-ͯ]", "", regex=True).str.lower()
 
