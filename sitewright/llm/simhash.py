@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -15,20 +16,29 @@ from .common import doc_key, key_back, slices, written
 from .components import components
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """A bit is 1 if over half of the XXH64 values (seed 42) of the shingles of so many words have it; no words: 0."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 values (seed 42) of the shingles of so many words, repeats included; fewer words: of the whole sequence."""
     found = text.lower().split()  # bytes: A-Z and ASCII white space alone
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     whole, digest = b" ".join(found), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(found) - words + 1)
-    hashes = np.array([digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], ">u8")
+    return np.array([digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if over half of the hashes have it; without hashes all are 0."""
     total = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
+    hashes = hashes.astype(">u8")
+    for i in range(0, len(hashes), 1 << 16):
         total += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -74,3 +84,97 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = written(named.join(first, "component").select("fp", "component_id"), "fingerprint-groups")
     out = rows.join(named, "fp")
     return out.select(key_back("_doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), key_back("component_id").alias("component_id"))
+
+
+def signature(text: bytes, words: int, longs: int) -> list[int]:
+    """Fingerprints of 64 bits each: the first of the shingles' hashes, the others of those hashes mixed with their number."""
+    h = shingle_hashes(text, words)
+    out = []
+    for k in range(longs):
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB) if k else ():
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(m)
+        out.append(majority(x))
+    return out
+
+
+def signatures(docs: DataFrame, doc_id: str, text: str, words: int, longs: int) -> DataFrame:
+    """(_doc, s0, s1, ...)."""
+    names = [f"s{i}" for i in range(longs)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text", 4 << 20):
+                s = np.array([signature((t or "").encode(), words, longs) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(longs))], names=["_doc", *names])
+
+    return docs.select(doc_key(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_doc long, " + ", ".join(f"{n} long" for n in names))
+
+
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, ids: DataFrame) -> DataFrame:
+    """(_doc, hashes): the distinct shingle hashes, sorted, of the documents in ids (_doc); one row an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text", 4 << 20):
+                sets = [np.unique(shingle_hashes((t or "").encode(), words)).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["_doc", "hashes"])
+
+    rows = docs.select(doc_key(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(ids, "_doc", "left_semi")
+    return written(rows.mapInArrow(run, "_doc long, hashes binary").dropDuplicates(["_doc"]), "shingle-sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets' common part is at least so large a share of their union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: sets.select(F.col("_doc").alias(c), F.col("hashes").alias(f"_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 4) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose shingle sets are similar, by ball hashing on parts of a long fingerprint.
+
+    At a similarity of 0.8 some 15 % of bits differ, far over any radius that a ball of 64 bits can have. So a document has
+    `longs` fingerprints of 64 bits, and each is cut into parts of log2(documents) + 8 bits (so that few meet by chance at
+    any size); each part emits its variants within one bit, and parts within two bits meet, as in simhash_groups. A part's
+    value is first reduced to its smallest document, which the others with it link to, so a variant has at most as many
+    values as bits and one. All links are verified: first the bits that differ in the whole fingerprint (three deviations
+    of slack), then the exact similarity of the shingle sets. Equal fingerprints are one node.
+
+    Links at 0.8 are found in seven of eight cases, at 0.9 nearly always (more `longs` find more). Null texts are empty;
+    documents without words are one group. A null id counts as the smallest. An empty table gives no rows.
+    """
+    names = [f"s{i}" for i in range(longs)]
+    rows = written(signatures(docs, doc_id, text, words, longs), "signatures")
+    nodes = written(rows.groupBy(*names).agg(F.min("_doc").alias("node")), "signature-nodes")
+    width = min(32, max(12, math.ceil(math.log2(max(2, nodes.count()))) + 8))
+    parts = [(s, at) for s in names for at in range(0, 64 - width + 1, width)]
+    part = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(s, at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i, (s, at) in enumerate(parts)]))
+    values = nodes.select("node", part.alias("p")).select("node", "p.part", "p.value")
+    heads = written(values.groupBy("part", "value").agg(F.min("node").alias("head")), "part-heads")
+    star = values.join(heads, ["part", "value"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    masks = F.explode(F.array(*[F.lit(m) for m in (0, *(1 << i for i in range(width)))])).alias("mask")
+    near = heads.select("part", "value", "head", masks).select("part", F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), "head")
+    w = Window.partitionBy("part", "variant").orderBy("head")
+    near = near.select("head", F.lag("head").over(w).alias("before"), F.first("head").over(w).alias("first")).filter("before IS NOT NULL")
+    ball = near.select(F.col("head").alias("a"), F.explode(F.array("before", "first")).alias("b"))
+    pairs = written(star.union(ball).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "similar-candidates")
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    slack = 64 * longs * share + 3 * math.sqrt(64 * longs * share * (1 - share))
+    side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(n).alias(f"_{c}_{n}") for n in names])
+    apart = sum((F.bit_count(F.col(f"_a_{n}").bitwiseXOR(F.col(f"_b_{n}"))) for n in names), F.lit(0))
+    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack).select("a", "b"), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("_doc")).union(pairs.select("b")).distinct()
+    links = similar_pairs(pairs, shingle_sets(docs, doc_id, text, words, ends), similarity)
+    groups = components(links)
+    named = written(nodes.join(groups, F.col("node") == F.col("id"), "left").select(*names, F.coalesce("component", "node").alias("component_id")), "similar-groups")
+    return rows.join(named, names).select(key_back("_doc").alias("doc_id"), key_back("component_id").alias("component_id"))

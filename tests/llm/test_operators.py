@@ -303,6 +303,41 @@ def test_ball_hashing_finds_all_links(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(fps))}
 
 
+def test_similar_groups_against_all_pairs(spark, none):
+    rng = np.random.default_rng(12)
+    texts = []
+    for c in range(60):
+        base = [f"w{rng.integers(0, 400)}" for _ in range(int(rng.integers(30, 200)))]
+        for _ in range(int(rng.integers(1, 5))):
+            t = list(base)
+            for _ in range(int(rng.integers(0, max(1, len(t) // 25)))):
+                t[rng.integers(0, len(t))] = f"new{rng.integers(0, 999)}"
+            texts.append(" ".join(t))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a)}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), j in alike.items():
+        if j >= 0.8 and find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(find(i) == find(c) for i, c in got.items())  # none that exact similarity keeps apart
+    close = [p for p, j in alike.items() if j >= 0.8]
+    assert len(close) > 40 and sum(got[a] == got[b] for a, b in close) >= 0.9 * len(close)
+    assert all(got[a] == got[b] for (a, b), j in alike.items() if j >= 0.93)
+    assert simhash.similar_groups(none).collect() == []
+
+
+def test_similar_groups_of_odd_rows(docs, texts):
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect()), key=str)
+    assert len(got) == len(texts) and (6, 5) in got and (4, 2) in got and (8, 2) in got and (None, None) in got and (9, 9) in got and (10, 9) in got
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
