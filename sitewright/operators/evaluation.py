@@ -18,9 +18,9 @@ def fold_rows(df: DataFrame, block: str) -> list:
 def fit_logistic(df: DataFrame, features: list[str], y: str, block: str | None, ridge: float = 1.0, steps: int = 50, close: float = 1e-7) -> dict:
     """A balanced ridge logistic model for each fold (all rows but one block), or for None on all rows.
 
-    Newton steps: one aggregation a step gives the weighted cross-products of all folds, with a row for each block; a fold
-    is the sum over the other blocks' data, so its rows are weighted by that fold's own means, coefficients and class
-    weights. Only these sums (folds by features squared) come to the driver. Features are standardised by the fold's mean
+    Newton steps: one aggregation a step gives the weighted cross-products of all folds that aren't done. A fold's means,
+    coefficients and class weights are a row of a table as long as the list of blocks, so a step's plan is the same each
+    time, and only the sums (folds by features squared) come to the driver. Features are standardised by the fold's mean
     and population deviation (0 counts as 1); the intercept is free."""
     d = len(features)
     folds = fold_rows(df, block) if block else [None]
@@ -35,19 +35,19 @@ def fit_logistic(df: DataFrame, features: list[str], y: str, block: str | None,
         sd = np.sqrt(np.maximum(var, 0))
         sd[sd < 1e-12] = 1.0
         models[fold] = {"mean": mean, "sd": sd, "beta": np.zeros(d + 1), "pos": n / (2 * p) if p else 1.0, "neg": n / (2 * (n - p)) if n - p else 1.0, "n": n, "positives": p, "done": False}
+    spark = df.sparkSession
+    rows_ = df.select(key.alias("_b"), F.col(y).cast("double").alias("_y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     for _ in range(steps):
         open_ = [f for f in folds if not models[f]["done"]]
         if not open_:
             break
-        aggs = []
-        for k, fold in enumerate(open_):
-            m = models[fold]
-            z = [F.lit(1.0), *[(F.col(f) - float(m["mean"][i])) / float(m["sd"][i]) for i, f in enumerate(features)]]
-            eta = sum((z[i] * float(m["beta"][i]) for i in range(1, d + 1)), F.lit(float(m["beta"][0])))
-            used = F.lit(True) if fold is None else key != F.lit(fold)
-            aggs.append(F.struct(F.lit(k).alias("k"), F.when(F.col(y) == 1, m["pos"]).otherwise(m["neg"]).alias("w"), (1 / (1 + F.exp(-eta))).alias("p"), F.array(*z).alias("z"), used.alias("used")))
-        x = df.select(F.col(y).cast("double").alias("_y"), F.explode(F.array(*aggs)).alias("f")).filter("f.used")
-        x = x.select("f.k", "f.z", (F.col("f.w") * (F.col("_y") - F.col("f.p"))).alias("r"), (F.col("f.w") * F.col("f.p") * (1 - F.col("f.p"))).alias("h"))
+        table = spark.createDataFrame([(k, models[f]["mean"].tolist(), models[f]["sd"].tolist(), models[f]["beta"].tolist(), float(models[f]["pos"]), float(models[f]["neg"])) for k, f in enumerate(open_)], "k int, m array<double>, s array<double>, b array<double>, pos double, neg double")
+        outside = F.lit(True) if block is None else ~F.col("_b").eqNullSafe(F.get(F.array(*[F.lit(f) for f in open_]), F.col("k")))
+        x = rows_.crossJoin(F.broadcast(table)).filter(outside)
+        x = x.withColumn("z", F.concat(F.array(F.lit(1.0)), F.transform("x", lambda v, i: (v - F.get("m", i)) / F.get("s", i))))
+        eta = F.aggregate(F.zip_with("z", "b", lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
+        x = x.select("k", "z", "_y", F.when(F.col("_y") == 1, F.col("pos")).otherwise(F.col("neg")).alias("w"), (1 / (1 + F.exp(-eta))).alias("p"))
+        x = x.select("k", "z", (F.col("w") * (F.col("_y") - F.col("p"))).alias("r"), (F.col("w") * F.col("p") * (1 - F.col("p"))).alias("h"))
         z = lambda i: F.get("z", F.lit(i))
         sums = x.groupBy("k").agg(*[F.sum(F.col("r") * z(a)).alias(f"g{a}") for a in range(d + 1)], *[F.sum(F.col("h") * z(a) * z(c)).alias(f"h{a}_{c}") for a in range(d + 1) for c in range(a, d + 1)]).collect()
         for r in sums:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import text as tx
 from sitewright.operators import graph, spatial
+from sitewright.operators.checks import small_side
 from sitewright.sources.tables import Queries, buildings, node_points, read, saved, sites, sql, ways
 
 QUERIES = Queries()
@@ -109,7 +110,7 @@ def gra9(spark: SparkSession, sf: str) -> DataFrame:
     net = graph.shortest(saved(e, "timed"), src.select("site", "v", "t", "owner"), 60.0, ("site",)).select("site", "v", "t")
     o = buildings(spark, sf).filter("id % 20 = 0")
     snap = spatial.nearest(o, node_points(spark, sf), 1500, 750).select(F.col("id").alias("origin"), F.col("other").alias("v"), (F.col("d") * DETOUR / WALK).alias("w"))
-    pairs = snap.crossJoin(F.broadcast(src.select("site").distinct()))
+    pairs = snap.crossJoin(small_side(src.select("site").distinct(), 100_000))  # the matrix itself is origins times sites
     m = pairs.join(net, ["site", "v"], "left").withColumn("minutes", F.col("t") + F.col("w"))
     status = F.when(F.col("v").isNull(), "snap_failure").when(F.col("minutes").isNull() | (F.col("minutes") > 60), "unreachable_or_over_budget").otherwise("reachable")
     return m.select("origin", "site", r6(F.when(status == "reachable", F.col("minutes"))).alias("minutes"), status.alias("status"))
