@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import doc_key, key_back, slices, written
 
 #: Words, and pieces of words, whose ids a Python worker remembers before it starts again.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 #: Fixed values of the vocabulary's form: how it splits lower-case text, and the character that stands for each byte.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
@@ -78,54 +78,55 @@ def best_two_fit(lengths: np.ndarray, room: int) -> np.ndarray:
     return bins
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Words(dict):
+    """Ids of words, each found out when it is first asked for.
 
-    tokenizer = Tokenizer.from_file(path)
-    return tokenizer, tokenizer.model, {}, {}
+    Words of plain characters are lower-cased and split here, and the tokenizer's model gives each piece's ids once; all
+    others, and those that may hold a special token, go through the whole tokenizer."""
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-def token_ids(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
+        assert sys.byteorder == "little" and array("I").itemsize == 4
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.pieces = self.tokenizer.model, {}
 
-    The vocabulary drops white space and never joins across it, so ids of a text are those of its words one after the
-    other, and a worker remembers the words it has met. Words of plain characters are lower-cased and split here, and
-    the tokenizer's model gives each piece's ids once; all others, and those that may hold a special token, go through
-    the whole tokenizer.
-    """
-    tokenizer, model, known, pieces = _tokenizer(path)
-    words = [t.split() for t in texts]
-    new = {w for ws in words for w in ws if w not in known}
-    if len(known) + len(new) > REMEMBERED or len(pieces) > REMEMBERED:
-        known.clear()
-        pieces.clear()
-        new = {w for ws in words for w in ws}
-    other = []
-    assert sys.byteorder == "little" and array("I").itemsize == 4
-
-    def piece_ids(p: str) -> bytes:
-        if (found := pieces.get(p)) is None:
+    def piece(self, p: str) -> bytes:
+        if (found := self.pieces.get(p)) is None:
             shown = p if p.isascii() else "".join(BYTES[b] for b in p.encode())
-            found = pieces[p] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+            found = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
-    for w in new:
-        s = w.decode()
+    def __missing__(self, word: bytes) -> bytes:
+        s = word.decode()
         low = s.lower()
-        if not (w.isascii() and low.isalpha()) and ("<|" in s or not PLAIN.fullmatch(s)):
-            other.append(w)
+        if not (word.isascii() and low.isalpha()) and ("<|" in s or not PLAIN.fullmatch(s)):
+            ids = array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
         elif low.isalpha():
-            known[w] = piece_ids(low)
+            ids = self.piece(low)
         elif low[:-1].isalpha() and low[-1] in ".,":
-            known[w] = piece_ids(low[:-1]) + piece_ids(low[-1])
+            ids = self.piece(low[:-1]) + self.piece(low[-1])
         else:
-            known[w] = b"".join(map(piece_ids, PIECE.findall(low)))
-    for i in range(0, len(other), 4096):
-        part = other[i : i + 4096]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            ids = b"".join(map(self.piece, PIECE.findall(low)))
+        self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    return Words(path)
+
+
+def token_ids(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit numbers.
+
+    The vocabulary drops white space and never joins across it, so ids of a text are those of its words one after the
+    other, and a worker remembers the words it has met."""
+    known = words_of(path)
+    for memory in (known, known.pieces):
+        if len(memory) > REMEMBERED:
+            memory.clear()
+    return [b"".join(map(known.__getitem__, t.split())) for t in texts]
 
 
 def token_pieces(docs: DataFrame, path: str, room: int, doc_id: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
