@@ -63,6 +63,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
+    "op10_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS w FROM (SELECT doc_id, x, unnest(range(0, CAST(length(x) // 2 - 49 AS BIGINT))) AS p FROM d WHERE length(x) >= 100)),
+m AS (SELECT w, min(doc_id) AS first FROM g GROUP BY w),
+f AS (SELECT g.doc_id, p, lag(p) OVER o AS before, lead(p) OVER o AS after FROM g JOIN m USING (w) WHERE first < g.doc_id WINDOW o AS (PARTITION BY g.doc_id ORDER BY p)),
+k AS (SELECT f.*, CASE WHEN before IS NULL THEN substr(x, 1, 2 * p) WHEN p > before + 50 THEN substr(x, 2 * (before + 50) + 1, 2 * (p - before - 50)) ELSE '' END AS kept, CASE WHEN after IS NULL THEN substr(x, 2 * (p + 50) + 1) ELSE '' END AS tail FROM f JOIN d USING (doc_id)),
+s AS (SELECT doc_id, CAST(sum(least(50, coalesce(after - p, 50))) AS BIGINT) AS n_removed, count(*) FILTER (before IS NULL OR p > before + 50) AS n_spans, string_agg(kept || tail, '' ORDER BY p) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
     "op9_decontaminate": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
