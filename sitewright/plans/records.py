@@ -62,7 +62,7 @@ def txt5(spark: SparkSession, sf: str) -> DataFrame:
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-@QUERIES.add("txt6_name_uuid")
+@QUERIES.add("txt6_name_uuid", f"WITH h AS (SELECT s_suppkey AS id, sha1(unhex('{NAMESPACE}') || encode('site/' || s_name)) AS h FROM supplier) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE ('0x' || substr(h, 17, 1))::BIGINT % 4 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid, false AS repeated FROM h")
 def txt6(spark: SparkSession, sf: str) -> DataFrame:
     """Name-based identity (version 5): SHA-1 of namespace and name, with the version and variant bits set; checked for repeats."""
     h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), F.encode(F.concat(F.lit("site/"), F.col("s_name")), "UTF-8")))

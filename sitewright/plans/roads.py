@@ -80,7 +80,13 @@ def site_sources(spark: SparkSession, sf: str, walk: float = WALK) -> DataFrame:
     return snap.select(F.col("other").alias("v"), (F.col("d") * DETOUR / walk).alias("t"), F.col("id").alias("owner"))
 
 
-@QUERIES.add("gra7_shortest_time_owner")
+SEARCH = """, tm AS (SELECT src, dst, min(metres / (CASE highway WHEN 'primary' THEN 50 WHEN 'tertiary' THEN 30 ELSE 15 END * 1000 / 60.0::DOUBLE)) AS minutes FROM e GROUP BY src, dst),
+sn AS (SELECT s.id AS owner, min_by(np.id, (sqrt((np.x-s.x)*(np.x-s.x)+(np.y-s.y)*(np.y-s.y)), np.id)) AS v, min(sqrt((np.x-s.x)*(np.x-s.x)+(np.y-s.y)*(np.y-s.y))) AS d FROM s, np GROUP BY s.id),
+so AS (SELECT v, d * 1.3::DOUBLE / (4000 / 60.0::DOUBLE) AS t, owner FROM sn WHERE d < 3000),
+st AS (SELECT v, min((t, owner)) AS b FROM so GROUP BY v), net(v, b) USING KEY (v) AS (SELECT v, b FROM st UNION SELECT v, min(b) FROM (SELECT tm.dst AS v, (net.b[1] + tm.minutes, net.b[2]) AS b FROM net JOIN tm ON tm.src = net.v WHERE net.b[1] + tm.minutes <= 45) c WHERE NOT EXISTS (SELECT 1 FROM recurring.net o WHERE o.v = c.v AND o.b <= c.b) GROUP BY v)"""
+
+
+@QUERIES.add("gra7_shortest_time_owner", sql("s wn wt np", "").replace("WITH", "WITH RECURSIVE", 1) + EDGES + SEARCH + " SELECT v, round(b[1], 6) AS t, b[2] AS owner FROM net")
 def gra7(spark: SparkSession, sf: str) -> DataFrame:
     return graph.shortest(saved(timed(spark, sf), "timed"), site_sources(spark, sf), 45.0).select("v", r6("t").alias("t"), "owner")
 
@@ -97,7 +103,12 @@ def building_owners(spark: SparkSession, sf: str, limit: float = 45.0, season: s
     return b.select("id").join(best, "id", "left")
 
 
-@QUERIES.add("gra8_building_owner")
+D_BN = "sqrt((b.x-np.x)*(b.x-np.x)+(b.y-np.y)*(b.y-np.y))"
+D_BS = "sqrt((b.x-s.x)*(b.x-s.x)+(b.y-s.y)*(b.y-s.y))"
+PACE = "1.3::DOUBLE / (4000 / 60.0::DOUBLE)"
+
+
+@QUERIES.add("gra8_building_owner", sql("b s wn wt np", "").replace("WITH", "WITH RECURSIVE", 1) + EDGES + SEARCH + f", bn AS (SELECT b.id, min_by(np.id, ({D_BN}, np.id)) AS v, min({D_BN}) AS d FROM b, np GROUP BY b.id), al AS (SELECT id, (net.b[1] + d * {PACE}, net.b[2]) AS o FROM bn JOIN net USING (v) WHERE d < 3000 UNION ALL SELECT b.id, ({D_BS} * {PACE}, s.id) FROM b, s WHERE {D_BS} <= 4000), best AS (SELECT id, min(o) AS o FROM al WHERE o[1] <= 45 GROUP BY id) SELECT b.id, round(o[1], 6) AS t, o[2] AS owner FROM b LEFT JOIN best USING (id)")
 def gra8(spark: SparkSession, sf: str) -> DataFrame:
     return building_owners(spark, sf).select("id", r6("t").alias("t"), "owner")
 
@@ -116,7 +127,8 @@ def gra9(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("origin", "site", r6(F.when(status == "reachable", F.col("minutes"))).alias("minutes"), status.alias("status"))
 
 
-@QUERIES.add("gra10_catchment_mask")
+@QUERIES.add("gra10_catchment_mask", sql("wn wt np", "").replace("WITH", "WITH RECURSIVE", 1) + EDGES + """, le AS (SELECT src, dst, min(metres) AS m FROM e GROUP BY src, dst), st AS (SELECT id AS unit, id AS v, 0.0::DOUBLE AS t FROM np WHERE id % 25 = 0),
+net(unit, v, t) USING KEY (unit, v) AS (SELECT unit, v, t FROM st UNION SELECT unit, v, min(t) FROM (SELECT net.unit, le.dst AS v, net.t + le.m AS t FROM net JOIN le ON le.src = net.v WHERE net.t + le.m <= 12000) c WHERE NOT EXISTS (SELECT 1 FROM recurring.net o WHERE o.unit = c.unit AND o.v = c.v AND o.t <= c.t) GROUP BY unit, v) SELECT unit, v AS other FROM net WHERE v % 25 = 0""")
 def gra10(spark: SparkSession, sf: str) -> DataFrame:
     """(unit, other): road distance between unit vertices within a budget, each unit itself included."""
     e = edges(spark, sf).groupBy("src", "dst").agg(F.min("metres").alias("minutes"))

