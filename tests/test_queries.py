@@ -26,11 +26,11 @@ def plain(v):
 def test_query(spark, sf, db, name):
     df = entry.queries()[name](spark, sf)
     columns = sorted(df.columns)
-    rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     text = entry.oracle_sql().get(name)
-    if text is None:
-        assert columns
+    if text is None:  # test_operators and llm hold these against plain versions
+        assert len(set(columns)) == len(columns) > 0
         return
+    rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     got = db.execute(text)
     names = [d[0] for d in got.description]
     assert sorted(names) == columns
