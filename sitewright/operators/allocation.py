@@ -25,7 +25,7 @@ def bounded_equal_shares(totals: DataFrame, limits: DataFrame) -> tuple[DataFram
     return shares, balance
 
 
-def nearest_first(edges: DataFrame, mass: DataFrame, capacity: DataFrame, rounds: int = 1000) -> DataFrame:
+def nearest_first(edges: DataFrame, mass: DataFrame, capacity: DataFrame) -> DataFrame:
     """(origin, node, tonnes): edges (origin, node, minutes) taken in order of (minutes, origin, node), each with what its
     origin still has and its node still holds.
 
@@ -34,9 +34,7 @@ def nearest_first(edges: DataFrame, mass: DataFrame, capacity: DataFrame, rounds
     order = F.struct("minutes", "origin", "node")
     left = saved(edges.join(mass.filter("mass > 0"), "origin").join(capacity.filter("capacity IS NULL OR capacity > 0"), "node").select("origin", "node", "minutes", "mass", "capacity"), "edges")
     done = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         by_origin = left.groupBy("origin").agg(F.min(order).alias("_o"))
         by_node = left.groupBy("node").agg(F.min(order).alias("_n"))
         first = left.join(by_origin, "origin").join(by_node, "node").filter((F.col("_o") == order) & (F.col("_n") == order))

@@ -75,9 +75,10 @@ def focal_sum(cells: DataFrame, value: str, reach: int) -> DataFrame:
     return moved.select("i", (F.col("j") + F.col("_dj")).alias("j"), value).groupBy("i", "j").agg(F.sum(value).alias("total"))
 
 
-def keep_first(points: DataFrame, radius: float, same, rounds: int = 30) -> DataFrame:
+def keep_first(points: DataFrame, radius: float, same) -> DataFrame:
     """Rows left when, in order of ordinal `id`, a row goes if an earlier kept one within radius is `same` (a predicate on
-    prefixed columns a_, b_). Rounds settle rows without an undecided earlier neighbour; dominated ones go."""
+    prefixed columns a_, b_). Rounds settle rows without an undecided earlier neighbour; dominated ones go. The first undecided
+    row is settled in each round, so they end."""
     from sitewright.sources.tables import saved
 
     more = [c for c in points.columns if c not in ("id", "x", "y")]
@@ -85,7 +86,7 @@ def keep_first(points: DataFrame, radius: float, same, rounds: int = 30) -> Data
     b = points.select(F.col("id").alias("other"), *[F.col(c).alias(f"b_{c}") for c in more])
     blocks = saved(pairs_within(points, points, radius).filter("other < id").join(a, "id").join(b, "other").filter(same).select("id", "other"), "keep-blocks")
     state = saved(points.select("id", F.lit(None).cast("boolean").alias("kept")), "keep-state")
-    for _ in range(rounds):
+    while True:
         seen = blocks.join(state.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("_hit"), F.bool_or(F.col("kept").isNull()).alias("_open"))
         state = saved(state.join(seen, "id", "left").select("id", F.coalesce("kept", F.when(F.col("_hit"), False).when(~F.coalesce("_open", F.lit(False)), True)).alias("kept")), "keep-state")
         if state.filter("kept IS NULL").isEmpty():
