@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_key, key_back, slices
@@ -17,6 +17,8 @@ from .common import doc_key, key_back, slices
 WIDTH, STEP, SEGMENT, CHUNK, HOP = 8, 2, 64, 4, 3
 #: Numbers of a byte's embedding, and filters.
 EMBED, FILTERS = 8, 24
+#: Pieces of a long text that training takes, evenly spread over all of it.
+PIECES = 32
 #: Bytes over which the filters run at once.
 BLOCK = 128 * SEGMENT * 16
 
@@ -130,19 +132,25 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, chunks: int =
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = 2500, longest: int = 32768) -> Network | None:
     """A network from labelled rows outside the held-out fold: at most `most` of them, those with the smallest hash of
-    their id, and of a text over `longest` bytes its first part and its last. No usable label: None.
+    their id, and of a text over `longest` bytes PIECES pieces of together so many, evenly spread from its first byte to its last.
+    No usable label: None.
 
     Rows of one id that disagree count by their mean, rounded; null labels and ids don't count."""
     ids = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(most)
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    half = longest // 2
-    short = F.when(F.octet_length(body) <= longest, body).otherwise(F.concat(F.substring(body, 1, half), F.substring(body, -half, half)))
-    rows = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id")).select("_id", "_y", short.alias("t")).limit(2 * most).collect()
+    rows = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id")).select("_id", "_y", body.alias("_body")).select("_id", "_y", spread("_body", longest).alias("t")).limit(2 * most).collect()
     rows.sort(key=lambda r: (r._id, bytes(r.t)))
     return train([bytes(r.t) for r in rows], np.array([r._y for r in rows], np.float32)) if rows else None
 
 
+def spread(body: str, longest: int) -> Column:
+    """The bytes as they are up to `longest`; else PIECES pieces of together so many, from the first byte to the last."""
+    size, length = longest // PIECES, F.octet_length(body)
+    starts = [F.floor((length - size) * i / (PIECES - 1)).cast("int") + 1 for i in range(PIECES)]
+    return F.when(length <= longest, F.col(body)).otherwise(F.concat(*[F.substring(F.col(body), at, F.lit(size)) for at in starts]))
+
+
 def held_out(doc_id: str):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 

@@ -129,6 +129,14 @@ def test_quality(spark, docs, none, texts):
     assert quality.fit(d, labels.limit(0)) is None and quality.score_quality(docs, None).filter("score = 0.5").count() == len(texts)
 
 
+def test_quality_training_pieces_reach_over_long_texts(spark):
+    body = bytes(np.random.default_rng(1).integers(0, 256, 100_003, np.uint8))
+    d = spark.createDataFrame([(body,), (body[:32768],), (b"",)], "b binary")
+    got = [bytes(r[0]) for r in d.select(quality.spread("b", 32768)).collect()]
+    starts = [(len(body) - 1024) * i // 31 for i in range(32)]
+    assert got == [b"".join(body[a : a + 1024] for a in starts), body[:32768], b""] and starts[-1] + 1024 == len(body)
+
+
 def test_quality_chunks_cover_whole_text():
     """A mark anywhere in a text changes its features: no byte is outside the chunks, and scores don't depend on neighbours."""
     rng = np.random.default_rng(1)
