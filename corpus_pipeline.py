@@ -10,18 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.llm import decontamination, line_dedup, packing, quality, simhash
-from sitewright.llm.common import NULL_ID, written
+from sitewright.llm.common import doc_key, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in the column _id of ids; a null id is NULL_ID there."""
-    return docs.join(ids, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("_id"), "left_semi")
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network, trained on the labels outside the held-out fold, scores 0.3 or more."""
     net = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -37,17 +32,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: shingles of five words with a similarity of 0.8 or more."""
-    groups = simhash.similar_groups(docs)
-    ids = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"))
-    return _kept(docs, ids).dropDuplicates(["doc_id"])
+    """The first row of each group of near copies: shingles of five words with a similarity of 0.8 or more.
+
+    Rows are told apart by id and text, so unlike rows with one id, or without, stay; of equal ones one does.
+    """
+    first = simhash.similar_rows(docs).filter("_row = first._row").select("_doc", "_t")
+    keyed = docs.select("*", doc_key("doc_id").alias("_doc"), simhash.text_key("text").alias("_t"))
+    return keyed.join(first, ["_doc", "_t"], "left_semi").dropDuplicates(["_doc", "_t"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    hits = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    ids = written(hits.filter("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")), "contaminated")
-    return docs.join(ids, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("_id"), "left_anti")
+    """Documents without any window of a benchmark item. Rows are told apart by id and text."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    hits = decontamination.decontaminate(keyed, _table(spark, sf_dir, "benchmark"), doc_id="_key")
+    keys = written(hits.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return keyed.join(keys, "_key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,9 +86,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(key_back("_doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), key_back("component_id").alias("component_id"))
 
 
-def signature(text: bytes, words: int, longs: int) -> list[int]:
-    """Fingerprints of 64 bits each: the first of the shingles' hashes, the others of those hashes mixed with their number."""
-    h = shingle_hashes(text, words)
+def signature(h: np.ndarray, longs: int) -> list[int]:
+    """Fingerprints of 64 bits each: the first of the hashes, the others of those hashes mixed with their number."""
     out = []
     for k in range(longs):
         x = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
@@ -98,17 +97,23 @@ def signature(text: bytes, words: int, longs: int) -> list[int]:
     return out
 
 
+def text_key(text: str) -> Column:
+    """Tells the texts of rows with one id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int, longs: int) -> DataFrame:
-    """(_doc, s0, s1, ...)."""
+    """(_doc, _t, s0, s1, ...)."""
     names = [f"s{i}" for i in range(longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text", 4 << 20):
-                s = np.array([signature((t or "").encode(), words, longs) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(longs))], names=["_doc", *names])
+                s = np.array([signature(shingle_hashes((t or "").encode(), words), longs) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(longs))], names=["_doc", "_t", *names])
 
-    return docs.select(doc_key(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_doc long, " + ", ".join(f"{n} long" for n in names))
+    rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(text).alias("_t"), F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(run, "_doc long, _t long, " + ", ".join(f"{n} long" for n in names))
 
 
 def bits_apart(similarity: float) -> float:
@@ -140,16 +145,17 @@ def found_share(similarity: float, documents: int, longs: int) -> float:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, ids: DataFrame) -> DataFrame:
-    """(_doc, hashes): the distinct shingle hashes, sorted, of the documents in ids (_doc); one row an id."""
+    """(node, hashes): the distinct shingle hashes, sorted, of the rows in ids (node, _doc, _t); one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text", 4 << 20):
                 sets = [np.unique(shingle_hashes((t or "").encode(), words)).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["_doc", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
-    rows = docs.select(doc_key(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(ids, "_doc", "left_semi")
-    return written(rows.mapInArrow(run, "_doc long, hashes binary").dropDuplicates(["_doc"]), "shingle-sets")
+    rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(text).alias("_t"), F.col(text).cast("string").alias("_text"))
+    rows = rows.join(ids, ["_doc", "_t"]).select("node", "_text")
+    return written(rows.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -164,29 +170,35 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("_doc").alias(c), F.col("hashes").alias(f"_{c}"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 6) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose shingle sets are similar, by ball hashing on parts of a long fingerprint.
+def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 6) -> DataFrame:
+    """(_doc, _t, _row, first) of every row: groups of rows whose shingle sets are similar, by ball hashing on parts of a long fingerprint.
 
-    At a similarity of 0.8 some 15 % of bits differ, far over any radius that a ball of 64 bits can have. So a document has
+    _doc and _t are the id (null: NULL_ID) and the hash of the text, so rows of one id are told apart; _row is a number of
+    the row, first the struct (_doc, _row) of the group's first row.
+
+    At a similarity of 0.8 some 15 % of bits differ, far over any radius that a ball of 64 bits can have. So a row has
     `longs` fingerprints of 64 bits, end to end, cut into parts of log2(documents) + 8 bits (so that few meet by chance at
-    any size; about 64 * `longs` variants a document whatever its width); each part emits its variants within one bit, and parts within two bits meet, as in simhash_groups. A part's
-    value is first reduced to its smallest document, which the others with it link to, so a variant has at most as many
-    values as bits and one. All links are verified: first the bits that differ in the whole fingerprint (three deviations
-    of slack), then the exact similarity of the shingle sets. Equal fingerprints are one node.
-
-    By the bit model (found_share) links at exactly 0.8 are found in 97 of 100 cases among 250,000 documents and in 81
-    among six million, links at 0.9 nearly always; more `longs` find more, for a shuffle in proportion. Null texts are
-    empty; documents without words are one group. A null id counts as the smallest. An empty table gives no rows.
+    any size; about 64 * `longs` variants a document whatever its width); each part emits its variants within one bit, and
+    parts within two bits meet, as in simhash_groups. Equal fingerprints are one node.
+
+    A part's value is first reduced to its smallest node, which the others with it link to, and a variant's smallest nodes
+    to a path and a star. All links are verified: by the bits that differ in the whole fingerprint
+    (three deviations of slack), then by the exact similarity of the shingle sets.
+
+    By the bit model (found_share) links at exactly 0.8 meet in 97 of 100 cases among 250,000 documents and in 81 among
+    six million, links at 0.9 nearly always; more `longs` find more, for a shuffle in proportion. Null texts are empty;
+    documents without words are one group. A null id counts as the smallest. An empty table gives no rows.
     """
     names = [f"s{i}" for i in range(longs)]
-    rows = written(signatures(docs, doc_id, text, words, longs), "signatures")
-    nodes = written(rows.groupBy(*names).agg(F.min("_doc").alias("node")), "signature-nodes")
+    rows = written(signatures(docs, doc_id, text, words, longs).withColumn("_row", F.monotonically_increasing_id()), "signatures")
+    firsts = [F.min("_row").alias("node"), F.min(F.struct("_doc", "_row")).alias("first")]
+    nodes = written(rows.groupBy(*names).agg(*firsts), "signature-nodes")
     width = part_width(nodes.count())
-    values = nodes.select("node", F.explode(F.array(*part_keys(names, width))).alias("key"))
+    values = written(nodes.select("node", F.explode(F.array(*part_keys(names, width))).alias("key")), "part-values")
     heads = written(values.groupBy("key").agg(F.min("node").alias("head")), "part-heads")
     star = values.join(heads, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     masks = F.explode(F.array(*[F.lit(m) for m in (0, *(1 << i for i in range(width)))])).alias("mask")
@@ -194,14 +206,30 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     w = Window.partitionBy("variant").orderBy("head")
     near = near.select("head", F.lag("head").over(w).alias("before"), F.first("head").over(w).alias("first")).filter("before IS NOT NULL")
     ball = near.select(F.col("head").alias("a"), F.explode(F.array("before", "first")).alias("b"))
-    pairs = written(star.union(ball).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "similar-candidates")
+    pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    tried = written(star.union(ball).filter("a <> b").select(*pair).distinct(), "similar-candidates")
+
     share = bits_apart(similarity)
     slack = 64 * longs * share + 3 * math.sqrt(64 * longs * share * (1 - share))
     side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(n).alias(f"_{c}_{n}") for n in names])
     apart = sum((F.bit_count(F.col(f"_a_{n}").bitwiseXOR(F.col(f"_b_{n}"))) for n in names), F.lit(0))
-    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack).select("a", "b"), "similar-pairs")
-    ends = pairs.select(F.col("a").alias("_doc")).union(pairs.select("b")).distinct()
-    links = similar_pairs(pairs, shingle_sets(docs, doc_id, text, words, ends), similarity)
-    groups = components(links)
-    named = written(nodes.join(groups, F.col("node") == F.col("id"), "left").select(*names, F.coalesce("component", "node").alias("component_id")), "similar-groups")
-    return rows.join(named, names).select(key_back("_doc").alias("doc_id"), key_back("component_id").alias("component_id"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        left = written(both.filter(apart <= slack).select("a", "b"), "similar-pairs")
+        ends = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        keys = rows.select(F.col("_row").alias("node"), "_doc", "_t").join(ends, "node")
+        return written(similar_pairs(left, shingle_sets(docs, doc_id, text, words, keys), similarity), "similar-links")
+
+    groups = components(verified(tried))
+    named = nodes.join(groups, F.col("node") == F.col("id"), "left").select(*names, "first", F.coalesce("component", "node").alias("component"))
+    named = written(named, "similar-groups")
+    top = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = written(named.drop("first").join(top, "component").select(*names, "first"), "similar-groups")
+    return rows.join(named, names).select("_doc", "_t", "_row", "first")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 6) -> DataFrame:
+    """(doc_id, component_id) of every row: the groups of similar_rows, each by the id of its first row."""
+    out = similar_rows(docs, doc_id, text, words, similarity, longs)
+    return out.select(key_back("_doc").alias("doc_id"), key_back("first._doc").alias("component_id"))

@@ -45,3 +45,14 @@ def test_run(spark, sf):
     out = pipeline.run(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert 0 < out.select("doc_id").distinct().count() < docs
+
+
+def test_rows_of_one_id_are_told_apart(spark, table, sf):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, text("a")), (None, text("b")), (None, item), (1, text("c")), (1, text("d")), (1, item + " end"), (2, text("a")), (3, text("d")), (3, text("d"))]
+    some = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], table.schema)
+    kept = sorted(((r.doc_id, r.text[:3]) for r in pipeline.drop_near_copies(spark, some, sf).collect() if not r.text.startswith(item[:20])), key=str)
+    assert kept == sorted([(None, "a0 "), (None, "b0 "), (1, "c0 "), (1, "d0 ")], key=str)
+    clean = [(r.doc_id, r.text) for r in pipeline.drop_contaminated(spark, some, sf).collect()]
+    assert sorted(clean, key=str) == sorted((p for p in rows if item not in p[1]), key=str)
