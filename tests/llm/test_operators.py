@@ -482,3 +482,30 @@ def test_bucket_order_is_lexicographic():
         order = at[suffix_dedup.sort_bucket(data, at, rank)]
         heads = [text[p : p + 50] for p in order]
         assert heads == sorted(heads)
+
+
+def exact(texts):
+    """Pairs of a similarity of 0.8 or more, and all similarities, by brute force."""
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    return {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def grouped(spark, texts):
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_similar_pairs_of_repeats_and_short_texts(spark):
+    rng = np.random.default_rng(22)
+    own = lambda n: " ".join(f"o{rng.integers(0, 10**9)}" for _ in range(n))
+    long, short = [], []
+    for i in range(12):
+        base = own(300)
+        long += [base, base + (" " + own(10)) * 40]  # one passage many times: a few shingles more in the set
+    for i in range(150):
+        n = int(rng.integers(8, 23))
+        t = own(n)
+        short += [t, t + " " + own(1)]  # n - 4 shingles of n - 3: 0.8 or more
+    for texts, least in ((long, 12), (short, 150)):
+        close, got = exact(texts), grouped(spark, texts)
+        assert len(close) >= least and all(got[a] == got[b] for a, b in close)
+        assert len(set(got.values())) == len(texts) // 2
