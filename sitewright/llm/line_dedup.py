@@ -7,14 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, doc_key, key_back, small_side, slices, written
+from .common import doc_key, key_back, small_side, slices, written
 
 #: Levels of the hash; keys that none of them places are kept in a list. Bits of a level for each key it gets.
 LEVELS, SPACE = 24, 1.5
 INDEX = "shard int, n int, sizes array<int>, bits binary, tail binary, prints binary, counts binary, firsts binary"
+digest = xxhash.xxh3_128_digest
 
 
 def mix(x: np.ndarray, level: int) -> np.ndarray:
@@ -86,11 +89,24 @@ class Shard:
 
 def line_hashes(docs: DataFrame, doc_id: str, text: str, shortest: int) -> DataFrame:
     """(_doc, _t, pos, h, g): lines whose key has `shortest` code points at least, with two hashes of the key."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(doc_key(doc_id).alias("_doc"), F.hash(body).alias("_t"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-    key = ascii_lower(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")))
-    rows = rows.select("_doc", "_t", "pos", key.alias("key")).filter(F.char_length("key") >= shortest)
-    return rows.select("_doc", "_t", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                lines = pc.split_pattern(batch.column(2), "\n")
+                size = pc.list_value_length(lines).to_numpy()
+                own = np.repeat(np.arange(len(size)), size)
+                pos = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+                keys = pc.ascii_lower(pc.ascii_trim(lines.flatten(), characters=" \t\n\x0b\x0c\r"))
+                on = np.flatnonzero(pc.greater_equal(pc.utf8_length(keys), shortest).to_numpy(zero_copy_only=False))
+                both = b"".join(map(digest, keys.take(pa.array(on)).cast(pa.binary()).to_pylist()))
+                h, g = np.frombuffer(both, ">i8").reshape(-1, 2).T
+                own = pa.array(own[on])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(pos[on].astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(g.astype(np.int32))], names=["_doc", "_t", "pos", "h", "g"])
+
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(doc_key(doc_id).alias("_doc"), F.hash(body).alias("_t"), body.alias("_text"))
+    return rows.mapInArrow(run, "_doc long, _t int, pos int, h long, g int")
 
 
 def line_index(lines: DataFrame, shard_keys: int = 100_000, shards: int = 64) -> tuple[DataFrame, DataFrame, int]:
@@ -158,7 +174,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     text is one empty line. A null id counts as one document before all others; rows with one id count as one
     document, so a line that only they share stays. An empty table gives no rows.
     """
-    lines = line_hashes(docs, doc_id, text, shortest)
+    lines = written(line_hashes(docs, doc_id, text, shortest), "line-hashes")
     drops = probe(lines, *line_index(lines)).groupBy("_doc", "_t").agg(F.collect_set("pos").alias("_drop"))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*also, doc_key(doc_id).alias("_doc"), F.hash(body).alias("_t"), body.alias("_text")).join(drops, ["_doc", "_t"], "left").select(*also, "_doc", "_text", "_drop")
