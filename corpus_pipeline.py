@@ -1,6 +1,8 @@
 """From raw documents to training sequences in five stages; each works on all that the one before kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, with the columns of docs in all but the last.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, with the columns of docs in all but the last. A row travels
+as one struct, so columns of docs may have any names. Null texts are empty; null and repeated ids are rows of their own; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,33 +22,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network, trained on the labels outside the held-out fold, scores 0.3 or more."""
     net = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score_quality(docs, net, also=rest).filter("predicted = 1").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return quality.score_quality(rows, net, also=("row",)).filter("predicted = 1").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document has; n_chars follows."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = line_dedup.dedup_lines(docs, also=rest)
-    return out.select("doc_id", F.col("kept").alias("text"), F.char_length("kept").cast("long").alias("n_chars"), *rest).select(*docs.columns)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(F.lit(0), *rest).alias("row")), also=("row",))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.char_length("kept").cast("long").alias("n_chars")}
+    return out.select(*[new[c] if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group of near copies: shingles of five words with a similarity of 0.8 or more.
+    """The first row of each group of near copies: shingles of five words with a similarity of 0.8 or more, all links.
 
     Rows are told apart by id and text, so unlike rows with one id, or without, stay; of equal ones one does.
     """
     first = simhash.similar_rows(docs).filter("_row = first._row").select("_doc", "_t")
-    keyed = docs.select("*", doc_key("doc_id").alias("_doc"), simhash.text_key("text").alias("_t"))
-    return keyed.join(first, ["_doc", "_t"], "left_semi").dropDuplicates(["_doc", "_t"]).select(*docs.columns)
+    keyed = docs.select(doc_key("doc_id").alias("_doc"), simhash.text_key("text").alias("_t"), F.struct("*").alias("row"))
+    return keyed.join(first, ["_doc", "_t"], "left_semi").dropDuplicates(["_doc", "_t"]).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item. Rows are told apart by id and text."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    hits = decontamination.decontaminate(keyed, _table(spark, sf_dir, "benchmark"), doc_id="_key")
-    keys = written(hits.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return keyed.join(keys, "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.struct("*").alias("row"))
+    hits = decontamination.decontaminate(keyed, _table(spark, sf_dir, "benchmark"), doc_id="key")
+    keys = written(hits.filter("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return keyed.join(keys, "key", "left_anti").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

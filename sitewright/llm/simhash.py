@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,11 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_back, slices, written
+from .common import doc_key, key_back, slices, small_side, written
 from .components import components
 
-#: Sets of under SMALL shingles meet by a common one, too. Sets of under EXACT aren't held to a number of differing bits.
-SMALL, EXACT = 20, 64
+#: Rows up to which a table of one or two numbers a row is broadcast (16 to 24 bytes each in most); beyond it Spark shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -62,25 +61,32 @@ def ball_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def ball_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(fp, other): links of at most `radius` bits that keep together what such links connect, of distinct fingerprints fp.
+
+    Each emits all variants within half the radius; two within the radius meet in a variant in the middle. A variant's
+    nodes are, for an even radius, all within it of one another, and there are at most as many as variants a node emits, so
+    a link from each to the next in order keeps what is connected and no pairs are listed. Links are verified by their
+    differing bits."""
+    if radius % 2:
+        raise ValueError("the radius must be even, so that two halves meet")
+    masks = F.explode(F.array(*[F.lit(m) for m in ball_masks(radius // 2)])).alias("mask")
+    near = nodes.select("fp", masks).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    pairs = near.withColumn("other", F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))).filter(F.col("other").isNotNull())
+    return pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).select("fp", "other").distinct()
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: near-duplicate groups by links of at most `radius` bits.
 
-    Equal fingerprints become one node first, summed before the shuffle. Each node emits all variants within half the
-    radius; two fingerprints within the radius meet in a variant in the middle. A variant's nodes are, for an even
-    radius, all within it of one another, and there are at most as many as variants a node emits, so a link from each to
-    the next in order keeps what is connected and no pairs are listed. Links are verified by their differing bits.
+    Equal fingerprints become one node first, summed before the shuffle; their links are those of ball_links.
 
     A null text has fingerprint zero, as one without words. A null id counts as the smallest; its component_id is null
     too. Rows with one id share a component only through their fingerprints. An empty table gives no rows.
     """
-    if radius % 2:
-        raise ValueError("the radius must be even, so that two halves meet")
     rows = written(fingerprints(docs, doc_id, text, words), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("_doc").alias("node")), "fingerprint-nodes")
-    masks = F.explode(F.array(*[F.lit(m) for m in ball_masks(radius // 2)])).alias("mask")
-    near = nodes.select("fp", masks).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    pairs = near.withColumn("other", F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))).filter(F.col("other").isNotNull())
-    links = pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).select("fp", "other").distinct()
+    links = ball_links(nodes, radius)
     groups = components(links, "fp", "other").select(F.col("id").alias("fp"), "component")
     named = nodes.join(groups, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("component"))
     first = named.groupBy("component").agg(F.min("node").alias("component_id"))
@@ -89,178 +95,140 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(key_back("_doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), key_back("component_id").alias("component_id"))
 
 
-def signature(h: np.ndarray, longs: int) -> list[int]:
-    """Fingerprints of 64 bits each: the first of the hashes, the others of those hashes mixed with their number."""
-    out = []
-    for k in range(longs):
-        x = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-        for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB) if k else ():
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(m)
-        out.append(majority(x))
-    return out
-
-
-def prefix(h: np.ndarray, similarity: float) -> list[int]:
-    """The smallest of sorted distinct hashes; two small sets of the similarity have one of them in common. Negative numbers."""
-    n = len(h)
-    return (h[: n - math.ceil(similarity * n - 1e-9) + 1] | np.uint64(1 << 63)).view(np.int64).tolist() if 0 < n <= SMALL / similarity else []
-
-
 def text_key(text: str) -> Column:
     """Tells the texts of rows with one id apart."""
     return F.xxhash64(F.col(text).cast("string"))
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, words: int, longs: int, similarity: float) -> DataFrame:
-    """(_doc, _t, size, prefix, s0, s1, ...) of the distinct shingles, which the similarity counts too."""
-    names = [f"s{i}" for i in range(longs)]
+def prefix_size(size: Column, similarity: float) -> Column:
+    """How many tokens of a set, in an order all sets share, hold one of each set that similar: without them fewer than similarity * size are left."""
+    return (size - F.ceil(size * F.lit(similarity) - 1e-9) + 1).cast("int")
+
+
+def shingle_rows(docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(_doc, _t, size, d0, d1, fp, prefix) of every row, from its distinct shingle hashes as signed numbers in order:
+    their number, a 128-bit hash of the set, its fingerprint, and the smallest ones of prefix_size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text", 4 << 20):
-                sets = [np.unique(shingle_hashes((t or "").encode(), words)) for t in batch.column(2).to_pylist()]
-                s = np.array([signature(h, longs) for h in sets], np.uint64).view(np.int64)
-                more = [pa.array([len(h) for h in sets], pa.int64()), pa.array([prefix(h, similarity) for h in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more, *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(longs))], names=["_doc", "_t", "size", "prefix", *names])
+                sets = [distinct_shingles(t, words) for t in batch.column(2).to_pylist()]
+                size = np.array([len(h) for h in sets], np.int64)
+                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in sets), ">i8").reshape(-1, 2).astype(np.int64)
+                fp = np.array([majority(h.view(np.uint64)) for h in sets], np.uint64).view(np.int64)
+                first = np.where(size > 0, size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1, 0)
+                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first)].astype(np.int32)), pa.array(np.concatenate([h[:n] for h, n in zip(sets, first)])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(fp), prefix], names=["_doc", "_t", "size", "d0", "d1", "fp", "prefix"])
 
     rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(text).alias("_t"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "_doc long, _t long, size long, prefix array<long>, " + ", ".join(f"{n} long" for n in names))
-
-
-def bits_apart(similarity: float) -> float:
-    """The share of bits that differ between the fingerprints of sets of one size with this similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def part_width(documents: int) -> int:
-    return min(32, max(12, math.ceil(math.log2(max(2, documents))) + 8))
-
-
-def part_keys(names: list[str], width: int) -> list[Column]:
-    """A number for each part of so many bits of the columns' bits end to end: the part's value, and its place from bit 32 on."""
-    keys = []
-    for i in range(64 * len(names) // width):
-        k, at = divmod(i * width, 64)
-        value = F.shiftrightunsigned(names[k], at)
-        if at + width > 64:
-            value = value.bitwiseOR(F.shiftleft(names[k + 1], 64 - at))
-        keys.append(value.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 32)))
-    return keys
+    return rows.mapInArrow(run, "_doc long, _t long, size long, d0 long, d1 long, fp long, prefix array<long>")
 
 
-def found_share(similarity: float, documents: int, longs: int) -> float:
-    """By the bit model, the share of links of this similarity that have a part within two bits."""
-    x, width = bits_apart(similarity), part_width(documents)
-    meets = sum(math.comb(width, k) * x**k * (1 - x) ** (width - k) for k in range(3))
-    return 1 - (1 - meets) ** (64 * longs // width)
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode(), words).view(np.int64))
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, ids: DataFrame) -> DataFrame:
-    """(node, hashes): the distinct shingle hashes, sorted, of the rows in ids (node, _doc, _t); one row a node."""
+    """(node, size, hashes): the distinct shingle hashes, in order, of the rows in ids (node, _doc, _t); one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text", 4 << 20):
-                sets = [np.unique(shingle_hashes((t or "").encode(), words)).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+                sets = [distinct_shingles(t, words) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "hashes"])
 
     rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(text).alias("_t"), F.col(text).cast("string").alias("_text"))
-    rows = rows.join(ids, ["_doc", "_t"]).select("node", "_text")
-    return written(rows.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
+    rows = rows.join(small_side(ids, BROADCAST_ROWS), ["_doc", "_t"]).select("node", "_text")
+    return written(rows.mapInArrow(run, "node long, size long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets' common part is at least so large a share of their union."""
+def rare_prefixes(sets: DataFrame, counts: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """(token, node, size): each set's prefix in an order in which tokens of many sets come last, the most frequent at the end.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    sets (node, size, hashes) are in the order of their hashes; counts (token, n) says how many sets have a token among
+    the smallest of that order. Tokens over `hot` there, and those over `hot` in all of the sets that hold such a one
+    there, come last; so a passage that many documents share brings them together only where they have little else.
+    """
+    smallest = F.explode(F.slice("hashes", 1, prefix_size(F.col("size"), similarity))).alias("token")
+    known = written(counts.filter(F.col("n") > hot).select("token", "n"), "hot-tokens")
+    plain = sets.select(smallest, "node", "size")
+    if known.isEmpty():
+        return plain
+    holders = lambda tokens: sets.select(smallest, "node").join(small_side(tokens.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
+    within = sets.join(small_side(holders(known), BROADCAST_ROWS), "node").select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    known = written(known.union(within).groupBy("token").agg(F.max("n").alias("n")), "hot-tokens")
+    moved = written(holders(known), "hot-sets")
+    late = sets.join(small_side(moved, BROADCAST_ROWS), "node")
+    late = late.select("node", F.explode("hashes").alias("token")).join(small_side(known, BROADCAST_ROWS), "token").groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("late"))
+    order = F.when(F.col("late").isNull(), F.col("hashes")).otherwise(F.concat(F.array_except("hashes", "late"), "late"))
+    return sets.join(late, "node", "left").select(F.explode(F.slice(order, 1, prefix_size(F.col("size"), similarity))).alias("token"), "node", "size")
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets' common part is at least so large a share of their union."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"_{c}_size"), F.col("hashes").alias(f"_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_common", F.size(F.array_intersect("_a", "_b")))
+    return both.filter(F.col("_common") >= F.lit(similarity) * (F.col("_a_size") + F.col("_b_size") - F.col("_common")) - 1e-9).select("a", "b")
 
-def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 6) -> DataFrame:
-    """(_doc, _t, _row, first) of every row: groups of rows whose shingle sets are similar, by ball hashing on parts of a long fingerprint.
+
+def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2, hot: int = 64) -> DataFrame:
+    """(_doc, _t, _row, first) of every row: groups of rows linked by shingle sets of at least the similarity, all links.
 
     _doc and _t are the id (null: NULL_ID) and the hash of the text, so rows of one id are told apart; _row is a number of
-    the row, first the struct (_doc, _row) of the group's first row.
-
-    At a similarity of 0.8 some 15 % of bits differ, far over any radius that a ball of 64 bits can have. So a row has
-    `longs` fingerprints of 64 bits, end to end, cut into parts of log2(documents) + 8 bits (so that few meet by chance at
-    any size; about 64 * `longs` variants a document whatever its width); each part emits its variants within one bit, and
-    parts within two bits meet, as in simhash_groups. Sets of under SMALL shingles, whose bits say less, also meet by a
-    common shingle of their prefixes, which finds all. Equal fingerprints are one node.
-
-    First a part's value is reduced to its smallest node, which the others with it link to, and a variant's smallest nodes
-    to a path and a star. That joins most groups with few pairs. Then all pairs that meet and are not joined yet are
-    tried, so none depends on a third node; where many unlike texts share a part, these grow with the square of their
-    number. All links are verified: by the sizes and, for large sets, the bits that differ in the whole fingerprint (three
-    deviations of slack), then by the exact similarity of the shingle sets.
-
-    By the bit model (found_share) links at exactly 0.8 meet in 97 of 100 cases among 250,000 documents and in 81 among
-    six million, links at 0.9 nearly always; more `longs` find more, for a shuffle in proportion. Null texts are empty;
-    documents without words are one group. A null id counts as the smallest. An empty table gives no rows.
+    the row, first the struct (_doc, _row) of the group's first row. Equal sets are one node from the start.
+
+    Balls of fingerprints, as in simhash_groups, bring together the closest sets. At a similarity of 0.8 some ten of 64
+    bits differ, far over any radius that a ball can have, so a prefix-filtered set join finds the other links: sets that
+    similar share one of the first tokens (a fifth of them and one) of an order common to all sets, rare tokens first.
+    Nodes without a common token there have no link. Of each token's nodes, all are first held against the smallest;
+    where those of a token are not all joined after that, all its pairs that are not joined yet are tried. No pair is
+    left out, so the links are exact; where many unlike texts share nearly all of their text, these pairs grow with the
+    square of their number. Each link is verified by the shingle sets.
+
+    Null texts are empty; documents without words are one group. A null id counts as the smallest. An empty table gives
+    no rows; other columns are ignored.
     """
-    names = [f"s{i}" for i in range(longs)]
-    rows = written(signatures(docs, doc_id, text, words, longs, similarity).withColumn("_row", F.monotonically_increasing_id()), "signatures")
-    firsts = [F.min("_row").alias("node"), F.min(F.struct("_doc", "_row")).alias("first"), F.min("size").alias("size"), F.min("prefix").alias("prefix")]
-    nodes = written(rows.groupBy(*names).agg(*firsts), "signature-nodes")
-    width = part_width(nodes.count())
-    values = written(nodes.select("node", "size", F.explode(F.concat(F.array(*part_keys(names, width)), "prefix")).alias("key")), "part-values")
-    heads = written(values.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")), "part-heads")
-    star = values.join(heads, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    masks = F.explode(F.array(*[F.lit(m) for m in (0, *(1 << i for i in range(width)))])).alias("mask")
-    near = heads.filter("key >= 0").select("key", "head", "n", masks)
-    near = near.select(F.col("key").bitwiseXOR(F.col("mask")).alias("variant"), "head", F.shiftleft("n", 32).bitwiseOR(F.col("mask")).alias("tag"))
-    every, w = Window.partitionBy("variant"), Window.partitionBy("variant").orderBy("head")
-    near = near.select("variant", "head", "tag", F.lag("head").over(w).alias("before"), F.first("head").over(w).alias("first"), F.count("*").over(every).alias("c"), F.max("tag").over(every).alias("top")).filter("c > 1")
-    key = F.col("variant").bitwiseXOR(F.col("tag").bitwiseAND(F.lit((1 << 32) - 1))).alias("key")
-    near = written(near.select("variant", key, "head", "before", "first", ((F.col("c") > 3) | (F.shiftright("top", 32) > 1)).alias("many")), "variants-met")
-    ball = near.filter("before IS NOT NULL").select(F.col("head").alias("a"), F.explode(F.array("before", "first")).alias("b"))
+    rows = written(shingle_rows(docs, doc_id, text, words, similarity).withColumn("_row", F.monotonically_increasing_id()), "shingle-prefixes")
+    firsts = [F.min("_row").alias("node"), F.min(F.struct("_doc", "_row")).alias("first"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix")]
+    nodes = written(rows.groupBy("d0", "d1").agg(*firsts), "shingle-nodes")
+    tokens = nodes.select(F.explode("prefix").alias("token"), "node")
+    counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "prefix-counts")
+    met = tokens.join(small_side(counts.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
+    keys = rows.select(F.col("_row").alias("node"), "_doc", "_t", "fp").join(met, "node")
+    keys = written(keys, "shingle-keys")
+    sets = shingle_sets(docs, doc_id, text, words, keys.drop("fp"))
+    tokens = written(rare_prefixes(sets, counts, similarity, hot), "rare-prefixes")
+    heads = written(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("head")).filter("n > 1"), "prefix-heads")
+    tokens = written(tokens.join(small_side(heads.select("token", "head"), BROADCAST_ROWS), "token"), "shared-prefixes")
+
+    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
+    star = tokens.filter(fits(F.col("size"), F.col("head.size"))).select(F.col("node").alias("a"), F.col("head.node").alias("b"))
+    fps = written(keys.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-nodes")
+    of = lambda c: fps.select(F.col("fp").alias(f"_{c}"), F.col("node").alias(c))
+    ball = ball_links(fps, radius).select(F.col("fp").alias("_a"), F.col("other").alias("_b")).join(of("a"), "_a").join(of("b"), "_b").select("a", "b")
+    equal = keys.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
     pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    tried = written(star.union(ball).filter("a <> b").select(*pair).distinct(), "similar-candidates")
-
-    share = bits_apart(similarity)
-    slack = 64 * longs * share + 3 * math.sqrt(64 * longs * share * (1 - share))
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"_{c}_size"), *[F.col(n).alias(f"_{c}_{n}") for n in names])
-    apart = sum((F.bit_count(F.col(f"_a_{n}").bitwiseXOR(F.col(f"_b_{n}"))) for n in names), F.lit(0))
-    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits("_a_size", "_b_size"))
-        left = written(both.filter((apart <= slack) | (F.least("_a_size", "_b_size") < EXACT)).select("a", "b"), "similar-pairs")
-        ends = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        keys = rows.select(F.col("_row").alias("node"), "_doc", "_t").join(ends, "node")
-        return written(similar_pairs(left, shingle_sets(docs, doc_id, text, words, keys), similarity), "similar-links")
-
-    links = verified(tried)
-    joined = nodes.select("node", "size").join(components(links), F.col("node") == F.col("id"), "left")
+    tried = written(star.union(ball).union(equal).filter("a <> b").select(*pair).distinct(), "similar-candidates")
+    links = written(similar_pairs(tried, sets, similarity), "similar-links")
+
+    joined = keys.select("node").join(components(links), F.col("node") == F.col("id"), "left")
     joined = written(joined.select("node", F.coalesce("component", "node").alias("component")), "joined-nodes")
-    met = near.filter("many").groupBy("variant").agg(F.collect_list("key").alias("keys"))  # width + 1 keys at most
-    met = met.select(F.explode("keys").alias("k1"), "keys").select("k1", F.explode("keys").alias("k2")).filter("k1 < k2").distinct()
-    met = met.union(heads.filter("n > 2").select(F.col("key").alias("k1"), F.col("key").alias("k2")))
-    valued = written(values.join(joined, "node"), "joined-values")
-    spans = written(valued.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "joined-parts")
-    span = lambda i: spans.select(F.col("key").alias(f"k{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}"))
-    met = written(met.join(span(1), "k1").join(span(2), "k2").filter("least(lo1, lo2) < greatest(hi1, hi2)").select("k1", "k2"), "open-parts")
-    one = lambda i, c: valued.select(F.col("key").alias(f"k{i}"), F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("component").alias(f"{c}_in"))
-    more = met.join(one(1, "a"), "k1").join(one(2, "b"), "k2").filter("a_in <> b_in").filter(fits("a_size", "b_size"))
-    more = written(more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "similar-candidates")
-    groups = components(links.union(verified(more)))
-    named = nodes.join(groups, F.col("node") == F.col("id"), "left").select(*names, "first", F.coalesce("component", "node").alias("component"))
+    valued = written(tokens.drop("head").join(joined, "node"), "joined-prefixes")
+    open_ = written(valued.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "open-tokens")
+    valued = written(valued.join(small_side(open_, BROADCAST_ROWS), "token"), "open-prefixes")
+    other = valued.select("token", F.col("node").alias("b"), F.col("size").alias("_size"), F.col("component").alias("_in"))
+    more = valued.withColumnRenamed("node", "a").join(other, "token").filter("a > b AND component <> _in").filter(fits(F.col("size"), F.col("_size")))
+    more = written(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "similar-candidates")
+    links = links.union(written(similar_pairs(more, sets, similarity), "similar-links"))
+    groups = components(links)
+    named = nodes.join(groups, F.col("node") == F.col("id"), "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("component"))
     named = written(named, "similar-groups")
     top = named.groupBy("component").agg(F.min("first").alias("first"))
-    named = written(named.drop("first").join(top, "component").select(*names, "first"), "similar-groups")
-    return rows.join(named, names).select("_doc", "_t", "_row", "first")
+    named = written(named.drop("first").join(top, "component").select("d0", "d1", "first"), "similar-groups")
+    return rows.join(named, ["d0", "d1"]).select("_doc", "_t", "_row", "first")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 6) -> DataFrame:
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row: the groups of similar_rows, each by the id of its first row."""
-    out = similar_rows(docs, doc_id, text, words, similarity, longs)
+    out = similar_rows(docs, doc_id, text, words, similarity)
     return out.select(key_back("_doc").alias("doc_id"), key_back("first._doc").alias("component_id"))

@@ -334,25 +334,11 @@ def test_similar_groups_against_all_pairs(spark, none):
         if j >= 0.8 and find(a) != find(b):
             root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert all(find(i) == find(c) for i, c in got.items())  # none that exact similarity keeps apart
-    close = [p for p, j in alike.items() if j >= 0.8]
-    assert len(close) > 40 and sum(got[a] == got[b] for a, b in close) >= 0.95 * len(close)
-    assert all(got[a] == got[b] for (a, b), j in alike.items() if j >= 0.93)
+    assert sum(j >= 0.8 for j in alike.values()) > 40
+    assert got == {i: find(i) for i in range(len(texts))}
     assert simhash.similar_groups(none).collect() == []
 
 
-def test_parts_of_a_long_fingerprint(spark):
-    rng = np.random.default_rng(5)
-    words = [int(v) for v in rng.integers(0, 1 << 63, 6)]
-    words[1] |= 1 << 63  # a negative number in the table
-    whole = sum(v << 64 * i for i, v in enumerate(words))
-    row = spark.createDataFrame([tuple(v - (1 << 64) if v >> 63 else v for v in words)], ", ".join(f"s{i} long" for i in range(6)))
-    for width in (12, 25, 26, 31, 32):
-        got = row.select(*[c.alias(f"p{i}") for i, c in enumerate(simhash.part_keys([f"s{i}" for i in range(6)], width))]).first()
-        assert list(got) == [(i << 32) | (whole >> i * width) % (1 << width) for i in range(384 // width)]
-    assert simhash.found_share(0.8, 250_000, 6) > 0.965 and simhash.found_share(0.8, 6_000_000, 6) > 0.8 and simhash.found_share(0.9, 6_000_000, 6) > 0.99
-
-
 def test_similar_groups_of_odd_rows(docs, texts):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect()), key=str)
     assert len(got) == len(texts) and (6, 5) in got and (4, 2) in got and (8, 2) in got and (None, None) in got and (9, 9) in got and (10, 9) in got
@@ -532,5 +518,4 @@ def test_similar_pairs_in_a_template_group(spark):
     for a, b in close:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    lost = [p for p in close if got[p[0]] != got[p[1]]]
-    assert not lost and all(find(i) == find(c) for i, c in got.items())
+    assert got == {i: find(i) for i in range(len(texts))}

@@ -3,6 +3,7 @@
 import importlib
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = importlib.import_module("corpus_pipeline")
 
@@ -22,6 +23,25 @@ def test_stages_keep_columns(spark, table, sf):
     assert pipeline.STAGES[-1][1](spark, table, sf).count() >= table.count()
 
 
+CLASHING = "score predicted held_out kept n_lines n_dropped _t _doc _text _row _key key row first fp h size node n_words".split()
+
+
+def test_stages_keep_clashing_columns(spark, docs, sf):
+    """Columns with the names that operators use inside come through with their values."""
+    wide = docs
+    for c in CLASHING:
+        wide = wide.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    narrow = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns, name
+        assert stage(spark, wide.limit(0), sf).collect() == [], name
+        got, plain = out.collect(), stage(spark, narrow, sf).collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(r.doc_id), str(r.text)) for r in plain), name
+        assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in got for c in CLASHING), name
+    assert pipeline.STAGES[-1][1](spark, wide, sf).count() == pipeline.STAGES[-1][1](spark, narrow, sf).count()
+
+
 def test_near_copies_leave_one(spark, table, sf, texts):
     kept = pipeline.drop_near_copies(spark, table, sf)
     ids = [r.doc_id for r in kept.collect()]
