@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A null id stands for one document before all others.
 NULL_ID = -(2**63)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
@@ -31,11 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors lose nothing."""
+    """df as a table in the shared folder: lineage ends there, and lost executors lose nothing.
+
+    Shuffle files of the write go once it has ended, as nothing reads them again; otherwise they would stay until the
+    driver happens to collect garbage, and the disk would hold those of all steps at once."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    schema, before = df.schema, spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
 

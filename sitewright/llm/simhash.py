@@ -16,6 +16,8 @@ from .components import components
 
 #: Rows up to which a table of one or two numbers a row is broadcast (16 to 24 bytes each in most); beyond it Spark shuffles.
 BROADCAST_ROWS = 500_000
+#: Parity bits of a shingle set.
+PARITY = 1024
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -128,50 +130,79 @@ def distinct_shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes((text or "").encode(), words).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, ids: DataFrame) -> DataFrame:
-    """(node, size, hashes): the distinct shingle hashes, in order, of the rows in ids (node, _doc, _t); one row a node."""
+def parity(h: np.ndarray) -> np.ndarray:
+    """PARITY bits as signed numbers, each telling whether an odd number of the hashes fall on it."""
+    on = np.bincount((h.view(np.uint64) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(on.astype(np.uint8)).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, ids: DataFrame, repeats: bool) -> DataFrame:
+    """(node, size, hashes, odd): the distinct shingle hashes, in order, of the rows in ids (node, _doc, _t), and their
+    parity bits; one row a node. repeats: whether docs may have several rows of one id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text", 4 << 20):
                 sets = [distinct_shingles(t, words) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "hashes"])
+                odd = [parity(h) for h in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["node", "size", "hashes", "odd"])
 
     rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(text).alias("_t"), F.col(text).cast("string").alias("_text"))
     rows = rows.join(small_side(ids, BROADCAST_ROWS), ["_doc", "_t"]).select("node", "_text")
-    return written(rows.mapInArrow(run, "node long, size long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
+    sets = rows.mapInArrow(run, "node long, size long, hashes array<long>, odd array<long>")
+    return written(sets.dropDuplicates(["node"]) if repeats else sets, "shingle-sets")
 
 
 def rare_prefixes(sets: DataFrame, counts: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """(token, node, size): each set's prefix in an order in which tokens of many sets come last, the most frequent at the end.
+    """(node, size, pos, token): each set's prefix, with places from 0, in an order in which tokens of many sets come last, the most frequent at the end.
 
     sets (node, size, hashes) are in the order of their hashes; counts (token, n) says how many sets have a token among
     the smallest of that order. Tokens over `hot` there, and those over `hot` in all of the sets that hold such a one
     there, come last; so a passage that many documents share brings them together only where they have little else.
     """
-    smallest = F.explode(F.slice("hashes", 1, prefix_size(F.col("size"), similarity))).alias("token")
+    first = lambda c: F.posexplode(F.slice(c, 1, prefix_size(F.col("size"), similarity))).alias("pos", "token")
     known = written(counts.filter(F.col("n") > hot).select("token", "n"), "hot-tokens")
-    plain = sets.select(smallest, "node", "size")
+    plain = sets.select("node", "size", first("hashes"))
     if known.isEmpty():
         return plain
-    holders = lambda tokens: sets.select(smallest, "node").join(small_side(tokens.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
+    holders = lambda tokens: plain.select("node", "token").join(small_side(tokens.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
     within = sets.join(small_side(holders(known), BROADCAST_ROWS), "node").select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
     known = written(known.union(within).groupBy("token").agg(F.max("n").alias("n")), "hot-tokens")
     moved = written(holders(known), "hot-sets")
     late = sets.join(small_side(moved, BROADCAST_ROWS), "node")
     late = late.select("node", F.explode("hashes").alias("token")).join(small_side(known, BROADCAST_ROWS), "token").groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("late"))
-    order = F.when(F.col("late").isNull(), F.col("hashes")).otherwise(F.concat(F.array_except("hashes", "late"), "late"))
-    return sets.join(late, "node", "left").select(F.explode(F.slice(order, 1, prefix_size(F.col("size"), similarity))).alias("token"), "node", "size")
+    order = F.concat(F.array_except("hashes", "late"), "late")
+    changed = sets.join(small_side(moved, BROADCAST_ROWS), "node", "left_semi").join(late, "node").select("node", "size", first(order))
+    return sets.join(small_side(moved, BROADCAST_ROWS), "node", "left_anti").select("node", "size", first("hashes")).union(changed)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets' common part is at least so large a share of their union."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"_{c}_size"), F.col("hashes").alias(f"_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_common", F.size(F.array_intersect("_a", "_b")))
-    return both.filter(F.col("_common") >= F.lit(similarity) * (F.col("_a_size") + F.col("_b_size") - F.col("_common")) - 1e-9).select("a", "b")
+    """The pairs (a, b) whose shingle sets' common part is at least so large a share of their union.
+
+    Two parity bits differ for a hash that one set alone has, so sets differ in at least as many hashes as their parities
+    in bits; pairs that differ in too many go before whole sets are moved."""
+    side = lambda c, *more: sets.select(F.col("node").alias(c), *[F.col(m).alias(f"_{c}_{m}") for m in more])
+    both = pairs.join(side("a", "size", "odd"), "a").join(side("b", "size", "odd"), "b")
+    bits = F.aggregate(F.zip_with("_a_odd", "_b_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = both.filter(bits <= (F.col("_a_size") + F.col("_b_size")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+    close = written(close.select("a", "b", (F.col("_a_size") + F.col("_b_size")).alias("_sum")), "close-pairs")
+    ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    sets = sets.join(small_side(ends, BROADCAST_ROWS), "node", "left_semi")
+    whole = close.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").withColumn("_common", F.size(F.array_intersect("_a_hashes", "_b_hashes")))
+    return whole.filter(F.col("_common") >= F.lit(similarity) * (F.col("_sum") - F.col("_common")) - 1e-9).select("a", "b")
+
+
+def may_reach(similarity: float) -> Column:
+    """Whether two sets that share a token, at places pos and _pos, can be so similar.
+
+    Similar sets differ in few tokens. Of those before the shared one, what no other set has before (miss) is one's own, and
+    their numbers differ by at least the places; behind it at least the rest of one is longer than that of the other."""
+    front = F.greatest(F.col("miss") + F.col("_miss"), F.abs(F.col("pos") - F.col("_pos")))
+    back = F.abs((F.col("size") - F.col("pos")) - (F.col("_size") - F.col("_pos")))
+    return front + back <= (F.col("size") + F.col("_size")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2, hot: int = 64) -> DataFrame:
+def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2, hot: int = 64, heads: int = 2) -> DataFrame:
     """(_doc, _t, _row, first) of every row: groups of rows linked by shingle sets of at least the similarity, all links.
 
     _doc and _t are the id (null: NULL_ID) and the hash of the text, so rows of one id are told apart; _row is a number of
@@ -180,10 +211,10 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     Balls of fingerprints, as in simhash_groups, bring together the closest sets. At a similarity of 0.8 some ten of 64
     bits differ, far over any radius that a ball can have, so a prefix-filtered set join finds the other links: sets that
     similar share one of the first tokens (a fifth of them and one) of an order common to all sets, rare tokens first.
-    Nodes without a common token there have no link. Of each token's nodes, all are first held against the smallest;
-    where those of a token are not all joined after that, all its pairs that are not joined yet are tried. No pair is
-    left out, so the links are exact; where many unlike texts share nearly all of their text, these pairs grow with the
-    square of their number. Each link is verified by the shingle sets.
+    Nodes without a common token there have no link. Of each token's nodes, all that are not joined yet are held against
+    one of them, in `heads` turns; where those of a token are not all joined after that, all its pairs that are not joined
+    yet are tried. No pair is left out but by a bound (may_reach), so the groups are exact; where many unlike texts share nearly all of their text,
+    these pairs grow with the square of their number. Each link is verified by the shingle sets.
 
     Null texts are empty; documents without words are one group. A null id counts as the smallest. An empty table gives
     no rows; other columns are ignored.
@@ -196,31 +227,37 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     met = tokens.join(small_side(counts.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
     keys = rows.select(F.col("_row").alias("node"), "_doc", "_t", "fp").join(met, "node")
     keys = written(keys, "shingle-keys")
-    sets = shingle_sets(docs, doc_id, text, words, keys.drop("fp"))
+    repeats = not rows.groupBy("_doc", "_t").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    sets = shingle_sets(docs, doc_id, text, words, keys.drop("fp"), repeats)
     tokens = written(rare_prefixes(sets, counts, similarity, hot), "rare-prefixes")
-    heads = written(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("head")).filter("n > 1"), "prefix-heads")
-    tokens = written(tokens.join(small_side(heads.select("token", "head"), BROADCAST_ROWS), "token"), "shared-prefixes")
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "shared-tokens")
+    before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1  # of a node's prefix: bounded by its text
+    met = tokens.join(small_side(shared, BROADCAST_ROWS), "token").withColumn("miss", F.col("pos") - before).withColumn("component", F.col("node"))
 
-    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
-    star = tokens.filter(fits(F.col("size"), F.col("head.size"))).select(F.col("node").alias("a"), F.col("head.node").alias("b"))
     fps = written(keys.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-nodes")
     of = lambda c: fps.select(F.col("fp").alias(f"_{c}"), F.col("node").alias(c))
     ball = ball_links(fps, radius).select(F.col("fp").alias("_a"), F.col("other").alias("_b")).join(of("a"), "_a").join(of("b"), "_b").select("a", "b")
-    equal = keys.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
+    near = ball.union(keys.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b"))
     pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    tried = written(star.union(ball).union(equal).filter("a <> b").select(*pair).distinct(), "similar-candidates")
-    links = written(similar_pairs(tried, sets, similarity), "similar-links")
-
-    joined = keys.select("node").join(components(links), F.col("node") == F.col("id"), "left")
-    joined = written(joined.select("node", F.coalesce("component", "node").alias("component")), "joined-nodes")
-    valued = written(tokens.drop("head").join(joined, "node"), "joined-prefixes")
-    open_ = written(valued.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "open-tokens")
-    valued = written(valued.join(small_side(open_, BROADCAST_ROWS), "token"), "open-prefixes")
-    other = valued.select("token", F.col("node").alias("b"), F.col("size").alias("_size"), F.col("component").alias("_in"))
-    more = valued.withColumnRenamed("node", "a").join(other, "token").filter("a > b AND component <> _in").filter(fits(F.col("size"), F.col("_size")))
-    more = written(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "similar-candidates")
-    links = links.union(written(similar_pairs(more, sets, similarity), "similar-links"))
-    groups = components(links)
+    tried = links = None
+    for turn in range(heads + 1):
+        met = written(met, "open-prefixes")
+        other = met.select("token", F.col("node").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("size", "pos", "miss", "component")])
+        if turn < heads:
+            best = F.struct(F.lit(0) if turn else F.col("_miss"), F.xxhash64("b", F.lit(turn)))
+            one = F.min_by(F.struct(*other.columns[1:]), best).alias("o")
+            other = small_side(written(other.groupBy("token").agg(one).select("token", "o.*"), "prefix-heads"), BROADCAST_ROWS // 4)
+        pairs = met.join(other, "token").filter("node <> b AND component <> _component").filter(may_reach(similarity)).select(F.col("node").alias("a"), "b")
+        pairs = (pairs if turn else pairs.union(near.filter("a <> b"))).select(*pair).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-candidates")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = written(similar_pairs(pairs, sets, similarity), "similar-links")
+        links = found if links is None else links.union(found)
+        groups = components(links)
+        now = met.drop("component").join(groups, F.col("node") == F.col("id"), "left").select("token", "node", "size", "pos", "miss", F.coalesce("component", "node").alias("component"))
+        now = written(now, "joined-prefixes")
+        open_ = written(now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "open-tokens")
+        met = now.join(small_side(open_, BROADCAST_ROWS), "token")
     named = nodes.join(groups, F.col("node") == F.col("id"), "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("component"))
     named = written(named, "similar-groups")
     top = named.groupBy("component").agg(F.min("first").alias("first"))
