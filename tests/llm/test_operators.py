@@ -129,12 +129,71 @@ def test_quality(spark, docs, none, texts):
     assert quality.fit(d, labels.limit(0)) is None and quality.score_quality(docs, None).filter("score = 0.5").count() == len(texts)
 
 
-def test_quality_training_pieces_reach_over_long_texts(spark):
-    body = bytes(np.random.default_rng(1).integers(0, 256, 100_003, np.uint8))
-    d = spark.createDataFrame([(body,), (body[:32768],), (b"",)], "b binary")
-    got = [bytes(r[0]) for r in d.select(quality.spread("b", 32768)).collect()]
-    starts = [(len(body) - 1024) * i // 31 for i in range(32)]
-    assert got == [b"".join(body[a : a + 1024] for a in starts), body[:32768], b""] and starts[-1] + 1024 == len(body)
+def small_network(seed, kind="f8"):
+    rng = np.random.default_rng(seed)
+    return quality.Network(rng.normal(0, 0.5, (256, 8)).astype(kind), rng.normal(0, 0.3, (64, 24)).astype(kind), rng.normal(0, 0.1, 24).astype(kind), rng.normal(0, 0.3, 48).astype(kind), np.array([0.1], kind))
+
+
+def plain_score(net, text):
+    """The score by loops: filter values at every second byte, chunks of four segments from every third, mean and maximum."""
+    segments = max(1, -(-len(text) // 64))
+    data = text + bytes(segments * 64 - len(text) + 64)
+    tops = []
+    for lead in range(0, max(1, segments - 1), 3):
+        best = [-np.inf] * 24
+        for seg in range(lead, min(lead + 4, segments)):
+            for at in range(seg * 64, seg * 64 + 64, 2):
+                x = np.concatenate([net.embed[c] for c in data[at : at + 8]])
+                best = [max(v, float(x @ net.filters[:, k])) for k, v in enumerate(best)]
+        tops.append([max(0.0, v + net.bias[k]) for k, v in enumerate(best)])
+    features = [sum(t[k] for t in tops) / len(tops) for k in range(24)] + [max(t[k] for t in tops) for k in range(24)]
+    return 1 / (1 + np.exp(-(sum(w * x for w, x in zip(net.weight, features)) + net.offset[0])))
+
+
+def test_quality_scores_against_loops():
+    net = small_network(4)
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (0, 1, 63, 64, 65, 128, 200, 256, 257, 700, 1500)] + ["naïve 你好 ".encode() * 40]
+    got = quality.score_texts(net, texts)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1.1e-5)
+
+
+def test_quality_gradients_against_differences():
+    """Each parameter's gradient against the change of the loss, over texts of one and of many chunks."""
+    net = small_network(8)
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (5, 64, 300, 1000, 4000)]
+    labels = np.array([1.0, 0, 1, 0, 1])
+    _, grads = quality.gradients(net, texts, labels)
+    for p, g in zip(net.arrays(), grads):
+        assert p.shape == g.shape
+        order = np.argsort(-np.abs(g).reshape(-1))
+        for k in [*order[:6].tolist(), *rng.integers(0, p.size, 6).tolist()]:
+            at, keep = np.unravel_index(k, p.shape), p.reshape(-1)[k]
+            p[at] = keep + 1e-6
+            up = quality.gradients(net, texts, labels)[0]
+            p[at] = keep - 1e-6
+            down = quality.gradients(net, texts, labels)[0]
+            p[at] = keep
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-5 + 1e-3 * abs(g[at])
+
+
+def test_quality_trains_on_whole_texts_within_bytes(spark, monkeypatch):
+    """Whole texts in order of their ids' hashes as long as they fit; one that doesn't is left out, none is cut."""
+    texts = {i: chr(97 + i % 26) * (50 + 40 * i) for i in range(40)}
+    d = spark.createDataFrame([*texts.items(), (3, texts[3])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = []
+    monkeypatch.setattr(quality, "train", lambda t, y: got.append((t, y.tolist())))
+    quality.fit(d, labels, most_bytes=9000)
+    order = [r[0] for r in labels.filter(~quality.held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want, room = [], 9000
+    for i in order:
+        if len(texts[i]) <= room:
+            want.append(i)
+            room -= len(texts[i])
+    want.sort()
+    assert got == [([texts[i].encode() for i in want], [float(i % 2) for i in want])] and 3 < len(want) < len(order)
 
 
 def test_quality_chunks_cover_whole_text():
@@ -144,11 +203,11 @@ def test_quality_chunks_cover_whole_text():
     for n in (0, 1, 63, 64, 65, 255, 256, 257, 1000, 5000):
         text = b"a" * n
         assert quality.score_texts(net, [text])[0] == quality.score_texts(net, [b"zz", text, b"", text + b"b"])[1]
-    best = quality.convolve(net, np.frombuffer(b"a" * 640, np.uint8))
+    best, _ = quality.convolve(net, np.frombuffer(b"a" * 640, np.uint8))
     for at in range(0, 632, 7):
         other = bytearray(b"a" * 640)
         other[at] = 200
-        assert (quality.convolve(net, np.frombuffer(bytes(other), np.uint8)) != best).any()
+        assert (quality.convolve(net, np.frombuffer(bytes(other), np.uint8))[0] != best).any()
 
 
 def test_network_gradients_learn_position_free_mark():
