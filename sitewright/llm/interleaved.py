@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 #: Samples in a row of a stored image, and copies over which references to one digest are dealt.
 WIDTH, SALTS = 192, 64
 PNG = b"\x89PNG\r\n\x1a\n"
-ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string,source:string>>"
+NAMED = "ni:///sha-256;"
 
 
 def encode_png(payload: bytes, width: int = WIDTH) -> bytes:
@@ -60,19 +63,26 @@ def feature_of(payload: bytes) -> str:
 
 
 class _Reader(HTMLParser):
-    """Text blocks and media references of a page in order; a figure's caption belongs to its media."""
+    """Text blocks and media references of a page in order; a figure's caption belongs to the media of that figure.
 
-    BLOCKS = frozenset("p div article section figure figcaption h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote br hr body".split())
+    Figures nest: each has its own media and caption, given to its media when it closes, so the caption may stand before or
+    after them. A caption that isn't closed ends with its figure, and a figure that isn't closed with the page. The caption of
+    a figure without media is text. Outside of figures a figcaption is a block like others."""
+
+    BLOCKS = frozenset("p div article section nav header footer title figure figcaption h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote br hr body".split())
     HIDDEN = frozenset(("script", "style", "template"))
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
+        self.figures: list[dict] = []
         self.hidden = 0
 
+    def into(self) -> list[str] | None:
+        """Where words of an open caption go; None where the innermost figure has none open."""
+        return self.figures[-1]["said"] if self.figures and self.figures[-1]["open"] else None
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
@@ -80,64 +90,105 @@ class _Reader(HTMLParser):
             self.add("text", text=text)
 
     def add(self, kind: str, **more: str | None) -> None:
-        self.items.append({"position": len(self.items), "kind": kind, "text": None, "digest": None, "caption": None} | more)
+        self.items.append({"position": len(self.items), "kind": kind, "text": None, "digest": None, "caption": None, "source": None} | more)
+
+    def close_figure(self) -> None:
+        figure = self.figures.pop()
+        said = " ".join("".join(figure["said"]).split())
+        for i in figure["media"]:
+            self.items[i]["caption"] = said or self.items[i]["caption"]
+        if said and not figure["media"]:
+            self.add("text", text=said)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.HIDDEN:
             self.hidden += 1
         elif tag in ("img", "audio", "video", "source"):
             at = dict(attrs)
-            digest = (at.get("src") or "").removeprefix("media:")
-            if digest:
+            if source := at.get("src"):
+                self.flush()
+                if self.figures:
+                    self.figures[-1]["media"].append(len(self.items))
+                self.add("media", source=source, digest=digest_of(source), caption=at.get("alt") or None)
+        elif tag in self.BLOCKS:
+            if (said := self.into()) is not None:
+                said.append(" ")
+            else:
                 self.flush()
-                if self.figure is not None:
-                    self.figure.append(len(self.items))
-                self.add("media", digest=digest, caption=at.get("alt") or None)
-        elif tag in self.BLOCKS and self.caption is None:
-            self.flush()
             if tag == "figure":
-                self.figure = []
-            elif tag == "figcaption" and self.figure is not None:
-                self.caption = []
+                self.figures.append({"media": [], "said": [], "open": False})
+            elif tag == "figcaption" and self.figures:
+                self.figures[-1]["open"] = True
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for i in self.figure or ():
-                self.items[i]["caption"] = said or self.items[i]["caption"]
-        elif tag in self.BLOCKS and self.caption is None:
-            self.flush()
-            if tag == "figure":
-                self.figure = None
+        elif tag in self.BLOCKS:
+            if (said := self.into()) is not None:
+                said.append(" ")
+            else:
+                self.flush()
+            if tag == "figcaption" and self.figures:
+                self.figures[-1]["open"] = False
+            elif tag == "figure" and self.figures:
+                self.close_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            (self.text if self.caption is None else self.caption).append(data)
+            said = self.into()
+            (self.text if said is None else said).append(data)
+
+    def finish(self) -> list[dict]:
+        if re.match("</?[a-zA-Z]", self.rawdata):  # a tag that the page ends in
+            self.rawdata = ""
+        self.close()
+        self.flush()
+        while self.figures:
+            self.close_figure()
+        return self.items
+
+
+def digest_of(source: str) -> str | None:
+    """The hex digest that a source names in the form ni:///sha-256;<base64url> (RFC 6920), or null."""
+    if not source.startswith(NAMED):
+        return None
+    try:
+        return base64.urlsafe_b64decode(source[len(NAMED) :] + "=").hex()
+    except ValueError:
+        return None
+
+
+def named(digest: Column) -> Column:
+    """The source of a hex SHA-256 digest, as digest_of reads it."""
+    return F.concat(F.lit(NAMED), F.rtrim(F.translate(F.base64(F.unhex(digest)), "+/=", "-_ ")))
 
 
 def parse_items(html: str) -> list[dict]:
     reader = _Reader()
     reader.feed(html)
-    reader.close()
-    reader.flush()
-    return reader.items
+    return reader.finish()
 
 
-def interleave(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, items): each page's text blocks and media references in order, with positions from 0 and captions.
+def interleave(pages: DataFrame, key: str, html: str, texts: bool = True) -> DataFrame:
+    """(key, items, n_chars, text_sha256): each page's text blocks and media references in order, with positions from 0 and
+    captions; how many characters the text blocks have, and the hash of them joined by line feeds.
 
-    Null and empty pages have no items; null and repeated keys stay as they are; broken mark-up gives what a browser's
-    tokenizer finds in it; other columns are ignored."""
+    Without `texts` the items lack their text, for joins that needn't move it. Null and empty pages have no items; null and
+    repeated keys stay as they are; broken mark-up gives what a browser's tokenizer finds in it; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_items(h or "") for h in batch.column(1).to_pylist()], kind)], names=[key, "items"])
+        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("source", pa.string())]))
+        for whole in batches:
+            for batch in slices(whole, "_html", 4 << 20):
+                pages = [parse_items(h or "") for h in batch.column(1).to_pylist()]
+                said = ["\n".join(i["text"] for i in items if i["kind"] == "text") for items in pages]
+                chars = [sum(len(i["text"]) for i in items if i["kind"] == "text") for items in pages]
+                if not texts:
+                    pages = [[i | {"text": None} for i in items] for items in pages]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, kind), pa.array(chars, pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said])], names=[key, "items", "n_chars", "text_sha256"])
 
     rows = pages.select(F.col(key), F.col(html).cast("string").alias("_html"))
-    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, items {ITEMS}")
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, items {ITEMS}, n_chars long, text_sha256 string")
 
 
 def media_store(payloads: DataFrame, digest: str, payload: str, near: str | None = None) -> DataFrame:
@@ -156,10 +207,11 @@ def media_store(payloads: DataFrame, digest: str, payload: str, near: str | None
     return rows.mapInArrow(run, "digest string, salt int, media binary").groupBy("digest", "salt").agg(F.first("media").alias("media"))
 
 
-def media_references(sequences: DataFrame, key: str) -> DataFrame:
-    """(key, n_items, position, digest, caption, salt): the media references of interleaved pages."""
-    rows = sequences.select(key, F.size("items").alias("n_items"), F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("_m"))
-    return rows.select(key, "n_items", "_m.position", "_m.digest", "_m.caption", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"))
+def media_references(sequences: DataFrame, key: str, near: str | None = None) -> DataFrame:
+    """(key, position, digest, salt): the media references of interleaved pages that name a digest; near: as in media_store."""
+    salt = F.pmod(F.xxhash64(near), F.lit(SALTS)).cast("int") if near else F.lit(0)
+    rows = sequences.select(key, salt.alias("salt"), F.explode(F.filter("items", lambda x: x["digest"].isNotNull())).alias("_m"))
+    return rows.select(key, "_m.position", "_m.digest", "salt")
 
 
 def resolve(references: DataFrame, store: DataFrame) -> DataFrame:
@@ -168,9 +220,17 @@ def resolve(references: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def assemble(resolved: DataFrame, sequences: DataFrame, key: str) -> DataFrame:
-    """(key, items): interleaved sequences with the media in place, positions and captions as they were."""
-    media = resolved.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias("_media"))
-    return sequences.join(media, key, "left").select(key, F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in ("position", "kind", "text", "digest", "caption")], F.try_element_at("_media", x["position"]).alias("media"))).alias("items"))
+    """(key, items, ...): interleaved sequences with what was resolved in place, positions and captions as they were.
+
+    resolved has key, position and further columns, which become the struct `media` of the item at that position; null
+    where nothing was resolved. Each key must be of one sequence (number rows before if ids repeat); of two resolved rows
+    for one place, one counts."""
+    columns = [c for c in resolved.columns if c not in (key, "position", "digest")]
+    one = resolved.groupBy(key, "position").agg(F.first(F.struct(*columns)).alias("_m"))
+    media = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("position", "_m"))).alias("_media"))
+    fields = ("position", "kind", "text", "digest", "caption", "source")
+    items = F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in fields], F.try_element_at("_media", x["position"]).alias("media")))
+    return sequences.join(media, key, "left").select(key, items.alias("items"), *[c for c in sequences.columns if c not in (key, "items")])
 
 
 def padded(text: Column, unit: int = WIDTH) -> Column:
@@ -180,23 +240,34 @@ def padded(text: Column, unit: int = WIDTH) -> Column:
     return F.encode(F.concat(body, F.repeat(F.lit(" "), F.greatest(F.lit(1), F.ceil(n / unit)).cast("int") * unit - n)), "UTF-8")
 
 
+def document_page(body: Column, digest: Column) -> Column:
+    """A text as a page: a paragraph a line, and after the first one a figure with the media of the digest, which the first
+    line captions."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = F.substring_index(body, "\n", 1)
+    rest = F.replace(safe(F.substring(body, F.char_length(first) + 2, F.char_length(body))), F.lit("\n"), F.lit("</p><p>"))
+    figure = F.concat(F.lit('<figure><figcaption>'), safe(first), F.lit('</figcaption><img src="'), named(digest), F.lit('"></figure>'))
+    return F.concat(F.lit("<article><p>"), safe(first), F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
+
+
 def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents as pages with a figure each, whose media is the whole text; read back through the digest join.
+    """Documents as pages of all their lines with a figure each, whose media is the whole text: parsed to sequences, resolved
+    by digest, read back, and put in place again.
 
     Returns (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position,
-    n_items, caption). A null text is empty, and an empty one is 192 spaces; null and repeated ids keep a row for each
+    n_items, caption, n_chars, text_sha256): of the media item in the assembled sequence, its caption and place, and of the
+    sequence's text blocks. A null text is empty, and an empty one is 192 spaces; null and repeated ids keep a row for each
     row, and rows of equal text share one stored media; an empty table gives no rows.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    row = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"))
-    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    digest = F.sha2(padded(F.col(text)), 256)
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    lead, tail = F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 40), F.substring(F.coalesce(F.get(F.reverse(lines), F.lit(0)), F.lit("")), 1, 40)
-    html = F.concat(F.lit("<article><p>"), safe(lead), F.lit('</p><figure><img src="media:'), digest, F.lit('"><figcaption>'), safe(lead), F.lit("</figcaption></figure><p>"), safe(tail), F.lit("</p></article>"))
-    pages = docs.select(row.alias("row"), html.alias("html"))
-    store = media_store(docs.select(F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes")).alias("row"), digest.alias("digest"), padded(F.col(text)).alias("payload")), "digest", "payload", "row")
-    found = resolve(media_references(interleave(pages, "row", "html"), "row"), store)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    about = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"))
+    digest = F.sha2(padded(body), 256)
+    pages = docs.select(about.alias("about"), document_page(body, digest).alias("html"))
+    sequences = interleave(pages, "about", "html", texts=False).select(F.struct("about.*", F.monotonically_increasing_id().alias("row")).alias("row"), "items", "n_chars", "text_sha256")
+    sequences = written(sequences, "media-sequences")
+    store = media_store(docs.select(about.alias("about"), digest.alias("digest"), padded(body).alias("payload")), "digest", "payload", "about")
+    near = sequences.withColumn("about", F.struct("row.doc_id", "row.n_bytes"))
+    found = resolve(media_references(near, "row", "about"), store)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -209,7 +280,9 @@ def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     for c, v in zip(out, (len(payload), own, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload))):
                         c.append(v)
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), *(pa.array(c, t) for c, t in zip(out, kinds))], names=[*batch.schema.names[2:], "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["row", "position", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    rows = found.select("digest", "media", "row.doc_id", "row.n_bytes", "position", "n_items", "caption")
-    return rows.mapInArrow(read, "doc_id long, n_bytes long, position int, n_items int, caption string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    facts = found.select("digest", "media", "row", "position").mapInArrow(read, "row struct<doc_id:long,n_bytes:long,row:long>, position int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    whole = assemble(facts, sequences, "row")
+    shown = F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0)).alias("m")
+    return whole.select("row.doc_id", "row.n_bytes", shown, F.size("items").alias("n_items"), "n_chars", "text_sha256").select("doc_id", "n_bytes", "m.media.*", "m.position", "n_items", "m.caption", "n_chars", "text_sha256")

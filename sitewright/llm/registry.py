@@ -19,6 +19,12 @@ def op1_media_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved.document_media(table(spark, sf_dir, "documents"))
 
 
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied pages as sequences: how many items and media each has, the characters of its text blocks and their hash."""
+    media = F.size(F.filter("items", lambda x: x["kind"] == "media"))
+    return interleaved.interleave(table(spark, sf_dir, "pages"), "page_id", "html", texts=False).select("page_id", F.size("items").alias("n_items"), media.alias("n_media"), "n_chars", "text_sha256")
+
+
 def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find_personal_data(docs, pii.fit(docs))
@@ -108,7 +114,7 @@ FROM e JOIN m USING (doc_id, depth) JOIN t USING (depth, p)""",
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pages_interleaved": pages_interleaved}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitewright.llm import decontamination, interleaved, line_dedup, packing, pii, quality, sharding, simhash, suffix_dedup, warc
+from sitewright.llm import decontamination, interleaved, line_dedup, packing, pii, quality, registry, sharding, simhash, suffix_dedup, warc
 from sitewright.llm.components import components
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -52,17 +53,74 @@ def test_media_round_trip():
         interleaved.decode_png(bytes(bad))
 
 
+def ni(digest):
+    return "ni:///sha-256;" + base64.urlsafe_b64encode(bytes.fromhex(digest)).decode().rstrip("=")
+
+
+AA, BB, ZZ = "aa" * 32, "bb" * 32, "ff" * 32
+
+
+def read(html):
+    return [(i["position"], i["kind"], i["text"] or i["digest"] or i["source"], i["caption"]) for i in interleaved.parse_items(html)]
+
+
 def test_interleaved_sequences(spark):
-    html = '<h1>Title</h1><p>one <b>two</b></p><figure><img src="media:aa" alt="x"><img src="media:bb"><figcaption>both <i>shown</i></figcaption></figure><script>no</script>tail<img src="media:zz" alt="alone">'
-    pages = spark.createDataFrame([(1, html), (2, None), (None, ""), (3, "<p>open <img src='media:aa'")], "id long, html string")
+    html = f'<h1>Title</h1><p>one <b>two</b></p><figure><img src="{ni(AA)}" alt="x"><img src="{ni(BB)}"><figcaption>both <i>shown</i></figcaption></figure><script>no</script>tail<img src="{ni(ZZ)}" alt="alone">'
+    pages = spark.createDataFrame([(1, html), (2, None), (None, ""), (3, "<p>open <img src='/a.png'"), (4, html)], "id long, html string")
     seq = interleaved.interleave(pages, "id", "html")
     items = {r.id: [(i.position, i.kind, i.text or i.digest, i.caption) for i in r["items"]] for r in seq.collect()}
-    assert items[1] == [(0, "text", "Title", None), (1, "text", "one two", None), (2, "media", "aa", "both shown"), (3, "media", "bb", "both shown"), (4, "text", "tail", None), (5, "media", "zz", "alone")]
-    assert items[2] == [] and items[None] == []
-    store = spark.createDataFrame([("aa", 0, bytearray(b"A")), ("bb", 0, bytearray(b"B"))], "digest string, salt int, media binary")
-    refs = interleaved.media_references(seq, "id").withColumn("salt", F.lit(0))
-    whole = interleaved.assemble(interleaved.resolve(refs, store), seq, "id").filter("id = 1").first()["items"]
-    assert [(i.position, i.kind, bytes(i.media) if i.media else None, i.caption) for i in whole][2:] == [(2, "media", b"A", "both shown"), (3, "media", b"B", "both shown"), (4, "text", None, None), (5, "media", None, "alone")]
+    assert items[1] == [(0, "text", "Title", None), (1, "text", "one two", None), (2, "media", AA, "both shown"), (3, "media", BB, "both shown"), (4, "text", "tail", None), (5, "media", ZZ, "alone")]
+    assert items[2] == [] and items[None] == [] and items[3] == [(0, "text", "open", None)]
+    slim = {r.id: r for r in interleaved.interleave(pages, "id", "html", texts=False).collect()}
+    assert slim[1].n_chars == 16 and slim[1].text_sha256 == hashlib.sha256(b"Title\none two\ntail").hexdigest() and all(i.text is None for i in slim[1]["items"])
+    store = spark.createDataFrame([(AA, 0, bytearray(b"A")), (BB, 0, bytearray(b"B"))], "digest string, salt int, media binary")
+    refs = interleaved.media_references(seq, "id")
+    whole = {r.id: r["items"] for r in interleaved.assemble(interleaved.resolve(refs, store), seq, "id").collect()}
+    for k in (1, 4):
+        assert [(i.position, i.kind, bytes(i.media.media) if i.media and i.media.media else None, i.caption) for i in whole[k]][2:] == [(2, "media", b"A", "both shown"), (3, "media", b"B", "both shown"), (4, "text", None, None), (5, "media", None, "alone")]
+    assert whole[2] == [] and len(whole) == 5
+    twice = interleaved.resolve(refs, store)
+    assert len(interleaved.assemble(twice.union(twice), seq, "id").filter("id = 1").first()["items"]) == 6
+    none = pages.limit(0)
+    assert interleaved.assemble(interleaved.resolve(interleaved.media_references(interleaved.interleave(none, "id", "html"), "id"), store), interleaved.interleave(none, "id", "html"), "id").collect() == []
+
+
+def test_figures_of_all_forms():
+    img = lambda d: f'<img src="{ni(d)}">'
+    assert read(f"<figure><figcaption>before</figcaption>{img(AA)}</figure>after") == [(0, "media", AA, "before"), (1, "text", "after", None)]
+    assert read(f"<figure>{img(AA)}<figcaption>cap</figure><p>text</p><p>more</p>") == [(0, "media", AA, "cap"), (1, "text", "text", None), (2, "text", "more", None)]
+    nested = f"<figure><figcaption>outer</figcaption>{img(AA)}<figure>{img(BB)}<figcaption>inner</figcaption></figure>{img(ZZ)}</figure>end"
+    assert read(nested) == [(0, "media", AA, "outer"), (1, "media", BB, "inner"), (2, "media", ZZ, "outer"), (3, "text", "end", None)]
+    inside = f"<figure>{img(AA)}<figcaption>one <figure>{img(BB)}<figcaption>two</figcaption></figure> three</figcaption></figure>"
+    assert read(inside) == [(0, "media", AA, "one three"), (1, "media", BB, "two")]
+    assert read(f"<p>a</p></figure></figcaption>b<figcaption>c</figcaption>{img(AA)}") == [(0, "text", "a", None), (1, "text", "b", None), (2, "text", "c", None), (3, "media", AA, None)]
+    assert read(f"<figure>{img(AA)}<figcaption>open <p>to the end") == [(0, "media", AA, "open to the end")]
+    assert read("<figure><figcaption>only words</figcaption></figure>") == [(0, "text", "only words", None)]
+    assert read('<img src="ni:///sha-256;%%"><img src="/b.png" alt="b"><img>') == [(0, "media", "ni:///sha-256;%%", None), (1, "media", "/b.png", "b")]
+
+
+def test_media_pages_hold_whole_texts(docs, texts):
+    """Every line is a text block of the page, uncut; the media stands behind the first and has it as caption."""
+    got = sorted(((r.doc_id, r.n_items, r.position, r.caption, r.n_chars, r.text_sha256) for r in interleaved.document_media(docs).collect()), key=str)
+    want = []
+    for i, t in texts:
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        kept = [x for x in lines if x]
+        want.append((i, len(kept) + 1, 1 if lines[0] else 0, lines[0] or None, sum(map(len, kept)), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_pages_query(spark, sf):
+    """Each page's text blocks against a plain reading: tags that end a block cut, others go, hidden parts go."""
+    got = {r.page_id: (r.n_items, r.n_media, r.n_chars, r.text_sha256) for r in registry.pages_interleaved(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    block = r"</?(?:p|div|article|section|nav|header|footer|title|h[1-6]|li|ul|ol|table|tr|td|th|blockquote|br|hr|body)(?=[\s>/])[^>]*>"
+    for r in rows:
+        h = re.sub(r"(?s)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", "", r.html or "")
+        parts = [unescape(re.sub(r"<[!/a-zA-Z][^>]*>", "", x)) for x in re.split(block, h)]
+        kept = [y for y in (" ".join(x.split()) for x in parts) if y]
+        assert got[r.page_id] == (len(kept), 0, sum(map(len, kept)), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    assert len(got) == len(rows) > 0
 
 
 def brute_spans(text):
