@@ -22,8 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network, trained on the labels outside the held-out fold, scores 0.3 or more."""
     net = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    return quality.score_quality(rows, net, also=("row",)).filter("predicted = 1").select("row.*")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0), *rest).alias("row"))
+    out = quality.score_quality(rows, net, also=("text", "row")).filter("predicted = 1")
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

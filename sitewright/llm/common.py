@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A null id stands for one document before all others.
 NULL_ID = -(2**63)
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _local: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
@@ -35,15 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost executors lose nothing.
 
     Shuffle files of the write go once it has ended, as nothing reads them again; otherwise they would stay until the
-    driver happens to collect garbage, and the disk would hold those of all steps at once."""
+    driver happens to collect garbage, and the disk would hold those of all steps at once. Python gets a few MB of rows at
+    a time, as texts may be long."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    schema, before = df.schema, spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    schema, before = df.schema, {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -191,9 +191,11 @@ def score_quality(docs: DataFrame, net: Network | None, doc_id: str = "doc_id",
             for batch in slices(whole, "_text", 2 << 20):
                 texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
                 score = score_texts(net, texts) if net else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1 - keep :], pa.array(score)], names=[*batch.schema.names[1 - keep :], "score"])
 
-    rows = docs.select(F.col(text).cast("string").alias("_text"), doc_key(doc_id).alias("_doc"), held_out(doc_id).alias("held_out"), *[F.col(c) for c in also])
-    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[1:])
+    keep = int(text in also)  # the text goes through once, whether it is asked for or not
+    more = [c for c in also if c != text]
+    rows = docs.select(F.col(text).cast("string").alias("_text"), doc_key(doc_id).alias("_doc"), held_out(doc_id).alias("held_out"), *[F.col(c) for c in more])
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[1 - keep :])
     out = rows.mapInArrow(run, f"{kinds}, score double")
-    return out.select(key_back("_doc").alias("doc_id"), "held_out", "score", (F.col("score") >= bar).cast("int").alias("predicted"), *also)
+    return out.select(key_back("_doc").alias("doc_id"), "held_out", "score", (F.col("score") >= bar).cast("int").alias("predicted"), *[F.col("_text").alias(text) if c == text else F.col(c) for c in also])
