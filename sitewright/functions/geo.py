@@ -68,6 +68,15 @@ def parse_lat_lon(text: Column) -> Column:
     return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
+def coordinate_status(lon: Column, lat: Column, envelope: Column, attr_lon: Column, attr_lat: Column, tolerance: float) -> Column:
+    """reported, unknown or conflict: a place that is null, not finite or outside the envelope of its province, a struct (west,
+    south, east, north), is unknown; one apart from its attribute coordinates by over the tolerance is a conflict. Attribute
+    coordinates that are null don't count."""
+    inside = lon.between(envelope["west"], envelope["east"]) & lat.between(envelope["south"], envelope["north"]) & ~F.isnan(lon) & ~F.isnan(lat)
+    apart = F.coalesce(F.abs(attr_lon - lon) > tolerance, F.lit(False)) | F.coalesce(F.abs(attr_lat - lat) > tolerance, F.lit(False))
+    return F.when(~F.coalesce(inside, F.lit(False)), "unknown").when(apart, "conflict").otherwise("reported")
+
+
 def densified(ax: Column, ay: Column, bx: Column, by: Column, step: float, middle: bool) -> Column:
     """Points along a segment at most step apart: at s/steps from 0 to steps, or the middles of its steps, each with the length it stands for."""
     length = distance(ax, ay, bx, by)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,8 +22,6 @@ NAMES = {
     "agri": r"(maize|corn|grain|flour|food|agro|agri|farm|potato|milk|dairy|coffee|\btea\b|ibigori|ibirayi|amata|cassava|rice|beans|feed|fruit|vegetable|harvest|seed|fertili[sz]er|cooperative|koperative)",
 }
 LOOKALIKE = r"(super ?market|minimarket|mini.?market|marketing|restaurant|h[oô]tel|lodge|bank|sawmill|saw mill|pharmacy|school|[eé]cole|church|eglise|église|mosque|parish|paroisse|chapel|temple|hospital|clinic|bar\b|caf[eé]\b|club|campus|universit|college|institute|tourism|toilet|ubwiherero|latrine|parking|coffee ?shop)"
-NOT_AMENITY = ("cafe", "restaurant", "bar", "fast_food", "bank", "school", "place_of_worship", "hospital", "clinic", "fuel", "toilets", "parking", "bus_station", "police", "townhall", "post_office")
-NOT_SHOP = ("supermarket", "coffee", "convenience", "butcher", "bakery")
 TEA = r"\btea\b.{0,20}\b(factory|company|estate|processing|collection|leaf)"
 LISTING_EXCLUDE = r"(church|eglise|église|mosque|parish|paroisse|chapel|temple|ministr|minimarket|mini.?market|supermarket|super market|marketing|h[oô]tel|lodge|restaurant|bar\b|coffee ?shop|school|[eé]cole|education|consult|agency|hospital|clinic|pharmac|salon|boutique|bank|insurance|club|campus|universit|college|institute|tourism|football|\bf\.?c\.?(\s|$)|sports?\b|toilet|ubwiherero|latrine|parking)"
 LISTING_KINDS = (
@@ -36,6 +37,47 @@ LISTING_KINDS = (
 )
 LISTING_OFF = r"(government|religious|marketing|printing|consult|professional|computer|software|media|agency|technology|bank|financial|hotel|lodging|restaurant|coffee_shop|cafe|bar$|church|worship|school|education|hospital|clinic|pharmacy|salon|beauty|fashion|apparel|electronics|phone|real_estate|travel|insurance|supermarket|department_store|grocery|convenience|fish_farm|farm$|ranch)"
 LISTING_NEVER = r"(government|religious|marketing|printing|computer|software|hotel|restaurant|coffee_shop|church|school|hospital|bank)"
+LISTING_AGRI = ("warehouse", "agro_factory")
+MILK_NAME, MILK_LISTED = r"(\bamata\b|\bmcc\b|milk collection)", r"(\bamata\b|\bmcc\b|milk collection|laiterie)"
+MILL_LISTED, MARKET_LISTED = "(minoterie|maize mill|flour mill|kawunga)", r"(^|\s)(isoko|march[eé])(\s|$)"
+#: Rules for a map feature in the order in which they are asked, as (kind or None, ways to hold); a way is a
+#: list of (tag, pattern) that must all be found, a missing tag being empty. name: of the feature; not name: isn't found in it.
+FEATURE_RULES = (
+    (None, [("highway", ".")], [("amenity", "^(cafe|restaurant|bar|fast_food|bank|school|place_of_worship|hospital|clinic|fuel|toilets|parking|bus_station|police|townhall|post_office)$")], [("shop", "^(supermarket|coffee|convenience|butcher|bakery)$")], [("industrial", "^sawmill$")], [("craft", "^sawmill$")]),
+    (None, [("office", "^(?!cooperative$)."), ("not name", NAMES["cooperative"])]),
+    (None, [("name", LOOKALIKE), ("amenity", "^(?!marketplace$)"), ("industrial", "^$"), ("place", "^$")]),
+    ("town", [("place", "^(town|city)$")]),
+    ("village", [("place", "^village$")]),
+    (None, [("place", ".")]),
+    ("tea_factory", [("industrial", "^tea$")], [("product", r"\btea\b")], [("name", TEA)]),
+    ("milk_centre", [("industrial", "^(dairy|milk)$")], [("product", "milk")], [("name", NAMES["milk_centre"])]),
+    ("coffee_station", [("industrial", "coffee")], [("product", "coffee")], [("name", NAMES["coffee_station"]), ("shop", "^$")]),
+    ("cold_store", [("industrial", "cold")], [("building", "^cold_storage$")], [("name", NAMES["cold_store"])]),
+    ("mill", [("man_made", "^(watermill|windmill)$")], [("craft", "^miller$")], [("industrial", "(mill|grain)")], [("product", "(flour|maize)")], [("name", NAMES["mill"])]),
+    ("cooperative", [("office", "^cooperative$")], [("cooperative", ".")], [("name", NAMES["cooperative"])]),
+    ("market", [("amenity", "^marketplace$")], [("name", NAMES["market"]), ("shop", "^$")]),
+    ("warehouse", [("building", "^(warehouse|silo)$")], [("industrial", "^warehouse$")], [("man_made", "^silo$")], [("name", NAMES["warehouse"])]),
+    ("agro_factory", [("man_made", "^works$"), ("name", NAMES["agri"])], [("man_made", "^works$"), ("product", NAMES["agri"])], [("industrial", "^(food_industry|food|agriculture|agricultural)$")], [("product", "(tea|potato|vegetable|fruit|grain|beans)")]),
+    ("agro_shop", [("shop", "^(agrarian|farm)$")]),
+)
+#: The same for a place listing with name, category and the last step of its hierarchy.
+LISTING_RULES = (
+    (None, [("name", LISTING_EXCLUDE)]),
+    (None, [("category", LISTING_OFF), ("category", LISTING_NEVER)]),
+    ("cooperative", [("category", LISTING_OFF), ("name", NAMES["cooperative"])]),
+    ("milk_centre", [("category", LISTING_OFF), ("name", MILK_NAME)]),
+    (None, [("category", LISTING_OFF)]),
+    *((kind, [("category", p)], [("last", p)]) for p, kind in LISTING_KINDS),
+    ("cooperative", [("name", NAMES["cooperative"])]),
+    ("milk_centre", [("name", MILK_LISTED)]),
+    ("cold_store", [("name", NAMES["cold_store"])]),
+    ("mill", [("name", MILL_LISTED)]),
+    ("market", [("name", MARKET_LISTED)]),
+)
+#: Keys that decide on access, the last one given counting, and their restrictions that need more than tags say.
+WAY_KEYS = {"foot": ("access", "foot"), "bicycle": ("access", "vehicle", "bicycle"), "motorbike": ("access", "vehicle", "motor_vehicle", "motorcycle"), "vehicle": ("access", "vehicle", "motor_vehicle", "hgv")}
+UNSUPPORTED = ("maxweight", "maxaxleload", "maxheight", "maxwidth", "maxlength", "barrier", "ford", "ice_road", "winter_road", "seasonal", "impassable")
+FOOTWAYS, STEPS, ONEWAY = ("footway", "path", "corridor"), ("steps", "via_ferrata"), ("yes", "1", "true", "-1", "no", "0", "false")
 SPEEDS = {
     "motorway": 70, "trunk": 60, "primary": 50, "secondary": 40, "tertiary": 30, "unclassified": 25, "road": 20,
     "residential": 20, "living_street": 10, "service": 15, "track": 15, "path": 5, "footway": 5, "bridleway": 5, "steps": 3,
@@ -63,7 +105,7 @@ def like(c: Column, pattern: str) -> Column:
 
 def normal_name(c: Column) -> Column:
     """Upper case, trimmed, single spaces. Compatibility characters: see nfkc."""
-    return F.upper(F.regexp_replace(F.trim(c), r"\s+", " "))
+    return F.upper(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 @F.pandas_udf(StringType())
@@ -76,45 +118,40 @@ def unaccented(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFD").str.replace(r"[̀-ͯ]", "", regex=True).str.lower()
 
 
+def by_rules(rules: tuple, fields) -> Column:
+    """The kind of the first rule that holds in any of its ways; null where none does. fields: the column of a name.
+
+    Patterns on names find upper and lower case alike, others are exact."""
+
+    def found(field: str, pattern: str) -> Column:
+        if field.endswith("name"):
+            hit = like(fields("name"), pattern)
+            return ~hit if field.startswith("not ") else hit
+        value = fields(field)
+        return like(value, pattern) if pattern in NAMES.values() else F.coalesce(value.rlike(pattern.replace(r"\b", EDGE)), F.lit(False))
+
+    kind = F.lit(None).cast("string")
+    for name, *ways in reversed(rules):
+        holds = reduce(or_, [reduce(and_, [found(*part) for part in way]) for way in ways])
+        kind = F.when(holds, F.lit(name).cast("string")).otherwise(kind)
+    return kind
+
+
 def feature_kind(tags: Column) -> Column:
     """The kind of place a map feature is by its tags, or null: what it surely isn't goes first, then the kinds in order."""
     t = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
-    has = lambda k: t(k) != ""
     name = F.coalesce(*[F.nullif(t(k), F.lit("")) for k in ("name", "name:en", "name:rw", "name:fr")], F.lit(""))
-    named = lambda k: like(name, NAMES[k])
-    made = lambda p: like(t("industrial"), p) | like(t("product"), p)
-    off = has("highway") | t("amenity").isin(*NOT_AMENITY) | t("shop").isin(*NOT_SHOP) | (t("industrial") == "sawmill") | (t("craft") == "sawmill")
-    off = off | (has("office") & (t("office") != "cooperative") & ~named("cooperative"))
-    off = off | (like(name, LOOKALIKE) & (t("amenity") != "marketplace") & ~has("industrial") & ~has("place"))
-    place = F.when(t("place").isin("town", "city"), "town").when(t("place") == "village", "village")
-    kind = (
-        F.when((t("industrial") == "tea") | like(t("product"), r"\btea\b") | like(name, TEA), "tea_factory")
-        .when(t("industrial").isin("dairy", "milk") | like(t("product"), "milk") | named("milk_centre"), "milk_centre")
-        .when(made("coffee") | (named("coffee_station") & ~has("shop")), "coffee_station")
-        .when(like(t("industrial"), "cold") | (t("building") == "cold_storage") | named("cold_store"), "cold_store")
-        .when(t("man_made").isin("watermill", "windmill") | (t("craft") == "miller") | like(t("industrial"), "(mill|grain)") | like(t("product"), "(flour|maize)") | named("mill"), "mill")
-        .when((t("office") == "cooperative") | has("cooperative") | named("cooperative"), "cooperative")
-        .when((t("amenity") == "marketplace") | (named("market") & ~has("shop")), "market")
-        .when(t("building").isin("warehouse", "silo") | (t("industrial") == "warehouse") | (t("man_made") == "silo") | named("warehouse"), "warehouse")
-        .when(((t("man_made") == "works") & (named("agri") | like(t("product"), NAMES["agri"]))) | t("industrial").isin("food_industry", "food", "agriculture", "agricultural") | like(t("product"), "(tea|potato|vegetable|fruit|grain|beans)"), "agro_factory")
-        .when(t("shop").isin("agrarian", "farm"), "agro_shop")
-    )
-    return F.when(off, None).when(has("place"), place).otherwise(kind)
+    return by_rules(FEATURE_RULES, lambda k: name if k == "name" else t(k))
 
 
-def listing_kind(name: Column, category: Column, confidence: Column, least: float = 0.5) -> Column:
-    """The kind of a place listing, or null: confident, not excluded by name or category, by category and then by name."""
-    named = lambda k: like(name, NAMES[k])
-    by_category = F.lit(None).cast("string")
-    for pattern, kind in reversed(LISTING_KINDS):
-        value = F.when(named("agri"), kind) if kind in ("warehouse", "agro_factory") else F.lit(kind)
-        by_category = F.when(category.rlike(pattern), value).otherwise(by_category)
-    rescued = F.when(like(category, LISTING_NEVER), None).when(named("cooperative"), "cooperative").when(like(name, r"(\bamata\b|\bmcc\b|milk collection)"), "milk_centre")
-    known = F.lit(False)
-    for pattern, _ in LISTING_KINDS:
-        known = known | category.rlike(pattern)
-    by_name = F.when(named("cooperative"), "cooperative").when(like(name, r"(\bamata\b|\bmcc\b|milk collection|laiterie)"), "milk_centre").when(named("cold_store"), "cold_store").when(like(name, "(minoterie|maize mill|flour mill|kawunga)"), "mill").when(like(name, r"(^|\s)(isoko|march[eé])(\s|$)"), "market")
-    return F.when((F.coalesce(confidence, F.lit(0.0)) < least) | like(name, LISTING_EXCLUDE), None).when(category.rlike(LISTING_OFF), rescued).when(known, by_category).otherwise(by_name)
+def listing_kind(name: Column, category: Column, confidence: Column, hierarchy: Column | None = None, least: float = 0.5) -> Column:
+    """The kind of a place listing, or null: confident, not excluded by name or category, by category or the last step of its
+    hierarchy (an array), and then by name. Warehouses and factories must have a name that says agriculture."""
+    last = F.coalesce(F.try_element_at(hierarchy, F.lit(-1)), F.lit("")) if hierarchy is not None else F.lit("")
+    value = {"name": name, "category": F.coalesce(category, F.lit("")), "last": last}
+    kind = by_rules(LISTING_RULES, value.__getitem__)
+    off = kind.isin(*LISTING_AGRI) & ~like(name, NAMES["agri"])
+    return F.when((F.coalesce(confidence, F.lit(0.0)) >= least) & ~F.coalesce(off, F.lit(False)), kind)
 
 
 def class_speed(highway: Column) -> Column:
@@ -144,33 +181,45 @@ def published_number(text: Column, status: Column) -> Column:
     return F.when(off, None).when(bad, F.raise_error(F.concat(F.lit("not a published number: "), text)).cast("double")).otherwise(value)
 
 
-#: Settings of way_policy for one kind of transport.
-UNSUPPORTED = ("maxweight", "maxaxleload", "maxheight", "maxwidth", "maxlength", "barrier", "ford", "ice_road", "winter_road", "seasonal", "impassable")
-
-
-def way_policy(tags: Column, season: str, keys: tuple[str, ...] = ("access", "vehicle", "motor_vehicle", "hgv"), allowed: tuple[str, ...] = ("yes", "permissive", "designated"), factors: dict | None = None) -> Column:
-    """A struct (status, forward, backward, forward_kph, backward_kph): what a vehicle may do on a way in a season.
+def way_policy(tags: Column, season: str, mode: str = "vehicle", allowed: tuple[str, ...] = ("yes", "permissive", "designated"), factors: dict | None = None, missing_access: str = "allow") -> Column:
+    """A struct (status, forward, backward, forward_kph, backward_kph): what a mode of transport (a key of WAY_KEYS) may do on a
+    way in a season.
 
-    Each reason to reject a way is asked in order; the last access tag of the keys decides; a surface without a factor, or
-    with none for the season, rejects; speeds are the class speed times the factor, capped by limits."""
+    Reasons to reject a way are asked in order. The last access tag of the mode's keys decides; without one, missing_access
+    does (allow or exclude). A surface without a factor, or with none for the season, rejects. Speeds are the class speed times
+    the factor; limits cap those of motor vehicles. On foot a one-way tag counts on steps alone, and is unclear on footways."""
     factors = factors or {"UNKNOWN": {"dry": 0.8, "wet": 0.5}, "asphalt": {"dry": 1.0, "wet": 0.9}, "dirt": {"dry": 0.7, "wet": None}}
+    keys = WAY_KEYS[mode]
     t = lambda k: F.try_element_at(tags, F.lit(k))
-    odd = F.exists(F.map_keys(tags), lambda k: k.contains(":conditional") | k.isin(*UNSUPPORTED) | ((k.endswith(":forward") | k.endswith(":backward")) & ~k.isin("maxspeed:forward", "maxspeed:backward")))
-    access = F.coalesce(*[t(k) for k in reversed(keys)])
-    surface = F.coalesce(t("surface"), F.lit("UNKNOWN"))
+    one_sided = lambda k: (k.endswith(":forward") | k.endswith(":backward")) & ~k.isin("maxspeed:forward", "maxspeed:backward")
+    odd = F.exists(F.map_keys(tags), lambda k: k.contains(":conditional") | k.isin(*UNSUPPORTED) | one_sided(k))
+    access, surface, highway = F.coalesce(*[t(k) for k in reversed(keys)]), F.coalesce(t("surface"), F.lit("UNKNOWN")), t("highway")
     factor = F.lit(None).cast("double")
     for name, by in factors.items():
         factor = F.when(surface == name, F.lit(by[season]).cast("double")).otherwise(factor)
-    general = F.coalesce(t("oneway"), F.when((t("junction") == "roundabout") | (t("highway") == "motorway"), "yes"))
-    oneway = F.coalesce(*[t(f"oneway:{k}") for k in reversed(keys[1:])], general, F.lit("no"))
-    limit = lambda way: F.coalesce(t(f"maxspeed:{way}"), t("maxspeed"))
+    general = F.coalesce(t("oneway"), F.when((t("junction") == "roundabout") | (highway == "motorway"), "yes"))
+    own = F.coalesce(*[t(f"oneway:{k}") for k in reversed(keys[1:])], F.lit(None).cast("string"))
+    unclear = F.lit(False)
+    if mode == "foot":
+        unclear = own.isNull() & (F.coalesce(general, F.lit("")) != "") & highway.isin(*FOOTWAYS)
+        general = F.when(highway.isin(*STEPS), general)
+    oneway = F.coalesce(own, general, F.lit("no"))
+    limit = lambda way: F.coalesce(t(f"maxspeed:{way}"), t("maxspeed")) if mode in ("vehicle", "motorbike") else F.lit(None).cast("string")
     bad_limit = lambda way: limit(way).isNotNull() & speed_limit(limit(way)).isNull()
-    speed = class_speed(t("highway")) * factor
-    status = (
-        F.when(class_speed(t("highway")).isNull(), "unconfigured_highway").when(odd, "unsupported_restriction_review")
-        .when(access.isNotNull() & ~access.isin(*allowed), "access_restricted_or_unresolved").when(~surface.isin(*factors), "surface_unconfigured")
-        .when(factor.isNull(), "scenario_impassable").when(~oneway.isin("yes", "1", "true", "-1", "no", "0", "false"), "oneway_unresolved")
-        .when(bad_limit("forward") | bad_limit("backward"), "maxspeed_unresolved").otherwise("retained")
+    speed = class_speed(highway) * factor
+    reasons = (
+        ("unconfigured_highway", class_speed(highway).isNull()),
+        ("unsupported_restriction_review", odd),
+        ("access_unknown", access.isNull() & F.lit(missing_access == "exclude")),
+        ("access_restricted_or_unresolved", access.isNotNull() & ~access.isin(*allowed)),
+        ("surface_unconfigured", ~surface.isin(*factors)),
+        ("scenario_impassable", factor.isNull()),
+        ("pedestrian_oneway_ambiguous", unclear),
+        ("oneway_unresolved", ~oneway.isin(*ONEWAY)),
+        ("maxspeed_unresolved", bad_limit("forward") | bad_limit("backward")),
     )
+    status = F.lit("retained")
+    for reason, holds in reversed(reasons):
+        status = F.when(holds, reason).otherwise(status)
     kept = status == "retained"
     return F.struct(status.alias("status"), F.when(kept, oneway != "-1").alias("forward"), F.when(kept, ~oneway.isin("yes", "1", "true")).alias("backward"), *[F.when(kept, F.least(speed, speed_limit(limit(w)))).alias(f"{w}_kph") for w in ("forward", "backward")])

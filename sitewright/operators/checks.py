@@ -23,6 +23,27 @@ def many_to_one(left: DataFrame, right: DataFrame, key: str, audit: bool = False
     return joined.agg(F.count("*").alias("rows_after"), F.count_if(F.col("_n").isNull()).alias("unmatched")).crossJoin(left.agg(F.count("*").alias("rows_before")))
 
 
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Each left row with its right row by key; a repeated key, or one that the other side lacks, raises when rows are read.
+
+    Null keys have no partner, so they raise too."""
+    own = lambda df: [c for c in df.columns if c != key]
+    side = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n), *[F.first(c).alias(c) for c in own(df)])
+    both = side(left, "_a").join(side(right, "_b"), key, "full_outer")
+    ok = F.coalesce((F.col("_a") == 1) & (F.col("_b") == 1), F.lit(False))
+    return both.select(F.when(ok, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{key} is not one to one at "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).alias(key), *own(left), *own(right))
+
+
+def against_control(universe: DataFrame, own: DataFrame, control: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """(key, n, total, agrees) of each key of universe: counts and totals (key, n, total) and whether the control's are the same.
+
+    A key that either lacks doesn't agree; its own count and total are then 0."""
+    c = control.select(key, F.col("n").alias("_n"), F.col("total").alias("_t"))
+    ok = (F.col("n") == F.col("_n")) & (F.abs(F.col("total") - F.col("_t")) <= tolerance)
+    both = universe.join(own, key, "left").join(c, key, "left")
+    return both.select(key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce(ok, F.lit(False)).alias("agrees"))
+
+
 def guarded_sum(value: Column) -> Column:
     """The sum, or null if any value is null."""
     return F.when(F.count_if(value.isNull()) == 0, F.sum(value))

@@ -28,6 +28,16 @@ def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return running(df, order, {name: F.lit(1)}).withColumn(name, F.col(name) + 1)
 
 
+def ranked_within(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
+    """df with its place, from 1, among the rows of its group, in a total order. by: columns without nulls.
+
+    The place over all rows, groups one after another, less the place where the group begins: a group may be as large as
+    the table, its rows still lie in many ranges."""
+    g = running(df, [*by, *order], {"_g": F.lit(1)})
+    start = g.groupBy(*by).agg(F.min("_g").alias("_s"))
+    return g.join(start, by).select(*df.columns, (F.col("_g") - F.col("_s") + 1).alias(name))
+
+
 def mid_ranks(df: DataFrame, value: str, name: str = "mid") -> DataFrame:
     """df with the mean place of the rows of equal value in ascending order. Equal values are counted before they are ordered."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))

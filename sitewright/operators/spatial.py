@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.functions.geo import cell, distance
+from sitewright.sources.tables import saved
 
 
 def _around(points: DataFrame, size: float, columns: list[str]) -> DataFrame:
@@ -18,29 +19,39 @@ def _around(points: DataFrame, size: float, columns: list[str]) -> DataFrame:
     return at.select(*columns, (F.col("_ci") + F.col("_s.i")).alias("_i"), (F.col("_cj") + F.col("_s.j")).alias("_j"))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """(id, other, d) of all pairs at most radius apart. The smaller table should be on the right: it is the one dealt to nine cells."""
-    near = _around(right.select(F.col("id").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y")), radius, ["other", "_x", "_y"])
-    mine = left.select("id", "x", "y", cell(F.col("x"), radius).alias("_i"), cell(F.col("y"), radius).alias("_j"))
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, unlike: str | None = None) -> DataFrame:
+    """(id, other, d) of all pairs at most radius apart. The smaller table should be on the right: it is the one dealt to nine cells.
+
+    unlike: a column of both tables; pairs that have the same value in it don't count."""
+    mark = [F.col(unlike).alias("_mine")] if unlike else []
+    theirs = [F.col(unlike).alias("_theirs")] if unlike else []
+    near = _around(right.select(F.col("id").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"), *theirs), radius, ["other", "_x", "_y", *["_theirs"] * len(theirs)])
+    mine = left.select("id", "x", "y", *mark, cell(F.col("x"), radius).alias("_i"), cell(F.col("y"), radius).alias("_j"))
     d = distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
-    return mine.join(near, ["_i", "_j"]).select("id", "other", d.alias("d")).filter(F.col("d") <= radius)
+    found = mine.join(near, ["_i", "_j"])
+    found = found.filter("_mine <> _theirs") if unlike else found
+    return found.select("id", "other", d.alias("d")).filter(F.col("d") <= radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, cap: float, first: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, cap: float, first: float | None = None, unlike: str | None = None) -> DataFrame:
     """(id, other, d) of every left row: the nearest right point strictly closer than cap, else nulls.
 
     Rounds of cells of growing size: what a round finds within its size is final, the others go on with twice the size,
-    so dense places are settled over small cells and only the rest looks far.
+    so dense places are settled over small cells and only the rest looks far. Each round writes what it found and what is
+    left, so none is computed again; they end at the cap or when nothing is left. unlike: as in pairs_within.
     """
     size, found = min(first or cap, cap), None
-    rest = left.select("id", "x", "y")
+    more = [unlike] if unlike else []
+    rest, right = saved(left.select("id", "x", "y", *more), "nearest-rest"), saved(right.select("id", "x", "y", *more), "nearest-right")
     while True:
-        best = pairs_within(rest, right, size).filter(F.col("d") < cap).groupBy("id").agg(F.min(F.struct("d", "other")).alias("_b"))
-        best = best.select("id", "_b.other", "_b.d")
+        best = pairs_within(rest, right, size, unlike).filter(F.col("d") < cap).groupBy("id").agg(F.min(F.struct("d", "other")).alias("_b"))
+        best = saved(best.select("id", "_b.other", "_b.d"), "nearest-found")
         found = best if found is None else found.unionByName(best)
         if size >= cap:
             break
-        rest = rest.join(best.select("id"), "id", "left_anti")
+        rest = saved(rest.join(best.select("id"), "id", "left_anti"), "nearest-rest")
+        if rest.isEmpty():
+            break
         size = min(2 * size, cap)
     return left.select("id").join(found, "id", "left")
 
@@ -56,18 +67,51 @@ def edges_of(zones: DataFrame) -> DataFrame:
 def points_in_zones(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """(id, zone) of all points inside zones: even-odd rule, half open on y, in an outer ring and in no hole.
 
-    Zones are dealt to the cells of their bounding box, so that only points of those cells meet their edges.
+    Zones are dealt to the cells of their bounding box, and edges to the rows of cells they pass through, so that a point
+    meets only the edges of its own row of cells: those that a line to its side can cross.
     """
     box = edges.groupBy("zone").agg(*[f(c).alias(n) for f, c, n in ((F.min, "x1", "_x0"), (F.max, "x1", "_x1"), (F.min, "y1", "_y0"), (F.max, "y1", "_y1"))])
     span = lambda a, b: F.explode(F.sequence(cell(F.col(a), size), cell(F.col(b), size)))
     cells = box.select("zone", "_y0", "_y1", span("_x0", "_x1").alias("_i")).select("zone", "_i", span("_y0", "_y1").alias("_j"))
-    near = points.select("id", "x", "y", cell(F.col("x"), size).alias("_i"), cell(F.col("y"), size).alias("_j")).join(cells, ["_i", "_j"]).select("id", "x", "y", "zone")
+    near = points.select("id", "x", "y", cell(F.col("x"), size).alias("_i"), cell(F.col("y"), size).alias("_j")).join(cells, ["_i", "_j"]).select("id", "x", "y", "zone", "_j")
+    rows = F.explode(F.sequence(cell(F.least("y1", "y2"), size), cell(F.greatest("y1", "y2"), size))).alias("_j")
+    sides = edges.filter("y1 <> y2").select("zone", "ring", "hole", "x1", "y1", "x2", "y2", rows)
     crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     crossing = F.when((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")), crosses).otherwise(False)
-    rings = near.join(edges, "zone").groupBy("id", "zone", "ring").agg((F.sum(crossing.cast("int")) % 2 == 1).alias("_in"), F.max("hole").alias("hole"))
+    rings = near.join(sides, ["zone", "_j"]).groupBy("id", "zone", "ring").agg((F.sum(crossing.cast("int")) % 2 == 1).alias("_in"), F.max("hole").alias("hole"))
     return rings.groupBy("id", "zone").agg(F.max(F.col("_in") & ~F.col("hole")).alias("_out"), F.max(F.col("_in") & F.col("hole")).alias("_hole")).filter("_out AND NOT _hole").select("id", "zone")
 
 
+def match_status(points: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, zones, keys, status) of all points (id, province, conflict) by the zones that hold them (id, zone, province).
+
+    A zone of another province than the point's is a province_conflict, a point whose place is in doubt a location_conflict;
+    else no zone is unmatched, one matched, several ambiguous. keys: all zones, sorted, joined by bars."""
+    own = points.select("id", F.col("province").alias("_own"), "conflict")
+    g = found.join(own.select("id", "_own"), "id").groupBy("id").agg(F.sort_array(F.collect_set("zone")).alias("_k"), F.bool_or(F.col("province") != F.col("_own")).alias("_other"))
+    n = F.coalesce(F.size("_k"), F.lit(0))
+    count = F.when(F.col("_k").isNull(), 0).otherwise(n).cast("long")
+    status = F.when(F.coalesce("_other", F.lit(False)), "province_conflict").when(F.coalesce("conflict", F.lit(False)), "location_conflict").when(count == 0, "unmatched").when(count == 1, "matched").otherwise("ambiguous")
+    return own.join(g, "id", "left").select("id", count.alias("zones"), F.coalesce(F.concat_ws("|", F.col("_k").cast("array<string>")), F.lit("")).alias("keys"), status.alias("status"))
+
+
+def unit_of_areas(areas: DataFrame, units: DataFrame, size: float) -> DataFrame:
+    """(zone, unit, outside_m2, status, touched) of areas (zone, i, j) over units (unit, i, j), both as cells of one size.
+
+    An area's unit is the one at its inner point, the cell nearest to the mean of its cells. Without one such unit, or with
+    over a cell's area outside of it, the area is up for review, and all units it touches are listed."""
+    mean = areas.groupBy("zone").agg(F.count("*").alias("_n"), F.sum("i").alias("_si"), F.sum("j").alias("_sj"))
+    far = (F.col("i") * F.col("_n") - F.col("_si")) * (F.col("i") * F.col("_n") - F.col("_si")) + (F.col("j") * F.col("_n") - F.col("_sj")) * (F.col("j") * F.col("_n") - F.col("_sj"))
+    inner = areas.join(mean, "zone").groupBy("zone", "_n").agg(F.min(F.struct(far.alias("d"), "i", "j")).alias("_p")).select("zone", "_n", "_p.i", "_p.j")
+    at = inner.join(units, ["i", "j"], "left").groupBy("zone", "_n").agg(F.count("unit").alias("_c"), F.min("unit").alias("unit"))
+    over = areas.join(units, ["i", "j"]).groupBy("zone", "unit").agg(F.count("*").alias("_in"))
+    touched = over.groupBy("zone").agg(F.concat_ws("|", F.sort_array(F.collect_list("unit")).cast("array<string>")).alias("_all"))
+    one = at.withColumn("unit", F.when(F.col("_c") == 1, F.col("unit"))).join(over, ["zone", "unit"], "left").join(touched, "zone", "left")
+    outside = F.when(F.col("_c") == 1, (F.col("_n") - F.coalesce("_in", F.lit(0))) * (size * size))
+    clear = F.coalesce(outside <= size * size, F.lit(False))
+    return one.select("zone", "unit", outside.alias("outside_m2"), F.when(clear, "matched").otherwise("spatial_review_required").alias("status"), F.when(clear, F.col("unit").cast("string")).otherwise(F.coalesce("_all", F.lit(""))).alias("touched"))
+
+
 def focal_sum(cells: DataFrame, value: str, reach: int) -> DataFrame:
     """(i, j, total): the sum of value over the square of cells within reach, for each cell that has a neighbour."""
     steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
@@ -77,10 +121,8 @@ def focal_sum(cells: DataFrame, value: str, reach: int) -> DataFrame:
 
 def keep_first(points: DataFrame, radius: float, same) -> DataFrame:
     """Rows left when, in order of ordinal `id`, a row goes if an earlier kept one within radius is `same` (a predicate on
-    prefixed columns a_, b_). Rounds settle rows without an undecided earlier neighbour; dominated ones go. The first undecided
+    the columns with prefixes a_, of the row, and b_, of the earlier one, and on their distance d). Rounds settle rows without an undecided earlier neighbour; dominated ones go. The first undecided
     row is settled in each round, so they end."""
-    from sitewright.sources.tables import saved
-
     more = [c for c in points.columns if c not in ("id", "x", "y")]
     a = points.select("id", *[F.col(c).alias(f"a_{c}") for c in more])
     b = points.select(F.col("id").alias("other"), *[F.col(c).alias(f"b_{c}") for c in more])

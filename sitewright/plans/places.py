@@ -78,15 +78,15 @@ def geo8(spark: SparkSession, sf: str) -> DataFrame:
     return buildings(spark, sf).select("id", F.round(F.col("roof") * unit * unit * F.cos(F.radians(F.lit(-1.95))) * F.cos(F.radians(F.lit(-1.95))), 4).alias("m2"))
 
 
-WAY_PIECES = """, e AS (SELECT a.way, a.pos, p.x AS ax, p.y AS ay, q.x AS cx, q.y AS cy FROM wn a JOIN wn c ON a.way = c.way AND c.pos = a.pos + 1 JOIN np p ON p.id = a.node JOIN np q ON q.id = c.node WHERE a.node <> c.node AND a.way < 400),
+WAY_PIECES = """, e AS (SELECT a.way, a.pos, p.x AS ax, p.y AS ay, q.x AS cx, q.y AS cy FROM wn a JOIN wn c ON a.way = c.way AND c.pos = a.pos + 1 JOIN np p ON p.id = a.node JOIN np q ON q.id = c.node WHERE a.node <> c.node),
 l AS (SELECT *, sqrt((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy)) AS len FROM e),
 k AS (SELECT *, greatest(1, CAST(ceil(len / 100) AS INTEGER)) AS steps FROM l),
 d AS (SELECT way, pos, s, ax + (cx - ax) * ((s + 0.5) / CAST(steps AS DOUBLE)) AS x, ay + (cy - ay) * ((s + 0.5) / CAST(steps AS DOUBLE)) AS y, len / steps AS length FROM (SELECT *, unnest(range(0, steps)) AS s FROM k))"""
 
 
 def way_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(way, pos, a, b, ax, ay, bx, by) of the ways below 400 between different nodes."""
-    rows = ways(spark, sf).filter("way < 400").select("way", F.posexplode(F.arrays_zip(F.expr("slice(nodes, 1, greatest(size(nodes) - 1, 0))").alias("a"), F.expr("slice(nodes, 2, greatest(size(nodes) - 1, 0))").alias("b"))).alias("pos", "e")).select("way", (F.col("pos") + 1).alias("pos"), F.col("e.a").alias("a"), F.col("e.b").alias("b")).filter("a <> b")
+    """(way, pos, a, b, ax, ay, bx, by) between different nodes."""
+    rows = ways(spark, sf).select("way", F.posexplode(F.arrays_zip(F.expr("slice(nodes, 1, greatest(size(nodes) - 1, 0))").alias("a"), F.expr("slice(nodes, 2, greatest(size(nodes) - 1, 0))").alias("b"))).alias("pos", "e")).select("way", (F.col("pos") + 1).alias("pos"), F.col("e.a").alias("a"), F.col("e.b").alias("b")).filter("a <> b")
     n = node_points(spark, sf)
     return rows.join(n.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), "a").join(n.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b")
 
@@ -96,9 +96,9 @@ def way_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return way_edges(spark, sf).select("way", "pos", p.alias("p")).select("way", "pos", "p.*")
 
 
-@QUERIES.add("geo9_densify_roads", sql("wn np", "") + WAY_PIECES + " SELECT way, count(*) AS pieces, round(sum(length), 4) AS length_m, round(sum(x), 3) AS sum_x FROM d GROUP BY way")
+@QUERIES.add("geo9_densify_roads", sql("wn np", "") + WAY_PIECES + " SELECT way, count(*) AS pieces, round(sum(length), 3) AS length_m, round(sum(x), 1) AS sum_x FROM d GROUP BY way")
 def geo9(spark: SparkSession, sf: str) -> DataFrame:
-    return way_pieces(spark, sf).groupBy("way").agg(F.count("*").alias("pieces"), F.round(F.sum("length"), 4).alias("length_m"), F.round(F.sum("x"), 3).alias("sum_x"))
+    return way_pieces(spark, sf).groupBy("way").agg(F.count("*").alias("pieces"), F.round(F.sum("length"), 3).alias("length_m"), F.round(F.sum("x"), 1).alias("sum_x"))
 
 
 @QUERIES.add("geo10_cell_mask", sql("b z", """, c AS (SELECT DISTINCT floor(x / 250) AS i, floor(y / 250) AS j FROM b),
@@ -122,13 +122,15 @@ def geo11(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.points_in_zones(points, e, 2000).select("zone", "id.i", "id.j")
 
 
-@QUERIES.add("geo12_coordinate_checks", "SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'unknown' WHEN c_custkey % 13 = 0 THEN 'invalid' WHEN c_custkey % 7 = 0 THEN 'conflict' ELSE 'reported' END AS status FROM customer")
+@QUERIES.add("geo12_coordinate_checks", "SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR 30 + c_custkey % 10 / 10.0 > 30.5 + c_nationkey / 50.0 THEN 'unknown' WHEN c_custkey % 7 = 0 THEN 'conflict' ELSE 'reported' END AS status FROM customer")
 def geo12(spark: SparkSession, sf: str) -> DataFrame:
-    """Given and attribute coordinates: null is unknown, out of range or not finite invalid, apart by over 0.01 degrees a conflict."""
+    """Places against the envelope of their nation and against attribute coordinates, which differ in each seventh row."""
     k = F.col("c_custkey")
-    p = read(spark, sf, "customer").select(k.alias("id"), F.when(k % 11 == 0, None).when(k % 13 == 0, F.lit(float("nan"))).otherwise(30 + k % 10 / 10.0).alias("lon"), F.lit(-2.0).alias("lat")).withColumn("alon", F.col("lon") + F.when(F.col("id") % 7 == 0, 0.5).otherwise(0.0))
-    bad = F.isnan("lon") | ~F.col("lon").between(-180, 180) | ~F.col("lat").between(-90, 90)
-    return p.select("id", F.when(F.col("lon").isNull() | F.col("lat").isNull(), "unknown").when(bad, "invalid").when(F.abs(F.col("alon") - F.col("lon")) > 0.01, "conflict").otherwise("reported").alias("status"))
+    lon = F.when(k % 11 == 0, None).when(k % 13 == 0, F.lit(float("nan"))).otherwise(30 + k % 10 / 10.0)
+    envelope = F.struct(F.lit(29.5).alias("west"), F.lit(-3.0).alias("south"), (30.5 + F.col("c_nationkey") / 50.0).alias("east"), F.lit(-1.0).alias("north"))
+    p = read(spark, sf, "customer").select(k.alias("id"), lon.alias("lon"), F.lit(-2.0).alias("lat"), envelope.alias("e"))
+    attribute = F.col("lon") + F.when(F.col("id") % 7 == 0, 0.5).otherwise(0.0)
+    return p.select("id", geo.coordinate_status(F.col("lon"), F.col("lat"), F.col("e"), attribute, F.lit(None).cast("double"), 0.01).alias("status"))
 
 
 @QUERIES.add("geo13_parse_lat_lon", "SELECT c_custkey AS id, CASE WHEN c_custkey % 200 <= 90 THEN CAST(c_custkey % 200 AS DOUBLE) END AS lat, CASE WHEN c_custkey % 200 <= 90 THEN CAST((c_custkey % 170) + 0.5 AS DOUBLE) END AS lon FROM customer")
@@ -143,11 +145,11 @@ def geo14(spark: SparkSession, sf: str) -> DataFrame:
     return buildings(spark, sf).select("id", F.round(F.col("x") / 111320.0, 5).alias("lon5"), F.round(F.col("y") / 110540.0, 6).alias("lat6"))
 
 
-@QUERIES.add("joi5_point_in_zone_status", sql("b z iz", "SELECT b.id, CAST(count(zone) AS BIGINT) AS zones, CASE count(zone) WHEN 0 THEN 'unmatched' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status, coalesce(string_agg(CAST(zone AS VARCHAR), '|' ORDER BY zone), '') AS keys FROM b LEFT JOIN iz USING (id) GROUP BY b.id"))
+@QUERIES.add("joi5_point_in_zone_status", sql("b z iz", ", g AS (SELECT id, count(*) AS n, string_agg(CAST(zone AS VARCHAR), '|' ORDER BY zone) AS keys, bool_or(region <> nation % 5) AS other FROM iz JOIN z USING (zone) JOIN b USING (id) GROUP BY id) SELECT b.id, coalesce(n, 0) AS zones, CASE WHEN other THEN 'province_conflict' WHEN b.id % 7 = 0 THEN 'location_conflict' WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, coalesce(keys, '') AS keys FROM b LEFT JOIN g USING (id)").replace(" , g", ", g"))
 def joi5(spark: SparkSession, sf: str) -> DataFrame:
-    keys = _inside(spark, sf).groupBy("id").agg(F.sort_array(F.collect_set("zone")).alias("k"))
-    n = F.coalesce(F.size("k"), F.lit(0))
-    return buildings(spark, sf).select("id").join(keys, "id", "left").select("id", F.when(F.col("k").isNull(), 0).otherwise(n).cast("long").alias("zones"), F.when(F.col("k").isNull(), "unmatched").when(n == 1, "matched").otherwise("ambiguous").alias("status"), F.coalesce(F.concat_ws("|", F.col("k").cast("array<string>")), F.lit("")).alias("keys"))
+    points = buildings(spark, sf).select("id", (F.col("nation") % 5).alias("province"), (F.col("id") % 7 == 0).alias("conflict"))
+    found = _inside(spark, sf).join(zones(spark, sf).select("zone", F.col("region").alias("province")), "zone")
+    return spatial.match_status(points, found)
 
 
 OVER = ", c AS (SELECT zone, i, j FROM z, (SELECT unnest(range(0, 42)) AS i), (SELECT unnest(range(0, 42)) AS j) WHERE (i + 0.5) * 500 >= x0 AND (i + 0.5) * 500 < x0 + 4100 AND (j + 0.5) * 500 >= y0 AND (j + 0.5) * 500 < y0 + 4100 AND NOT (holed AND (i + 0.5) * 500 >= x0 + 1000 AND (i + 0.5) * 500 < x0 + 2000 AND (j + 0.5) * 500 >= y0 + 1000 AND (j + 0.5) * 500 < y0 + 2000)), r AS (SELECT DISTINCT region, i, j FROM c JOIN z USING (zone))"
@@ -171,12 +173,16 @@ def joi6(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(regions, ["i", "j"]).groupBy("zone", "region").agg(F.count("*").alias("k")).join(total, "zone").select("zone", "region", (F.col("k") * 250000).alias("area_m2"), r6(F.col("k") / F.col("n")).alias("fraction"))
 
 
-@QUERIES.add("joi7_sub_area_unit", sql("z", "") + OVER + " SELECT zone, count(*) AS touched, count(*) = 1 AS clear FROM (SELECT DISTINCT a.zone, b.zone AS unit FROM c a JOIN c b ON a.i = b.i AND a.j = b.j) GROUP BY zone")
+FINE = ", c AS (SELECT zone, i, j FROM z, (SELECT unnest(range(0, 206)) AS i), (SELECT unnest(range(0, 206)) AS j) WHERE (i + 0.5) * 100 >= x0 AND (i + 0.5) * 100 < x0 + 4100 AND (j + 0.5) * 100 >= y0 AND (j + 0.5) * 100 < y0 + 4100 AND NOT (holed AND (i + 0.5) * 100 >= x0 + 1000 AND (i + 0.5) * 100 < x0 + 2000 AND (j + 0.5) * 100 >= y0 + 1000 AND (j + 0.5) * 100 < y0 + 2000)), t AS (SELECT zone, count(*) AS n, sum(i) AS si, sum(j) AS sj FROM c GROUP BY zone), p AS (SELECT c.zone, any_value(n) AS n, min(((i * n - si) * (i * n - si) + (j * n - sj) * (j * n - sj), i, j)) AS p FROM c JOIN t USING (zone) GROUP BY c.zone), u AS (SELECT zone, n, p[2] // 40 AS unit FROM p)"
+
+
+@QUERIES.add("joi7_sub_area_unit", sql("z", "") + FINE + " SELECT u.zone, unit, count(*) FILTER (c.i // 40 <> unit) * 10000.0::DOUBLE AS outside_m2, CASE WHEN count(*) FILTER (c.i // 40 <> unit) <= 1 THEN 'matched' ELSE 'spatial_review_required' END AS status, CASE WHEN count(*) FILTER (c.i // 40 <> unit) <= 1 THEN CAST(unit AS VARCHAR) ELSE (SELECT string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) FROM (SELECT DISTINCT d.i // 40 AS k FROM c d WHERE d.zone = u.zone)) END AS touched FROM u JOIN c ON c.zone = u.zone GROUP BY u.zone, unit")
 def joi7(spark: SparkSession, sf: str) -> DataFrame:
-    """Units that a sub-area touches by a cell at least; it is clear if its own is the only one."""
-    c = zone_cells(spark, sf, 500)
-    other = c.select(F.col("zone").alias("unit"), "i", "j")
-    return c.join(other, ["i", "j"]).groupBy("zone").agg(F.count_distinct("unit").alias("touched")).withColumn("clear", F.col("touched") == 1)
+    """Zones over strips of 4 km from north to south, on cells of 100 m: most reach 100 m into the next strip."""
+    c = zone_cells(spark, sf, 100)
+    n = 20500 // 100 + 1
+    strips = spark.range(n * n).select(F.floor(F.col("id") % n / 40).alias("unit"), (F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("j"))
+    return spatial.unit_of_areas(c, strips, 100.0)
 
 
 @QUERIES.add("joi8_nearest_within_cap", sql("b s near", "SELECT id, CASE WHEN d < 6000 THEN other END AS other, CASE WHEN d < 6000 THEN round(d, 6) END AS d FROM near"))
@@ -202,9 +208,12 @@ def joi11(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add("joi12_duplicate_places")
 def joi12(spark: SparkSession, sf: str) -> DataFrame:
-    """Sites left when one goes if an earlier kept one within 3 km has its kind (800 m rules scaled to sparse points)."""
-    s = sites(spark, sf).select("id", "x", "y", "kind")
-    return spatial.keep_first(s, 3000, F.col("a_kind") == F.col("b_kind")).select("id", "kind")
+    """Sites left when one goes if an earlier kept one within 3 km, or 6 km for settlements (kinds 6 and 7), has its kind or its
+    name. Radii are for sparse points; names repeat."""
+    s = sites(spark, sf).select("id", "x", "y", "kind", F.when(F.col("id") % 4 > 0, F.concat(F.lit("Place "), (F.col("id") % 9).cast("string"))).alias("name"))
+    reach = F.col("d") <= F.when(F.col("a_kind") >= 6, 6000.0).otherwise(3000.0)
+    same = (F.col("a_kind") == F.col("b_kind")) | F.coalesce(F.col("a_name") == F.col("b_name"), F.lit(False))
+    return spatial.keep_first(s, 6000, reach & same).select("id", "kind", "name")
 
 
 @QUERIES.add("joi13_settlement_suppression", sql("s", "SELECT a.id, a.kind FROM s a WHERE a.kind < 6 OR NOT EXISTS (SELECT 1 FROM s WHERE s.kind < 6 AND sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y)) < 1500)"))
@@ -227,14 +236,12 @@ def joi15(spark: SparkSession, sf: str) -> DataFrame:
     return buildings(spark, sf).select("id").join(first, "id", "left").select("id", F.coalesce(F.col("zone").cast("string"), F.lit("")).alias("zone"))
 
 
-@QUERIES.add("joi16_nearest_presence_score", sql("s", "SELECT a.id, round(-min(sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y))), 6) AS score FROM s a, s WHERE s.kind = 0 AND s.district <> a.district GROUP BY a.id"))
+@QUERIES.add("joi16_nearest_presence_score", sql("s", "SELECT a.id, round(-min(sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y))), 6) AS score FROM s a, s WHERE s.kind = 0 AND s.district <> a.district AND sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y)) < 30000 GROUP BY a.id"))
 def joi16(spark: SparkSession, sf: str) -> DataFrame:
-    """Minus the distance to the nearest positive of another district; positives are few and their number is checked."""
-    from sitewright.operators.checks import small_side
-
+    """Minus the distance to the nearest positive of another district, over cells of growing size up to the strip's diagonal."""
     s = sites(spark, sf)
-    positive = s.filter("kind = 0").select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("district").alias("pd"))
-    return s.join(small_side(positive, 100_000), F.col("district") != F.col("pd")).groupBy("id").agg(r6(-F.min(geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))).alias("score"))
+    found = spatial.nearest(s, s.filter("kind = 0"), 30000, 2000, unlike="district").filter("other IS NOT NULL")
+    return found.select("id", r6(-F.col("d")).alias("score"))
 
 
 @QUERIES.add("joi23_nearest_named_place", sql("s", "SELECT a.id, CASE WHEN min(sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y))) < 5000 THEN min_by(s.name, (sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y)), s.id)) END AS near_name FROM s a, s WHERE a.kind = 3 AND s.kind >= 6 GROUP BY a.id"))
@@ -282,10 +289,10 @@ def agg4(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy(geo.cell(F.col("x"), 1000).alias("i"), geo.cell(F.col("y"), 1000).alias("j")).agg(r6(F.coalesce(F.try_divide(F.count_if("urban"), F.count("*")), F.lit(0.0))).alias("urban_share"))
 
 
-@QUERIES.add("agg5_road_km", sql("wn wt np", "") + WAY_PIECES + " SELECT CAST(floor(x / 1000) AS BIGINT) AS i, CAST(floor(y / 1000) AS BIGINT) AS j, round(coalesce(sum(length) FILTER (highway <> 'track'), 0) / 1000, 6) AS maj_km, round(coalesce(sum(length) FILTER (highway = 'track'), 0) / 1000, 6) AS min_km FROM d JOIN wt USING (way) GROUP BY ALL")
+@QUERIES.add("agg5_road_km", sql("wn wt np", "") + WAY_PIECES + " SELECT CAST(floor(x / 1000) AS BIGINT) AS i, CAST(floor(y / 1000) AS BIGINT) AS j, round(coalesce(sum(length) FILTER (highway <> 'track'), 0) / 1000, 3) AS maj_km, round(coalesce(sum(length) FILTER (highway = 'track'), 0) / 1000, 3) AS min_km FROM d JOIN wt USING (way) GROUP BY ALL")
 def agg5(spark: SparkSession, sf: str) -> DataFrame:
     p = way_pieces(spark, sf).join(ways(spark, sf).select("way", "highway"), "way")
-    km = lambda cond: r6(F.coalesce(F.sum(F.when(cond, F.col("length"))), F.lit(0.0)) / 1000)
+    km = lambda cond: F.round(F.coalesce(F.sum(F.when(cond, F.col("length"))), F.lit(0.0)) / 1000, 3)
     return p.groupBy(geo.cell(F.col("x"), 1000).alias("i"), geo.cell(F.col("y"), 1000).alias("j")).agg(km(F.col("highway") != "track").alias("maj_km"), km(F.col("highway") == "track").alias("min_km"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitewright.functions import rules
 from sitewright.functions import text as tx
 from sitewright.functions.geo import round_significant
 from sitewright.operators import checks
@@ -91,14 +92,16 @@ def txt9(spark: SparkSession, sf: str) -> DataFrame:
     return named(spark, sf).filter(tx.like(F.col("label"), tx.LOOKALIKE)).select("id")
 
 
-LISTED = (("farmers_market", "market"), ("grain_mill", "mill"), ("warehouse", None), ("professional_service", None), ("dairy_farm_supply", "milk_centre"), ("hotel", None), ("tea_manufacturer", "tea_factory"), ("seed_store", "agro_shop"), ("unknown", None))
+LISTED = (("food/shop>farmers_market", "market"), ("farmers_market", "market"), ("grain_mill", "mill"), ("warehouse", None), ("professional_service", None), ("dairy_farm_supply", "milk_centre"), ("hotel", None), ("tea_manufacturer", "tea_factory"), ("seed_store", "agro_shop"), ("unknown", None))
 
 
 @QUERIES.add("txt10_listing_kind", sql("s", "SELECT id, CASE WHEN (id % 10) / 10.0 >= 0.5 THEN [" + ", ".join("NULL" if k is None else f"'{k}'" for _, k in LISTED) + f"][id % {len(LISTED)} + 1] END AS type FROM s"))
 def txt10(spark: SparkSession, sf: str) -> DataFrame:
-    listing = F.to_json(F.struct(F.lit("Plain place").alias("name"), pick([c for c, _ in LISTED], F.col("id")).alias("category"), ((F.col("id") % 10) / 10.0).alias("confidence")))
-    p = sites(spark, sf).select("id", F.from_json(listing, "name string, category string, confidence double").alias("p"))
-    return p.select("id", tx.listing_kind(F.col("p.name"), F.col("p.category"), F.col("p.confidence")).alias("type"))
+    """Listings with a category, or with a hierarchy whose last step says more than the category."""
+    steps = F.split(pick([c for c, _ in LISTED], F.col("id")), "[>]")
+    listing = F.to_json(F.struct(F.lit("Plain place").alias("name"), F.get(steps, F.lit(0)).alias("category"), steps.alias("hierarchy"), ((F.col("id") % 10) / 10.0).alias("confidence")))
+    p = sites(spark, sf).select("id", F.from_json(listing, "name string, category string, hierarchy array<string>, confidence double").alias("p"))
+    return p.select("id", tx.listing_kind(F.col("p.name"), F.col("p.category"), F.col("p.confidence"), F.col("p.hierarchy")).alias("type"))
 
 
 @QUERIES.add("txt11_selected_tags", "SELECT p_partkey AS id, p_name AS name, CAST(2 AS INTEGER) AS kept FROM part")
@@ -133,19 +136,21 @@ def txt14(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), r6(tx.speed_limit(limit)).alias("kph"))
 
 
-@QUERIES.add("txt15_way_policy", """SELECT season, status, count(*) AS n, CAST(round(sum(kph), 4) AS DOUBLE) AS kph FROM (SELECT season, status, CASE WHEN status = 'retained' THEN CASE WHEN p_size % 5 = 0 THEN least(speed, 20) ELSE speed END END AS kph FROM (SELECT p_size, season,
-CASE h WHEN 'primary' THEN 50 WHEN 'track' THEN 15 WHEN 'residential' THEN 20 WHEN 'trunk_link' THEN 40 END * CASE WHEN s = 'asphalt' THEN CASE season WHEN 'dry' THEN 1.0 ELSE 0.9 END WHEN s = 'dirt' THEN CASE season WHEN 'dry' THEN 0.7 END ELSE CASE season WHEN 'dry' THEN 0.8 ELSE 0.5 END END AS speed,
-CASE WHEN h = 'canal' THEN 'unconfigured_highway' WHEN p_partkey % 17 = 0 THEN 'unsupported_restriction_review' WHEN p_partkey % 13 = 0 THEN 'access_restricted_or_unresolved' WHEN s = 'ice' THEN 'surface_unconfigured' WHEN s = 'dirt' AND season = 'wet' THEN 'scenario_impassable' WHEN p_partkey % 11 = 0 THEN 'oneway_unresolved' WHEN p_size % 7 = 0 AND p_size % 5 <> 0 THEN 'maxspeed_unresolved' ELSE 'retained' END AS status
-FROM (SELECT *, ['primary', 'track', 'residential', 'trunk_link', 'canal'][p_partkey % 5 + 1] AS h, ['asphalt', 'dirt', 'UNKNOWN', 'ice'][p_partkey % 4 + 1] AS s FROM part), (SELECT unnest(['dry', 'wet']) AS season))) GROUP BY season, status""")
+@QUERIES.add("txt15_way_policy", """SELECT mode, season, status, count(*) AS n, CAST(round(sum(kph), 4) AS DOUBLE) AS kph FROM (SELECT mode, season, status, CASE WHEN status = 'retained' THEN CASE WHEN p_size % 5 = 0 AND mode <> 'foot' THEN least(speed, 20) ELSE speed END END AS kph FROM (SELECT p_size, mode, season,
+CASE h WHEN 'primary' THEN 50 WHEN 'track' THEN 15 WHEN 'path' THEN 5 WHEN 'trunk_link' THEN 40 END * CASE WHEN s = 'asphalt' THEN CASE season WHEN 'dry' THEN 1.0 ELSE 0.9 END WHEN s = 'dirt' THEN CASE season WHEN 'dry' THEN 0.7 END ELSE CASE season WHEN 'dry' THEN 0.8 ELSE 0.5 END END AS speed,
+CASE WHEN h = 'canal' THEN 'unconfigured_highway' WHEN p_partkey % 17 = 0 THEN 'unsupported_restriction_review' WHEN p_partkey % 13 = 0 THEN 'access_restricted_or_unresolved' WHEN mode = 'strict' THEN 'access_unknown' WHEN s = 'ice' THEN 'surface_unconfigured' WHEN s = 'dirt' AND season = 'wet' THEN 'scenario_impassable' WHEN mode = 'foot' AND p_partkey % 11 = 0 AND h = 'path' THEN 'pedestrian_oneway_ambiguous' WHEN mode <> 'foot' AND p_partkey % 11 = 0 THEN 'oneway_unresolved' WHEN mode <> 'foot' AND p_size % 7 = 0 AND p_size % 5 <> 0 THEN 'maxspeed_unresolved' ELSE 'retained' END AS status
+FROM (SELECT *, ['primary', 'track', 'path', 'trunk_link', 'canal'][p_partkey % 5 + 1] AS h, ['asphalt', 'dirt', 'UNKNOWN', 'ice'][p_partkey % 4 + 1] AS s FROM part), (SELECT unnest(['dry', 'wet']) AS season), (SELECT unnest(['vehicle', 'strict', 'foot']) AS mode))) GROUP BY mode, season, status""")
 def txt15(spark: SparkSession, sf: str) -> DataFrame:
     k, n = F.col("p_partkey"), F.col("p_size")
     pairs = F.array(*[F.struct(F.lit(a).alias("key"), b.alias("value")) for a, b in (
-        ("highway", pick(["primary", "track", "residential", "trunk_link", "canal"], k)), ("surface", pick(["asphalt", "dirt", "UNKNOWN", "ice"], k)), ("maxweight", F.when(k % 17 == 0, "3")),
+        ("highway", pick(["primary", "track", "path", "trunk_link", "canal"], k)), ("surface", pick(["asphalt", "dirt", "UNKNOWN", "ice"], k)), ("maxweight", F.when(k % 17 == 0, "3")),
         ("access", F.when(k % 13 == 0, "private")), ("oneway", F.when(k % 11 == 0, "reversible")), ("maxspeed", F.when(n % 5 == 0, "20").when(n % 7 == 0, "signals")))])
     tags = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
     rows = read(spark, sf, "part").select(tags.alias("tags"))
-    both = rows.select(F.explode(F.array(*[F.struct(F.lit(s).alias("season"), tx.way_policy(F.col("tags"), s).alias("p")) for s in ("dry", "wet")])).alias("x")).select("x.season", "x.p.*")
-    return both.groupBy("season", "status").agg(F.count("*").alias("n"), F.round(F.sum("forward_kph"), 4).alias("kph"))
+    modes = (("vehicle", {}), ("strict", {"missing_access": "exclude"}), ("foot", {"mode": "foot"}))
+    cases = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(s).alias("season"), tx.way_policy(F.col("tags"), s, **how).alias("p")) for m, how in modes for s in ("dry", "wet")])
+    each = rows.select(F.explode(cases).alias("x")).select("x.mode", "x.season", "x.p.*")
+    return each.groupBy("mode", "season", "status").agg(F.count("*").alias("n"), F.round(F.sum("forward_kph"), 4).alias("kph"))
 
 
 @QUERIES.add("txt16_published_number", "SELECT l_orderkey, count(*) FILTER (l_linenumber % 3 <> 0) AS known, CAST(round(coalesce(sum(l_quantity) FILTER (l_linenumber % 3 <> 0), 0), 4) AS DOUBLE) AS total FROM lineitem GROUP BY l_orderkey")
@@ -179,28 +184,30 @@ def txt19(spark: SparkSession, sf: str) -> DataFrame:
 def uni1(spark: SparkSession, sf: str) -> DataFrame:
     u, d = pick(["t", "kt", "kW", "kWh"], F.col("p_partkey")), pick(["mass", "power", "energy"], F.col("p_partkey"))
     period = F.when(F.col("p_size") % 2 == 0, "year")
-    of = F.try_element_at(F.create_map(*[F.lit(x) for kv in {"t": "mass", "kt": "mass", "kW": "power", "kWh": "energy"}.items() for x in kv]), u)
-    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), ((of == d) & (~d.isin("energy", "flow") | period.isNotNull())).alias("consistent"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), rules.unit_consistent(u, d, period).alias("consistent"))
 
 
 @QUERIES.add("uni2_kilotonnes", "SELECT o_orderkey AS id, round(o_totalprice * 1000, 4) AS tonnes, true AS checked FROM orders")
 def uni2(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("o_totalprice") * 1000
-    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(t, 4).alias("tonnes"), (F.abs(t / 1000 - F.col("o_totalprice")) <= 1e-12 * F.abs(F.col("o_totalprice"))).alias("checked"))
+    kt = F.col("o_totalprice")
+    t = rules.converted(kt, F.lit("kt"), F.lit("t"))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(t, 4).alias("tonnes"), rules.conversion_holds(kt, 1000.0, t).alias("checked"))
 
 
-@QUERIES.add("uni3_comparable_difference", "SELECT l_orderkey AS id, count(*) AS n, round(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity - l_tax END), 6) AS diff FROM lineitem GROUP BY l_orderkey")
+@QUERIES.add("uni3_comparable_difference", "SELECT l_orderkey AS id, count(*) AS n, round(sum(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN l_quantity - l_tax END), 6) AS diff FROM lineitem GROUP BY l_orderkey")
 def uni3(spark: SparkSession, sf: str) -> DataFrame:
-    """Differences only where units are the same; others are null, not zero."""
-    l = read(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "A", F.col("l_quantity") - F.col("l_tax")).alias("d"))
+    """Differences only where units and periods are the same; others are null, not zero."""
+    same = ((F.col("l_returnflag"), F.lit("A")), (F.col("l_linestatus"), F.lit("F")))
+    l = read(spark, sf, "lineitem").select("l_orderkey", rules.comparable_difference(F.col("l_quantity"), F.col("l_tax"), *same).alias("d"))
     return l.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), r6(F.sum("d")).alias("diff"))
 
 
-@QUERIES.add("uni4_airflow", "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN NULL ELSE round(p_size * 0.000471947443 / 0.0272155422, 8) END AS m3_s_t, CASE WHEN p_size % 3 = 0 THEN 'basis unknown' END AS reason FROM part")
+@QUERIES.add("uni4_airflow", "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 OR p_size % 5 = 0 THEN NULL ELSE round(p_size * 0.000471947443 / 0.0272155422, 8) END AS m3_s_t, CASE WHEN p_size % 3 = 0 THEN 'basis unknown' WHEN p_size % 5 = 0 THEN 'basis differs' END AS reason FROM part")
 def uni4(spark: SparkSession, sf: str) -> DataFrame:
     """Cubic feet a minute for a bushel of 60 pounds to cubic metres a second for a tonne; null with a reason on another basis."""
-    known = F.col("p_size") % 3 != 0
-    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(known, F.round(F.col("p_size") * 0.000471947443 / 0.0272155422, 8)).alias("m3_s_t"), F.when(~known, "basis unknown").alias("reason"))
+    basis = F.when(F.col("p_size") % 3 == 0, None).when(F.col("p_size") % 5 == 0, "bushel_48lb").otherwise("bushel_60lb")
+    flow = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), rules.airflow(F.col("p_size"), basis).alias("f"))
+    return flow.select("id", F.round("f.value", 8).alias("m3_s_t"), "f.reason")
 
 
 @QUERIES.add("uni5_other_crop", "SELECT o_custkey AS id, round(sum(o_totalprice) - sum(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS other FROM orders GROUP BY o_custkey")
@@ -223,8 +230,7 @@ def uni6(spark: SparkSession, sf: str) -> DataFrame:
 @QUERIES.add("uni7_storage_usable", "SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'unknown' WHEN p_size % 5 = 1 THEN 'unresolved' ELSE 'known' END AS state, CASE WHEN p_size % 5 = 0 THEN 'invalid storage' WHEN p_size % 5 = 1 THEN 'zero storage' END AS issue FROM part")
 def uni7(spark: SparkSession, sf: str) -> DataFrame:
     v = F.when(F.col("p_size") % 5 == 0, -1.0).when(F.col("p_size") % 5 == 1, 0.0).otherwise(F.col("p_retailprice"))
-    bad = v.isNull() | F.isnan(v) | (v < 0)
-    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(bad, "unknown").when(v == 0, "unresolved").otherwise("known").alias("state"), F.when(bad, "invalid storage").when(v == 0, "zero storage").alias("issue"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), rules.storage_state(v).alias("s")).select("id", "s.*")
 
 
 @QUERIES.add("joi1_checked_many_to_one", "SELECT count(*) AS rows_before, count(*) AS rows_after, count(*) FILTER (c_custkey IS NULL OR c_acctbal < 0) AS unmatched FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -233,15 +239,12 @@ def joi1(spark: SparkSession, sf: str) -> DataFrame:
     return checks.many_to_one(read(spark, sf, "orders"), right, "o_custkey", audit=True)
 
 
-@QUERIES.add("joi2_identity_crosswalk", "SELECT s_suppkey AS id, n_name AS name FROM supplier JOIN nation ON s_suppkey = n_nationkey")
+@QUERIES.add("joi2_identity_crosswalk", "SELECT s_suppkey AS id, s_nationkey AS district, s_name AS name FROM supplier")
 def joi2(spark: SparkSession, sf: str) -> DataFrame:
-    """One to one between nations and the suppliers of the same number; a row without its partner would raise."""
-    a, b = read(spark, sf, "supplier").filter("s_suppkey < 25").select(F.col("s_suppkey").alias("id")), read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    left = a.groupBy("id").agg(F.count("*").alias("na"))
-    right = b.groupBy("id").agg(F.count("*").alias("nb"), F.first("name").alias("name"))
-    both = left.join(right.join(left.select("id"), "id", "left_semi"), "id", "full_outer")
-    ok = (F.col("na") == 1) & (F.col("nb") == 1)
-    return both.select("id", F.when(F.coalesce(ok, F.lit(False)), F.col("name")).otherwise(F.raise_error(F.lit("not one to one"))).alias("name"))
+    """One to one between suppliers and the numbers that their names carry; a row without its partner, on either side, would raise."""
+    s = read(spark, sf, "supplier")
+    named = s.select(F.regexp_extract("s_name", "([0-9]+)$", 1).cast("long").alias("id"), F.col("s_name").alias("name"))
+    return checks.one_to_one(s.select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_nationkey").alias("district")), named, "id")
 
 
 @QUERIES.add("joi3_name_join", "WITH a AS (SELECT DISTINCT upper(p_name) AS k FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT upper(p_name) AS k FROM part WHERE p_partkey % 3 = 0) SELECT coalesce(a.k, b.k) AS key, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'matched' END AS status FROM a FULL JOIN b ON a.k = b.k")
@@ -328,9 +331,12 @@ TOP = "t AS (SELECT o_orderkey % 20 AS draw, o_custkey AS site, row_number() OVE
 def two_tops(spark: SparkSession, sf: str) -> DataFrame:
     """(draw, before, after): ten best orders of each draw by two scores, as sets."""
     o = read(spark, sf, "orders").withColumn("draw", F.col("o_orderkey") % 20)
-    rank = lambda v: F.row_number().over(Window.partitionBy("draw").orderBy(F.desc(v), "o_orderkey"))
-    o = o.withColumn("a", rank(F.col("o_totalprice"))).withColumn("b", rank(F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 7) / 20.0))).filter("a <= 10 OR b <= 10")
-    return o.groupBy("draw").agg(F.collect_set(F.when(F.col("a") <= 10, F.col("o_orderkey"))).alias("before"), F.collect_set(F.when(F.col("b") <= 10, F.col("o_orderkey"))).alias("after"))
+
+    def best(v, name: str) -> DataFrame:  # Spark keeps ten of each draw in each task before it shuffles
+        r = F.row_number().over(Window.partitionBy("draw").orderBy(F.desc(v), "o_orderkey"))
+        return o.select("draw", "o_orderkey", r.alias("r")).filter("r <= 10").groupBy("draw").agg(F.collect_set("o_orderkey").alias(name))
+
+    return best(F.col("o_totalprice"), "before").join(best(F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 7) / 20.0), "after"), "draw")
 
 
 TOPS = TOP.replace("o_custkey AS site", "o_orderkey AS site")

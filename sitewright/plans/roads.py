@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import text as tx
 from sitewright.operators import graph, spatial
-from sitewright.operators.checks import small_side
+from sitewright.operators.checks import guarded_sum, small_side
 from sitewright.sources.tables import Queries, buildings, node_points, read, saved, sites, sql, ways
 
 QUERIES = Queries()
@@ -115,9 +115,9 @@ def gra8(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add("gra9_travel_matrix")
 def gra9(spark: SparkSession, sf: str) -> DataFrame:
-    """(origin, site, minutes, status) of the first 20 nodes' origins and sites of kind 0: one search for each site on reversed edges."""
+    """(origin, site, minutes, status) of the origins whose id is divisible by 20 to every site: one search a site on reversed edges."""
     e = timed(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "minutes")
-    src = site_sources(spark, sf).join(sites(spark, sf).filter("kind = 0").select(F.col("id").alias("owner")), "owner").withColumn("site", F.col("owner"))
+    src = saved(site_sources(spark, sf).withColumn("site", F.col("owner")), "site-sources")
     net = graph.shortest(saved(e, "timed"), src.select("site", "v", "t", "owner"), 60.0, ("site",)).select("site", "v", "t")
     o = buildings(spark, sf).filter("id % 20 = 0")
     snap = spatial.nearest(o, node_points(spark, sf), 1500, 750).select(F.col("id").alias("origin"), F.col("other").alias("v"), (F.col("d") * DETOUR / WALK).alias("w"))
@@ -127,8 +127,11 @@ def gra9(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("origin", "site", r6(F.when(status == "reachable", F.col("minutes"))).alias("minutes"), status.alias("status"))
 
 
-@QUERIES.add("gra10_catchment_mask", sql("wn wt np", "").replace("WITH", "WITH RECURSIVE", 1) + EDGES + """, le AS (SELECT src, dst, min(metres) AS m FROM e GROUP BY src, dst), st AS (SELECT id AS unit, id AS v, 0.0::DOUBLE AS t FROM np WHERE id % 25 = 0),
-net(unit, v, t) USING KEY (unit, v) AS (SELECT unit, v, t FROM st UNION SELECT unit, v, min(t) FROM (SELECT net.unit, le.dst AS v, net.t + le.m AS t FROM net JOIN le ON le.src = net.v WHERE net.t + le.m <= 12000) c WHERE NOT EXISTS (SELECT 1 FROM recurring.net o WHERE o.unit = c.unit AND o.v = c.v AND o.t <= c.t) GROUP BY unit, v) SELECT unit, v AS other FROM net WHERE v % 25 = 0""")
+MASK = EDGES + """, le AS (SELECT src, dst, min(metres) AS m FROM e GROUP BY src, dst), st AS (SELECT id AS unit, id AS v, 0.0::DOUBLE AS t FROM np WHERE id % 25 = 0),
+net(unit, v, t) USING KEY (unit, v) AS (SELECT unit, v, t FROM st UNION SELECT unit, v, min(t) FROM (SELECT net.unit, le.dst AS v, net.t + le.m AS t FROM net JOIN le ON le.src = net.v WHERE net.t + le.m <= 12000) c WHERE NOT EXISTS (SELECT 1 FROM recurring.net o WHERE o.unit = c.unit AND o.v = c.v AND o.t <= c.t) GROUP BY unit, v)"""
+
+
+@QUERIES.add("gra10_catchment_mask", sql("wn wt np", "").replace("WITH", "WITH RECURSIVE", 1) + MASK + " SELECT unit, v AS other FROM net WHERE v % 25 = 0")
 def gra10(spark: SparkSession, sf: str) -> DataFrame:
     """(unit, other): road distance between unit vertices within a budget, each unit itself included."""
     e = edges(spark, sf).groupBy("src", "dst").agg(F.min("metres").alias("minutes"))
@@ -137,6 +140,24 @@ def gra10(spark: SparkSession, sf: str) -> DataFrame:
     return net.join(units.select(F.col("v")), "v", "left_semi").select("unit", F.col("v").alias("other"))
 
 
+def masked_production(mask: DataFrame, production: DataFrame, lost: DataFrame) -> DataFrame:
+    """(unit, origins, tonnes): production (other, tonnes) summed over the mask (unit, other); null if any of it is unknown, or if
+    an origin that could not be placed (unit) is near the unit."""
+    near = lost.select("unit").distinct().withColumn("_lost", F.lit(True))
+    g = mask.join(production, "other").groupBy("unit").agg(F.count("*").alias("origins"), guarded_sum(F.col("tonnes")).alias("_t"))
+    out = mask.select("unit").distinct().join(g, "unit", "left").join(near, "unit", "left")
+    return out.select("unit", F.coalesce("origins", F.lit(0)).alias("origins"), F.when(F.col("_lost").isNull(), F.coalesce("_t", F.when(F.col("origins").isNull(), 0.0))).alias("tonnes"))
+
+
+@QUERIES.add("agg17_catchment_production", sql("wn wt np", "").replace("WITH", "WITH RECURSIVE", 1) + MASK + ", k AS (SELECT unit, v AS other FROM net WHERE v % 25 = 0), pr AS (SELECT o_custkey * 25 AS other, round(sum(o_totalprice)) AS t, bool_or(o_orderkey % 97 = 0) AS bad FROM orders GROUP BY 1), lo AS (SELECT DISTINCT o_custkey * 25 AS unit FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 89 = 0), g AS (SELECT unit, count(*) AS n, CASE WHEN NOT bool_or(bad) THEN sum(t) END AS t FROM k JOIN pr USING (other) GROUP BY unit) SELECT u.unit, coalesce(n, 0) AS origins, CASE WHEN lo.unit IS NULL THEN CASE WHEN n IS NULL THEN 0.0 ELSE t END END AS tonnes FROM (SELECT DISTINCT unit FROM k) u LEFT JOIN g USING (unit) LEFT JOIN lo USING (unit)")
+def agg17(spark: SparkSession, sf: str) -> DataFrame:
+    """Production of customers as unit vertices under the road mask of each; some figures are unknown, some origins not placed."""
+    o = read(spark, sf, "orders").withColumn("other", F.col("o_custkey") * 25)
+    production = o.groupBy("other").agg(F.when(~F.bool_or(F.col("o_orderkey") % 97 == 0), F.round(F.sum("o_totalprice"))).alias("tonnes"))
+    lost = o.filter("o_orderpriority = '1-URGENT' AND o_orderkey % 89 = 0").select(F.col("other").alias("unit"))
+    return masked_production(gra10(spark, sf), production, lost)
+
+
 @QUERIES.add("gra11_network_audit", sql("wn wt np", "") + EDGES + ", n AS (SELECT way, count(*) AS k FROM wn GROUP BY way) SELECT CASE WHEN k < 2 THEN 'too_short' WHEN highway = 'track' THEN 'class' ELSE 'retained' END AS status, count(*) AS ways, CAST(sum(k) AS BIGINT) AS nodes FROM n JOIN wt USING (way) GROUP BY 1")
 def gra11(spark: SparkSession, sf: str) -> DataFrame:
     w = ways(spark, sf)

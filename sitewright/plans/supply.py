@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import draws as dw
 from sitewright.functions import energy as en
+from sitewright.functions import rules
 from sitewright.functions.geo import distance
 from sitewright.operators import rank, spatial
 from sitewright.operators.allocation import bounded_equal_shares, nearest_first
@@ -15,16 +16,17 @@ from sitewright.sources.tables import Queries, buildings, read, saved, sites, sq
 QUERIES = Queries()
 r6 = lambda c: F.round(c, 6)
 
-LIMITS = """t AS (SELECT o_custkey % 40 AS region, sum(o_totalprice) / 1000000.0 AS total FROM orders GROUP BY 1), l AS (SELECT p_partkey % 40 AS region, p_partkey AS node, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) / 4 END AS lim FROM part WHERE p_partkey < 2000 AND NOT (p_partkey % 40 < 10 AND p_size % 7 = 0)),
+LIMITS = """t AS (SELECT o_custkey // 50 AS region, sum(o_totalprice) / 1000000.0 AS total FROM orders GROUP BY 1), l AS (SELECT p_partkey // 50 AS region, p_partkey AS node, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) / 4 END AS lim FROM part WHERE NOT (p_partkey // 50 % 4 = 0 AND p_size % 7 = 0)),
 o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY region) AS n, coalesce(sum(lim) OVER (PARTITION BY region ORDER BY lim NULLS LAST, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l JOIN t USING (region) WINDOW w AS (PARTITION BY region ORDER BY lim NULLS LAST, node)),
 v AS (SELECT *, greatest(0, (total - s) / (n - i + 1)) AS level FROM o), a AS (SELECT region, min_by(level, i) AS lv FROM v WHERE lim IS NULL OR lim >= level GROUP BY region),
 sh AS (SELECT region, node, total, CASE WHEN lim IS NULL THEN lv WHEN lv IS NULL THEN lim ELSE least(lim, lv) END AS share FROM v LEFT JOIN a USING (region))"""
 
 
 def regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    t = read(spark, sf, "orders").groupBy((F.col("o_custkey") % 40).alias("region")).agg((F.sum("o_totalprice") / 1000000.0).alias("total"))
-    p = read(spark, sf, "part").filter("p_partkey < 2000 AND NOT (p_partkey % 40 < 10 AND p_size % 7 = 0)")
-    return t, p.select((F.col("p_partkey") % 40).alias("region"), F.col("p_partkey").alias("node"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 4).alias("limit"))
+    """Totals by fifty customers and limits of fifty parts: regions grow in number with the tables. A fourth have no node without a bound."""
+    t = read(spark, sf, "orders").groupBy(F.floor(F.col("o_custkey") / 50).alias("region")).agg((F.sum("o_totalprice") / 1000000.0).alias("total"))
+    p = read(spark, sf, "part").filter("NOT (floor(p_partkey / 50) % 4 = 0 AND p_size % 7 = 0)")
+    return t, p.select(F.floor(F.col("p_partkey") / 50).alias("region"), F.col("p_partkey").alias("node"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 4).alias("limit"))
 
 
 @QUERIES.add("alo1_bounded_equal_shares", f"WITH {LIMITS} SELECT region, node, round(share, 6) AS share FROM sh")
@@ -148,14 +150,25 @@ def dom8(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), r6(F.abs("c_acctbal") * 0.26 * 1.0 * 0.15 * kind).alias("tonnes"))
 
 
-@QUERIES.add("dom9_question", sql("s", "SELECT id, CASE WHEN kind >= 6 THEN 'does a facility exist' WHEN id % 4 = 0 THEN 'grid connection' WHEN id % 5 = 0 THEN 'is the map complete' ELSE 'volume' END AS question FROM s"))
+DRIVERS = ["capture_share", "max_travel_min", "local_variation", "cop", "persons_per_building"]
+GRIDS = ["grid_near", "grid_mid", "grid_not_mapped", "unknown"]
+
+
+@QUERIES.add("dom9_question", sql("s", "SELECT id, main, concat_ws('|', CASE WHEN main <> 'volume' THEN 'volume' END, CASE id % 4 WHEN 0 THEN 'connection size and outages' WHEN 1 THEN 'distance to a connection and plans' WHEN 2 THEN 'what powers the site' END, CASE WHEN id % 3 = 0 THEN 'other places nearby' END) AS more FROM (SELECT id, CASE WHEN kind >= 6 THEN 'whether the place exists' ELSE ['volume', 'how far farmers travel', 'local production against the average', 'volume', 'whether buildings are farming homes'][id % 5 + 1] END AS main FROM s)"))
 def dom9(spark: SparkSession, sf: str) -> DataFrame:
-    return sites(spark, sf).select("id", F.when(F.col("kind") >= 6, "does a facility exist").when(F.col("id") % 4 == 0, "grid connection").when(F.col("id") % 5 == 0, "is the map complete").otherwise("volume").alias("question"))
+    at = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    k = F.col("id")
+    q = rules.question(F.col("kind") < 6, at(DRIVERS, k % 5), at(GRIDS, k % 4), F.when(k % 3 == 0, "thin").otherwise("well"))
+    return sites(spark, sf).select("id", q.alias("q")).select("id", "q.main", F.concat_ws("|", "q.more").alias("more"))
 
 
-@QUERIES.add("dom10_evidence_labels", sql("s", "SELECT id, CASE WHEN kind < 6 THEN 'OBSERVED' ELSE 'INFERRED' END AS location, CASE WHEN id % 7 = 0 THEN 'UNKNOWN' ELSE 'ESTIMATED' END AS demand FROM s"))
+@QUERIES.add("dom10_evidence_labels", sql("b s near", ", n AS (SELECT other AS id, count(*) AS n FROM near WHERE d < 6000 GROUP BY 1) SELECT s.id, CASE WHEN kind < 6 THEN 'OBSERVED' ELSE 'INFERRED' END AS location, CASE WHEN s.id % 7 = 0 OR n.n IS NULL THEN 'UNKNOWN' ELSE 'ESTIMATED' END AS demand FROM s LEFT JOIN n USING (id)").replace(" , n AS", ", n AS"))
 def dom10(spark: SparkSession, sf: str) -> DataFrame:
-    return sites(spark, sf).select("id", F.when(F.col("kind") < 6, "OBSERVED").otherwise("INFERRED").alias("location"), F.when(F.col("id") % 7 == 0, "UNKNOWN").otherwise("ESTIMATED").alias("demand"))
+    """A mapped site is observed; its demand is unknown without people nearby or a figure a head (here missing for a seventh)."""
+    people = spatial.nearest(buildings(spark, sf), sites(spark, sf), 6000, 1500).filter("other IS NOT NULL").groupBy(F.col("other").alias("id")).agg(F.count("*").alias("people"))
+    s = sites(spark, sf).join(people, "id", "left")
+    labels = rules.evidence_labels(F.col("kind") < 6, F.when(F.col("id") % 7 != 0, 0.26), F.col("people"))
+    return s.select("id", labels.alias("l")).select("id", "l.*")
 
 
 @QUERIES.add("dom11_district_production", "WITH d AS (SELECT c_nationkey AS district, n_regionkey AS province, sum(abs(c_acctbal)) AS area, CASE WHEN c_nationkey % 6 <> 0 THEN 1000.0 + c_nationkey * 10 END AS y FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), f AS (SELECT *, coalesce(y, sum(area * y) OVER (PARTITION BY province) / sum(area) FILTER (y IS NOT NULL) OVER (PARTITION BY province)) AS yield FROM d) SELECT district, y IS NULL AS imputed, round(CAST(yield AS DOUBLE), 6) AS yield, round(CAST(area * yield / sum(area * yield) OVER () * 500000 AS DOUBLE), 4) AS tonnes FROM f")
@@ -236,7 +249,7 @@ def simulated(spark: SparkSession, sf: str, draws: int = DRAWS) -> DataFrame:
     a = F.col("n") * F.col("persons") * 0.26 * local * F.col("capture_share") * F.col("type_mult")
     out = en.potato_storage(a, {k: F.col(k) for k in en.MODELS["potato_storage"]}, F.lit(24.0))
     x = x.select("site", "i", "season", "draw", out["kwh_day"].alias("kwh"), out["kw"].alias("kw"), *[k for k, _ in PARAMS], local.alias("local"))
-    return x.withColumn("r", F.row_number().over(Window.partitionBy("season", "draw").orderBy(F.desc("kwh"), "i")))
+    return rank.ranked_within(x, ["season", "draw"], [F.desc("kwh"), "i"], "r")
 
 
 @QUERIES.add("sim5_monte_carlo_ranks")
@@ -262,7 +275,7 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("draw")).select("id", "draw", c.alias("c"))
     v = F.when(~((F.col("id") % 9 == 0) & (F.col("c.tr") == "foot")), (1000 + (F.col("id") * 7919 + F.col("draw") * 31) % 5000) * F.col("c.k"))
     x = s.select("id", "draw", "c.tr", "c.se", v.alias("v"))
-    return x.withColumn("r", F.when(F.col("v").isNotNull(), F.row_number().over(Window.partitionBy("tr", "se", "draw").orderBy(F.col("v").desc_nulls_last(), "id"))))
+    return rank.ranked_within(x, ["tr", "se", "draw"], [F.col("v").desc_nulls_last(), "id"], "r").withColumn("r", F.when(F.col("v").isNotNull(), F.col("r")))
 
 
 @QUERIES.add("sim7_scenario_ensemble", f"WITH {CASES} SELECT tr, se, count(*) AS rows, count(v) AS known, round(CAST(sum(v) AS DOUBLE), 4) AS total FROM rc GROUP BY tr, se")
@@ -311,13 +324,14 @@ def sim10(spark: SparkSession, sf: str) -> DataFrame:
     return swings(spark, sf).select("id", "key", *[F.round(c, 4).alias(c) for c in ("low", "high", "swing")])
 
 
-@QUERIES.add("sim11_rank_sensitivity", "WITH v AS (SELECT key, side, cs FROM (VALUES ('base', 0.15::DOUBLE, 1.0::DOUBLE), ('low', 0.05::DOUBLE, 1.0::DOUBLE), ('local', 0.15::DOUBLE, 0.6::DOUBLE)) AS t(key, cs, k), (SELECT 1 AS side)), x AS (SELECT p_partkey AS id, t.key, row_number() OVER (PARTITION BY t.key ORDER BY p_retailprice * t.cs * CASE WHEN p_partkey = 1999 THEN t.k ELSE 1 END DESC, p_partkey) AS r FROM part, (VALUES ('base', 0.15::DOUBLE, 1.0::DOUBLE), ('low', 0.05::DOUBLE, 1.0::DOUBLE), ('local', 0.15::DOUBLE, 0.6::DOUBLE)) AS t(key, cs, k) WHERE p_partkey < 2000) SELECT a.id, b.key, b.r AS rank, b.r - a.r AS moved FROM x a JOIN x b USING (id) WHERE a.key = 'base' AND a.r <= 3")
+@QUERIES.add("sim11_rank_sensitivity", "WITH v AS (SELECT key, side, cs FROM (VALUES ('base', 0.15::DOUBLE, 1.0::DOUBLE), ('low', 0.05::DOUBLE, 1.0::DOUBLE), ('local', 0.15::DOUBLE, 0.6::DOUBLE)) AS t(key, cs, k), (SELECT 1 AS side)), x AS (SELECT p_partkey AS id, t.key, row_number() OVER (PARTITION BY t.key ORDER BY p_retailprice * t.cs * CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN t.k ELSE 1 END DESC, p_partkey) AS r FROM part, (VALUES ('base', 0.15::DOUBLE, 1.0::DOUBLE), ('low', 0.05::DOUBLE, 1.0::DOUBLE), ('local', 0.15::DOUBLE, 0.6::DOUBLE)) AS t(key, cs, k)) SELECT a.id, b.key, b.r AS rank, b.r - a.r AS moved FROM x a JOIN x b USING (id) WHERE a.key = 'base' AND a.r <= 3")
 def sim11(spark: SparkSession, sf: str) -> DataFrame:
     """Ranks of the three best under each variant, one of which changes a single site."""
     t = spark.createDataFrame([("base", 0.15, 1.0), ("low", 0.05, 1.0), ("local", 0.15, 0.6)], "key string, cs double, k double")
-    p = read(spark, sf, "part").filter("p_partkey < 2000").select(F.col("p_partkey").alias("id"), "p_retailprice").crossJoin(F.broadcast(t))
-    v = F.col("p_retailprice") * F.col("cs") * F.when(F.col("id") == 1999, F.col("k")).otherwise(1.0)
-    x = p.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc(v), "id"))).select("id", "key", "r")
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
+    p = p.crossJoin(F.broadcast(p.agg(F.max("id").alias("last")))).crossJoin(F.broadcast(t))
+    v = F.col("p_retailprice") * F.col("cs") * F.when(F.col("id") == F.col("last"), F.col("k")).otherwise(1.0)
+    x = rank.ranked_within(p.select("id", "key", v.alias("v")), ["key"], [F.desc("v"), "id"], "r").select("id", "key", "r")
     top = x.filter("key = 'base' AND r <= 3").select("id", F.col("r").alias("r0"))
     return x.join(top, "id").select("id", "key", F.col("r").cast("long").alias("rank"), (F.col("r") - F.col("r0")).cast("long").alias("moved"))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitewright.functions import rules
 from sitewright.operators import evaluation as ev
 from sitewright.operators import rank, spatial
 from sitewright.plans.rankings import UNITS, units
@@ -161,24 +160,30 @@ def eva14(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add("eva15_boosted_challenger")
 def eva15(spark: SparkSession, sf: str) -> DataFrame:
-    """Gradient-boosted trees of depth 3, scored on the held-out block 0. Fewer rounds than the published 200 here, as a parameter."""
-    return boosted(cells(spark, sf), 20)
+    """Gradient-boosted trees of depth 3 in 200 rounds, each block scored by the trees of the others."""
+    c = saved(cells(spark, sf), "cells")
+    out = None
+    for b in ev.fold_rows(c, "block"):
+        p = boosted(c, b)
+        out = p if out is None else out.union(p)
+    return out
 
 
-def boosted(c: DataFrame, rounds: int = 200) -> DataFrame:
+def boosted(c: DataFrame, block, rounds: int = 200) -> DataFrame:
+    """(block, i, j, y, p) of a block's cells by trees of all other blocks; checkpoints cut the lineage of rounds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    x = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(saved(c, "cells"))
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxDepth=3, maxIter=rounds, stepSize=0.05, subsamplingRate=0.8, seed=20261012).fit(x.filter("block <> 0"))
-    return model.transform(x.filter("block = 0")).select("i", "j", "y", r6(vector_to_array("probability")[1]).alias("p"))
+    x = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(c)
+    model = GBTClassifier(featuresCol="x", labelCol="y", maxDepth=3, maxIter=rounds, stepSize=0.05, subsamplingRate=0.8, seed=20261012).fit(x.filter(F.col("block") != F.lit(block)))
+    return model.transform(x.filter(F.col("block") == F.lit(block))).select("block", "i", "j", "y", r6(vector_to_array("probability")[1]).alias("p"))
 
 
 @QUERIES.add("eva16_prior_correction", "SELECT s_suppkey AS id, round(1 / (1 + exp(-((s_suppkey % 9 - 4) - ln(9.0::DOUBLE)))), 6) AS p FROM supplier")
 def eva16(spark: SparkSession, sf: str) -> DataFrame:
     """Probability of a margin fitted with balanced classes where there were nine negatives for each positive."""
-    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), r6(1 / (1 + F.exp(-((F.col("s_suppkey") % 9 - 4) - F.log(F.lit(9.0)))))).alias("p"))
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), r6(rules.prior_corrected(F.col("s_suppkey") % 9 - 4, F.lit(9.0), F.lit(1.0))).alias("p"))
 
 
 @QUERIES.add("eva17_brier_and_calibration", f"WITH {UNITS}, t AS (SELECT *, ntile(10) OVER (ORDER BY price, id) AS bin FROM un), g AS (SELECT bin, count(*) AS n, avg(price / 600000) AS p, avg(y) AS o FROM t GROUP BY bin) SELECT round((SELECT avg((price / 600000 - y) * (price / 600000 - y)) FROM un), 8) AS brier, round(sum(n * abs(p - o)) / sum(n), 8) AS ece FROM g")
@@ -192,12 +197,11 @@ def eva17(spark: SparkSession, sf: str) -> DataFrame:
     return u.agg(F.round(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))), 8).alias("brier")).crossJoin(g.agg(F.round(F.sum(F.col("n") * F.abs(F.col("p") - F.col("o"))) / F.sum("n"), 8).alias("ece")))
 
 
-@QUERIES.add("eva18_adoption_rule", "SELECT s_suppkey AS id, CASE WHEN (s_suppkey % 10) / 100.0 >= 0.03 AND s_suppkey % 3 > 0 AND (s_suppkey % 5) / 100.0 <= 0.01 THEN 'ADOPT' ELSE 'KEEP CURRENT' END AS decision FROM supplier")
+@QUERIES.add("eva18_adoption_rule", "SELECT s_nationkey AS district, round(avg(CASE WHEN s_acctbal > 4000 THEN 1.0 ELSE 0.0 END) - 0.5, 6) AS gain, CASE WHEN avg(CASE WHEN s_acctbal > 4000 THEN 1.0 ELSE 0.0 END) - 0.5 >= 0.03::DOUBLE AND min(s_acctbal) > 0 AND abs(avg(s_acctbal) - 5000) / 100000 <= 0.01::DOUBLE THEN 'ADOPT' ELSE 'KEEP CURRENT' END AS decision FROM supplier GROUP BY 1")
 def eva18(spark: SparkSession, sf: str) -> DataFrame:
-    """Three points better, the interval over 0, and calibration no worse by over 0.01."""
-    k = F.col("s_suppkey")
-    ok = ((k % 10) / 100.0 >= 0.03) & (k % 3 > 0) & ((k % 5) / 100.0 <= 0.01)
-    return read(spark, sf, "supplier").select(k.alias("id"), F.when(ok, "ADOPT").otherwise("KEEP CURRENT").alias("decision"))
+    """Three points better, the interval over 0, and calibration no worse by over 0.01: by district, from its balances."""
+    g = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("district")).agg((F.avg((F.col("s_acctbal") > 4000).cast("double")) - 0.5).alias("gain"), F.min("s_acctbal").alias("low"), (F.abs(F.avg("s_acctbal") - 5000) / 100000).alias("change"))
+    return g.select("district", r6("gain").alias("gain"), rules.adopted(F.col("gain"), F.col("low"), F.col("change")).alias("decision"))
 
 
 def importance(spark: SparkSession, sf: str, repeats: int = 5) -> DataFrame:
@@ -220,7 +224,7 @@ def importance(spark: SparkSession, sf: str, repeats: int = 5) -> DataFrame:
 
 @QUERIES.add("eva19_permutation_importance")
 def eva19(spark: SparkSession, sf: str) -> DataFrame:
-    return importance(spark, sf, 1)
+    return importance(spark, sf)
 
 
 @QUERIES.add("eva20_importance_agreement", "WITH a AS (SELECT p_size AS f, avg(p_retailprice) AS a, sum(p_partkey % 17) AS b FROM part GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS y FROM a) SELECT round(corr(x, y), 6) AS rho FROM r")
@@ -229,12 +233,12 @@ def eva20(spark: SparkSession, sf: str) -> DataFrame:
     return rank.spearman(a, "a", "b").select(r6("rho").alias("rho"))
 
 
-@QUERIES.add("eva21_reproduction_gate", "SELECT count(*) AS n, true AS reproduced FROM orders")
+@QUERIES.add("eva21_reproduction_gate", "SELECT year(o_orderdate) AS year, count(*) AS n, sum(CASE WHEN abs(o_totalprice - coalesce(v, 0)) <= 1000 THEN 1 ELSE 0 END) = count(*) AS reproduced FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS v FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
 def eva21(spark: SparkSession, sf: str) -> DataFrame:
-    """A recorded number made again before a challenger is scored: the sum in cents, summed two ways."""
-    o = read(spark, sf, "orders").withColumn("c", F.round(F.col("o_totalprice") * 100).cast("long"))
-    again = o.groupBy("o_custkey").agg(F.sum("c").alias("c")).agg(F.sum("c").alias("again"))
-    return o.agg(F.count("*").alias("n"), F.sum("c").alias("one")).crossJoin(again).select("n", (F.col("one") == F.col("again")).alias("reproduced"))
+    """Recorded totals of orders made again from their lines, before a challenger is scored: by year, whether all are."""
+    v = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("v"))
+    o = read(spark, sf, "orders").join(v, "o_orderkey", "left")
+    return o.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"), F.bool_and(rules.reproduced(F.coalesce("v", F.lit(0.0)), F.col("o_totalprice"), 1000.0)).alias("reproduced"))
 
 
 BOYCE = f"WITH {UNITS}, l AS (SELECT min(score) AS lo, max(score) AS hi FROM un), w AS (SELECT k, lo + (hi - lo) * 0.05::DOUBLE + (hi - lo) * 0.9::DOUBLE * k / 20 AS c, (hi - lo) * 0.05::DOUBLE AS half FROM l, (SELECT unnest(range(0, 21)) AS k)), e AS (SELECT k, avg(CASE WHEN score >= c - half AND score <= c + half THEN 1.0::DOUBLE ELSE 0 END) AS ex, sum(CASE WHEN score >= c - half AND score <= c + half THEN y ELSE 0 END) / CAST(sum(y) AS DOUBLE) AS pr FROM un, w GROUP BY k)"
@@ -263,10 +267,17 @@ def eva22b(spark: SparkSession, sf: str) -> DataFrame:
     return rank.spearman(b.select("k", F.round("ratio", 9).alias("ratio")), "k", "ratio").select(r6("rho").alias("boyce"))
 
 
-@QUERIES.add("eva23_hindcast_metrics", "SELECT count(*) AS n, round(avg(abs(o_totalprice - p)), 4) AS mae, round(avg(p - o_totalprice), 4) AS bias, round(sum(p) / sum(o_totalprice), 6) AS ratio FROM (SELECT *, 200000 + (o_custkey % 100) * 1000.0::DOUBLE AS p FROM orders WHERE o_orderstatus <> 'P')")
+HIND = "h AS (SELECT o_orderkey AS id, o_totalprice AS o, 200000 + (o_custkey % 100) * 1000.0::DOUBLE AS p FROM orders WHERE o_orderstatus <> 'P'), m AS (SELECT *, rank() OVER (ORDER BY o) + (count(*) OVER (PARTITION BY o) - 1) / 2.0 AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS b, row_number() OVER (ORDER BY o DESC, id) AS ro, row_number() OVER (ORDER BY p DESC, id) AS rp, ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS k FROM h)"
+
+
+@QUERIES.add("eva23_hindcast_metrics", f"WITH {HIND} SELECT count(*) AS n, round(avg(abs(o - p)), 4) AS mae, round(avg(p - o), 4) AS bias, round(sum(p) / sum(o), 6) AS ratio, round(corr(a, b), 6) AS rho, round(count(*) FILTER (ro <= k AND rp <= k) / max(k), 6) AS top_recall FROM m")
 def eva23(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders").filter("o_orderstatus <> 'P'").withColumn("p", 200000 + (F.col("o_custkey") % 100) * 1000.0)
-    return o.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("o_totalprice") - F.col("p"))), 4).alias("mae"), F.round(F.avg(F.col("p") - F.col("o_totalprice")), 4).alias("bias"), r6(F.sum("p") / F.sum("o_totalprice")).alias("ratio"))
+    """Errors of predicted volumes, their rank correlation, and how much of the fifth with most volume is predicted to be in it."""
+    o = read(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("o"), (200000 + (F.col("o_custkey") % 100) * 1000.0).alias("p"))
+    r = rank.ranked(rank.ranked(o, [F.desc("o"), "id"], "ro"), [F.desc("p"), "id"], "rp").crossJoin(F.broadcast(o.agg(F.ceil(F.count("*") * F.lit(0.2)).alias("k"))))
+    top = r.agg(r6(F.count_if((F.col("ro") <= F.col("k")) & (F.col("rp") <= F.col("k"))) / F.max("k")).alias("top_recall"))
+    plain = o.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("o") - F.col("p"))), 4).alias("mae"), F.round(F.avg(F.col("p") - F.col("o")), 4).alias("bias"), r6(F.sum("p") / F.sum("o")).alias("ratio"))
+    return plain.crossJoin(rank.spearman(o, "o", "p").select(r6("rho").alias("rho"))).crossJoin(top)
 
 
 @QUERIES.add("eva24_label_audit")
@@ -331,14 +342,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "conversations")
     contact = F.when(F.col("turn") % 7 == 6, "declined").when(F.col("turn") % 5 == 4, "unreachable").otherwise("completed")
     facts = {"node_absent": F.when(F.col("conv_id") % 11 != 0, F.col("conv_id") % 13 == 0), "undocumented_supply": F.when(F.col("turn") % 4 != 3, F.col("conv_id") % 5 == 0), "requirement_negligible": F.col("role") == "system"}
-    return c.select(F.col("conv_id").alias("site"), "turn", "role", contact.alias("contact"), ordered_outcome(contact, facts).alias("outcome"))
-
-
-def ordered_outcome(contact, facts: dict):
-    out = F.when(contact != "completed", contact)
-    for name, fact in facts.items():
-        out = out.when(fact.isNull(), "unknown").when(fact, name)
-    return out.otherwise("confirmed")
+    return c.select(F.col("conv_id").alias("site"), "turn", "role", contact.alias("contact"), rules.ordered_outcome(contact, facts).alias("outcome"))
 
 
 @QUERIES.add("ver2_outcome_classes", f"WITH {OBS} SELECT site, turn, outcome FROM oc")
@@ -349,18 +353,12 @@ def ver2(spark: SparkSession, sf: str) -> DataFrame:
 Z2 = 1.959963984540054**2
 
 
-def wilson(k, n, sign: int):
-    z = math.sqrt(Z2)
-    p = k / n
-    return (p + Z2 / (2 * n) + sign * z * F.sqrt(p * (1 - p) / n + Z2 / (4 * n * n))) / (1 + Z2 / n)
-
-
 @QUERIES.add("ver3_group_summary", f"WITH {OBS}, g AS (SELECT turn % 3 AS grp, count(*) AS n, count(*) FILTER (outcome IN ('confirmed', 'node_absent', 'undocumented_supply', 'requirement_negligible')) AS r, count(*) FILTER (outcome = 'confirmed') AS k FROM oc GROUP BY 1) SELECT grp, n, r AS resolved, k AS confirmed, round((k / CAST(r AS DOUBLE) + {Z2!r}::DOUBLE / (2 * r) - sqrt({Z2!r}::DOUBLE) * sqrt(k / CAST(r AS DOUBLE) * (1 - k / CAST(r AS DOUBLE)) / r + {Z2!r}::DOUBLE / (4 * r * r))) / (1 + {Z2!r}::DOUBLE / r), 6) AS low, round(k / CAST(n AS DOUBLE), 6) AS bound_low, round((k + n - r) / CAST(n AS DOUBLE), 6) AS bound_high, CASE WHEN n = r THEN round(k / CAST(n AS DOUBLE), 6) END AS precision_at_k FROM g")
 def ver3(spark: SparkSession, sf: str) -> DataFrame:
     done = F.col("outcome").isin("confirmed", "node_absent", "undocumented_supply", "requirement_negligible")
     g = observations(spark, sf).groupBy((F.col("turn") % 3).alias("grp")).agg(F.count("*").alias("n"), F.count_if(done).alias("resolved"), F.count_if(F.col("outcome") == "confirmed").alias("confirmed"))
     k, n, r = F.col("confirmed"), F.col("n"), F.col("resolved")
-    return g.select("grp", "n", "resolved", "confirmed", r6(F.when(r > 0, wilson(k, r, -1))).alias("low"), r6(k / n).alias("bound_low"), r6((k + n - r) / n).alias("bound_high"), r6(F.when(n == r, k / n)).alias("precision_at_k"))
+    return g.select("grp", "n", "resolved", "confirmed", r6(F.when(r > 0, rules.wilson(k, r, -1))).alias("low"), r6(k / n).alias("bound_low"), r6((k + n - r) / n).alias("bound_high"), r6(F.when(n == r, k / n)).alias("precision_at_k"))
 
 
 @QUERIES.add("ver4_arm_comparison", f"WITH {OBS}, f AS (SELECT site, count(*) FILTER (outcome = 'confirmed') AS k, bool_or(outcome = 'undocumented_supply') AS u, bool_or(outcome = 'requirement_negligible') AS q FROM oc WHERE contact = 'completed' GROUP BY site) SELECT count(*) AS common, count(*) FILTER (k > 0 AND site % 2 = 0) AS arm_a, count(*) FILTER (k > 0 AND site % 3 = 0) AS arm_b, count(*) FILTER (u AND q) AS both_failures FROM f")

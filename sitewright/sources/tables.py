@@ -35,16 +35,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Buildings, sites and road nodes in a strip of 20 km; more of them lie in the next strips, 25 km apart, so that places don't get denser.
+BUILDINGS, SITES, NODES, STRIP = 15_000, 1_000, 20_000, 25_000.0
+
+
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, x, y, roof, source, nation)."""
     c = read(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 7919) % 20011).cast("double").alias("x"), ((F.col("c_custkey") * 104729) % 20021).cast("double").alias("y"), (F.abs("c_acctbal") / 10).alias("roof"), F.col("c_mktsegment").alias("source"), F.col("c_nationkey").alias("nation"))
+    return c.select(F.col("c_custkey").alias("id"), (((F.col("c_custkey") * 7919) % 20011) + F.floor(F.col("c_custkey") / BUILDINGS) * STRIP).alias("x"), ((F.col("c_custkey") * 104729) % 20021).cast("double").alias("y"), (F.abs("c_acctbal") / 10).alias("roof"), F.col("c_mktsegment").alias("source"), F.col("c_nationkey").alias("nation"))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, x, y, kind, district, name)."""
     s = read(spark, sf_dir, "supplier")
-    return s.select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") * 6151) % 20011).cast("double").alias("x"), ((F.col("s_suppkey") * 15013) % 20021).cast("double").alias("y"), (F.col("s_suppkey") % 8).cast("int").alias("kind"), F.col("s_nationkey").alias("district"), F.col("s_name").alias("name"))
+    return s.select(F.col("s_suppkey").alias("id"), (((F.col("s_suppkey") * 6151) % 20011) + F.floor(F.col("s_suppkey") / SITES) * STRIP).alias("x"), ((F.col("s_suppkey") * 15013) % 20021).cast("double").alias("y"), (F.col("s_suppkey") % 8).cast("int").alias("kind"), F.col("s_nationkey").alias("district"), F.col("s_name").alias("name"))
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,28 +62,28 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(way, highway, surface, nodes): orders of three lines or more as roads over part keys, at most 500 of them as nodes."""
+    """(way, highway, surface, nodes): orders of three lines or more as roads over part keys."""
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").distinct()
     rows = l.groupBy(F.col("l_orderkey").alias("way")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("_n"), F.min("l_returnflag").alias("_f"), F.min("l_linestatus").alias("_s"))
     highway = F.when(F.col("_f") == "A", "primary").when(F.col("_f") == "N", "tertiary").otherwise("track")
     surface = F.when(F.col("_s") == "F", "asphalt").otherwise("dirt")
-    return rows.select("way", highway.alias("highway"), surface.alias("surface"), F.transform("_n", lambda n: n["l_partkey"] % 500).alias("nodes"))
+    return rows.select("way", highway.alias("highway"), surface.alias("surface"), F.transform("_n", lambda n: n["l_partkey"]).alias("nodes"))
 
 
 def node_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, x, y) of the 500 road nodes."""
-    p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 500).alias("id")).distinct()
-    return p.select("id", ((F.col("id") * 7351) % 20011).cast("double").alias("x"), ((F.col("id") * 9293) % 20021).cast("double").alias("y"))
+    """(id, x, y) of the road nodes, one a part."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return p.select("id", (((F.col("id") * 7351) % 20011) + F.floor(F.col("id") / NODES) * STRIP).alias("x"), ((F.col("id") * 9293) % 20021).cast("double").alias("y"))
 
 
 #: The same tables in DuckDB's SQL, by name.
 SQL = {
-    "b": "b AS (SELECT c_custkey AS id, CAST((c_custkey * 7919) % 20011 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 20021 AS DOUBLE) AS y, abs(c_acctbal) / 10 AS roof, c_mktsegment AS source, c_nationkey AS nation FROM customer)",
-    "s": "s AS (SELECT s_suppkey AS id, CAST((s_suppkey * 6151) % 20011 AS DOUBLE) AS x, CAST((s_suppkey * 15013) % 20021 AS DOUBLE) AS y, CAST(s_suppkey % 8 AS INTEGER) AS kind, s_nationkey AS district, s_name AS name FROM supplier)",
+    "b": "b AS (SELECT c_custkey AS id, CAST((c_custkey * 7919) % 20011 + c_custkey // 15000 * 25000 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 20021 AS DOUBLE) AS y, abs(c_acctbal) / 10 AS roof, c_mktsegment AS source, c_nationkey AS nation FROM customer)",
+    "s": "s AS (SELECT s_suppkey AS id, CAST((s_suppkey * 6151) % 20011 + s_suppkey // 1000 * 25000 AS DOUBLE) AS x, CAST((s_suppkey * 15013) % 20021 AS DOUBLE) AS y, CAST(s_suppkey % 8 AS INTEGER) AS kind, s_nationkey AS district, s_name AS name FROM supplier)",
     "z": "z AS (SELECT n_nationkey AS zone, n_regionkey AS region, CAST((n_nationkey % 5) * 4000 AS DOUBLE) AS x0, CAST((n_nationkey // 5) * 4000 AS DOUBLE) AS y0, n_nationkey % 7 = 0 AS holed FROM nation)",
-    "wn": "wn AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_partkey % 500 AS node FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem))",
+    "wn": "wn AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_partkey AS node FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem))",
     "wt": "wt AS (SELECT l_orderkey AS way, CASE min(l_returnflag) WHEN 'A' THEN 'primary' WHEN 'N' THEN 'tertiary' ELSE 'track' END AS highway, CASE min(l_linestatus) WHEN 'F' THEN 'asphalt' ELSE 'dirt' END AS surface FROM lineitem GROUP BY l_orderkey)",
-    "np": "np AS (SELECT id, CAST((id * 7351) % 20011 AS DOUBLE) AS x, CAST((id * 9293) % 20021 AS DOUBLE) AS y FROM (SELECT DISTINCT p_partkey % 500 AS id FROM part))",
+    "np": "np AS (SELECT p_partkey AS id, CAST((p_partkey * 7351) % 20011 + p_partkey // 20000 * 25000 AS DOUBLE) AS x, CAST((p_partkey * 9293) % 20021 AS DOUBLE) AS y FROM part)",
     "iz": "iz AS (SELECT p.id, z.zone FROM b p, z WHERE p.x >= x0 AND p.x < x0 + 4100 AND p.y >= y0 AND p.y < y0 + 4100 AND NOT (holed AND p.x >= x0 + 1000 AND p.x < x0 + 2000 AND p.y >= y0 + 1000 AND p.y < y0 + 2000))",
     "near": "near AS (SELECT id, o.other, o.d FROM (SELECT b.id, min_by(struct_pack(other := s.id, d := sqrt((b.x-s.x)*(b.x-s.x)+(b.y-s.y)*(b.y-s.y))), (sqrt((b.x-s.x)*(b.x-s.x)+(b.y-s.y)*(b.y-s.y)), s.id)) AS o FROM b, s GROUP BY b.id))",
 }
