@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -137,59 +137,68 @@ def parity(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, ids: DataFrame, repeats: bool) -> DataFrame:
-    """(node, size, hashes, odd): the distinct shingle hashes, in order, of the rows in ids (node, _doc, _t), and their
-    parity bits; one row a node. repeats: whether docs may have several rows of one id and text."""
+    """(node, size, hashes, odd): the number of distinct shingles, the `take` smallest hashes in order, and parity bits of all,
+    of the rows in ids (node, _doc, _t, take); one row a node. repeats: whether docs may have several rows of one id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text", 4 << 20):
                 sets = [distinct_shingles(t, words) for t in batch.column(1).to_pylist()]
-                odd = [parity(h) for h in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["node", "size", "hashes", "odd"])
+                parts = [h[:n] for h, n in zip(sets, batch.column(2).to_pylist())]
+                hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+                odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITY // 64), pa.int32()), pa.array(np.concatenate([parity(h) for h in sets])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), hashes, odd], names=["node", "size", "hashes", "odd"])
 
     rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(text).alias("_t"), F.col(text).cast("string").alias("_text"))
-    rows = rows.join(small_side(ids, BROADCAST_ROWS), ["_doc", "_t"]).select("node", "_text")
+    rows = rows.join(small_side(ids, BROADCAST_ROWS), ["_doc", "_t"]).select("node", "_text", "take")
     sets = rows.mapInArrow(run, "node long, size long, hashes array<long>, odd array<long>")
     return written(sets.dropDuplicates(["node"]) if repeats else sets, "shingle-sets")
 
 
-def rare_prefixes(sets: DataFrame, counts: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """(node, size, pos, token): each set's prefix, with places from 0, in an order in which tokens of many sets come last, the most frequent at the end.
-
-    sets (node, size, hashes) are in the order of their hashes; counts (token, n) says how many sets have a token among
-    the smallest of that order. Tokens over `hot` there, and those over `hot` in all of the sets that hold such a one
-    there, come last; so a passage that many documents share brings them together only where they have little else.
-    """
-    first = lambda c: F.posexplode(F.slice(c, 1, prefix_size(F.col("size"), similarity))).alias("pos", "token")
-    known = written(counts.filter(F.col("n") > hot).select("token", "n"), "hot-tokens")
+def rare_prefixes(sets: DataFrame, known: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float, hot: int) -> DataFrame:
+    """(node, size, pos, token): each set's prefix, with places from 0, in an order in which tokens of many sets come last, the
+    most frequent at the end.
+
+    sets (node, size, hashes) hold the smallest hashes of each set, more than the prefix where some of those are known
+    (token, n) to be of over `hot` sets; what of the further ones is of so many becomes known, too. So a passage that many
+    documents share brings them together only where they have little else. Sets whose tokens here are nearly all known ones
+    are asked for whole."""
+    size = prefix_size(F.col("size"), similarity)
+    first = lambda c: F.posexplode(F.slice(c, 1, size)).alias("pos", "token")
+    more = sets.filter(F.size("hashes") > size).select(F.explode(F.slice("hashes", size + 1, F.size("hashes"))).alias("token"))
+    more = more.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    known = written(known.union(more).groupBy("token").agg(F.max("n").alias("n")), "hot-tokens")
+    tokens = small_side(known, BROADCAST_ROWS)
     plain = sets.select("node", "size", first("hashes"))
-    if known.isEmpty():
-        return plain
-    holders = lambda tokens: plain.select("node", "token").join(small_side(tokens.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
-    within = sets.join(small_side(holders(known), BROADCAST_ROWS), "node").select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    known = written(known.union(within).groupBy("token").agg(F.max("n").alias("n")), "hot-tokens")
-    moved = written(holders(known), "hot-sets")
-    late = sets.join(small_side(moved, BROADCAST_ROWS), "node")
-    late = late.select("node", F.explode("hashes").alias("token")).join(small_side(known, BROADCAST_ROWS), "token").groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("late"))
-    order = F.concat(F.array_except("hashes", "late"), "late")
-    changed = sets.join(small_side(moved, BROADCAST_ROWS), "node", "left_semi").join(late, "node").select("node", "size", first(order))
-    return sets.join(small_side(moved, BROADCAST_ROWS), "node", "left_anti").select("node", "size", first("hashes")).union(changed)
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    moved = written(plain.select("node", "token").join(tokens, "token").select("node").distinct(), "hot-sets")
+
+    def late_of(df: DataFrame) -> DataFrame:
+        """(node, late): the known tokens of sets, in their order."""
+        rows = df.select("node", F.explode("hashes").alias("token")).join(tokens, "token")
+        return rows.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("late"))
+
+    holders = sets.join(small_side(moved, BROADCAST_ROWS), "node", "left_semi")
+    changed = holders.join(late_of(holders), "node").select("node", "size", F.array_except("hashes", "late").alias("rare"))
+    changed = written(changed, "rare-tokens")
+    full = whole(changed.filter(F.size("rare") < size).select("node"))
+    full = full.join(late_of(full), "node").select("node", "size", first(F.concat(F.array_except("hashes", "late"), "late")))
+    kept = sets.join(small_side(moved, BROADCAST_ROWS), "node", "left_anti").select("node", "size", first("hashes"))
+    return kept.union(changed.filter(F.size("rare") >= size).select("node", "size", first("rare"))).union(full)
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets' common part is at least so large a share of their union.
 
     Two parity bits differ for a hash that one set alone has, so sets differ in at least as many hashes as their parities
-    in bits; pairs that differ in too many go before whole sets are moved."""
-    side = lambda c, *more: sets.select(F.col("node").alias(c), *[F.col(m).alias(f"_{c}_{m}") for m in more])
-    both = pairs.join(side("a", "size", "odd"), "a").join(side("b", "size", "odd"), "b")
+    in bits; only pairs that do not differ in too many have their whole sets made and moved."""
+    side = lambda df, c, *more: df.select(F.col("node").alias(c), *[F.col(m).alias(f"_{c}_{m}") for m in more])
+    both = pairs.join(side(sets, "a", "size", "odd"), "a").join(side(sets, "b", "size", "odd"), "b")
     bits = F.aggregate(F.zip_with("_a_odd", "_b_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = both.filter(bits <= (F.col("_a_size") + F.col("_b_size")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
     close = written(close.select("a", "b", (F.col("_a_size") + F.col("_b_size")).alias("_sum")), "close-pairs")
-    ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    sets = sets.join(small_side(ends, BROADCAST_ROWS), "node", "left_semi")
-    whole = close.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").withColumn("_common", F.size(F.array_intersect("_a_hashes", "_b_hashes")))
-    return whole.filter(F.col("_common") >= F.lit(similarity) * (F.col("_sum") - F.col("_common")) - 1e-9).select("a", "b")
+    full = whole(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
+    pair = close.join(side(full, "a", "hashes"), "a").join(side(full, "b", "hashes"), "b").withColumn("_common", F.size(F.array_intersect("_a_hashes", "_b_hashes")))
+    return pair.filter(F.col("_common") >= F.lit(similarity) * (F.col("_sum") - F.col("_common")) - 1e-9).select("a", "b")
 
 
 def may_reach(similarity: float) -> Column:
@@ -224,12 +233,19 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     nodes = written(rows.groupBy("d0", "d1").agg(*firsts), "shingle-nodes")
     tokens = nodes.select(F.explode("prefix").alias("token"), "node")
     counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "prefix-counts")
+    known = written(counts.filter(F.col("n") > hot), "hot-tokens")
     met = tokens.join(small_side(counts.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
-    keys = rows.select(F.col("_row").alias("node"), "_doc", "_t", "fp").join(met, "node")
-    keys = written(keys, "shingle-keys")
+    many = tokens.join(small_side(known.select("token"), BROADCAST_ROWS), "token").groupBy("node").agg(F.count("*").alias("_hot"))
+    keys = rows.select(F.col("_row").alias("node"), "_doc", "_t", "fp", "size").join(met, "node").join(many, "node", "left")
+    take = prefix_size(F.col("size"), similarity) + 4 * F.coalesce("_hot", F.lit(0))
+    keys = written(keys.select("node", "_doc", "_t", "fp", take.cast("int").alias("take")), "shingle-keys")
     repeats = not rows.groupBy("_doc", "_t").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     sets = shingle_sets(docs, doc_id, text, words, keys.drop("fp"), repeats)
-    tokens = written(rare_prefixes(sets, counts, similarity, hot), "rare-prefixes")
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return shingle_sets(docs, doc_id, text, words, keys.join(ids, "node", "left_semi").select("node", "_doc", "_t", F.lit((1 << 31) - 1).alias("take")), repeats)
+
+    tokens = written(rare_prefixes(sets, known, whole, similarity, hot), "rare-prefixes")
     shared = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "shared-tokens")
     before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1  # of a node's prefix: bounded by its text
     met = tokens.join(small_side(shared, BROADCAST_ROWS), "token").withColumn("miss", F.col("pos") - before).withColumn("component", F.col("node"))
@@ -251,7 +267,7 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         pairs = (pairs if turn else pairs.union(near.filter("a <> b"))).select(*pair).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-candidates")
         tried = pairs if tried is None else tried.union(pairs)
-        found = written(similar_pairs(pairs, sets, similarity), "similar-links")
+        found = written(similar_pairs(pairs, sets, whole, similarity), "similar-links")
         links = found if links is None else links.union(found)
         groups = components(links)
         now = met.drop("component").join(groups, F.col("node") == F.col("id"), "left").select("token", "node", "size", "pos", "miss", F.coalesce("component", "node").alias("component"))
