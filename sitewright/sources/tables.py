@@ -9,7 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _own: dict[str, str] = {}
+_saved: dict[str, list[str]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    path, schema = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}"), df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing.
+
+    Shuffle files of the write go once it has ended, as nothing reads them again; otherwise they would stay until the
+    driver happens to collect garbage, and the disk would hold those of all steps at once. Python gets a few MB of rows at
+    a time, as texts may be long."""
+    spark = df.sparkSession
+    path, schema = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}"), df.schema
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    _saved.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables of saved() in this session; call it once results are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _saved.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 #: Buildings, sites and road nodes in a strip of 20 km; more of them lie in the next strips, 25 km apart, so that places don't get denser.
