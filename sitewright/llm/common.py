@@ -2,62 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.sources.tables import WHILE_WRITING, release
+from sitewright.sources.tables import saved as written
+
+__all__ = ["NULL_ID", "ascii_lower", "doc_key", "key_back", "release", "slices", "small_batches", "small_side", "written"]
+
 #: A null id stands for one document before all others.
 NULL_ID = -(2**63)
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-_local: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session may lack the setting; it gets a folder of its own."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="sitewright-")
-    return _local[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors lose nothing.
-
-    Shuffle files of the write go once it has ended, as nothing reads them again; otherwise they would stay until the
-    driver happens to collect garbage, and the disk would hold those of all steps at once. Python gets a few MB of rows at
-    a time, as texts may be long."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    schema, before = df.schema, {k: spark.conf.get(k, None) for k in WHILE_WRITING}
-    for k, v in WHILE_WRITING.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all tables of written() in this session; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
 
 
 def small_side(df: DataFrame, most: int) -> DataFrame:
@@ -65,6 +23,17 @@ def small_side(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df as it is; from now on its session hands Python at most 8 MB of rows at a time, unless it is set to less.
+
+    Texts may be long: the default of 64 MB stands several times in memory, in both processes, for each task. The setting is
+    the session's, as it counts when the rows are computed."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key) in ("67108864b", "64m", "-1", "-1b"):
+        conf.set(key, WHILE_WRITING[key])
+    return df
+
+
 def doc_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
@@ -74,7 +43,8 @@ def key_back(column: str) -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case, all else as it is. Texts of ASCII alone, which have a byte a character, take the faster way."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

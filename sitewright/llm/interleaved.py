@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small_batches, written
 
 #: Samples in a row of a stored image, and copies over which references to one digest are dealt.
 WIDTH, SALTS = 192, 64
@@ -188,7 +188,7 @@ def interleave(pages: DataFrame, key: str, html: str, texts: bool = True) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, kind), pa.array(chars, pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said])], names=[key, "items", "n_chars", "text_sha256"])
 
     rows = pages.select(F.col(key), F.col(html).cast("string").alias("_html"))
-    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, items {ITEMS}, n_chars long, text_sha256 string")
+    return small_batches(rows).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, items {ITEMS}, n_chars long, text_sha256 string")
 
 
 def media_store(payloads: DataFrame, digest: str, payload: str, near: str | None = None) -> DataFrame:
@@ -204,7 +204,7 @@ def media_store(payloads: DataFrame, digest: str, payload: str, near: str | None
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([encode_png(x.as_py()) for x in batch.column(2)], pa.binary())], names=["digest", "salt", "media"])
 
     rows = payloads.select(F.col(digest).alias("digest"), salt.alias("salt"), F.col(payload).alias("_payload"))
-    return rows.mapInArrow(run, "digest string, salt int, media binary").groupBy("digest", "salt").agg(F.first("media").alias("media"))
+    return small_batches(rows).mapInArrow(run, "digest string, salt int, media binary").groupBy("digest", "salt").agg(F.first("media").alias("media"))
 
 
 def media_references(sequences: DataFrame, key: str, near: str | None = None) -> DataFrame:

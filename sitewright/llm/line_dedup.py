@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_back, small_side, slices, written
+from .common import doc_key, key_back, slices, small_batches, small_side, written
 
 #: Levels of the hash; keys that none of them places are kept in a list. Bits of a level for each key it gets.
 LEVELS, SPACE = 24, 1.5
@@ -193,5 +193,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
                         x.append(v)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n - 2)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=[*batch.schema.names[: n - 2], "n_lines", "n_dropped", "kept"])
 
-    out = rows.mapInArrow(keep, ", ".join([*(f"`{c}` {kinds[c]}" for c in also), "_doc long", "n_lines long", "n_dropped long", "kept string"]))
+    out = small_batches(rows).mapInArrow(keep, ", ".join([*(f"`{c}` {kinds[c]}" for c in also), "_doc long", "n_lines long", "n_dropped long", "kept string"]))
     return out.select(key_back("_doc").alias("doc_id"), "n_lines", "n_dropped", "kept", *also)

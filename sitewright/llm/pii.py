@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_back, slices
+from .common import doc_key, key_back, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels: none of the kinds, or one of them. Buckets of a token's shape. Characters between tokens that are neighbours.
@@ -244,5 +244,6 @@ def find_personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", te
                 counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(spell(b).encode()).hexdigest() for b in base]), pa.array([spell(s) for s in every]), pa.array([len(s) - len(b) for s, b in zip(every, base)], pa.int64())], names=["_doc", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    out = docs.select(doc_key(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_doc long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    out = docs.select(doc_key(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text"))
+    out = small_batches(out).mapInArrow(run, "_doc long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
     return out.select(key_back("_doc").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")

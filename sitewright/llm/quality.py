@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_back, slices
+from .common import doc_key, key_back, slices, small_batches
 
 #: Bytes of a filter, of a step, of a segment; segments of a chunk and from one chunk to the next (so that chunks overlap).
 WIDTH, STEP, SEGMENT, CHUNK, HOP = 8, 2, 64, 4, 3
@@ -197,5 +197,5 @@ def score_quality(docs: DataFrame, net: Network | None, doc_id: str = "doc_id",
     more = [c for c in also if c != text]
     rows = docs.select(F.col(text).cast("string").alias("_text"), doc_key(doc_id).alias("_doc"), held_out(doc_id).alias("held_out"), *[F.col(c) for c in more])
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[1 - keep :])
-    out = rows.mapInArrow(run, f"{kinds}, score double")
+    out = small_batches(rows).mapInArrow(run, f"{kinds}, score double")
     return out.select(key_back("_doc").alias("doc_id"), "held_out", "score", (F.col("score") >= bar).cast("int").alias("predicted"), *[F.col("_text").alias(text) if c == text else F.col(c) for c in also])

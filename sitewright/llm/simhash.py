@@ -211,7 +211,7 @@ def may_reach(similarity: float) -> Column:
     return front + back <= (F.col("size") + F.col("_size")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2, hot: int = 64, heads: int = 2) -> DataFrame:
+def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2, hot: int = 64, heads: int = 1) -> DataFrame:
     """(_doc, _t, _row, first) of every row: groups of rows linked by shingle sets of at least the similarity, all links.
 
     _doc and _t are the id (null: NULL_ID) and the hash of the text, so rows of one id are told apart; _row is a number of

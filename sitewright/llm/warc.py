@@ -7,10 +7,11 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, doc_key, written
@@ -18,6 +19,8 @@ from .common import NULL_ID, doc_key, written
 #: Fixed values of the formats: a skippable frame that holds the dictionary, as .warc.zst files lead with, and a date.
 SKIPPABLE = 0x184D2A5D
 DATE = "2020-01-01T00:00:00Z"
+#: Characters that stay in a percent-encoded address, and the extension field with an address that isn't printable ASCII.
+PRINTABLE, ORIGINAL = "".join(map(chr, range(33, 127))), "X-Original-URI"
 
 
 def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
@@ -32,11 +35,19 @@ def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", leas
     return seen.join(first, "_sha1").filter("_key > refers_to").select("_key", "_sha1", "refers_to").dropDuplicates(["_key", "_sha1"])
 
 
+def spread(text: Column, longest: int, pieces: int = 16) -> Column:
+    """A text of up to `longest` characters as it is; of a longer one, so many in pieces from its first character to its last."""
+    size, n = longest // pieces, F.char_length(text)
+    starts = [F.floor((n - size) * i / (pieces - 1)).cast("int") + 1 for i in range(pieces)]
+    return F.when(n <= longest, text).otherwise(F.concat(*[F.substring(text, at, F.lit(size)) for at in starts]))
+
+
 def dictionary(pages: DataFrame, payload: str = "html", key: str = "page_id", samples: int = 400, longest: int = 16384, size: int = 32768) -> bytes:
     """A Zstandard dictionary from a bounded sample of the records that are archived: at most `samples` payloads, those
-    with the smallest key hash, `longest` characters of each. Too few of them: no bytes, and records have no dictionary."""
+    with the smallest key hash, of each at most `longest` characters, in pieces spread over all of it. Records are whole;
+    how small they get alone depends on it. Too few payloads: no bytes, and records have no dictionary."""
     ids = pages.select(key, F.xxhash64(key, F.length(payload)).alias("_o")).orderBy("_o", key).limit(samples).select(key)
-    rows = pages.join(F.broadcast(ids.distinct()), key, "left_semi").select(F.substring(F.coalesce(F.col(payload), F.lit("")), 1, longest).alias("p")).limit(samples).collect()
+    rows = pages.join(F.broadcast(ids.distinct()), key, "left_semi").select(spread(F.coalesce(F.col(payload), F.lit("")), longest).alias("p")).limit(samples).collect()
     texts = sorted(record(0, "http://example.org/", r.p.encode(), None, "") for r in rows)
     if len(texts) < 16:
         return b""
@@ -50,11 +61,21 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, digest: str) -> bytes:
+def target(url: str | None) -> list[str]:
+    """Header lines of a page's address: as it is if it is of printable ASCII; else percent-encoded, and as it was in base64.
+    A null address has none."""
+    if url is None:
+        return []
+    if re.fullmatch("[!-~]+", url):
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {quote(url, safe=PRINTABLE)}", f"{ORIGINAL}: {base64.b64encode(url.encode()).decode()}"]
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
     """One WARC record: a response with its payload, or a revisit with the HTTP head alone."""
     name = lambda x: "null" if x is None or x == NULL_ID else x
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name(page_id)}>", f"WARC-Target-URI: {re.sub(r'[^!-~]', '_', url or 'urn:none')}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name(page_id)}>", *target(url), f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{name(refers_to)}>"]
     block = http if refers_to is not None else http + payload
@@ -62,6 +83,11 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def address(fields: dict[str, str]) -> str | None:
+    """The page's address as it was, by the lines of target."""
+    return base64.b64decode(fields[ORIGINAL]).decode() if ORIGINAL in fields else fields.get("WARC-Target-URI")
+
+
 def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive, each record decompressed on its own."""
     words, at = b"", 0
@@ -89,7 +115,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
 
     data is the skippable frame with the dictionary, then one Zstandard frame a record. Of equal payloads the page with
     the smallest key is a response and the others revisits. Pages with a null payload have an empty one, with a null
-    url the target urn:none; a null key comes before all others; repeated rows of one page are archived each, all alike.
+    url no address; a null key comes before all others; repeated rows of one page are archived each, all alike.
     An empty table gives no archive.
     """
     words = dictionary(pages, payload, key)
@@ -109,7 +135,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
             for k, u, h, r in zip(*(c for c in batch.columns)):
                 text = (h.as_py() or "").encode()
                 k = k.as_py()
-                frame = press.compress(record(k, u.as_py() or "", text, r.as_py(), digest32(text)))
+                frame = press.compress(record(k, u.as_py(), text, r.as_py(), digest32(text)))
                 first = k if first is None else first
                 out.append(frame)
                 size += len(frame)
@@ -141,7 +167,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     n = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     if kind == "response" and (len(payload) != n or digest32(payload) != digest):
                         raise ValueError(f"the payload of {fields['WARC-Record-ID']} doesn't match its digest")
-                    rows.append((ident(fields["WARC-Record-ID"]), n, digest, kind, ident(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"]))
+                    rows.append((ident(fields["WARC-Record-ID"]), n, digest, kind, ident(fields.get("WARC-Refers-To")), address(fields)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return archives.select("data").mapInArrow(unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")

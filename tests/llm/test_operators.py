@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 from html import unescape
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -170,6 +171,70 @@ def test_skip_links_carry_labels(spark):
     assert with_skip[4] > alone[4]
 
 
+def graph(n, chain, skip, rng):
+    return pii.Graph([0] * n, [(i, i + 1) for i in range(n)], rng.integers(0, 4, n).tolist(), (rng.integers(0, 5, n) * (rng.random(n) < 0.3)).tolist(), chain, skip)
+
+
+def enumerated(field, g):
+    """Exact label probabilities by the sum over all labelings."""
+    n = len(g.doc)
+    total = np.zeros((n, pii.LABELS))
+    for labels in product(range(pii.LABELS), repeat=n):
+        if any(k and k != y for k, y in zip(g.label, labels)):
+            continue
+        w = sum(field.unary[s, y] for s, y, k in zip(g.shape, labels, g.label) if not k)
+        w += sum(field.chain[labels[i], labels[j]] for i, j in g.chain) + sum(field.skip[labels[i], labels[j]] for i, j in g.skip)
+        total[np.arange(n), labels] += np.exp(w)
+    return total / total.sum(1, keepdims=True)
+
+
+def test_beliefs_are_exact_marginals_on_trees_and_close_on_loops():
+    rng = np.random.default_rng(31)
+    apart = []
+    for trial in range(24):
+        n = int(rng.integers(1, 7))
+        field = pii.Field(rng.normal(0, 1, (4, 5)), *(0.7 * (m + m.T) for m in rng.normal(0, 0.5, (2, 5, 5))))
+        edges = [(int(rng.integers(0, i)), i) for i in range(1, n)]  # each token with one before: a tree
+        kinds = rng.random(len(edges)) < 0.5
+        chain, skip = [e for e, k in zip(edges, kinds) if k], [e for e, k in zip(edges, kinds) if not k]
+        g = graph(n, chain, skip, rng)
+        assert np.allclose(pii.beliefs(field, g, 200), enumerated(field, g), atol=1e-6)
+        if n > 3:
+            g.skip.append((0, n - 1))
+            apart.append(np.abs(pii.beliefs(field, g, 200) - enumerated(field, g)).max())
+    assert len(apart) > 5 and np.mean(apart) < 0.05
+
+
+def test_added_spans_by_precision_and_recall(spark):
+    """Bare numbers whose whole form stands elsewhere in the document are found; other bare numbers are left alone."""
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows_, planted = [], {}
+    for i in range(600):
+        number = f"555-{rng.integers(1000, 9999)}"
+        fill = " ".join(word() for _ in range(int(rng.integers(5, 60))))
+        if i % 3 == 0:
+            text = f"call +1 (499) {number} now {fill} again {number} {word()}"
+            planted[i] = (text.rindex(number), text.rindex(number) + len(number))
+        elif i % 3 == 1:
+            text = f"item {number} {fill} and {rng.integers(100, 999)}-{rng.integers(1000, 9999)} {word()}"
+        else:
+            text = f"call +1 (499) {number} now {fill}"
+        rows_.append((i, text))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    hits = extra = 0
+    for r in pii.find_personal_data(docs, pii.fit(docs)).collect():
+        text = rows_[r.doc_id][1]
+        added = set(r.spans.split(",")) - set(pii.spell(pii.base_spans(text)).split(","))
+        assert r.n_added == len(added - {""})
+        for s in added - {""}:
+            kind, a, b = s.split(":")
+            good = r.doc_id in planted and kind == "phone" and int(a) <= planted[r.doc_id][0] and planted[r.doc_id][1] <= int(b)
+            hits, extra = hits + good, extra + (not good)
+    print("added spans: precision", hits / max(1, hits + extra), "recall", hits / len(planted))
+    assert hits >= 0.9 * len(planted) and hits >= 0.9 * (hits + extra)
+
+
 def test_quality(spark, docs, none, texts):
     rng = np.random.default_rng(3)
     good = [" ".join(rng.choice(["the", "river", "house", "walks", "over", "green"], 60)) for _ in range(150)]
@@ -289,9 +354,31 @@ def test_warc(spark):
         b, f = (h or "").encode(), firsts[h or ""]
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if f < key(i) else "response", f if f < key(i) and f != key(None) else None))
     assert [tuple(r) for r in rows(out, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")] == plain(*want)
+    assert sorted((r.target_uri for r in out.collect()), key=str) == sorted((u for _, u, _ in data), key=str)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).collect() == []
 
 
+def test_warc_addresses_and_one_key():
+    """Addresses come back as they were, the header line staying ASCII; one key with different payloads keeps both."""
+    for url in ("http://a/%20x?y=z#t", "http://ä/ü b\r\nEvil: 1", "", " ", None, "你好"):
+        raw = warc.record(1, url, b"body", None, "X")
+        fields = dict(x.split(": ", 1) for x in raw.split(b"\r\n\r\n")[0].decode("ascii").split("\r\n")[1:])
+        assert warc.address(fields) == url and "Evil" not in fields
+
+
+def test_warc_one_key_with_different_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "first"), (1, "u", "second"), (2, "u", "second"), (2, "u", "second")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "record_type", F.coalesce("refers_to", F.lit(-1)).alias("refers_to")).collect())
+    assert got == [(1, 5, "response", -1), (1, 6, "response", -1), (2, 6, "revisit", 1), (2, 6, "revisit", 1)]
+
+
+def test_warc_dictionary_reaches_over_long_payloads(spark):
+    body = "".join(chr(97 + i % 26) for i in range(100_003))
+    got = [r[0] for r in spark.createDataFrame([(body,), (body[:16384],), ("",)], "b string").select(warc.spread(F.col("b"), 16384)).collect()]
+    starts = [(len(body) - 1024) * i // 15 for i in range(16)]
+    assert got == ["".join(body[a : a + 1024] for a in starts), body[:16384], ""] and starts[-1] + 1024 == len(body)
+
+
 def test_warc_dictionary_frame(spark):
     pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.concat(F.lit("<html><body><p>a page of the archive number "), F.col("id").cast("string"), F.lit(" with words that recur</p></body></html>")).alias("html"))
     archives = warc.write_archives(pages, archive_bytes=4096).collect()
