@@ -24,7 +24,7 @@ def _new(spark: SparkSession, name: str) -> str:
 
 @QUERIES.add("src1_pinned_sources")
 def src1(spark: SparkSession, sf: str) -> DataFrame:
-    """The files of a table against a manifest made of every second of its rows."""
+    """The files of a table against the manifest written with them."""
     path = _new(spark, "nations")
     own = files.write_with_manifest(read(spark, sf, "nation"), path, ["n_nationkey"])
     manifest = own.select("name", "sha256", F.lit(False).alias("restricted"))

@@ -47,15 +47,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _saved.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables as saved() returned them, once what was made from them is saved itself."""
+    for t in tables:
+        _saved[t.sparkSession.sparkContext.applicationId].remove(t._saved_at)
+        _delete(t.sparkSession, t._saved_at)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes all tables of saved() in this session; call it once results are stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _saved.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, path)
 
 
 #: Buildings, sites and road nodes in a strip of 20 km; more of them lie in the next strips, 25 km apart, so that places don't get denser.
