@@ -9,10 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.sources.tables import WHILE_WRITING, release
+from sitewright.sources.tables import WHILE_WRITING, discard, release
 from sitewright.sources.tables import saved as written
 
-__all__ = ["NULL_ID", "ascii_lower", "doc_key", "key_back", "release", "slices", "small_batches", "small_side", "written"]
+__all__ = ["NULL_ID", "ascii_lower", "discard", "doc_key", "key_back", "release", "slices", "small_batches", "small_side", "written"]
 
 #: A null id stands for one document before all others.
 NULL_ID = -(2**63)

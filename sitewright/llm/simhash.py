@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_back, slices, small_side, written
+from .common import discard, doc_key, key_back, slices, small_side, written
 from .components import components
 
 #: Rows up to which a table of one or two numbers a row is broadcast (16 to 24 bytes each in most); beyond it Spark shuffles.
@@ -156,8 +156,8 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, ids: DataF
 
 
 def rare_prefixes(sets: DataFrame, known: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float, hot: int) -> DataFrame:
-    """(node, size, pos, token): each set's prefix, with places from 0, in an order in which tokens of many sets come last, the
-    most frequent at the end.
+    """(node, size, pos, token), written: each set's prefix, with places from 0, in an order in which tokens of many sets come
+    last, the most frequent at the end.
 
     sets (node, size, hashes) hold the smallest hashes of each set, more than the prefix where some of those are known
     (token, n) to be of over `hot` sets; what of the further ones is of so many becomes known, too. So a passage that many
@@ -181,13 +181,15 @@ def rare_prefixes(sets: DataFrame, known: DataFrame, whole: Callable[[DataFrame]
     changed = holders.join(late_of(holders), "node").select("node", "size", F.array_except("hashes", "late").alias("rare"))
     changed = written(changed, "rare-tokens")
     full = whole(changed.filter(F.size("rare") < size).select("node"))
-    full = full.join(late_of(full), "node").select("node", "size", first(F.concat(F.array_except("hashes", "late"), "late")))
+    late_first = full.join(late_of(full), "node").select("node", "size", first(F.concat(F.array_except("hashes", "late"), "late")))
     kept = sets.join(small_side(moved, BROADCAST_ROWS), "node", "left_anti").select("node", "size", first("hashes"))
-    return kept.union(changed.filter(F.size("rare") >= size).select("node", "size", first("rare"))).union(full)
+    out = written(kept.union(changed.filter(F.size("rare") >= size).select("node", "size", first("rare"))).union(late_first), "rare-prefixes")
+    discard(known, moved, changed, full)
+    return out
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets' common part is at least so large a share of their union.
+    """The pairs (a, b), written, whose shingle sets' common part is at least so large a share of their union.
 
     Two parity bits differ for a hash that one set alone has, so sets differ in at least as many hashes as their parities
     in bits; only pairs that do not differ in too many have their whole sets made and moved."""
@@ -198,7 +200,9 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame]
     close = written(close.select("a", "b", (F.col("_a_size") + F.col("_b_size")).alias("_sum")), "close-pairs")
     full = whole(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
     pair = close.join(side(full, "a", "hashes"), "a").join(side(full, "b", "hashes"), "b").withColumn("_common", F.size(F.array_intersect("_a_hashes", "_b_hashes")))
-    return pair.filter(F.col("_common") >= F.lit(similarity) * (F.col("_sum") - F.col("_common")) - 1e-9).select("a", "b")
+    out = written(pair.filter(F.col("_common") >= F.lit(similarity) * (F.col("_sum") - F.col("_common")) - 1e-9).select("a", "b"), "similar-links")
+    discard(close, full)
+    return out
 
 
 def may_reach(similarity: float) -> Column:
@@ -228,10 +232,13 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     Null texts are empty; documents without words are one group. A null id counts as the smallest. An empty table gives
     no rows; other columns are ignored.
     """
-    rows = written(shingle_rows(docs, doc_id, text, words, similarity).withColumn("_row", F.monotonically_increasing_id()), "shingle-prefixes")
+    whole_rows = written(shingle_rows(docs, doc_id, text, words, similarity).withColumn("_row", F.monotonically_increasing_id()), "shingle-prefixes")
+    rows = written(whole_rows.drop("prefix"), "shingle-rows")
     firsts = [F.min("_row").alias("node"), F.min(F.struct("_doc", "_row")).alias("first"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix")]
-    nodes = written(rows.groupBy("d0", "d1").agg(*firsts), "shingle-nodes")
-    tokens = nodes.select(F.explode("prefix").alias("token"), "node")
+    whole_nodes = written(whole_rows.groupBy("d0", "d1").agg(*firsts), "shingle-nodes")
+    discard(whole_rows)
+    nodes = written(whole_nodes.select("d0", "d1", "node", "first"), "shingle-node-names")
+    tokens = whole_nodes.select(F.explode("prefix").alias("token"), "node")
     counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "prefix-counts")
     known = written(counts.filter(F.col("n") > hot), "hot-tokens")
     met = tokens.join(small_side(counts.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
@@ -239,13 +246,16 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     keys = rows.select(F.col("_row").alias("node"), "_doc", "_t", "fp", "size").join(met, "node").join(many, "node", "left")
     take = prefix_size(F.col("size"), similarity) + 4 * F.coalesce("_hot", F.lit(0))
     keys = written(keys.select("node", "_doc", "_t", "fp", take.cast("int").alias("take")), "shingle-keys")
+    discard(whole_nodes, counts)
     repeats = not rows.groupBy("_doc", "_t").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     sets = shingle_sets(docs, doc_id, text, words, keys.drop("fp"), repeats)
 
     def whole(ids: DataFrame) -> DataFrame:
         return shingle_sets(docs, doc_id, text, words, keys.join(ids, "node", "left_semi").select("node", "_doc", "_t", F.lit((1 << 31) - 1).alias("take")), repeats)
 
-    tokens = written(rare_prefixes(sets, known, whole, similarity, hot), "rare-prefixes")
+    whole_sets, tokens = sets, rare_prefixes(sets, known, whole, similarity, hot)
+    sets = written(sets.select("node", "size", "odd"), "shingle-parities")
+    discard(whole_sets, known)
     shared = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "shared-tokens")
     before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1  # of a node's prefix: bounded by its text
     met = tokens.join(small_side(shared, BROADCAST_ROWS), "token").withColumn("miss", F.col("pos") - before).withColumn("component", F.col("node"))
@@ -256,24 +266,29 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     near = ball.union(keys.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b"))
     pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     tried = links = None
+    met = written(met, "open-prefixes")
+    discard(tokens, shared)
     for turn in range(heads + 1):
-        met = written(met, "open-prefixes")
         other = met.select("token", F.col("node").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("size", "pos", "miss", "component")])
         if turn < heads:
             best = F.struct(F.lit(0) if turn else F.col("_miss"), F.xxhash64("b", F.lit(turn)))
             one = F.min_by(F.struct(*other.columns[1:]), best).alias("o")
-            other = small_side(written(other.groupBy("token").agg(one).select("token", "o.*"), "prefix-heads"), BROADCAST_ROWS // 4)
+            head = written(other.groupBy("token").agg(one).select("token", "o.*"), "prefix-heads")
+            other = small_side(head, BROADCAST_ROWS // 4)
         pairs = met.join(other, "token").filter("node <> b AND component <> _component").filter(may_reach(similarity)).select(F.col("node").alias("a"), "b")
         pairs = (pairs if turn else pairs.union(near.filter("a <> b"))).select(*pair).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-candidates")
         tried = pairs if tried is None else tried.union(pairs)
-        found = written(similar_pairs(pairs, sets, whole, similarity), "similar-links")
+        found = similar_pairs(pairs, sets, whole, similarity)
         links = found if links is None else links.union(found)
         groups = components(links)
         now = met.drop("component").join(groups, F.col("node") == F.col("id"), "left").select("token", "node", "size", "pos", "miss", F.coalesce("component", "node").alias("component"))
         now = written(now, "joined-prefixes")
+        discard(met, *([head] if turn < heads else []))
         open_ = written(now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "open-tokens")
-        met = now.join(small_side(open_, BROADCAST_ROWS), "token")
+        met = written(now.join(small_side(open_, BROADCAST_ROWS), "token"), "open-prefixes")
+        discard(now, open_)
+    discard(met, sets, fps, keys)
     named = nodes.join(groups, F.col("node") == F.col("id"), "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("component"))
     named = written(named, "similar-groups")
     top = named.groupBy("component").agg(F.min("first").alias("first"))
