@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from sitewright.functions.draws import uniform
 from sitewright.sources.tables import saved
 
+#: Seed, factor and addend of the generator that shuffles the orders of inputs.
+SHUFFLE = (407, 1664525, 1013904223)
+
 
 def fold_rows(df: DataFrame, block: str) -> list:
     """The blocks of a table, sorted: one fold each. Blocks are districts, so their number is small and doesn't grow with rows."""
@@ -106,11 +109,11 @@ def variance_shares(df: DataFrame, inputs: list[str], value: str, orders: int =
     r = df.agg(*[F.covar_pop(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]).first()
     c = np.array([[r[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(cols))] for i in range(len(cols))])
     k, total = len(inputs), c[-1, -1]
-    shares, state = np.zeros(k), 407
+    shares, state = np.zeros(k), SHUFFLE[0]
     for _ in range(orders // 2):
         order = list(range(k))
         for i in range(k - 1, 0, -1):
-            state = (state * 1664525 + 1013904223) % 2**32
+            state = (state * SHUFFLE[1] + SHUFFLE[2]) % 2**32
             j = int(state / 2**32 * (i + 1))
             order[i], order[j] = order[j], order[i]
         for seq in (order, order[::-1]):

@@ -217,10 +217,10 @@ def test_published_numbers(spark):
 
 
 TAGS = [
-    ({"amenity": "marketplace"}, "market"), ({"highway": "residential", "name": "Mill Road"}, None), ({"place": "town"}, "town"), ({"place": "village", "name": "Isoko"}, "village"), ({"place": "hamlet"}, None),
-    ({"office": "tax", "name": "One Stop Collection Centre"}, None), ({"office": "cooperative"}, "cooperative"), ({"industrial": "sawmill"}, None), ({"craft": "miller"}, "mill"), ({"building": "silo"}, "warehouse"),
+    ({"amenity": "marketplace"}, "market"), ({"highway": "track", "name": "Dairy Lane"}, None), ({"place": "town"}, "town"), ({"place": "village", "name": "Isoko"}, "village"), ({"place": "hamlet"}, None),
+    ({"office": "company", "name": "Northern Milk Traders"}, None), ({"office": "cooperative"}, "cooperative"), ({"industrial": "sawmill"}, None), ({"craft": "miller"}, "mill"), ({"building": "silo"}, "warehouse"),
     ({"man_made": "works", "product": "maize"}, "mill"), ({"man_made": "works", "product": "beans"}, "agro_factory"), ({"man_made": "works", "product": "steel"}, None), ({"shop": "farm"}, "agro_shop"), ({"shop": "supermarket", "name": "Market"}, None),
-    ({"name": "Gatare Tea Collection Centers"}, "tea_factory"), ({"name": "Coffee washing station", "shop": "yes"}, None), ({"industrial": "dairy"}, "milk_centre"), ({"building": "cold_storage"}, "cold_store"), ({}, None), (None, None),
+    ({"name": "Hillside Tea Leaf Depot"}, "tea_factory"), ({"name": "Coffee washing station", "shop": "yes"}, None), ({"industrial": "dairy"}, "milk_centre"), ({"building": "cold_storage"}, "cold_store"), ({}, None), (None, None),
 ]
 
 
