@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, interleaved, line_dedup, packing, pii, quality, sharding, simhash, suffix_dedup, warc
+from . import alignment, decontamination, interleaved, line_dedup, merkle, neighbours, packing, pii, quality, sharding, simhash, suffix_dedup, warc
 
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
@@ -67,8 +67,43 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ENC = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+_LEAF = lambda text: "sha256(concat(" + ", ".join(_ENC(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + "))"
+_CRC = "xor(list_reduce(list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(id[i]) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(c, b)), 4294967295), 4294967295)"
+_FOLD = "array_to_string(hs[1:pos % 8], ''), {}, array_to_string(hs[pos % 8 + 2:], '')"
 SQL = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE i AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang IS NULL THEN '' ELSE 'x' || lang END AS k FROM documents),
+l AS (SELECT doc_id, k, {_LEAF("text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS now FROM i),
+d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS c FROM l),
+n AS (SELECT 0 AS level, k, pos, leaf AS h, c FROM d UNION ALL SELECT level + 1, k, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (c + 7) // 8 FROM n WHERE c > 1 GROUP BY level, k, pos // 8, c),
+r AS (SELECT level, k, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM n WHERE c > 1 GROUP BY level, k, pos // 8),
+s AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS c FROM n WHERE c = 1),
+m AS (SELECT 0 AS level, pos, h, c FROM s UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (c + 7) // 8 FROM m WHERE c > 1 GROUP BY level, pos // 8, c),
+q AS (SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM m WHERE c > 1 GROUP BY level, pos // 8),
+f AS (SELECT 0 AS level, k, doc_id, leaf, pos, pos AS own, coalesce(now, leaf) AS acc, '' AS proof FROM d
+  UNION ALL SELECT f.level + 1, k, doc_id, leaf, pos // 8, own, sha256(concat({_FOLD.format("acc")})), concat(proof, {_FOLD.format("''")}) FROM f JOIN r USING (k) WHERE r.level = f.level AND r.run = pos // 8),
+e AS (SELECT k, own, arg_max(struct_pack(doc_id := doc_id, leaf := leaf, acc := acc, proof := proof), level) AS v FROM f GROUP BY k, own),
+g AS (SELECT 0 AS level, k, own, s.pos, v.acc AS acc, v.proof AS proof FROM e JOIN s USING (k)
+  UNION ALL SELECT g.level + 1, k, own, pos // 8, sha256(concat({_FOLD.format("acc")})), concat(proof, {_FOLD.format("''")}) FROM g JOIN q ON q.level = g.level AND q.run = pos // 8),
+z AS (SELECT k, own, arg_max(struct_pack(acc := acc, proof := proof), level) AS v FROM g GROUP BY k, own)
+SELECT e.v.doc_id AS doc_id, e.v.leaf AS leaf, s.h AS subroot, m.h AS root, sha256(z.v.proof) AS proof_sha256, z.v.acc AS folded_root, z.v.acc = m.h AS verified
+FROM e JOIN z USING (k, own) JOIN s USING (k), (SELECT h FROM m WHERE c = 1) m""",
     "op10_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 g AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS w FROM (SELECT doc_id, x, unnest(range(0, CAST(length(x) // 2 - 49 AS BIGINT))) AS p FROM d WHERE length(x) >= 100)),
