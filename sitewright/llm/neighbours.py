@@ -226,7 +226,7 @@ def block_best(blocks: DataFrame, index: Index, k: int) -> DataFrame:
     names, most = ["query", "uid", "key", "score"], 1 << 18
 
     def merged(found: list) -> Iterator[pa.RecordBatch]:
-        if found:
+        if sum(len(f[0]) for f in found):
             q, u, c, s = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((u, c, -s, q))  # a pair's products are equal, so its repeats are neighbours here
             q, u, c, s = q[order], u[order], c[order], s[order]

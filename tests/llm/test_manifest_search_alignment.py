@@ -102,7 +102,7 @@ def exact_nearest(rows, k=20):
         if i is not None and i % 20 == 0:
             s = (x * np.array(v)).sum(1)
             order = [m for m in np.lexsort((ids, -s)) if m != n][:k]
-            out[n] = [(i, r + 1, rows[m][0], s[m]) for r, m in enumerate(order)]
+            out[n] = [(i, r + 1, rows[m][0], float(s[m])) for r, m in enumerate(order)]
     return out
 
 
@@ -173,10 +173,11 @@ def plain_alignment(rows):
             found.append((i, 0, 0, []))
             continue
         ends = [np.cumsum([len(t) for t in ts]).tolist() for ts in tokens]
-        groups, start = [], 0
+        groups, at = [], [0, 0]
         for cut in sorted(set(ends[0]) & set(ends[1])):
-            groups.append(tuple([t for t, e in zip(ids, es) if start < e <= cut] for ids, es in zip((x, y), ends)))
-            start = cut
+            until = [es.index(cut, a) + 1 for es, a in zip(ends, at)]
+            groups.append((x[at[0] : until[0]], y[at[1] : until[1]]))
+            at = until
         count.update({(p, q) for g in groups for p in g[0] for q in g[1]})
         found.append((i, len(x), len(y), groups))
     most = defaultdict(int)
