@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 from sitewright.sources.tables import WHILE_WRITING, discard, release
 from sitewright.sources.tables import saved as written
 
-__all__ = ["NULL_ID", "ascii_lower", "discard", "doc_key", "key_back", "release", "slices", "small_batches", "small_side", "written"]
+__all__ = ["NULL_ID", "ascii_lower", "discard", "doc_key", "key_back", "release", "slices", "small_batches", "small_side", "text_key", "written"]
 
 #: A null id stands for one document before all others.
 NULL_ID = -(2**63)
 
 
-def small_side(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, so that Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small_side(df: DataFrame, most: int, size: Column | None = None, most_bytes: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else as it is, so that Spark shuffles both sides.
+
+    size: the bytes of a row, where rows may be long; they must not exceed most_bytes together."""
+    rows = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if rows["n"] <= most and rows["b"] <= most_bytes else df
+
+
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows with one id apart."""
+    return F.xxhash64(text.cast("string"))
 
 
 def small_batches(df: DataFrame) -> DataFrame:

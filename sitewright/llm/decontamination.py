@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, doc_key, key_back, small_side, written
+from .common import ascii_lower, doc_key, key_back, small_side, text_key, written
 
 #: Characters of a word: digits, lower-case letters, and all that isn't ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which a table made from the benchmark is broadcast (about 100 bytes each); beyond it Spark shuffles.
+#: Rows up to which a table made from the benchmark is broadcast, if its bytes allow it too; beyond it Spark shuffles.
 BROADCAST_ROWS = 200_000
 
 
@@ -41,12 +41,13 @@ def occurrences(docs: DataFrame, shingles: DataFrame, k: int, doc_id: str, text:
     shingles are made and probed within one stage, and only those that an item has leave it.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(doc_key(doc_id).alias("_doc"), F.hash(body).alias("_t"), words_of(body).alias("w"))
+    rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(body).alias("_t"), words_of(body).alias("w"))
     places = F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.size("w") - k))
     rows = rows.select("_doc", "_t", "w", F.explode_outer(places).alias("i"))
     rows = rows.select("_doc", "_t", F.size("w").alias("n"), "i", F.when(F.col("i") >= 0, hash_of(F.col("w"), F.col("i"), k)).alias("h"), F.slice("w", F.greatest("i", F.lit(0)) + 1, F.lit(k)).alias("here"))
     wanted = shingles.filter(F.col("k") == k).select("sid", F.col("h").alias("_h"), "s")
-    found = rows.join(small_side(wanted, BROADCAST_ROWS), (F.col("h") == F.col("_h")) & (F.col("here") == F.col("s")), "left" if all_docs else "inner")
+    size = F.aggregate("s", F.lit(16).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    found = rows.join(small_side(wanted, BROADCAST_ROWS, size), (F.col("h") == F.col("_h")) & (F.col("here") == F.col("s")), "left" if all_docs else "inner")
     return found.filter(F.col("sid").isNotNull() | (F.col("i") < 0)).select("_doc", "_t", "n", "i", "sid")
 
 
@@ -59,7 +60,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     out. A place is a candidate where the shingle's offset leaves the window inside the document (positional and length
     bounds). It is verified by the verified shingles at its first and last place, which between them cover it.
 
-    Null and empty texts have no words; items without words have no windows; null ids count as one value; repeated rows
+    Null and empty texts have no words; items without words have no windows; null ids count as one value; rows of one id are told apart by a 64-bit hash of their texts; repeated rows
     get a row each; without items or documents the result is clean or empty.
     """
     if window > 2 * shingle:
@@ -80,7 +81,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     at = places.select("_doc", "_t", "i", "sid").distinct()
     hits = starts.join(at.select("_doc", "_t", F.col("i").alias("start"), F.col("sid").alias("first")), ["_doc", "_t", "start", "first"], "left_semi")
     hits = hits.join(at.select("_doc", "_t", F.col("i").alias("stop"), F.col("sid").alias("last")), ["_doc", "_t", "stop", "last"], "left_semi")
-    hits = hits.join(small_side(of_item, BROADCAST_ROWS), "wid").groupBy("_doc", "_t").agg(F.collect_set(F.struct("start", "m")).alias("runs"), F.collect_set("item").alias("ids"))
+    hits = hits.join(small_side(of_item, BROADCAST_ROWS, F.octet_length("item") + 24), "wid").groupBy("_doc", "_t").agg(F.collect_set(F.struct("start", "m")).alias("runs"), F.collect_set("item").alias("ids"))
     hits = hits.select("_doc", "_t", F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["m"] - 1))))).cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array("ids")), 256).alias("items_sha256"))
     out = found.filter(F.col("i") < 0).select("_doc", "_t", F.col("n").cast("long").alias("n_words")).join(hits, ["_doc", "_t"], "left")
     none = F.sha2(F.lit(""), 256)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_back, slices, small_batches, small_side, written
+from .common import doc_key, key_back, slices, small_batches, small_side, text_key, written
 
 #: Levels of the hash; keys that none of them places are kept in a list. Bits of a level for each key it gets.
 LEVELS, SPACE = 24, 1.5
@@ -105,8 +105,8 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str, shortest: int) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(pos[on].astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(g.astype(np.int32))], names=["_doc", "_t", "pos", "h", "g"])
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(doc_key(doc_id).alias("_doc"), F.hash(body).alias("_t"), body.alias("_text"))
-    return rows.mapInArrow(run, "_doc long, _t int, pos int, h long, g int")
+    rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(body).alias("_t"), body.alias("_text"))
+    return rows.mapInArrow(run, "_doc long, _t long, pos int, h long, g int")
 
 
 def line_index(lines: DataFrame, shard_keys: int = 100_000, shards: int = 64) -> tuple[DataFrame, DataFrame, int]:
@@ -163,7 +163,7 @@ def probe(lines: DataFrame, index: DataFrame, directory: DataFrame, shards: int)
                 drop = (shard.prints[at] == g.astype(np.int32).view(np.uint32)) & (shard.counts[at] >= 2) & (shard.firsts[at] != doc)
                 yield pa.RecordBatch.from_arrays([pa.array(part[c].to_numpy()[drop]) for c in ("_doc", "_t", "pos")], names=["_doc", "_t", "pos"])
 
-    return rows.mapInArrow(run, "_doc long, _t int, pos int")
+    return rows.mapInArrow(run, "_doc long, _t long, pos int")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 10, also: tuple[str, ...] = ()) -> DataFrame:
@@ -172,12 +172,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     A key is a line without white space at both ends and with A-Z in lower case; keys under `shortest` code points
     stay. Returns (doc_id, n_lines, n_dropped, kept, *also): kept is the remaining lines joined by line feeds. A null
     text is one empty line. A null id counts as one document before all others; rows with one id count as one
-    document, so a line that only they share stays. An empty table gives no rows.
+    document, so a line that only they share stays; they are told apart by a 64-bit hash of their texts. An empty table
+    gives no rows.
     """
     lines = written(line_hashes(docs, doc_id, text, shortest), "line-hashes")
     drops = probe(lines, *line_index(lines)).groupBy("_doc", "_t").agg(F.collect_set("pos").alias("_drop"))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*also, doc_key(doc_id).alias("_doc"), F.hash(body).alias("_t"), body.alias("_text")).join(drops, ["_doc", "_t"], "left").select(*also, "_doc", "_text", "_drop")
+    rows = docs.select(*also, doc_key(doc_id).alias("_doc"), text_key(body).alias("_t"), body.alias("_text")).join(drops, ["_doc", "_t"], "left").select(*also, "_doc", "_text", "_drop")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, doc_key, key_back, slices, small_side, written
+from .common import discard, doc_key, key_back, slices, small_side, text_key, written
 from .components import components
 
 #: Rows up to which a table of one or two numbers a row is broadcast (16 to 24 bytes each in most); beyond it Spark shuffles.
@@ -97,11 +97,6 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(key_back("_doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), key_back("component_id").alias("component_id"))
 
 
-def text_key(text: str) -> Column:
-    """Tells the texts of rows with one id apart."""
-    return F.xxhash64(F.col(text).cast("string"))
-
-
 def prefix_size(size: Column, similarity: float) -> Column:
     """How many tokens of a set, in an order all sets share, hold one of each set that similar: without them fewer than similarity * size are left."""
     return (size - F.ceil(size * F.lit(similarity) - 1e-9) + 1).cast("int")
@@ -122,7 +117,7 @@ def shingle_rows(docs: DataFrame, doc_id: str, text: str, words: int, similarity
                 prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first)].astype(np.int32)), pa.array(np.concatenate([h[:n] for h, n in zip(sets, first)])))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(fp), prefix], names=["_doc", "_t", "size", "d0", "d1", "fp", "prefix"])
 
-    rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(text).alias("_t"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(F.col(text)).alias("_t"), F.col(text).cast("string").alias("_text"))
     return rows.mapInArrow(run, "_doc long, _t long, size long, d0 long, d1 long, fp long, prefix array<long>")
 
 
@@ -149,7 +144,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, ids: DataF
                 odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITY // 64), pa.int32()), pa.array(np.concatenate([parity(h) for h in sets])))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), hashes, odd], names=["node", "size", "hashes", "odd"])
 
-    rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(text).alias("_t"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(doc_key(doc_id).alias("_doc"), text_key(F.col(text)).alias("_t"), F.col(text).cast("string").alias("_text"))
     rows = rows.join(small_side(ids, BROADCAST_ROWS), ["_doc", "_t"]).select("node", "_text", "take")
     sets = rows.mapInArrow(run, "node long, size long, hashes array<long>, odd array<long>")
     return written(sets.dropDuplicates(["node"]) if repeats else sets, "shingle-sets")
@@ -224,8 +219,8 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     Balls of fingerprints, as in simhash_groups, bring together the closest sets. At a similarity of 0.8 some ten of 64
     bits differ, far over any radius that a ball can have, so a prefix-filtered set join finds the other links: sets that
     similar share one of the first tokens (a fifth of them and one) of an order common to all sets, rare tokens first.
-    Nodes without a common token there have no link. Of each token's nodes, all that are not joined yet are held against
-    one of them, in `heads` turns; where those of a token are not all joined after that, all its pairs that are not joined
+    Nodes without a common token there have no link. Two nodes that alone share a token are a pair at once. Of each other
+    token's nodes, all that are not joined yet are held against one of them, in `heads` turns; where those of a token are not all joined after that, all its pairs that are not joined
     yet are tried. No pair is left out but by a bound (may_reach), so the groups are exact; where many unlike texts share nearly all of their text,
     these pairs grow with the square of their number. Each link is verified by the shingle sets.
 
@@ -256,38 +251,44 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     whole_sets, tokens = sets, rare_prefixes(sets, known, whole, similarity, hot)
     sets = written(sets.select("node", "size", "odd"), "shingle-parities")
     discard(whole_sets, known)
-    shared = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "shared-tokens")
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token", (F.col("n") == 2).alias("two")), "shared-tokens")
     before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1  # of a node's prefix: bounded by its text
-    met = tokens.join(small_side(shared, BROADCAST_ROWS), "token").withColumn("miss", F.col("pos") - before).withColumn("component", F.col("node"))
+    met = tokens.join(shared.hint("merge"), "token").withColumn("miss", F.col("pos") - before)
+    met = written(met.select("token", "node", F.col("size").cast("int").alias("size"), F.col("pos").cast("int").alias("pos"), F.col("miss").cast("int").alias("miss"), "two"), "met-prefixes")
+    discard(tokens, shared)
+    fields = ("size", "pos", "miss")
+    ends = met.filter("two").groupBy("token").agg(*[f(F.struct("node", *fields)).alias(n) for f, n in ((F.min, "x"), (F.max, "y"))])
+    twos = ends.select("x.*", F.col("y.node").alias("b"), *[F.col(f"y.{c}").alias(f"_{c}") for c in fields]).filter(may_reach(similarity)).select(F.col("node").alias("a"), "b")
 
     fps = written(keys.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-nodes")
     of = lambda c: fps.select(F.col("fp").alias(f"_{c}"), F.col("node").alias(c))
     ball = ball_links(fps, radius).select(F.col("fp").alias("_a"), F.col("other").alias("_b")).join(of("a"), "_a").join(of("b"), "_b").select("a", "b")
-    near = ball.union(keys.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b"))
+    near = ball.union(keys.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")).union(twos)
     pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     tried = links = None
-    met = written(met, "open-prefixes")
-    discard(tokens, shared)
+    tables, open_ = [met], met.filter("NOT two").drop("two")
     for turn in range(heads + 1):
-        other = met.select("token", F.col("node").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("size", "pos", "miss", "component")])
+        told = ["component"] if turn else []
+        other = open_.select("token", F.col("node").alias("b"), *[F.col(c).alias(f"_{c}") for c in (*fields, *told)])
         if turn < heads:
             best = F.struct(F.lit(0) if turn else F.col("_miss"), F.xxhash64("b", F.lit(turn)))
             one = F.min_by(F.struct(*other.columns[1:]), best).alias("o")
-            head = written(other.groupBy("token").agg(one).select("token", "o.*"), "prefix-heads")
-            other = small_side(head, BROADCAST_ROWS // 4)
-        pairs = met.join(other, "token").filter("node <> b AND component <> _component").filter(may_reach(similarity)).select(F.col("node").alias("a"), "b")
+            tables.append(written(other.groupBy("token").agg(one).select("token", "o.*"), "prefix-heads"))
+            other = small_side(tables[-1], BROADCAST_ROWS // 4)
+        pairs = open_.join(other, "token").filter("node <> b" + " AND component <> _component" * bool(turn)).filter(may_reach(similarity)).select(F.col("node").alias("a"), "b")
         pairs = (pairs if turn else pairs.union(near.filter("a <> b"))).select(*pair).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-candidates")
         tried = pairs if tried is None else tried.union(pairs)
         found = similar_pairs(pairs, sets, whole, similarity)
         links = found if links is None else links.union(found)
         groups = components(links)
-        now = met.drop("component").join(groups, F.col("node") == F.col("id"), "left").select("token", "node", "size", "pos", "miss", F.coalesce("component", "node").alias("component"))
-        now = written(now, "joined-prefixes")
-        discard(met, *([head] if turn < heads else []))
-        open_ = written(now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "open-tokens")
-        met = written(now.join(small_side(open_, BROADCAST_ROWS), "token"), "open-prefixes")
-        discard(now, open_)
+        if turn < heads:
+            now = open_.select("token", "node", *fields).join(groups, F.col("node") == F.col("id"), "left").select("token", "node", *fields, F.coalesce("component", "node").alias("component"))
+            left = written(now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "open-tokens")
+            open_ = written(now.join(small_side(left, BROADCAST_ROWS), "token"), "open-prefixes")
+            discard(*tables, left)
+            tables = [open_]
+    met = open_
     discard(met, sets, fps, keys)
     named = nodes.join(groups, F.col("node") == F.col("id"), "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("component"))
     named = written(named, "similar-groups")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitewright.llm import decontamination, interleaved, line_dedup, packing, pii, quality, registry, sharding, simhash, suffix_dedup, warc
+from sitewright.llm.common import small_side
 from sitewright.llm.components import components
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -381,6 +382,8 @@ def test_warc_dictionary_reaches_over_long_payloads(spark):
 
 def test_warc_dictionary_frame(spark):
     pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.concat(F.lit("<html><body><p>a page of the archive number "), F.col("id").cast("string"), F.lit(" with words that recur</p></body></html>")).alias("html"))
+    unnamed = warc.write_archives(pages.withColumn("page_id", F.lit(None).cast("long")).repartition(4), archive_bytes=4096).collect()
+    assert len({a.archive for a in unnamed}) == len(unnamed) > 4
     archives = warc.write_archives(pages, archive_bytes=4096).collect()
     assert len(archives) > 1 and all(a.data[:4] == b"\x5d\x2a\x4d\x18" for a in archives)
     assert sum(len(list(warc.read_archive(bytes(a.data)))) for a in archives) == 300
@@ -571,8 +574,41 @@ def test_shards(spark, docs, none):
 
 
 def test_written_shards(spark, docs, tmp_path):
-    sharding.write_shards(docs.drop("_doc"), str(tmp_path / "out"), 500_000)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+    for extra in ([], ["shard"], ["shard", "_shard", "key", "of", "row", "n_bytes"]):
+        at = str(tmp_path / f"out{len(extra)}")
+        whole = docs.select("*", *[F.lit(7).alias(c) for c in extra])
+        sharding.write_shards(whole, at, 500_000)
+        folder = {0: "shard", 1: "_shard", 6: "_shard_bits"}[len(extra)]
+        got = spark.read.option("basePath", at).parquet(*map(str, (tmp_path / f"out{len(extra)}").glob(f"{folder}=*"))).select(*whole.columns, F.element_at(F.split(F.input_file_name(), f"/{folder}="), -1).alias("at"))
+        sized = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"))
+        where = {(r.doc_id, r.shard) for r in sharding.extendible_shards(sized, 500_000).collect()}
+        size = defaultdict(int)
+        for r in got.collect():
+            shard = r["at"].split("/")[0].replace("__HIVE_DEFAULT_PARTITION__", "")
+            assert (r.doc_id, shard) in where
+            size[shard] += len((r.text or "").encode())
+        assert rows(got, *whole.columns) == rows(whole, *whole.columns) and len(size) > 1
+        over = {r.shard for r in sharding.extendible_shards(sized, 500_000).filter("oversize").collect()}
+        assert all(n <= 500_000 for s, n in size.items() if s not in over)
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 10)
+
+
+def test_rows_of_one_id_with_equal_short_hashes(spark):
+    """Two texts whose 32-bit hashes are equal, under one id: neither loses what the other does."""
+    line = F.concat(F.lit("unique line number "), F.col("id").cast("string"))
+    twins = spark.range(400_000).select(line.alias("t")).groupBy(F.hash("t").alias("h")).agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a < b").first()
+    df = spark.createDataFrame([(1, twins.a), (5, twins.a), (5, twins.b)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(df)
+    assert rows(got, "doc_id", "n_dropped", "kept") == plain((1, 0, twins.a), (5, 1, ""), (5, 0, twins.b))
+    items = spark.createDataFrame([(1, twins.a)], "item_id long, text string")
+    assert rows(decontamination.decontaminate(df, items), "doc_id", "n_hit") == plain((1, 4), (5, 4), (5, 0))
+
+
+def test_long_rows_are_not_broadcast(spark):
+    few = spark.createDataFrame([("x" * 1000,)] * 5, "s string")
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(small_side(few, 5, F.octet_length("s"), 5000)).lower()
+    assert "broadcast" not in plan(small_side(few, 5, F.octet_length("s"), 4999)).lower() + plan(small_side(few, 4)).lower()
 
 
 def brute_hits(text, items):
