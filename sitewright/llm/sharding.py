@@ -47,7 +47,12 @@ def extendible_shards(rows: DataFrame, limit: int, key: str = "doc_id", size: st
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """Writes docs under path, one folder a shard (shard=bits); rows of one shard meet in one task of bounded size."""
-    sized = docs.select(key, F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("n_bytes"))
-    shards = extendible_shards(sized, limit, key).select(F.col(key).alias("_key"), "shard").distinct()
-    docs.join(shards, docs[key].eqNullSafe(F.col("_key"))).drop("_key").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes docs under path, one folder a shard (shard=bits); rows of one shard meet in one task of bounded size.
+
+    Null keys are one value, null texts are empty, rows with one key share a shard, and columns may have any names: with
+    a column named shard the folders are _shard=bits. An empty table writes no folder."""
+    rows = docs.select(F.col(key).alias("key"), F.struct("*").alias("row"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("n_bytes"))
+    shards = extendible_shards(rows, limit, "key").select(F.col("key").alias("of"), "shard").distinct()
+    placed = rows.join(shards, F.col("key").eqNullSafe(F.col("of"))).repartition("shard")
+    name = next(n for n in ("shard", "_shard", "_shard_bits") if n.lower() not in map(str.lower, docs.columns))
+    placed.select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
