@@ -11,6 +11,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,8 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, archive_bytes: int = 1 << 20) -> DataFrame:
     """A table (archive, records, data): each row one archive of about archive_bytes, valid on its own.
 
-    data is the skippable frame with the dictionary, then one Zstandard frame a record. Of equal payloads the page with
+    archive is a name of its own: the task, its archives so far, and the first key. data is the skippable frame with the
+    dictionary, then one Zstandard frame a record. Of equal payloads the page with
     the smallest key is a response and the others revisits. Pages with a null payload have an empty one, with a null
     url no address; a null key comes before all others; repeated rows of one page are archived each, all alike.
     An empty table gives no archive.
@@ -126,10 +128,10 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         lead = struct.pack("<II", SKIPPABLE, len(words)) + words if words else b""
-        out, size, first = [], 0, None
+        out, size, first, done, part = [], 0, None, 0, TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"archive": f"pages-{first}", "records": len(out), "data": lead + b"".join(out)}], schema=pa.schema([("archive", pa.string()), ("records", pa.int64()), ("data", pa.binary())]))
+            return pa.RecordBatch.from_pylist([{"archive": f"pages-{part:05d}-{done:05d}-{first}", "records": len(out), "data": lead + b"".join(out)}], schema=pa.schema([("archive", pa.string()), ("records", pa.int64()), ("data", pa.binary())]))
 
         for batch in batches:
             for k, u, h, r in zip(*(c for c in batch.columns)):
@@ -141,7 +143,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
                 size += len(frame)
                 if size >= archive_bytes:
                     yield close()
-                    out, size, first = [], 0, None
+                    out, size, first, done = [], 0, None, done + 1
         if out:
             yield close()
 
