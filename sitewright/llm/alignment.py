@@ -57,19 +57,15 @@ def tokenizers(path_a: str, path_b: str) -> tuple[Callable, Callable, list[bytes
     of_a = [b""] * (1 + max(ranks.values()))
     for t, i in ranks.items():
         of_a[i] = t
-    return a.encode_ordinary, lambda texts: b.encode(texts, num_threads=1), of_a, [piece_bytes(b.id_to_piece(i)) for i in range(b.get_piece_size())]
+    return a.encode_ordinary, b.encode, of_a, [piece_bytes(b.id_to_piece(i)) for i in range(b.get_piece_size())]
 
 
-def encode(texts: list[str | None], path_a: str, path_b: str) -> tuple[list[list[int]], list[list[int]]]:
+def encode(text: str | None, path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of space and text by both tokenizers; none where the text is null or empty or either loses bytes of it."""
-    of, all_of, bytes_a, bytes_b = tokenizers(path_a, path_b)
-    a, b = [], []
-    for text, y in zip(texts, all_of([t or "" for t in texts])):
-        x, whole = of(" " + text) if text else [], (" " + (text or "")).encode()
-        on = bool(text) and b"".join(map(bytes_a.__getitem__, x)) == whole and b"".join(map(bytes_b.__getitem__, y)) == whole
-        a.append(x if on else [])
-        b.append(y if on else [])
-    return a, b
+    of_a, of_b, bytes_a, bytes_b = tokenizers(path_a, path_b)
+    x, y, whole = of_a(" " + text) if text else [], of_b(text) if text else [], (" " + (text or "")).encode()
+    on = b"".join(map(bytes_a.__getitem__, x)) == whole == b"".join(map(bytes_b.__getitem__, y))
+    return np.array(x if on else [], np.uint16), np.array(y if on else [], np.uint16)
 
 
 def groups(a: np.ndarray, b: np.ndarray, path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -110,9 +106,9 @@ def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text:
     """Chunks of documents: their ids by both tokenizers, and the distinct pairs of the chunk with the documents of each."""
 
     def chunk(number: int, ids: list, texts: list) -> pa.RecordBatch:
-        x, y = encode(texts, path_a, path_b)
+        x, y = zip(*(encode(t, path_a, path_b) for t in texts))
         na, nb = ([len(t) for t in z] for z in (x, y))
-        a, b = (np.fromiter((i for t in z for i in t), np.uint16, sum(n)) for z, n in ((x, na), (y, nb)))
+        a, b = np.concatenate(x), np.concatenate(y)
         key, _ = links(a, b, *groups(a, b, path_a, path_b), np.repeat(np.arange(len(na)), na))
         pairs, seen = np.unique((key & 0xFFFFFFFF).astype(np.uint32), return_counts=True)
         row = {"chunk": number, "docs": ids, "na": na, "nb": nb, "a": a.tobytes(), "b": b.tobytes(), "pairs": pairs.tobytes(), "seen": seen.astype(np.uint32).tobytes()}
@@ -157,10 +153,11 @@ def chunk_parts(chunks: DataFrame) -> DataFrame:
     return written(chunks.select("chunk", "pairs", "seen").mapInArrow(run, PARTS), "token-pairs")
 
 
-def folded(rows: DataFrame, keys: list[str], start: Callable, schema: str, then: list | None = None) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], start: Callable, schema: str, then: list | None = None, tasks: int = 1) -> DataFrame:
     """Rows of each key, in the order of `then`, given one by one to the object that start() makes for a key.
 
-    The object's add(row) and end(key) return lists of result rows. Rows stream, so a key's rows are never in memory at once."""
+    The object's add(row) and end(key) return lists of result rows. Rows stream, so a key's rows are never in memory at once.
+    tasks: so many at least."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +179,7 @@ def folded(rows: DataFrame, keys: list[str], start: Callable, schema: str, then:
 
     arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     types = [arrow[c.split()[1]] for c in schema.split(", ")]
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, *(then or [])).mapInArrow(run, schema)
 
 
@@ -368,7 +365,8 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "d
     """
     chunks = aligned_chunks(docs, path_a, path_b, doc_id, text)
     parts = chunk_parts(chunks)
-    index = pair_index(parts, chunks.count())
+    n = chunks.count()
+    index = pair_index(parts, n)
     entries, distinct = (t.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0] for t, c in ((parts, "pairs"), (index, "own")))
     width = max(1, -(-entries // (4 * max(1, distinct))))  # a vector sums at least about four times as many entries as it has slots
     counts = pair_counts(parts, index, width)
@@ -377,7 +375,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "d
     answers = written(answers, "pair-answers")
     discard(parts, index, counts)
     rows = answers.unionByName(chunks.drop("pairs", "seen"), allowMissingColumns=True)
-    out = folded(rows, ["chunk"], lambda: Documents(path_a, path_b), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string", [F.col("a").isNotNull()])
+    out = folded(rows, ["chunk"], lambda: Documents(path_a, path_b), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string", [F.col("a").isNotNull()], -(-n // 4))
     out = written(out, "token-alignments")
     discard(chunks, answers)
     return out
