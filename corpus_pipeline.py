@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.llm import decontamination, line_dedup, packing, quality, simhash
-from sitewright.llm.common import doc_key, small_side, written
+from sitewright.llm.common import doc_key, small_side, text_key, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     of_key = [F.bool_or(F.col("_row") == F.col("first._row")).alias("keep"), F.count("*").alias("n")]
     keys = written(simhash.similar_rows(docs).groupBy("_doc", "_t").agg(*of_key), "near-copy-keys")
-    keyed = docs.select(doc_key("doc_id").alias("_doc"), simhash.text_key("text").alias("_t"), F.struct("*").alias("row"))
+    keyed = docs.select(doc_key("doc_id").alias("_doc"), text_key(F.col("text")).alias("_t"), F.struct("*").alias("row"))
     kept = keyed.join(small_side(keys.filter("NOT keep").select("_doc", "_t"), simhash.BROADCAST_ROWS), ["_doc", "_t"], "left_anti")
     if not keys.filter("keep AND n > 1").isEmpty():  # equal rows of a kept text
         kept = kept.dropDuplicates(["_doc", "_t"])
