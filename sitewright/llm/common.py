@@ -65,3 +65,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers stay: what they hold for later adds up in an executor

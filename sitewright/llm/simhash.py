@@ -236,7 +236,8 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     tokens = whole_nodes.select(F.explode("prefix").alias("token"), "node")
     counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "prefix-counts")
     known = written(counts.filter(F.col("n") > hot), "hot-tokens")
-    met = tokens.join(small_side(counts.select("token"), BROADCAST_ROWS), "token").select("node").distinct()
+    # tokens that several sets have grow with the documents: dealt by token at any size, and hashed, not sorted
+    met = tokens.join(counts.select("token").hint("shuffle_hash"), "token").select("node").distinct()
     many = tokens.join(small_side(known.select("token"), BROADCAST_ROWS), "token").groupBy("node").agg(F.count("*").alias("_hot"))
     keys = rows.select(F.col("_row").alias("node"), "_doc", "_t", "fp", "size").join(met, "node").join(many, "node", "left")
     take = prefix_size(F.col("size"), similarity) + 4 * F.coalesce("_hot", F.lit(0))
@@ -253,7 +254,7 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     discard(whole_sets, known)
     shared = written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token", (F.col("n") == 2).alias("two")), "shared-tokens")
     before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1  # of a node's prefix: bounded by its text
-    met = tokens.join(shared.hint("merge"), "token").withColumn("miss", F.col("pos") - before)
+    met = tokens.join(shared.hint("shuffle_hash"), "token").withColumn("miss", F.col("pos") - before)
     met = written(met.select("token", "node", F.col("size").cast("int").alias("size"), F.col("pos").cast("int").alias("pos"), F.col("miss").cast("int").alias("miss"), "two"), "met-prefixes")
     discard(tokens, shared)
     fields = ("size", "pos", "miss")
