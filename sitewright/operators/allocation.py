@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.operators.rank import running
+from sitewright.operators.rank import running_within
 from sitewright.sources.tables import saved
 
 
@@ -15,12 +15,11 @@ def bounded_equal_shares(totals: DataFrame, limits: DataFrame) -> tuple[DataFram
     A null limit is no bound. In order of limits, the level is what is left after the smaller limits over the nodes from
     here on; the first node whose limit reaches its level sets the level of the region. Nodes get the smaller of limit
     and level; without such a node all limits are full and the rest is unserved. Limits are not negative. Places and sums
-    run over all regions one after another (rank.running), so a large region is no single task; a region's sums are exact
-    where limits are, as differences of running sums."""
-    n = running(limits.join(totals, "region"), ["region", F.col("limit").asc_nulls_last(), "node"], {"_g": F.lit(1), "_l": F.coalesce("limit", F.lit(0.0))})
-    start = n.groupBy("region").agg(F.min("_g").alias("_g0"), F.min("_l").alias("_l0"), F.count("*").alias("_n"))
-    n = n.join(start, "region").withColumn("_i", F.col("_g") - F.col("_g0") + 1).withColumn("_s", F.col("_l") - F.col("_l0"))
-    n = n.withColumn("_level", F.greatest(F.lit(0.0), (F.col("total") - F.col("_s")) / (F.col("_n") - F.col("_i") + 1)))
+    run over ranges (rank.running_within), so a large region is no single task, and limits of other regions never enter a
+    region's sums."""
+    n = running_within(limits.join(totals, "region"), ["region"], [F.col("limit").asc_nulls_last(), "node"], {"_i": F.lit(1), "_s": F.coalesce("limit", F.lit(0.0))})
+    n = n.join(n.groupBy("region").agg(F.count("*").alias("_n")), "region")
+    n = n.withColumn("_level", F.greatest(F.lit(0.0), (F.col("total") - F.col("_s")) / (F.col("_n") - F.col("_i"))))
     levels = n.filter(F.col("limit").isNull() | (F.col("limit") >= F.col("_level"))).groupBy("region").agg(F.min_by("_level", "_i").alias("_at"))
     shares = n.join(levels, "region", "left").select("region", "node", F.least("limit", "_at").alias("share"))
     sums = shares.groupBy("region").agg(F.sum("share").alias("assigned"))

@@ -23,6 +23,21 @@ def running(df: DataFrame, order: list, values: dict[str, Column]) -> DataFrame:
     return local.join(F.broadcast(offsets), "_p").select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in values])
 
 
+def running_within(df: DataFrame, by: list[str], order: list, values: dict[str, Column]) -> DataFrame:
+    """df with, for each value, its sum over the rows of its group before this one in a total order. by: columns without nulls.
+
+    Each range sums the rows of each group apart; only a group that goes on from earlier ranges adds what it has there, one
+    row a range at most. So values of other groups never enter a sum, and a group may be as large as the table."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = saved(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    ranges = parts.groupBy("_p", *by).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in values.items()])
+    group = Window.partitionBy(*by).orderBy("_p")  # one row a range
+    offsets = ranges.select("_p", *by, F.row_number().over(group).alias("_n"), *[F.sum(f"_t_{k}").over(group.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_o_{k}") for k in values]).filter("_n > 1").drop("_n")
+    before = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.select("*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_l_{k}") for k, v in values.items()])
+    return local.join(F.broadcast(offsets), ["_p", *by], "left").select(*df.columns, *[(F.col(f"_l_{k}") + F.coalesce(f"_o_{k}", F.lit(0))).alias(k) for k in values])
+
+
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """df with its place in a total order, from 1."""
     return running(df, order, {name: F.lit(1)}).withColumn(name, F.col(name) + 1)
