@@ -14,6 +14,8 @@ from .common import doc_key, key_back, written
 
 #: Sampled queries by which the probes are fitted, and rows and queries of one block of exact products.
 SAMPLE, ROWS, ASKS = 200, 1024, 512
+#: Sampled rows, a quarter of all at most, that tell how near a query's k-th neighbour is at least.
+BOUND = 4096
 
 
 @dataclass
@@ -28,6 +30,7 @@ class Index:
     scale: float
     longest: float
     recall: float = 1.0
+    bound: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def buckets(self) -> int:
@@ -86,10 +89,10 @@ def bucket_scores(x: np.ndarray, index: Index, table: int) -> np.ndarray:
     return s
 
 
-def best_of(queries: np.ndarray, rows: np.ndarray, q_id: np.ndarray, r_id: np.ndarray, r_key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(queries: np.ndarray, rows: np.ndarray, q_id: np.ndarray, r_id: np.ndarray, r_key: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, row place, product) of the k rows nearest to each query but its own row, ties to smaller keys.
 
-    One matrix product finds those that may be among them; their products are then summed again one by one, so that a
+    floor: products under it, for each query, are not wanted. One matrix product finds those that may be among them; their products are then summed again one by one, so that a
     pair has the same value in every block."""
     rough = queries @ rows.T
     rough[q_id[:, None] == r_id[None, :]] = -np.inf
@@ -97,6 +100,7 @@ def best_of(queries: np.ndarray, rows: np.ndarray, q_id: np.ndarray, r_id: np.nd
     if not keep:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     least = np.partition(rough, -keep, 1)[:, -keep]
+    least = least if floor is None else np.maximum(least, floor)
     slack = 1e-9 * np.sqrt((queries**2).sum(1) * max((rows**2).sum(1).max(), 1e-300))
     i, j = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
     exact = (queries[i] * rows[j]).sum(1)
@@ -151,6 +155,9 @@ def fitted(rows: DataFrame, asks: DataFrame, k: int, tables: int, axes: int, rec
     size = int(shape["size"])
     axes = min(axes, 1 << size.bit_length())
     index = Index(tables, 1, 1, size, axes, scale, float(longest))
+    if (few := min(BOUND, shape["n"] // 4)) > k:
+        some = rows.orderBy(F.xxhash64("uid", F.lit(1)), "uid").limit(few).select("uid", "vector").toPandas()  # BOUND rows at most
+        index.bound = some["uid"].to_numpy(), matrix(pa.array([list(map(float, v)) for v in some["vector"]], pa.list_(pa.float64())), size)
     sample = asks.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("uid", "vector").toPandas()  # SAMPLE rows at most
     if not len(sample):
         return index
@@ -181,15 +188,26 @@ def fitted(rows: DataFrame, asks: DataFrame, k: int, tables: int, axes: int, rec
     return index
 
 
-def hashed(rows: DataFrame, index: Index, query: bool) -> DataFrame:
-    """rows with `at`, structs (t, b): the bucket of each table, or for queries those of the probes."""
+def floors(queries: np.ndarray, ids: np.ndarray, index: Index, k: int) -> np.ndarray:
+    """For each query a product that k of the sampled rows reach, so that its k nearest do, too."""
+    if index.bound is None:
+        return np.full(len(queries), -np.inf)
+    uid, rows = index.bound
+    s = queries @ rows.T
+    s[ids[:, None] == uid[None, :]] = -np.inf
+    return np.partition(s, -k, 1)[:, -k]
+
+
+def hashed(rows: DataFrame, index: Index, query: bool, k: int) -> DataFrame:
+    """rows with `at`: the bucket of each table, or for queries those of the probes, and with `floor`, null for rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, ASKS):
                 batch = whole.slice(a, ASKS)
-                x = unit(matrix(batch.column(2), index.size), index, query)
-                each = []
+                own = matrix(batch.column(2), index.size)
+                x, each = unit(own, index, query), []
+                floor = pa.array(floors(own, batch.column(0).to_numpy(), index, k)) if query else pa.nulls(len(own), pa.float64())
                 for t in range(index.tables):
                     if query:
                         s = bucket_scores(x, index, t)
@@ -198,10 +216,10 @@ def hashed(rows: DataFrame, index: Index, query: bool) -> DataFrame:
                     else:
                         each.append(t * index.buckets + bucket_of(x, index, t)[:, None])
                 at = np.concatenate(each, 1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * at.shape[1], pa.int32()), pa.array(at.ravel()))], names=[*batch.schema.names, "at"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * at.shape[1], pa.int32()), pa.array(at.ravel())), floor], names=[*batch.schema.names, "at", "floor"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    return rows.select("uid", "key", "vector").mapInArrow(run, f"uid long, key long, vector {kind}, at array<long>")
+    return rows.select("uid", "key", "vector").mapInArrow(run, f"uid long, key long, vector {kind}, at array<long>, floor double")
 
 
 def dealt(rows: DataFrame, asks: DataFrame) -> DataFrame:
@@ -210,15 +228,15 @@ def dealt(rows: DataFrame, asks: DataFrame) -> DataFrame:
     A bucket's rows and queries are dealt into parts of about ROWS and ASKS, and each part of rows goes with each of queries,
     so that a bucket may hold any share of the table."""
     n = lambda df, name: df.groupBy("at").agg(F.count("*").alias(name))
-    flat = lambda df: df.select("uid", "key", "vector", F.explode("at").alias("at"))
+    flat = lambda df: df.select("uid", "key", "vector", F.explode("at").alias("at"), "floor")
     rows, asks = flat(rows), flat(asks)
     sizes = n(rows, "_r").join(n(asks, "_a"), "at")
     sizes = written(sizes.select("at", F.ceil(F.col("_r") / ROWS).cast("int").alias("_r"), F.ceil(F.col("_a") / ASKS).cast("int").alias("_a")), "bucket-sizes")
     own = lambda c: F.pmod(F.xxhash64("uid", "at"), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    rows = rows.join(sizes, "at").withColumn("_i", own("_r")).select("at", (F.col("_i") * F.col("_a")).alias("_i"), each("_a").alias("_j"), "uid", "key", "vector", F.lit(False).alias("ask"))
-    asks = asks.join(sizes, "at").withColumn("_j", own("_a")).select("at", "_a", each("_r").alias("_i"), "_j", "uid", "key", "vector").select("at", (F.col("_i") * F.col("_a")).alias("_i"), "_j", "uid", "key", "vector", F.lit(True).alias("ask"))
-    return rows.union(asks).select("at", (F.col("_i") + F.col("_j")).alias("s"), "uid", "key", "vector", "ask")
+    rows = rows.join(sizes, "at").withColumn("_i", own("_r")).select("at", (F.col("_i") * F.col("_a")).alias("_i"), each("_a").alias("_j"), "uid", "key", "vector", "floor", F.lit(False).alias("ask"))
+    asks = asks.join(sizes, "at").withColumn("_j", own("_a")).select("at", "_a", each("_r").alias("_i"), "_j", "uid", "key", "vector", "floor").select("at", (F.col("_i") * F.col("_a")).alias("_i"), "_j", "uid", "key", "vector", "floor", F.lit(True).alias("ask"))
+    return rows.union(asks).select("at", (F.col("_i") + F.col("_j")).alias("s"), "uid", "key", "vector", "floor", "ask")
 
 
 def block_best(blocks: DataFrame, index: Index, k: int) -> DataFrame:
@@ -239,7 +257,7 @@ def block_best(blocks: DataFrame, index: Index, k: int) -> DataFrame:
         t = pa.Table.from_batches(parts).combine_chunks()
         ask = t["ask"].to_numpy()
         x, uid, key = matrix(t["vector"].chunk(0), index.size), t["uid"].to_numpy(), t["key"].to_numpy()
-        i, j, score = best_of(x[ask], x[~ask], uid[ask], uid[~ask], key[~ask], k)
+        i, j, score = best_of(x[ask], x[~ask], uid[ask], uid[~ask], key[~ask], k, t["floor"].to_numpy()[ask])
         return uid[ask][i], uid[~ask][j], key[~ask][j], score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +291,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 20, queries: Column | None = No
     Vectors are put on the unit sphere, where the angle orders as the product does, turned by fast pseudo-rotations, a
     number of tables, and assigned to the nearest signed axis. A query probes the buckets nearest to it in each table, as
     many as the sample of fitted() needs for the recall; candidates are ranked by exact products in double precision, within
-    blocks of a bucket. Queries that meet fewer than k rows are held against all rows, in blocks.
+    blocks of a bucket; a bounded sample of rows tells how near the k-th is at least, and what is farther is not sent on.
+    Queries that find fewer than k rows are held against all rows, in blocks.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part; shorter ones count as ending
     in zeros. Rows of one id are rows of their own; a null id comes before all others and is no query. Empty table: no rows.
@@ -287,7 +306,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 20, queries: Column | None = No
     if index is None:
         found = spark.createDataFrame([], none)
     else:
-        table, probes = written(hashed(rows, index, False), "vector-buckets"), written(hashed(asks, index, True), "query-buckets")
+        table, probes = written(hashed(rows, index, False, k), "vector-buckets"), written(hashed(asks, index, True, k), "query-buckets")
         found = written(block_best(dealt(table, probes), index, k), "block-neighbours")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "key", "uid")  # k rows a query, table and probe at most
     top = lambda df: df.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -296,8 +315,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 20, queries: Column | None = No
         full = out.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") >= n)
         short = written(asks.join(full, F.col("uid") == F.col("query"), "left_anti").select("uid", "key", "vector"), "short-queries")
         if not short.isEmpty():
-            one = F.array(F.lit(0).cast("long")).alias("at")
-            exact = block_best(dealt(rows.select("uid", "key", "vector", one), short.select("*", one)), index, k)
+            one = F.array(F.lit(0).cast("long")).alias("at"), F.lit(float("-inf")).alias("floor")
+            exact = block_best(dealt(rows.select("uid", "key", "vector", *one), short.select("*", *one)), index, k)
             out = written(top(out.drop("rank").union(exact)), "neighbours")
     names = asks.select(F.col("uid").alias("query"), F.col("key").alias("_q"))
     return out.join(names, "query").select(key_back("_q").alias("query_id"), "rank", key_back("key").alias("vec_id"), "score")
