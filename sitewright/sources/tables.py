@@ -58,10 +58,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables as saved() returned them, once what was made from them is saved itself."""
+    """Deletes tables as saved() returned them, once what was made from them is saved itself; those that are gone stay so."""
     for t in tables:
-        _saved[t.sparkSession.sparkContext.applicationId].remove(t._saved_at)
-        _delete(t.sparkSession, t._saved_at)
+        own = _saved.get(t.sparkSession.sparkContext.applicationId, [])
+        if t._saved_at in own:
+            own.remove(t._saved_at)
+            _delete(t.sparkSession, t._saved_at)
 
 
 def release(spark: SparkSession) -> None:

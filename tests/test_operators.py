@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import draws, energy, geo, text
 from sitewright.operators import allocation, checks, evaluation, graph, rank, shapes, spatial
+from sitewright.sources import tables
 
 
 def values(df, *columns):
@@ -298,3 +299,12 @@ def test_holes_and_edges(spark):
     pts = [(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 0.0, 0.0), (4, 10.0, 10.0), (5, 11.0, 1.0)]
     got = spatial.points_in_zones(spark.createDataFrame(pts, "id long, x double, y double"), spatial.edges_of(z), 3.0)
     assert values(got, "id") == [(1,), (3,)]
+
+
+def test_tables_are_discarded_once(spark):
+    a, b = tables.saved(spark.range(3).toDF("x"), "a"), tables.saved(spark.range(4).toDF("x"), "b")
+    tables.discard(a)
+    tables.discard(a)
+    assert b.count() == 4
+    tables.discard(a, b)
+    tables.discard(b, a)
