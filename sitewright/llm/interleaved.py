@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, written
+from .common import slices, small_batches
 
 #: Samples in a row of a stored image, and copies over which references to one digest are dealt.
 WIDTH, SALTS = 192, 64
@@ -170,25 +170,30 @@ def parse_items(html: str) -> list[dict]:
 
 
 def interleave(pages: DataFrame, key: str, html: str, texts: bool = True) -> DataFrame:
-    """(key, items, n_chars, text_sha256): each page's text blocks and media references in order, with positions from 0 and
-    captions; how many characters the text blocks have, and the hash of them joined by line feeds.
+    """(key, items): each page's text blocks and media references in order, with positions from 0 and captions.
 
-    Without `texts` the items lack their text, for joins that needn't move it. Null and empty pages have no items; null and
-    repeated keys stay as they are; broken mark-up gives what a browser's tokenizer finds in it; other columns are ignored."""
+    Without `texts` the items lack their text, where only the references are wanted. Null and empty pages have no items; null
+    and repeated keys stay as they are; broken mark-up gives what a browser's tokenizer finds in it; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("source", pa.string())]))
         for whole in batches:
             for batch in slices(whole, "_html", 4 << 20):
                 pages = [parse_items(h or "") for h in batch.column(1).to_pylist()]
-                said = ["\n".join(i["text"] for i in items if i["kind"] == "text") for items in pages]
-                chars = [sum(len(i["text"]) for i in items if i["kind"] == "text") for items in pages]
                 if not texts:
                     pages = [[i | {"text": None} for i in items] for items in pages]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, kind), pa.array(chars, pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said])], names=[key, "items", "n_chars", "text_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, kind)], names=[key, "items"])
 
     rows = pages.select(F.col(key), F.col(html).cast("string").alias("_html"))
-    return small_batches(rows).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, items {ITEMS}, n_chars long, text_sha256 string")
+    return small_batches(rows).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, items {ITEMS}")
+
+
+def text_blocks(items: str) -> list[Column]:
+    """n_items, n_chars and text_sha256 of a sequence: its items, the characters of its text blocks, and the hash of those
+    joined by line feeds."""
+    said = F.transform(F.filter(items, lambda x: x["kind"] == "text"), lambda x: x["text"])
+    chars = F.aggregate(said, F.lit(0).cast("long"), lambda n, t: n + F.char_length(t))
+    return [F.size(items).alias("n_items"), chars.alias("n_chars"), F.sha2(F.concat_ws("\n", said), 256).alias("text_sha256")]
 
 
 def media_store(payloads: DataFrame, digest: str, payload: str, near: str | None = None) -> DataFrame:
@@ -250,23 +255,24 @@ def document_page(body: Column, digest: Column) -> Column:
     return F.concat(F.lit("<article><p>"), safe(first), F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
 
 
-def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def document_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents as pages of all their lines with a figure each, whose media is the whole text: parsed to sequences, resolved
     by digest, read back, and put in place again.
 
-    Returns (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position,
-    n_items, caption, n_chars, text_sha256): of the media item in the assembled sequence, its caption and place, and of the
-    sequence's text blocks. A null text is empty, and an empty one is 192 spaces; null and repeated ids keep a row for each
-    row, and rows of equal text share one stored media; an empty table gives no rows.
+    Returns (doc_id, n_bytes, items): all text blocks with their text and the media items in order, each media item with what
+    was read back of it: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A row is known by its
+    id, length and digest; rows equal in these have equal sequences, so null and repeated ids keep a row for each row. Pages
+    are parsed twice, for the references and for the sequences, so that texts move once, in the join that puts media in
+    place. A null text is empty, and an empty one is 192 spaces; rows of equal text share one stored media; an empty table
+    gives no rows.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    about = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"))
     digest = F.sha2(padded(body), 256)
-    pages = docs.select(about.alias("about"), document_page(body, digest).alias("html"))
-    sequences = interleave(pages, "about", "html", texts=False).select(F.struct("about.*", F.monotonically_increasing_id().alias("row")).alias("row"), "items", "n_chars", "text_sha256")
-    sequences = written(sequences, "media-sequences")
+    about = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"))
+    row = F.struct("about.doc_id", "about.n_bytes", "digest")
+    pages = docs.select(about.alias("about"), digest.alias("digest"), body.alias("body")).select(row.alias("row"), document_page(F.col("body"), F.col("digest")).alias("html"))
     store = media_store(docs.select(about.alias("about"), digest.alias("digest"), padded(body).alias("payload")), "digest", "payload", "about")
-    near = sequences.withColumn("about", F.struct("row.doc_id", "row.n_bytes"))
+    near = interleave(pages, "row", "html", texts=False).withColumn("about", F.struct("row.doc_id", "row.n_bytes"))
     found = resolve(media_references(near, "row", "about"), store)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +288,13 @@ def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["row", "position", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    facts = found.select("digest", "media", "row", "position").mapInArrow(read, "row struct<doc_id:long,n_bytes:long,row:long>, position int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    whole = assemble(facts, sequences, "row")
+    facts = found.select("digest", "media", "row", "position").mapInArrow(read, "row struct<doc_id:long,n_bytes:long,digest:string>, position int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return assemble(facts, interleave(pages, "row", "html"), "row").select("row.doc_id", "row.n_bytes", "items")
+
+
+def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption,
+    n_items, n_chars, text_sha256) of document_sequences: what the assembled sequences say of the media item, its place and
+    caption, and of the text blocks in them."""
     shown = F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0)).alias("m")
-    return whole.select("row.doc_id", "row.n_bytes", shown, F.size("items").alias("n_items"), "n_chars", "text_sha256").select("doc_id", "n_bytes", "m.media.*", "m.position", "n_items", "m.caption", "n_chars", "text_sha256")
+    return document_sequences(docs, doc_id, text).select("doc_id", "n_bytes", shown, *text_blocks("items")).select("doc_id", "n_bytes", "m.media.*", "m.position", "m.caption", "n_items", "n_chars", "text_sha256")

@@ -22,7 +22,7 @@ def op1_media_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplied pages as sequences: how many items and media each has, the characters of its text blocks and their hash."""
     media = F.size(F.filter("items", lambda x: x["kind"] == "media"))
-    return interleaved.interleave(table(spark, sf_dir, "pages"), "page_id", "html", texts=False).select("page_id", F.size("items").alias("n_items"), media.alias("n_media"), "n_chars", "text_sha256")
+    return interleaved.interleave(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", media.alias("n_media"), *interleaved.text_blocks("items"))
 
 
 def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

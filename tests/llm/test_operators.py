@@ -73,8 +73,10 @@ def test_interleaved_sequences(spark):
     items = {r.id: [(i.position, i.kind, i.text or i.digest, i.caption) for i in r["items"]] for r in seq.collect()}
     assert items[1] == [(0, "text", "Title", None), (1, "text", "one two", None), (2, "media", AA, "both shown"), (3, "media", BB, "both shown"), (4, "text", "tail", None), (5, "media", ZZ, "alone")]
     assert items[2] == [] and items[None] == [] and items[3] == [(0, "text", "open", None)]
+    said = {r.id: r for r in seq.select("id", *interleaved.text_blocks("items")).collect()}
+    assert (said[1].n_items, said[1].n_chars, said[1].text_sha256) == (6, 16, hashlib.sha256(b"Title\none two\ntail").hexdigest())
     slim = {r.id: r for r in interleaved.interleave(pages, "id", "html", texts=False).collect()}
-    assert slim[1].n_chars == 16 and slim[1].text_sha256 == hashlib.sha256(b"Title\none two\ntail").hexdigest() and all(i.text is None for i in slim[1]["items"])
+    assert all(i.text is None for i in slim[1]["items"]) and interleaved.media_references(interleaved.interleave(pages, "id", "html", texts=False), "id").count() == 6
     store = spark.createDataFrame([(AA, 0, bytearray(b"A")), (BB, 0, bytearray(b"B"))], "digest string, salt int, media binary")
     refs = interleaved.media_references(seq, "id")
     whole = {r.id: r["items"] for r in interleaved.assemble(interleaved.resolve(refs, store), seq, "id").collect()}
@@ -112,6 +114,23 @@ def test_media_pages_hold_whole_texts(docs, texts):
     assert got == sorted(want, key=str)
 
 
+def test_assembled_sequences_hold_texts(spark, docs, texts):
+    """The assembled items of each document against a plain reading: all lines as text, the media behind the first."""
+    got = []
+    for r in interleaved.document_sequences(docs.union(docs)).collect():
+        assert [i.position for i in r["items"]] == list(range(len(r["items"])))
+        got.append((r.doc_id, [(i.kind, i.text, i.caption, i.media.payload_sha256 if i.media else None) for i in r["items"]]))
+    want = []
+    for i, t in texts * 2:
+        b = (t or "").encode()
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        digest = hashlib.sha256(b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))).hexdigest()
+        items = [("text", x, None, None) for x in lines if x]
+        items.insert(1 if lines[0] else 0, ("media", None, lines[0] or None, digest))
+        want.append((i, items))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pages_query(spark, sf):
     """Each page's text blocks against a plain reading: tags that end a block cut, others go, hidden parts go."""
     got = {r.page_id: (r.n_items, r.n_media, r.n_chars, r.text_sha256) for r in registry.pages_interleaved(spark, sf).collect()}
