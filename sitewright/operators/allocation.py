@@ -9,21 +9,23 @@ from sitewright.operators.rank import running_within
 from sitewright.sources.tables import saved
 
 
-def bounded_equal_shares(totals: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, node, share) and (region, assigned, unserved): each region's total in equal shares up to limits.
+def bounded_equal_shares(totals: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("region",)) -> tuple[DataFrame, DataFrame]:
+    """(region, node, share) and (region, assigned, unserved): each region's total in equal shares up to limits. keys: the
+    columns that make a region, where many runs are allocated at once.
 
     A null limit is no bound. In order of limits, the level is what is left after the smaller limits over the nodes from
     here on; the first node whose limit reaches its level sets the level of the region. Nodes get the smaller of limit
     and level; without such a node all limits are full and the rest is unserved. Limits are not negative. Places and sums
     run over ranges (rank.running_within), so a large region is no single task, and limits of other regions never enter a
     region's sums."""
-    n = running_within(limits.join(totals, "region"), ["region"], [F.col("limit").asc_nulls_last(), "node"], {"_i": F.lit(1), "_s": F.coalesce("limit", F.lit(0.0))})
-    n = n.join(n.groupBy("region").agg(F.count("*").alias("_n")), "region")
+    by = list(keys)
+    n = running_within(limits.join(totals, by), by, [F.col("limit").asc_nulls_last(), "node"], {"_i": F.lit(1), "_s": F.coalesce("limit", F.lit(0.0))})
+    n = n.join(n.groupBy(*by).agg(F.count("*").alias("_n")), by)
     n = n.withColumn("_level", F.greatest(F.lit(0.0), (F.col("total") - F.col("_s")) / (F.col("_n") - F.col("_i"))))
-    levels = n.filter(F.col("limit").isNull() | (F.col("limit") >= F.col("_level"))).groupBy("region").agg(F.min_by("_level", "_i").alias("_at"))
-    shares = n.join(levels, "region", "left").select("region", "node", F.least("limit", "_at").alias("share"))
-    sums = shares.groupBy("region").agg(F.sum("share").alias("assigned"))
-    balance = totals.join(sums, "region", "left").select("region", F.coalesce("assigned", F.lit(0.0)).alias("assigned"), F.greatest(F.lit(0.0), F.col("total") - F.coalesce("assigned", F.lit(0.0))).alias("unserved"))
+    levels = n.filter(F.col("limit").isNull() | (F.col("limit") >= F.col("_level"))).groupBy(*by).agg(F.min_by("_level", "_i").alias("_at"))
+    shares = n.join(levels, by, "left").select(*by, "node", F.least("limit", "_at").alias("share"))
+    sums = shares.groupBy(*by).agg(F.sum("share").alias("assigned"))
+    balance = totals.join(sums, by, "left").select(*by, F.coalesce("assigned", F.lit(0.0)).alias("assigned"), F.greatest(F.lit(0.0), F.col("total") - F.coalesce("assigned", F.lit(0.0))).alias("unserved"))
     return shares, balance
 
 

@@ -11,6 +11,7 @@ from sitewright.functions import rules
 from sitewright.functions.geo import distance
 from sitewright.operators import rank, spatial
 from sitewright.operators.allocation import bounded_equal_shares, nearest_first
+from sitewright.operators.stress import MEASURES, stress
 from sitewright.sources.tables import Queries, buildings, read, saved, sites, sql
 
 QUERIES = Queries()
@@ -354,15 +355,33 @@ def sim13(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("site", "outside")
 
 
-@QUERIES.add("sim14_degradation_stress", "WITH h AS (SELECT o_orderkey, o_custkey AS site, o_totalprice AS v, rep, ('0x' || substr(md5(o_orderkey || ':' || rep), 1, 8))::BIGINT % 1000 < 300 AS hidden FROM orders, (SELECT unnest(range(0, 20)) AS rep)), t AS (SELECT rep, site, sum(v) FILTER (NOT hidden) AS kept FROM h GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY kept DESC NULLS LAST, site) AS r FROM t), b AS (SELECT o_custkey AS site, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS r FROM orders GROUP BY 1), o AS (SELECT rep, count(*) / 10.0 AS retention FROM k JOIN b USING (site) WHERE k.r <= 10 AND b.r <= 10 GROUP BY rep) SELECT count(*) AS reps, round(CAST(avg(retention) AS DOUBLE), 6) AS mean, round(CAST(min(retention) AS DOUBLE), 6) AS low, round(CAST(max(retention) AS DOUBLE), 6) AS high FROM o")
+#: Percent of known totals and of nodes that are hidden, replicates, and the seed of their picks.
+STRESS, REPLICATES, STRESS_SEED = {"production": [10, 25, 50, 75], "location": [10, 25, 50], "facility": [10, 25, 50]}, 20, 1407
+NEED = "CASE WHEN share IS NOT NULL THEN share * 0.8::DOUBLE * 45 / 330 * 0.7::DOUBLE * 0.0018::DOUBLE * 600 / (1000 * 0.55::DOUBLE * 0.9::DOUBLE) + CASE WHEN share > 0 THEN 2 ELSE 0 END END"
+PICK = "row_number() OVER (PARTITION BY mechanism, percent, rep ORDER BY ('0x' || substr(md5('{seed}:' || mechanism || ':' || percent || ':' || rep || ':' || {key}), 1, 12))::BIGINT, {key}) <= round_even(percent * (SELECT count(*) FROM {rows}) / 100.0::DOUBLE, 0)"
+STRESS_SQL = f"""WITH tt AS (SELECT o_custkey // 50 AS region, sum(o_totalprice) / 1000000.0 AS total FROM orders GROUP BY 1), nn AS (SELECT p_partkey // 50 AS region, p_partkey AS node, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) / 4 END AS lim FROM part WHERE NOT (p_partkey // 50 % 4 = 0 AND p_size % 7 = 0)),
+runs AS (SELECT 'nothing_hidden' AS mechanism, 0 AS percent, 0 AS rep UNION ALL SELECT mechanism, percent, rep FROM (VALUES {', '.join(f"('{m}', {p})" for m, ps in STRESS.items() for p in ps)}) AS lv(mechanism, percent), (SELECT unnest(range(0, {REPLICATES})) AS rep)),
+ht AS (SELECT mechanism, percent, rep, region FROM tt, runs WHERE mechanism = 'production' QUALIFY {PICK.format(seed=STRESS_SEED, key='region', rows='tt')}),
+hn AS (SELECT mechanism, percent, rep, node FROM nn, runs WHERE mechanism IN ('location', 'facility') QUALIFY {PICK.format(seed=STRESS_SEED, key='node', rows='nn')}),
+tr AS (SELECT * FROM (SELECT * FROM tt, runs) ANTI JOIN ht USING (mechanism, percent, rep, region)),
+nr AS (SELECT nn.node, lim, mechanism, percent, rep, CASE WHEN hn.node IS NULL THEN region END AS region FROM nn CROSS JOIN runs LEFT JOIN hn USING (mechanism, percent, rep, node) WHERE NOT (mechanism = 'facility' AND hn.node IS NOT NULL)),
+o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY mechanism, percent, rep, region) AS n, coalesce(sum(lim) OVER (PARTITION BY mechanism, percent, rep, region ORDER BY lim NULLS LAST, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM nr JOIN tr USING (mechanism, percent, rep, region) WINDOW w AS (PARTITION BY mechanism, percent, rep, region ORDER BY lim NULLS LAST, node)),
+v AS (SELECT *, greatest(0, (total - s) / (n - i + 1)) AS level FROM o), a AS (SELECT mechanism, percent, rep, region, min_by(level, i) AS lv FROM v WHERE lim IS NULL OR lim >= level GROUP BY ALL),
+sh AS (SELECT mechanism, percent, rep, region, node, CASE WHEN lim IS NULL THEN lv WHEN lv IS NULL THEN lim ELSE least(lim, lv) END AS share FROM v LEFT JOIN a USING (mechanism, percent, rep, region)),
+kn AS (SELECT mechanism, percent, rep, node, {NEED} AS kw, ht.region IS NOT NULL OR hn.node IS NOT NULL AS gone FROM nr LEFT JOIN (SELECT mechanism, percent, rep, node, share FROM sh) USING (mechanism, percent, rep, node) LEFT JOIN ht USING (mechanism, percent, rep, region) LEFT JOIN hn USING (mechanism, percent, rep, node)),
+re AS (SELECT mechanism, percent, rep, max(abs(total - given - greatest(0, total - given))) AS rest FROM (SELECT mechanism, percent, rep, region, any_value(total) AS total, coalesce(sum(share), 0) AS given FROM tr LEFT JOIN (SELECT mechanism, percent, rep, region, share FROM sh) USING (mechanism, percent, rep, region) GROUP BY ALL) GROUP BY ALL),
+cu AS (SELECT mechanism, percent, rep, min(kw) AS cut FROM (SELECT * FROM kn WHERE kw IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mechanism, percent, rep ORDER BY kw DESC, node) <= 10) GROUP BY ALL),
+tp AS (SELECT kn.*, coalesce(kw >= cut - 1e-9, false) AS top FROM kn LEFT JOIN cu USING (mechanism, percent, rep)), ba AS (SELECT node, kw AS bkw, top AS btop FROM tp WHERE mechanism = 'nothing_hidden'),
+ms AS (SELECT mechanism, percent, rep, count(kw) AS ranked, count(*) FILTER (kw IS NULL) AS reported_unknown, count(*) FILTER (kw IS NOT NULL AND gone) AS abstention_violations, coalesce(max(rest), 0) AS max_residual, count(*) FILTER (top) AS top_size, count(*) FILTER (top AND btop) / CAST((SELECT count(*) FILTER (btop) FROM ba) AS DOUBLE) AS retention, count(*) FILTER (top AND btop) / CAST(nullif(count(*) FILTER (btop AND kw IS NOT NULL), 0) AS DOUBLE) AS retention_among_surviving, count(*) FILTER (top AND NOT btop) AS entrants, count(*) FILTER (top AND NOT btop AND kw > bkw + 1e-9) AS entrants_inflated, coalesce(max(CASE WHEN bkw <> 0 THEN kw / bkw END), 1) - 1 AS max_inflation FROM tp JOIN ba USING (node) LEFT JOIN re USING (mechanism, percent, rep) WHERE mechanism <> 'nothing_hidden' GROUP BY ALL),
+lo AS (UNPIVOT (SELECT mechanism, percent, rep, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in MEASURES)} FROM ms) ON {', '.join(MEASURES)} INTO NAME measure VALUE v),
+li AS (SELECT mechanism, percent, measure, list_sort(list(v)) AS vs, avg(v) AS mean FROM lo GROUP BY ALL)
+SELECT mechanism, percent, measure, CAST(len(vs) AS BIGINT) AS runs, round(mean, 6) AS mean, round(vs[least(len(vs), CAST(floor(0.05::DOUBLE * len(vs)) AS BIGINT) + 1)], 6) AS p05, round(vs[least(len(vs), CAST(floor(0.95::DOUBLE * len(vs)) AS BIGINT) + 1)], 6) AS p95, round(vs[1], 6) AS least, round(vs[len(vs)], 6) AS most FROM li"""
+
+
+@QUERIES.add("sim14_degradation_stress", STRESS_SQL)
 def sim14(spark: SparkSession, sf: str) -> DataFrame:
-    """Hide three tenths of production in 20 replicates, by a hash of row and replicate, rank again, and see how many of the ten
-    best stay. Replicates are summed to (replicate, site) before they are ranked."""
-    o = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("site"), F.col("o_totalprice").alias("v"))
-    h = o.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("rep"))
-    hidden = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("rep").cast("string"))), 1, 8), 16, 10).cast("long") % 1000 < 300
-    t = h.groupBy("rep", "site").agg(F.sum(F.when(~hidden, F.col("v"))).alias("kept"))
-    k = t.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("kept").desc_nulls_last(), "site"))).filter("r <= 10")
-    best = o.groupBy("site").agg(F.sum("v").alias("s")).orderBy(F.desc("s"), "site").limit(10).select("site")
-    kept = k.join(F.broadcast(best), "site").groupBy("rep").agg((F.count("*") / 10.0).alias("retention"))
-    return kept.agg(F.count("*").alias("reps"), r6(F.avg("retention")).alias("mean"), r6(F.min("retention")).alias("low"), r6(F.max("retention")).alias("high"))
+    """Totals, places or whole facilities are hidden, production is allocated and nodes are ranked again, and every run is held
+    against the one that hides nothing. All runs are one job."""
+    totals, limits = regions(spark, sf)
+    s = stress(totals, limits, lambda t: en.aeration(t, AERATION)["electrical_kw"], STRESS, REPLICATES, STRESS_SEED)
+    return s.select("mechanism", "percent", "measure", "runs", *[r6(c).alias(c) for c in ("mean", "p05", "p95", "least", "most")])
