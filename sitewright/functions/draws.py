@@ -56,3 +56,11 @@ def sql_uniform(seed: str, k: str) -> str:
     t = f"list_transform({a}, lambda a: {times('xor(a, a >> 15)', 'a | 1')})"
     t = f"list_transform({t}, lambda t: xor(t, (t + {times('xor(t, t >> 7)', 't | 61')}) % {MASK}))"
     return f"list_transform({t}, lambda t: xor(t, t >> 14) / {MASK}.0::DOUBLE)[1]"
+
+
+def uniform_of(seed: int, k: int) -> float:
+    """uniform() of plain numbers, for draws of a fixed number."""
+    a = (seed + k * STEP) % MASK
+    t = ((a ^ (a >> 15)) * (a | 1)) % MASK
+    t ^= (t + ((t ^ (t >> 7)) * (t | 61)) % MASK) % MASK
+    return (t ^ (t >> 14)) / MASK

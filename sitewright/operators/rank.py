@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +87,40 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     r = mid_ranks(mid_ranks(df.select(a, b), a, "_a"), b, "_b")
     t = r.agg(F.corr("_a", "_b").alias("c"), F.count("*").alias("n"), F.stddev_pop("_a").alias("sa"), F.stddev_pop("_b").alias("sb"))
     return t.select(F.when((F.col("n") > 1) & (F.col("sa") > 0) & (F.col("sb") > 0), F.col("c")).alias("rho"))
+
+
+def block_spearman(df: DataFrame, a: str, b: str, block: str, draws: list[list]) -> list[float | None]:
+    """The rank correlation of a and b for each draw of blocks (a list of blocks, repeats count): as if the rows of each drawn
+    block were laid together, a block twice if drawn twice; null for a constant column. Rows without a, b or block don't count.
+
+    No row is repeated. A row's centred mid-rank under a draw is the product of the draw's counts of blocks with a vector: for
+    each block, its rows of smaller values and half of those of the same one, less half of the block. So the products of those
+    vectors, summed within each block, hold all that a draw needs: as many numbers as blocks to the third power come to the
+    driver, whatever the rows and draws. Blocks must be few (64 at most)."""
+    rows = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(block).alias("_block")).dropna()
+    rows = saved(rows.groupBy("_a", "_b", "_block").agg(F.count("*").alias("_n")), "blocks-rows")
+    sizes = {r["_block"]: r["n"] for r in rows.groupBy("_block").agg(F.sum("_n").alias("n")).limit(65).collect()}
+    if len(sizes) > 64:
+        raise ValueError("more than 64 blocks")
+    names, size = sorted(sizes), len(sizes)
+    if not names:
+        return [None] * len(draws)
+    for c in ("_a", "_b"):
+        counts = rows.groupBy(c).agg(*[F.sum(F.when(F.col("_block") == F.lit(x), F.col("_n")).otherwise(0)).alias(f"_n{i}") for i, x in enumerate(names)])
+        before = running(counts, [c], {f"_c{i}": F.col(f"_n{i}") for i in range(len(names))})
+        vector = F.array(*[F.col(f"_c{i}") + (F.col(f"_n{i}") - F.lit(sizes[x])) / F.lit(2.0) for i, x in enumerate(names)])
+        rows = rows.join(before.select(c, vector.alias(f"{c}_v")), c)
+    places = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    pairs = rows.select("_block", "_n", "_a_v", "_b_v", places.alias("i")).select("*", places.alias("j"))
+    at = lambda v, k: F.get(f"_{v}_v", F.col(k))
+    sums = pairs.groupBy("_block", "i", "j").agg(*[F.sum(F.col("_n") * at(u, "i") * at(v, "j")).alias(u + v) for u, v in ("ab", "aa", "bb")]).collect()
+    moments = {k: np.zeros((size, size, size)) for k in ("ab", "aa", "bb")}
+    for r in sums:
+        for k in moments:
+            moments[k][names.index(r["_block"]), r["i"], r["j"]] = r[k]
+    out = []
+    for draw in draws:
+        w = np.array([draw.count(x) for x in names], float)
+        ab, aa, bb = (float(np.einsum("b,bij,i,j", w, moments[k], w, w)) for k in ("ab", "aa", "bb"))
+        out.append(ab / (aa * bb) ** 0.5 if aa > 0 and bb > 0 else None)
+    return out

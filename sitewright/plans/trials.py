@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitewright.functions import draws as dw
 from sitewright.functions import rules
 from sitewright.operators import evaluation as ev
 from sitewright.operators import rank, spatial
@@ -267,17 +269,31 @@ def eva22b(spark: SparkSession, sf: str) -> DataFrame:
     return rank.spearman(b.select("k", F.round("ratio", 9).alias("ratio")), "k", "ratio").select(r6("rho").alias("boyce"))
 
 
-HIND = "h AS (SELECT o_orderkey AS id, o_totalprice AS o, 200000 + (o_custkey % 100) * 1000.0::DOUBLE AS p FROM orders WHERE o_orderstatus <> 'P'), m AS (SELECT *, rank() OVER (ORDER BY o) + (count(*) OVER (PARTITION BY o) - 1) / 2.0 AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS b, row_number() OVER (ORDER BY o DESC, id) AS ro, row_number() OVER (ORDER BY p DESC, id) AS rp, ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS k FROM h)"
+HIND = "h AS (SELECT o_orderkey AS id, o_totalprice AS o, 200000 + (o_custkey % 100) * 1000.0::DOUBLE AS p, year(o_orderdate) AS block FROM orders WHERE o_orderstatus <> 'P'), m AS (SELECT *, rank() OVER (ORDER BY o) + (count(*) OVER (PARTITION BY o) - 1) / 2.0 AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS b, row_number() OVER (ORDER BY o DESC, id) AS ro, row_number() OVER (ORDER BY p DESC, id) AS rp, ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS k FROM h)"
+#: Draws of blocks, their seed, and the level of the interval.
+BLOCK_DRAWS, BLOCK_SEED, LEVEL = 100, 2311, 0.9
+BLOCKS = f"bl AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS nb FROM (SELECT DISTINCT block FROM h)), pk AS (SELECT d, CAST(floor({dw.sql_uniform(str(BLOCK_SEED), 'd * nb + k + 1')} * nb) AS BIGINT) AS i FROM (SELECT DISTINCT nb FROM bl), (SELECT unnest(range(0, {BLOCK_DRAWS})) AS d), (SELECT unnest(range(0, 64)) AS k) WHERE k < nb), wt AS (SELECT d, block, CAST(count(*) AS DOUBLE) AS w FROM pk JOIN bl USING (i) GROUP BY ALL), rk AS (SELECT d, w, sum(w) OVER (PARTITION BY d ORDER BY o) - sum(w) OVER (PARTITION BY d, o) / 2 AS a, sum(w) OVER (PARTITION BY d ORDER BY p) - sum(w) OVER (PARTITION BY d, p) / 2 AS b FROM h JOIN wt USING (block)), dv AS (SELECT d, w, a - sum(w * a) OVER (PARTITION BY d) / sum(w) OVER (PARTITION BY d) AS a, b - sum(w * b) OVER (PARTITION BY d) / sum(w) OVER (PARTITION BY d) AS b FROM rk), rs AS (SELECT d, sum(w * a * b) / nullif(sqrt(sum(w * a * a) * sum(w * b * b)), 0) AS rho FROM dv GROUP BY d)"
 
 
-@QUERIES.add("eva23_hindcast_metrics", f"WITH {HIND} SELECT count(*) AS n, round(avg(abs(o - p)), 4) AS mae, round(avg(p - o), 4) AS bias, round(sum(p) / sum(o), 6) AS ratio, round(corr(a, b), 6) AS rho, round(count(*) FILTER (ro <= k AND rp <= k) / max(k), 6) AS top_recall FROM m")
+@QUERIES.add("eva23_hindcast_metrics", f"WITH {HIND}, {BLOCKS}, ci AS (SELECT count(rho) AS valid_draws, round(quantile_cont(rho, {(1 - LEVEL) / 2}), 6) AS rho_low, round(quantile_cont(rho, {1 - (1 - LEVEL) / 2}), 6) AS rho_high FROM rs) SELECT count(*) AS n, count(DISTINCT block) AS blocks, round(avg(abs(o - p)), 4) AS mae, round(avg(p - o), 4) AS bias, round(sum(p) / sum(o), 6) AS ratio, round(corr(a, b), 6) AS rho, any_value(rho_low) AS rho_low, any_value(rho_high) AS rho_high, any_value(valid_draws) AS valid_draws, round(count(*) FILTER (ro <= k AND rp <= k) / max(k), 6) AS top_recall FROM m, ci")
 def eva23(spark: SparkSession, sf: str) -> DataFrame:
-    """Errors of predicted volumes, their rank correlation, and how much of the fifth with most volume is predicted to be in it."""
-    o = read(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("o"), (200000 + (F.col("o_custkey") % 100) * 1000.0).alias("p"))
+    """Errors of predicted volumes, their rank correlation with its interval over draws of whole blocks (years), and how much of
+    the fifth with most volume is predicted to be in it."""
+    o = read(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("o"), (200000 + (F.col("o_custkey") % 100) * 1000.0).alias("p"), F.year("o_orderdate").alias("block"))
     r = rank.ranked(rank.ranked(o, [F.desc("o"), "id"], "ro"), [F.desc("p"), "id"], "rp").crossJoin(F.broadcast(o.agg(F.ceil(F.count("*") * F.lit(0.2)).alias("k"))))
     top = r.agg(r6(F.count_if((F.col("ro") <= F.col("k")) & (F.col("rp") <= F.col("k"))) / F.max("k")).alias("top_recall"))
-    plain = o.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("o") - F.col("p"))), 4).alias("mae"), F.round(F.avg(F.col("p") - F.col("o")), 4).alias("bias"), r6(F.sum("p") / F.sum("o")).alias("ratio"))
-    return plain.crossJoin(rank.spearman(o, "o", "p").select(r6("rho").alias("rho"))).crossJoin(top)
+    plain = o.agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"), F.round(F.avg(F.abs(F.col("o") - F.col("p"))), 4).alias("mae"), F.round(F.avg(F.col("p") - F.col("o")), 4).alias("bias"), r6(F.sum("p") / F.sum("o")).alias("ratio"))
+    return plain.crossJoin(rank.spearman(o, "o", "p").select(r6("rho").alias("rho"))).crossJoin(block_interval(o, BLOCK_DRAWS, BLOCK_SEED, LEVEL)).crossJoin(top)
+
+
+def block_interval(o: DataFrame, draws: int, seed: int, level: float) -> DataFrame:
+    """(rho_low, rho_high, valid_draws): the middle share of rank correlations of o and p over draws of as many blocks as there
+    are, with repeats. Null bounds below two blocks or without a valid draw."""
+    names = sorted(r.block for r in o.dropna(subset=["block"]).select("block").distinct().limit(65).collect())
+    chosen = [[names[int(dw.uniform_of(seed, d * len(names) + k + 1) * len(names))] for k in range(len(names))] for d in range(draws)] if len(names) > 1 else []
+    rho = [x for x in rank.block_spearman(o, "o", "p", "block", chosen) if x is not None]
+    cut = lambda q: round(float(np.quantile(rho, q)), 6) if rho else None
+    return o.sparkSession.createDataFrame([(cut((1 - level) / 2), cut(1 - (1 - level) / 2), len(rho))], "rho_low double, rho_high double, valid_draws long")
 
 
 @QUERIES.add("eva24_label_audit")

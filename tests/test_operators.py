@@ -308,3 +308,21 @@ def test_tables_are_discarded_once(spark):
     assert b.count() == 4
     tables.discard(a, b)
     tables.discard(b, a)
+
+
+def test_block_rank_correlation(spark):
+    """Draws of blocks against ranks of rows that are really repeated; ties, a constant draw and an empty table."""
+    rng = np.random.default_rng(23)
+    rows = [(float(rng.integers(6)), float(rng.integers(9)), int(b)) for b in rng.integers(0, 4, 90)] + [(1.0, 2.0, 7)] * 3 + [(None, 1.0, 0), (1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, k long")
+    chosen = [[int(x) for x in rng.choice([0, 1, 2, 3, 7], 5)] for _ in range(12)] + [[7, 7, 7, 7, 7], [0, 1, 2, 3, 7]]
+
+    def mid(v):
+        return [sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v]
+
+    for draw, got in zip(chosen, rank.block_spearman(df, "a", "b", "k", chosen)):
+        laid = [(a, b) for x in draw for a, b, k in rows if k == x and a is not None]
+        a, b = mid([x[0] for x in laid]), mid([x[1] for x in laid])
+        assert got is None if len(set(a)) == 1 else abs(got - np.corrcoef(a, b)[0, 1]) < 1e-9
+    assert rank.block_spearman(df.limit(0), "a", "b", "k", [[0]]) == [None]
+    assert all(abs(draws.uniform_of(5, k) - r.u) < 1e-15 for k, r in enumerate(spark.range(1, 40).select(draws.uniform(F.lit(5), F.col("id")).alias("u")).collect(), 1))
