@@ -34,3 +34,24 @@ def shortest(edges: DataFrame, sources: DataFrame, cutoff: float, keys: tuple[st
         best = both.select(*ks, "v", F.when(better, F.col("n")).otherwise(F.col("o")).alias("b")).select(*ks, "v", "b.t", "b.owner")
         front = both.filter(better).select(*ks, "v", "n.t", "n.owner")
     return best
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u, root): for every vertex of an edge (u, v), longs, the smallest vertex that it is joined to, itself included.
+
+    Rounds of stars: first all larger neighbours of a vertex go to the smallest of its neighbourhood, then all smaller ones.
+    No round has more edges than before, long chains halve, and the rounds are written. They end when every vertex hangs on
+    its root. Nulls, self-loops and repeats don't count."""
+    e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
+    e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    while True:
+        twice = e.groupBy("u").count().filter("count > 1")
+        if twice.isEmpty() and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
+        both = saved(e.union(e.select("v", "u")), "stars-both")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        e = saved(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        down = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
+        e = saved(down.distinct(), "stars")
+    return e.select("u", F.col("v").alias("root")).union(e.select("v", "v").distinct())

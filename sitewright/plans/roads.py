@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sitewright.functions import text as tx
 from sitewright.operators import graph, spatial
 from sitewright.operators.checks import guarded_sum, small_side
-from sitewright.sources.tables import Queries, buildings, node_points, read, saved, sites, sql, ways
+from sitewright.operators.welding import tile_links
+from sitewright.sources.tables import STRIP, Queries, buildings, node_points, read, saved, sites, sql, ways
 
 QUERIES = Queries()
 r6 = lambda c: F.round(c, 6)
@@ -67,11 +68,50 @@ def gra5(spark: SparkSession, sf: str) -> DataFrame:
     return timed(spark, sf).withColumnRenamed("minutes", "dry").join(timed(spark, sf, "rainy").withColumnRenamed("minutes", "rainy"), ["src", "dst"]).select("src", "dst", r6("dry").alias("dry"), r6("rainy").alias("rainy"))
 
 
-@QUERIES.add("gra6_tile_edge_joins", sql("np", "SELECT a.id, min_by(b.id, (sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.id)) AS other FROM np a, np b WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 2500 GROUP BY a.id"))
+#: Tiles meet at this x of each strip; how far the piece on either side goes over the edge, by road class.
+EDGE, BEYOND = 10_000.0, {"primary": (40.0, 40.0), "tertiary": (40.0, 220.0), "track": (150.0, 150.0)}
+
+
+def road_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """(segment, piece, pos, id, x, y, end, cut): stretches of ways over a tile's edge, as the tiles of either side have them:
+    from the node of their side over the edge to where the tile ends, the vertex at the edge in both."""
+    e = ways(spark, sf).select("way", "highway", F.posexplode(F.arrays_zip(F.expr("slice(nodes, 1, greatest(size(nodes) - 1, 0))").alias("a"), F.expr("slice(nodes, 2, greatest(size(nodes) - 1, 0))").alias("b"))).alias("i", "e"))
+    p = node_points(spark, sf)
+    a, b = (p.select(F.col("id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")) for k in ("_a", "_b"))
+    e = e.select((F.col("way") * 16 + F.col("i")).alias("segment"), "highway", F.col("e.a").alias("_a"), F.col("e.b").alias("_b")).join(a, "_a").join(b, "_b")
+    at = F.floor(F.col("_ax") / STRIP) * STRIP + EDGE
+    e = e.filter((F.floor(F.col("_ax") / STRIP) == F.floor(F.col("_bx") / STRIP)) & (F.abs(F.col("_ax") - at) > 300) & (F.abs(F.col("_bx") - at) > 300) & ((F.col("_ax") < at) != (F.col("_bx") < at)))
+    dx, dy = F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")
+    e = e.withColumn("t", (at - F.col("_ax")) / dx).withColumn("len", F.sqrt(dx * dx + dy * dy))
+    on = lambda t: (F.col("_ax") + dx * t, F.col("_ay") + dy * t)
+    over = lambda k: F.when(F.col("highway") == "primary", BEYOND["primary"][k]).when(F.col("highway") == "tertiary", BEYOND["tertiary"][k]).otherwise(BEYOND["track"][k]) / F.col("len")
+    start, last, mid = (F.col("_ax"), F.col("_ay")), (F.col("_bx"), F.col("_by")), on(F.col("t"))
+    shown = [(0, 0, start, 0, False), (0, 1, mid, None, False), (0, 2, on(F.col("t") + over(0)), 1, True), (1, 0, on(F.col("t") - over(1)), 0, True), (1, 1, mid, None, False), (1, 2, last, 1, False)]
+    rows = F.array(*[F.struct(F.lit(piece).alias("piece"), F.lit(pos).alias("pos"), xy[0].alias("x"), xy[1].alias("y"), F.lit(end).cast("int").alias("end"), F.lit(cut).alias("cut")) for piece, pos, xy, end, cut in shown])
+    r = e.select("segment", F.explode(rows).alias("r")).select("segment", "r.*")
+    return r.withColumn("id", (F.col("segment") * 2 + F.col("piece")) * 4 + F.col("pos"))
+
+
+def _over(k: int) -> str:
+    return f"CASE highway WHEN 'primary' THEN {BEYOND['primary'][k]}::DOUBLE WHEN 'tertiary' THEN {BEYOND['tertiary'][k]}::DOUBLE ELSE {BEYOND['track'][k]}::DOUBLE END / len"
+
+
+PIECES = f""", ed AS (SELECT w1.way * 16 + w1.pos - 1 AS segment, highway, a.x AS ax, a.y AS ay, b.x AS gx, b.y AS gy, floor(a.x / 25000) * 25000 + 10000 AS rim FROM wn w1 JOIN wn w2 ON w1.way = w2.way AND w2.pos = w1.pos + 1 JOIN wt ON wt.way = w1.way JOIN np a ON a.id = w1.node JOIN np b ON b.id = w2.node),
+ec AS (SELECT *, (rim - ax) / (gx - ax) AS t, sqrt((gx - ax) * (gx - ax) + (gy - ay) * (gy - ay)) AS len FROM ed WHERE floor(ax / 25000) = floor(gx / 25000) AND abs(ax - rim) > 300 AND abs(gx - rim) > 300 AND (ax < rim) <> (gx < rim)),
+pc AS (SELECT segment, piece, pos, "end", cut, ax + (gx - ax) * q AS x, ay + (gy - ay) * q AS y FROM (SELECT *, 0 AS piece, 1 AS pos, NULL AS "end", false AS cut, t AS q FROM ec UNION ALL SELECT *, 0, 2, 1, true, t + {_over(0)} FROM ec UNION ALL SELECT *, 1, 0, 0, true, t - {_over(1)} FROM ec UNION ALL SELECT *, 1, 1, NULL, false, t FROM ec) UNION ALL SELECT segment, 0, 0, 0, false, ax, ay FROM ec UNION ALL SELECT segment, 1, 2, 1, false, gx, gy FROM ec),
+pi AS (SELECT *, (segment * 2 + piece) * 4 + pos AS id FROM pc), dp AS (SELECT x, y, min(id) AS u, CAST(floor(x / 1.5::DOUBLE) AS BIGINT) AS i, CAST(floor(y / 1.5::DOUBLE) AS BIGINT) AS j FROM pi GROUP BY x, y),
+pr AS (SELECT a.u, b.u AS v FROM dp a JOIN (SELECT u, x, y, i + di AS i, j + dj AS j FROM dp, (SELECT unnest([-1, 0, 1]) AS di), (SELECT unnest([-1, 0, 1]) AS dj)) b ON a.i = b.i AND a.j = b.j WHERE a.u <> b.u AND abs(a.x - b.x) <= 1.5 AND abs(a.y - b.y) <= 1.5),
+rc AS (SELECT u, u AS root FROM dp UNION SELECT pr.v, rc.root FROM rc JOIN pr ON pr.u = rc.u), rt AS (SELECT u, min(root) AS root FROM rc GROUP BY u),
+vx AS (SELECT pi.segment, pi.piece, pi."end", pi.cut, root AS vertex, r.x, r.y FROM pi JOIN dp ON dp.x = pi.x AND dp.y = pi.y JOIN rt ON rt.u = dp.u JOIN pi r ON r.id = rt.root),
+le AS (SELECT a.segment, a.piece, a."end", a.vertex AS v, min_by(struct_pack(other := b.vertex, d := sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))), (sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.vertex)) AS o FROM vx a JOIN vx b ON a.segment = b.segment AND a.piece <> b.piece AND a.vertex <> b.vertex AND a.cut AND b.cut WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 250 GROUP BY ALL),
+lv AS (SELECT a.segment, a.piece, a."end", a.vertex AS v, min_by(struct_pack(other := b.vertex, d := sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))), (sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.vertex)) AS o FROM vx a JOIN vx b ON a.segment = b.segment AND a.piece <> b.piece AND a.vertex <> b.vertex AND a.cut WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 80 AND NOT EXISTS (SELECT 1 FROM le WHERE le.segment = a.segment AND le.piece = a.piece AND le."end" = a."end") GROUP BY ALL)
+SELECT segment, piece, "end", v, o.other AS other, round(o.d, 4) AS metres FROM (SELECT * FROM le UNION ALL SELECT * FROM lv)"""
+
+
+@QUERIES.add("gra6_tile_edge_joins", sql("wn wt np", PIECES).replace("WITH wn", "WITH RECURSIVE wn", 1))
 def gra6(spark: SparkSession, sf: str) -> DataFrame:
-    """Cut ends of one tile (even nodes) and the nearest vertex of the other within a reach: the links that join the tiles."""
-    n = node_points(spark, sf)
-    return spatial.nearest(n.filter("id % 2 = 0"), n.filter("id % 2 = 1"), 2500, 600).filter("other IS NOT NULL").select("id", "other")
+    """Pieces of roads that tiles cut, their vertices welded, and the links that join cut ends to the piece that goes on."""
+    return tile_links(road_pieces(spark, sf))[1].select("segment", "piece", "end", "v", "other", F.round("metres", 4).alias("metres"))
 
 
 def site_sources(spark: SparkSession, sf: str, walk: float = WALK) -> DataFrame:
