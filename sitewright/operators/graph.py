@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.sources.tables import saved
+from sitewright.sources.tables import discard, saved
 
 
 def edges_of_ways(ways: DataFrame, points: DataFrame) -> DataFrame:
@@ -17,23 +19,37 @@ def edges_of_ways(ways: DataFrame, points: DataFrame) -> DataFrame:
     return e.union(e.select("way", "highway", "surface", F.col("dst"), F.col("src"), "metres"))
 
 
-def shortest(edges: DataFrame, sources: DataFrame, cutoff: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, cutoff: float, keys: tuple[str, ...] = (), merge: int = 12) -> DataFrame:
     """(keys, v, t, owner): the least time from any source (keys, v, t, owner) to each vertex, up to the cut-off.
 
-    With keys, searches are independent: a source only reaches vertices of its own key. The frontier of improved vertices
-    moves along its edges in each round; ties in time go to the smaller owner. A round is written to the shared folder,
-    and only whether the frontier is empty comes to the driver."""
+    With keys, searches are independent: a source only reaches vertices of its own key, and by edges of that key where edges
+    have key columns; so many searches take the rounds of the longest. The frontier of improved vertices moves along its edges in each
+    round; ties in time go to the smaller owner. A round writes its frontier alone to the shared folder and reads those
+    before it; after so many rounds (merge) they become one table with a row a vertex. Only whether the frontier is empty comes to
+    the driver."""
     ks = list(keys)
-    best = saved(sources.groupBy(*ks, "v").agg(F.min(F.struct("t", "owner")).alias("b")).select(*ks, "v", "b.t", "b.owner").filter(F.col("t") <= cutoff), "reached")
-    front = best
+    own = [k for k in ks if k in edges.columns]
+    roads = edges.select(*[F.col(k).alias(f"_{k}") for k in own], "src", "dst", "minutes")
+    best = lambda tables: reduce(DataFrame.union, tables).groupBy(*ks, "v").agg(F.min(F.struct("t", "owner")).alias("b")).select(*ks, "v", "b.t", "b.owner")
+    front = saved(best([sources.select(*ks, "v", "t", "owner").filter(F.col("t") <= cutoff)]), "front")
+    known, none = [front], F.lit(None).cast(_reached_type(front))
     while not front.isEmpty():
-        step = front.join(edges, F.col("v") == F.col("src")).select(*ks, F.col("dst").alias("v"), (F.col("t") + F.col("minutes")).alias("t"), "owner").filter(F.col("t") <= cutoff)
-        step = step.groupBy(*ks, "v").agg(F.min(F.struct("t", "owner")).alias("n"))
-        both = saved(best.join(step, [*ks, "v"], "full_outer").select(*ks, "v", F.struct("t", "owner").alias("o"), "n"), "relaxed")
-        better = F.col("n").isNotNull() & (F.col("o.t").isNull() | (F.col("n") < F.col("o")))
-        best = both.select(*ks, "v", F.when(better, F.col("n")).otherwise(F.col("o")).alias("b")).select(*ks, "v", "b.t", "b.owner")
-        front = both.filter(better).select(*ks, "v", "n.t", "n.owner")
-    return best
+        along = (F.col("v") == F.col("src")) if not own else reduce(lambda a, k: a & (F.col(k) == F.col(f"_{k}")), own, F.col("v") == F.col("src"))
+        step = front.join(roads, along).select(*ks, F.col("dst").alias("v"), F.struct((F.col("t") + F.col("minutes")).alias("t"), "owner").alias("n"), none.alias("o")).filter(F.col("n.t") <= cutoff)
+        old = reduce(DataFrame.union, known).select(*ks, "v", none.alias("n"), F.struct("t", "owner").alias("o"))
+        both = step.union(old).groupBy(*ks, "v").agg(F.min("n").alias("n"), F.min("o").alias("o"))
+        front = saved(both.filter(F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n") < F.col("o")))).select(*ks, "v", "n.t", "n.owner"), "front")
+        known.append(front)
+        if len(known) > merge:
+            one = saved(best(known), "reached")
+            discard(*known[:-1])  # the last is the frontier of the round to come
+            known = [one]
+    return best(known)
+
+
+def _reached_type(front: DataFrame) -> str:
+    kinds = dict(front.dtypes)
+    return f"struct<t:{kinds['t']},owner:{kinds['owner']}>"
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -46,16 +46,6 @@ def agg8(spark: SparkSession, sf: str) -> DataFrame:
     return m.agg(r6(F.max("tmax")).alias("hottest"), r6(F.avg("tmax")).alias("mean_tmax"), F.count_if(F.col("rain") >= 100).alias("wet_months"), r6(F.sum("rain")).alias("rain"), r6(F.min("sun")).alias("min_sun"), r6(F.avg("sun")).alias("mean_sun"))
 
 
-@QUERIES.add("agg9_catchment_people", sql("b s near", ", p AS (SELECT other AS site, count(*) FILTER (d <= lim AND roof < 600) + 0.15 * count(*) FILTER (d <= lim AND roof >= 600) AS k, lim FROM near JOIN b USING (id), (SELECT unnest([2000, 4000]) AS lim) GROUP BY other, lim) SELECT site, lim AS reach, round(CAST(k * 4.2 AS DOUBLE), 6) AS people FROM p").replace(" , p", ", p"))
-def agg9(spark: SparkSession, sf: str) -> DataFrame:
-    """People within two limits: rural buildings and weighted dense ones (here: large roofs), times people a building."""
-    near = spatial.nearest(buildings(spark, sf), sites(spark, sf), 60000, 1500).join(buildings(spark, sf).select("id", "roof"), "id")
-    reach = near.select("other", "d", "roof", F.explode(F.array(F.lit(2000), F.lit(4000))).alias("reach"))
-    inside = F.col("d") <= F.col("reach")
-    k = F.count_if(inside & (F.col("roof") < 600)) + F.lit(0.15) * F.count_if(inside & (F.col("roof") >= 600))
-    return reach.groupBy(F.col("other").alias("site"), "reach").agg(r6(k * 4.2).alias("people"))
-
-
 @QUERIES.add("agg10_persons_per_building", "WITH p AS (SELECT c_nationkey AS district, least(12.0, greatest(0.5, sum(abs(c_acctbal)) / 1000.0 / count(*))) AS p FROM customer GROUP BY 1) SELECT district, round(p, 6) AS central, round(p * 0.8 / pow(10, floor(log10(p * 0.8)) - 1)) * pow(10, floor(log10(p * 0.8)) - 1) AS low FROM p")
 def agg10(spark: SparkSession, sf: str) -> DataFrame:
     p = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("district")).agg(F.least(F.lit(12.0), F.greatest(F.lit(0.5), F.sum(F.abs("c_acctbal")) / 1000.0 / F.count("*"))).alias("p"))
@@ -173,14 +163,6 @@ def agg31(spark: SparkSession, sf: str) -> DataFrame:
     return buildings(spark, sf).agg(F.count("*").alias("footprints")).crossJoin(sites(spark, sf).filter("kind < 6").agg(F.count("*").alias("documented")))
 
 
-@QUERIES.add("agg32_season_comparison", sql("b s near", ", c AS (SELECT other AS site, count(*) FILTER (d <= 4000) AS dry, count(*) FILTER (d <= 3200) AS rainy FROM near GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY dry DESC, site) AS rank_dry, row_number() OVER (ORDER BY rainy DESC, site) AS rank_rainy FROM c) SELECT site, dry, rainy, rank_dry, rank_rainy FROM r WHERE rank_dry <> rank_rainy").replace(" , c", ", c"))
-def agg32(spark: SparkSession, sf: str) -> DataFrame:
-    near = spatial.nearest(buildings(spark, sf), sites(spark, sf), 60000, 1500)
-    c = near.groupBy(F.col("other").alias("site")).agg(F.count_if(F.col("d") <= 4000).alias("dry"), F.count_if(F.col("d") <= 3200).alias("rainy"))
-    c = rank.ranked(rank.ranked(c, [F.desc("dry"), "site"], "rank_dry"), [F.desc("rainy"), "site"], "rank_rainy")
-    return c.filter("rank_dry <> rank_rainy")
-
-
 @QUERIES.add("win1_central_rank", "SELECT p_partkey AS id, CASE WHEN p_size % 7 <> 0 THEN row_number() OVER (ORDER BY p_size % 7 = 0, p_retailprice DESC, p_partkey) END AS rank FROM part")
 def win1(spark: SparkSession, sf: str) -> DataFrame:
     p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")).alias("v"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.functions import text as tx
-from sitewright.operators import graph, spatial
+from sitewright.operators import graph, rank, spatial
+from sitewright.operators.catchments import people_within
 from sitewright.operators.checks import guarded_sum, small_side
 from sitewright.operators.welding import tile_links
+from sitewright.plans.places import urban
 from sitewright.sources.tables import STRIP, Queries, buildings, node_points, read, saved, sites, sql, ways
 
 QUERIES = Queries()
@@ -24,10 +26,11 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edges_of_ways(ways(spark, sf), node_points(spark, sf))
 
 
-def timed(spark: SparkSession, sf: str, season: str = "dry") -> DataFrame:
-    """(src, dst, minutes): the fastest of parallel edges."""
-    speed = tx.class_speed(F.col("highway")) * (1.0 if season == "dry" else tx.rain_factor(F.col("highway"), F.col("surface")))
-    return edges(spark, sf).groupBy("src", "dst").agg(F.min(F.col("metres") / (speed * 1000 / 60)).alias("minutes"))
+def timed(spark: SparkSession, sf: str, *seasons: str) -> DataFrame:
+    """(season, src, dst, minutes): the fastest of parallel edges, in the dry season if none is named."""
+    rain = F.when(F.col("season") == "rainy", tx.rain_factor(F.col("highway"), F.col("surface"))).otherwise(1.0)
+    e = edges(spark, sf).withColumn("season", F.explode(F.array(*[F.lit(s) for s in seasons or ("dry",)])))
+    return e.groupBy("season", "src", "dst").agg(F.min(F.col("metres") / (tx.class_speed(F.col("highway")) * rain * 1000 / 60)).alias("minutes"))
 
 
 @QUERIES.add("gra1_way_filter", sql("wt", "SELECT way, highway, surface FROM wt WHERE highway <> 'track'"))
@@ -65,7 +68,8 @@ FACTOR = "CASE surface WHEN 'asphalt' THEN 0.9::DOUBLE ELSE 0.45::DOUBLE END"
 
 @QUERIES.add("gra5_season_minutes", sql("wn wt np", "") + EDGES + f" SELECT src, dst, round(min(metres / (kph * 1000 / 60)), 6) AS dry, round(min(metres / (kph * {FACTOR} * 1000 / 60)), 6) AS rainy FROM (SELECT *, CASE highway WHEN 'primary' THEN 50 WHEN 'tertiary' THEN 30 ELSE 15 END AS kph FROM e) GROUP BY src, dst")
 def gra5(spark: SparkSession, sf: str) -> DataFrame:
-    return timed(spark, sf).withColumnRenamed("minutes", "dry").join(timed(spark, sf, "rainy").withColumnRenamed("minutes", "rainy"), ["src", "dst"]).select("src", "dst", r6("dry").alias("dry"), r6("rainy").alias("rainy"))
+    of = lambda s: r6(F.min(F.when(F.col("season") == s, F.col("minutes")))).alias(s)
+    return timed(spark, sf, "dry", "rainy").groupBy("src", "dst").agg(of("dry"), of("rainy"))
 
 
 #: Tiles meet at this x of each strip; how far the piece on either side goes over the edge, by road class.
@@ -114,10 +118,16 @@ def gra6(spark: SparkSession, sf: str) -> DataFrame:
     return tile_links(road_pieces(spark, sf))[1].select("segment", "piece", "end", "v", "other", F.round("metres", 4).alias("metres"))
 
 
-def site_sources(spark: SparkSession, sf: str, walk: float = WALK) -> DataFrame:
-    """(v, t, owner): each site's nearest vertex within the snap, with the walk to it."""
+def on_foot(d: Column) -> Column:
+    """Minutes to walk a straight distance, in the season of the row; slower in rain."""
+    return F.when(F.col("season") == "rainy", d * DETOUR / (WALK * RAIN_WALK)).otherwise(d * DETOUR / WALK)
+
+
+def site_sources(spark: SparkSession, sf: str, *seasons: str) -> DataFrame:
+    """(season, v, t, owner): each site's nearest vertex within the snap, with the walk to it; dry if no season is named."""
     snap = spatial.nearest(sites(spark, sf), node_points(spark, sf), SNAP, 750).filter("other IS NOT NULL")
-    return snap.select(F.col("other").alias("v"), (F.col("d") * DETOUR / walk).alias("t"), F.col("id").alias("owner"))
+    snap = snap.withColumn("season", F.explode(F.array(*[F.lit(s) for s in seasons or ("dry",)])))
+    return snap.select("season", F.col("other").alias("v"), on_foot(F.col("d")).alias("t"), F.col("id").alias("owner"))
 
 
 SEARCH = """, tm AS (SELECT src, dst, min(metres / (CASE highway WHEN 'primary' THEN 50 WHEN 'tertiary' THEN 30 ELSE 15 END * 1000 / 60.0::DOUBLE)) AS minutes FROM e GROUP BY src, dst),
@@ -131,16 +141,17 @@ def gra7(spark: SparkSession, sf: str) -> DataFrame:
     return graph.shortest(saved(timed(spark, sf), "timed"), site_sources(spark, sf), 45.0).select("v", r6("t").alias("t"), "owner")
 
 
-def building_owners(spark: SparkSession, sf: str, limit: float = 45.0, season: str = "dry") -> DataFrame:
-    """(id, t, owner): the least time of a building to a site, by road from its snapped vertex or on foot straight; null over the limit."""
-    walk = WALK * (RAIN_WALK if season == "rainy" else 1.0)
-    net = graph.shortest(saved(timed(spark, sf, season), "timed"), site_sources(spark, sf, walk), limit)
+def building_owners(spark: SparkSession, sf: str, limit: float = 45.0, seasons: tuple[str, ...] = ("dry",)) -> DataFrame:
+    """(season, id, t, owner): the least time of a building to a site, by road from its snapped vertex or on foot straight; null
+    over the limit. Seasons are keys of one search, and places are snapped once for all."""
+    net = graph.shortest(saved(timed(spark, sf, *seasons), "timed"), site_sources(spark, sf, *seasons), limit, ("season",))
     b = buildings(spark, sf)
-    snap = spatial.nearest(b, node_points(spark, sf), SNAP, 750).filter("other IS NOT NULL").select("id", F.col("other").alias("v"), (F.col("d") * DETOUR / walk).alias("w"))
-    road = snap.join(net, "v").select("id", (F.col("t") + F.col("w")).alias("t"), "owner")
-    foot = spatial.pairs_within(b, sites(spark, sf), STRAIGHT).select("id", (F.col("d") * DETOUR / walk).alias("t"), F.col("other").alias("owner"))
-    best = road.union(foot).filter(F.col("t") <= limit).groupBy("id").agg(F.min(F.struct("t", "owner")).alias("o")).select("id", "o.t", "o.owner")
-    return b.select("id").join(best, "id", "left")
+    every = F.explode(F.array(*[F.lit(s) for s in seasons])).alias("season")
+    snap = spatial.nearest(b, node_points(spark, sf), SNAP, 750).filter("other IS NOT NULL").select("id", F.col("other").alias("v"), "d")
+    road = snap.join(net, "v").select("season", "id", (F.col("t") + on_foot(F.col("d"))).alias("t"), "owner")
+    foot = spatial.pairs_within(b, sites(spark, sf), STRAIGHT).select("*", every).select("season", "id", on_foot(F.col("d")).alias("t"), F.col("other").alias("owner"))
+    best = road.union(foot).filter(F.col("t") <= limit).groupBy("season", "id").agg(F.min(F.struct("t", "owner")).alias("o")).select("season", "id", "o.t", "o.owner")
+    return b.select(every, "id").join(best, ["season", "id"], "left")
 
 
 D_BN = "sqrt((b.x-np.x)*(b.x-np.x)+(b.y-np.y)*(b.y-np.y))"
@@ -153,6 +164,60 @@ def gra8(spark: SparkSession, sf: str) -> DataFrame:
     return building_owners(spark, sf).select("id", r6("t").alias("t"), "owner")
 
 
+#: Limits in minutes that people in reach are counted for, the search's cut-off, the weight of a building in a dense block, people a building.
+LIMITS, CUTOFF, TOWN_WEIGHT, PEOPLE = (12.5, 20.0, 33.75, 45.0), 45, 0.15, 4.2
+
+
+def owners_sql(tag: str, season: str) -> str:
+    """Tables for the dry or rainy season: ow{tag}, a building's least time and its site, by the road search and straight walks; bn and nn, the nearest vertices, and e must stand before."""
+    kph = "CASE highway WHEN 'primary' THEN 50 WHEN 'tertiary' THEN 30 ELSE 15 END" + (f" * {FACTOR}" if season == "rainy" else "")
+    pace = f"1.3::DOUBLE / (4000 / 60.0::DOUBLE * {RAIN_WALK if season == 'rainy' else 1.0}::DOUBLE)"
+    return f""", tm{tag} AS (SELECT src, dst, min(metres / ({kph} * 1000 / 60.0::DOUBLE)) AS minutes FROM e GROUP BY src, dst),
+st{tag} AS (SELECT v, min((d * {pace}, owner)) AS b FROM nn WHERE d < 3000 GROUP BY v),
+net{tag}(v, b) USING KEY (v) AS (SELECT v, b FROM st{tag} UNION SELECT v, min(b) FROM (SELECT tm.dst AS v, (net.b[1] + tm.minutes, net.b[2]) AS b FROM net{tag} net JOIN tm{tag} tm ON tm.src = net.v WHERE net.b[1] + tm.minutes <= 45) c WHERE NOT EXISTS (SELECT 1 FROM recurring.net{tag} o WHERE o.v = c.v AND o.b <= c.b) GROUP BY v),
+al{tag} AS (SELECT id, (net.b[1] + d * {pace}, net.b[2]) AS o FROM bn JOIN net{tag} net USING (v) WHERE d < 3000 UNION ALL SELECT b.id, ({D_BS} * {pace}, s.id) FROM b, s WHERE {D_BS} <= 4000),
+ow{tag} AS (SELECT id, min(o)[1] AS t, min(o)[2] AS owner FROM al{tag} WHERE o[1] <= 45 GROUP BY id)"""
+
+
+CATCHMENTS = sql("b s wn wt np", "").replace("WITH", "WITH RECURSIVE", 1) + EDGES + f""", bn AS (SELECT b.id, min_by(np.id, ({D_BN}, np.id)) AS v, min({D_BN}) AS d FROM b, np GROUP BY b.id),
+nn AS (SELECT s.id AS owner, min_by(np.id, (sqrt((np.x-s.x)*(np.x-s.x)+(np.y-s.y)*(np.y-s.y)), np.id)) AS v, min(sqrt((np.x-s.x)*(np.x-s.x)+(np.y-s.y)*(np.y-s.y))) AS d FROM s, np GROUP BY s.id)""" + owners_sql("d", "dry") + owners_sql("r", "rainy") + """,
+ub AS (SELECT id, count(*) OVER (PARTITION BY floor(x / 2500), floor(y / 2500)) >= 25 AS urban FROM b),
+ow AS (SELECT 'dry' AS season, id, t, owner FROM owd UNION ALL SELECT 'rainy', id, t, owner FROM owr),
+lm AS (SELECT unnest([12.5, 20, 33.75, 45]::DOUBLE[]) AS lim), se AS (SELECT unnest(['dry', 'rainy']) AS season),
+hit AS (SELECT season, owner AS site, lim, count(*) FILTER (NOT urban) AS rural, count(*) FILTER (urban) AS urban FROM ow JOIN ub USING (id), lm WHERE t <= lim GROUP BY ALL),
+pp AS (SELECT season, site, lim, coalesce(rural, 0) AS rural, coalesce(urban, 0) AS urban, coalesce(rural, 0) + 0.15::DOUBLE * coalesce(urban, 0) AS w FROM (SELECT season, id AS site, lim FROM s, se, lm) LEFT JOIN hit USING (season, site, lim))"""
+
+
+def season_owners(spark: SparkSession, sf: str) -> DataFrame:
+    """(season, id, t, owner, urban): a building's least time and site in each season, and whether it stands in a dense block."""
+    b = urban(buildings(spark, sf), 2500, 25).select("id", "urban")
+    own = building_owners(spark, sf, float(CUTOFF), ("dry", "rainy")).filter("owner IS NOT NULL")
+    return saved(own.join(b, "id").select("season", "id", "t", "owner", "urban"), "season-owners")
+
+
+def season_people(spark: SparkSession, sf: str, limits: tuple[float, ...] = LIMITS) -> DataFrame:
+    """(season, site, limit, rural, urban, weighted) by catchments.people_within, for every site, both seasons and each limit."""
+    own = season_owners(spark, sf)
+    every = sites(spark, sf).select(F.col("id").alias("site"), F.explode(F.array(F.lit("dry"), F.lit("rainy"))).alias("season"))
+    asked = spark.createDataFrame([(float(x),) for x in limits], "limit double")
+    return people_within(own, every, asked, CUTOFF, TOWN_WEIGHT, ("season",))
+
+
+@QUERIES.add("agg9_catchment_people", CATCHMENTS + " SELECT season, site, lim AS \"limit\", rural, urban, round(w * 4.2::DOUBLE, 6) AS people FROM pp")
+def agg9(spark: SparkSession, sf: str) -> DataFrame:
+    """People within each limit of travel time, by season: rural buildings and weighted ones of dense blocks, times people a building."""
+    return season_people(spark, sf).select("season", "site", "limit", "rural", "urban", r6(F.col("weighted") * PEOPLE).alias("people"))
+
+
+@QUERIES.add("agg32_season_comparison", CATCHMENTS + ", k AS (SELECT season, site, round(w * 4.2::DOUBLE, 6) AS people, row_number() OVER (PARTITION BY season ORDER BY w DESC, site) AS rank FROM pp WHERE lim = 33.75) SELECT site, d.people AS dry, r.people AS rainy, d.rank AS rank_dry, r.rank AS rank_rainy FROM k d JOIN k r USING (site) WHERE d.season = 'dry' AND r.season = 'rainy' AND d.rank <> r.rank")
+def agg32(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites whose rank by people in reach differs between the seasons, with the people of each."""
+    p = season_people(spark, sf, (33.75,)).select("season", "site", "weighted")
+    p = saved(rank.ranked_within(p, ["season"], [F.desc("weighted"), "site"]), "season-ranks")
+    one = lambda s: p.filter(F.col("season") == s).select("site", r6(F.col("weighted") * PEOPLE).alias(s), F.col("rank").alias(f"rank_{s}"))
+    return one("dry").join(one("rainy"), "site").filter("rank_dry <> rank_rainy")
+
+
 @QUERIES.add("gra9_travel_matrix")
 def gra9(spark: SparkSession, sf: str) -> DataFrame:
     """(origin, site, minutes, status) of the origins whose id is divisible by 20 to every site: one search a site on reversed edges."""
