@@ -5,6 +5,8 @@ Point tables have columns (id, x, y) in metres. All ties break by the smaller id
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,29 @@ def nearest(left: DataFrame, right: DataFrame, cap: float, first: float | None =
     return left.select("id").join(found, "id", "left")
 
 
+def nearest_layers(left: DataFrame, right: DataFrame, caps: dict[str, float], first: float) -> DataFrame:
+    """(id, layer, other, d): the nearest point of each layer strictly closer than the layer's cap, for every left row and layer
+    of caps, else nulls. right: (layer, id, x, y).
+
+    One search for all layers: rounds as in nearest, with the layer in the key, and what is still asked, not the points, is dealt to nine cells;
+    a layer whose cap a round has reached goes on no longer, and points of layers that are settled aren't read again."""
+    layers = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.lit(float(v)).alias("cap")) for k, v in caps.items()]))
+    asked = left.select("id", F.col("x").alias("_x"), F.col("y").alias("_y"), layers.alias("l")).select("id", "_x", "_y", "l.*")
+    rest, size, found, open_ = saved(asked, "nearest-rest"), first, [], list(caps)
+    points = saved(right.filter(F.col("layer").isin(*caps)).select("layer", F.col("id").alias("other"), "x", "y"), "nearest-right")
+    while True:
+        near = _around(rest, size, ["id", "layer", "cap", "_x", "_y"])
+        at = points.filter(F.col("layer").isin(*open_)).select("layer", "other", "x", "y", cell(F.col("x"), size).alias("_i"), cell(F.col("y"), size).alias("_j"))
+        d = distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
+        pairs = at.join(near, ["layer", "_i", "_j"]).select("id", "layer", "cap", "other", d.alias("d")).filter((F.col("d") <= size) & (F.col("d") < F.col("cap")))
+        found.append(saved(pairs.groupBy("id", "layer").agg(F.min(F.struct("d", "other")).alias("_b")).select("id", "layer", "_b.other", "_b.d"), "nearest-found"))
+        rest = saved(rest.filter(F.col("cap") > size).join(found[-1].select("id", "layer"), ["id", "layer"], "left_anti"), "nearest-rest")
+        open_ = [r["layer"] for r in rest.select("layer").distinct().collect()]  # no more than caps has
+        if not open_:
+            return left.select("id", F.explode(F.array(*[F.lit(k) for k in caps])).alias("layer")).join(reduce(DataFrame.union, found), ["id", "layer"], "left")
+        size *= 2
+
+
 def edges_of(zones: DataFrame) -> DataFrame:
     """(zone, ring, hole, x1, y1, x2, y2) of zones (zone, rings: array of struct(hole, points: array of struct(x, y)))."""
     rings = zones.select("zone", F.posexplode("rings").alias("ring", "r")).select("zone", "ring", "r.hole", "r.points")

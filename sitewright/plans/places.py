@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import geo
 from sitewright.operators import spatial
+from sitewright.operators.shapes import footprint_shape
 from sitewright.sources.tables import Queries, buildings, node_points, read, sites, sql, ways, zones
 
 QUERIES = Queries()
@@ -59,15 +60,17 @@ def geo6(spark: SparkSession, sf: str) -> DataFrame:
     return rings.groupBy("zone").agg(F.sum(F.when(F.col("hole"), -F.col("a")).otherwise(F.col("a"))).alias("area_m2"), F.max("box").alias("box_m2"))
 
 
-@QUERIES.add("geo7_footprint_shape", sql("b", "SELECT id, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS DOUBLE) AS perimeter, round(greatest(w, h) / CAST(least(w, h) AS DOUBLE), 6) AS elongation, 1.0::DOUBLE AS rectangularity FROM (SELECT id, 5 + id % 7 AS w, 4 + id % 5 AS h FROM b)"))
-def geo7(spark: SparkSession, sf: str) -> DataFrame:
-    """Rectangles of w by h, turned by an angle from the id; elongation and rectangularity of the smallest rotated box."""
-    from sitewright.operators.shapes import footprint_shape
-
+def rectangles(b: DataFrame) -> DataFrame:
+    """(id, ring): footprints of w by h, turned by an angle from the id."""
     w, h, t = (5 + F.col("id") % 7).cast("double"), (4 + F.col("id") % 5).cast("double"), (F.col("id") % 90).cast("double") / 57.0
     turn = lambda a, b: F.struct((a * F.cos(t) - b * F.sin(t)).alias("x"), (a * F.sin(t) + b * F.cos(t)).alias("y"))
-    ring = F.array(turn(F.lit(0.0), F.lit(0.0)), turn(w, F.lit(0.0)), turn(w, h), turn(F.lit(0.0), h))
-    out = footprint_shape(buildings(spark, sf).select("id", ring.alias("ring")))
+    return b.select("id", F.array(turn(F.lit(0.0), F.lit(0.0)), turn(w, F.lit(0.0)), turn(w, h), turn(F.lit(0.0), h)).alias("ring"))
+
+
+@QUERIES.add("geo7_footprint_shape", sql("b", "SELECT id, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS DOUBLE) AS perimeter, round(greatest(w, h) / CAST(least(w, h) AS DOUBLE), 6) AS elongation, 1.0::DOUBLE AS rectangularity FROM (SELECT id, 5 + id % 7 AS w, 4 + id % 5 AS h FROM b)"))
+def geo7(spark: SparkSession, sf: str) -> DataFrame:
+    """Area, perimeter, and elongation and rectangularity of the smallest rotated box."""
+    out = footprint_shape(rectangles(buildings(spark, sf)))
     return out.select("id", *[r6(c).alias(c) for c in ("area", "perimeter", "elongation", "rectangularity")])
 
 

@@ -10,8 +10,10 @@ from sitewright.functions import draws as dw
 from sitewright.functions import rules
 from sitewright.operators import evaluation as ev
 from sitewright.operators import rank, spatial
+from sitewright.operators.shapes import footprint_shape
+from sitewright.plans.places import WAY_PIECES, rectangles, urban, way_pieces
 from sitewright.plans.rankings import UNITS, units
-from sitewright.sources.tables import Queries, buildings, read, saved, sites, sql
+from sitewright.sources.tables import Queries, buildings, node_points, read, saved, sites, sql, ways
 
 QUERIES = Queries()
 r6 = lambda c: F.round(c, 6)
@@ -30,14 +32,85 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("block", "i", "j", "n", "big", "amax", F.log1p("n").alias("log_n"), F.log1p("big").alias("log_big"), F.log1p("amax").alias("log_roof"), F.least(F.col("mx") / 1000, F.lit(15.0)).alias("edge"), (F.col("big") / F.col("n")).alias("share"), F.when(((F.col("i") * 7 + F.col("j") * 3) % 5 == 0) | (F.col("amax") > 900), 1).otherwise(0).alias("y"))
 
 
-@QUERIES.add("eva1_siting_design", sql("b", "").rstrip() + ", " + CELL_SQL + " SELECT block, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(log_n, 6) AS log_n, round(log_big, 6) AS log_big, round(log_roof, 6) AS log_roof, round(edge, 6) AS edge, round(share, 6) AS share, y FROM cl")
-def eva1(spark: SparkSession, sf: str) -> DataFrame:
-    return cells(spark, sf).select("block", "i", "j", *[r6(f).alias(f) for f in FEATURES], "y")
+#: How far off a major road, the grid and a settlement count, in metres, for cells and for footprints.
+CELL_CAPS = {"major": 15000.0, "power": 25000.0, "settlement": 15000.0}
+FOOT_CAPS = {"major": 15000.0, "any": 5000.0, "settlement": 15000.0, "power": 25000.0}
+#: Kinds of sites that stand for the grid and for settlements, for processing, and for any place of trade.
+POWER, SETTLED, PROCESSING, TRADING = (1, 2), (5, 6, 7), (0, 3), (0, 3, 4)
+D2 = "sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y))"
+
+
+def site_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """(layer, id, x, y) of the grid's and the settlements' points."""
+    layer = F.when(F.col("kind").isin(*POWER), "power").when(F.col("kind").isin(*SETTLED), "settlement")
+    return sites(spark, sf).select(layer.alias("layer"), "id", "x", "y").filter("layer IS NOT NULL")
+
 
+DESIGN = sql("b s wn wt np", "") + WAY_PIECES + """, ub AS (SELECT *, CAST(floor(x / 1000) AS BIGINT) AS i, CAST(floor(y / 1000) AS BIGINT) AS j, count(*) OVER (PARTITION BY floor(x / 2500), floor(y / 2500)) >= 25 AS urban FROM b),
+c AS (SELECT i, j, count(*) AS nb, count(*) FILTER (roof >= 200) AS n200, count(*) FILTER (roof >= 600) AS n600, max(roof) AS amax, count(*) FILTER (urban) AS nu FROM ub GROUP BY i, j),
+mp AS (SELECT x, y, CAST(floor(x / 1000) AS BIGINT) AS i, CAST(floor(y / 1000) AS BIGINT) AS j, length, highway <> 'track' AS major FROM d JOIN wt USING (way)),
+r AS (SELECT i, j, coalesce(sum(length) FILTER (major), 0) / 1000 AS maj, coalesce(sum(length) FILTER (NOT major), 0) / 1000 AS mnr FROM mp GROUP BY i, j),
+f AS (SELECT i, j, max(CASE WHEN kind IN (0, 3) THEN 1 ELSE 0 END) AS y, max(CASE WHEN kind IN (0, 3, 4) THEN 1 ELSE 0 END) AS y_any FROM (SELECT *, CAST(floor(x / 1000) AS BIGINT) AS i, CAST(floor(y / 1000) AS BIGINT) AS j FROM (SELECT id, x, y AS y, kind FROM s)) GROUP BY i, j),
+u AS (SELECT i, j FROM c UNION SELECT i, j FROM r UNION SELECT i, j FROM f), q AS (SELECT i, j, (i + 0.5::DOUBLE) * 1000 AS x, (j + 0.5::DOUBLE) * 1000 AS y FROM u),
+m1 AS (SELECT i, j, min(""" + D2 + """) AS d FROM q JOIN mp p USING (i, j) WHERE major GROUP BY i, j), m2 AS (SELECT q.i, q.j, min(""" + D2 + """) AS d FROM q, mp p WHERE major AND (q.i, q.j) NOT IN (SELECT (i, j) FROM m1 WHERE d <= 500) GROUP BY q.i, q.j),
+dm AS (SELECT * FROM m1 WHERE d <= 500 UNION ALL SELECT * FROM m2),
+ds AS (SELECT i, j, min(""" + D2 + """) FILTER (kind IN (1, 2)) AS pw, min(""" + D2 + """) FILTER (kind IN (5, 6, 7)) AS st FROM q, s p GROUP BY i, j),
+nn AS (SELECT u.i, u.j, sum(c.nb) AS nb_n FROM u JOIN c ON abs(u.i - c.i) <= 2 AND abs(u.j - c.j) <= 2 GROUP BY u.i, u.j)
+SELECT u.i, u.j, round(ln(1 + coalesce(nb, 0)), 6) AS log_bld, round(ln(1 + coalesce(nb_n, 0)), 6) AS log_bld_2km, round(ln(1 + coalesce(n200, 0)), 6) AS log_roof200, round(ln(1 + coalesce(n600, 0)), 6) AS log_roof600, round(ln(1 + coalesce(amax, 0)), 6) AS log_roof_max, round(least(coalesce(maj, 0), 5), 4) AS major_road_km, round(ln(1 + coalesce(mnr, 0)), 4) AS log_minor_road_km, round(ln(1 + least(coalesce(dm.d, 15000), 15000) / 1000), 6) AS log_dist_major_road, round(ln(1 + least(coalesce(pw, 25000), 25000) / 1000), 6) AS log_dist_power, round(ln(1 + least(coalesce(st, 15000), 15000) / 1000), 6) AS log_dist_centre, round(coalesce(nu / CAST(nb AS DOUBLE), 0), 6) AS urban_share, coalesce(f.y, 0) AS y, coalesce(y_any, 0) AS y_any
+FROM u LEFT JOIN c USING (i, j) LEFT JOIN r USING (i, j) LEFT JOIN f USING (i, j) LEFT JOIN dm USING (i, j) LEFT JOIN ds USING (i, j) LEFT JOIN nn USING (i, j)"""
 
-@QUERIES.add("eva2_footprint_features", sql("b", "SELECT id, round(ln(1 + roof), 6) AS log_area, round(least(x / 1000, 5.0::DOUBLE), 6) AS road, round(ln(1 + abs(x - y) / 1000), 6) AS centre, CASE WHEN roof >= 150 THEN 1 ELSE 0 END AS large FROM b"))
+
+@QUERIES.add("eva1_siting_design", DESIGN)
+def eva1(spark: SparkSession, sf: str) -> DataFrame:
+    """The design of the siting model: a row for each cell of 1 km that holds a building, a road or a site, its eleven features
+    from buildings, roads, grid and settlements, with distances up to their caps, and two labels of documented sites."""
+    at = (F.floor(F.col("x") / 1000).alias("i"), F.floor(F.col("y") / 1000).alias("j"))
+    b = urban(buildings(spark, sf), 2500, 25).groupBy(*at).agg(F.count("*").alias("nb"), F.count_if(F.col("roof") >= 200).alias("n200"), F.count_if(F.col("roof") >= 600).alias("n600"), F.max("roof").alias("amax"), F.count_if("urban").alias("nu"))
+    major = ways(spark, sf).select("way", (F.col("highway") != "track").alias("major"))
+    pieces = way_pieces(spark, sf).join(major, "way")
+    km = lambda c: F.coalesce(F.sum(F.when(c, F.col("length"))), F.lit(0.0)) / 1000
+    r = pieces.groupBy(*at).agg(km(F.col("major")).alias("maj"), km(~F.col("major")).alias("mnr"))
+    label = lambda kinds: F.max(F.col("kind").isin(*kinds).cast("int"))
+    f = sites(spark, sf).groupBy(*at).agg(label(PROCESSING).alias("y"), label(TRADING).alias("y_any"))
+    c = saved(b.join(r, ["i", "j"], "full_outer").join(f, ["i", "j"], "full_outer"), "siting-cells")
+    centre = c.select(F.struct("i", "j").alias("id"), ((F.col("i") + 0.5) * 1000).alias("x"), ((F.col("j") + 0.5) * 1000).alias("y"))
+    points = site_layers(spark, sf).union(pieces.filter("major").select(F.lit("major"), F.col("way"), "x", "y"))
+    far = spatial.nearest_layers(centre, points, CELL_CAPS, 500.0).groupBy("id").agg(*[F.coalesce(F.min(F.when(F.col("layer") == k, F.col("d"))), F.lit(v)).alias(k) for k, v in CELL_CAPS.items()]).select("id.i", "id.j", *CELL_CAPS)
+    n2 = spatial.focal_sum(c.filter("nb IS NOT NULL"), "nb", 2).withColumnRenamed("total", "nb_n")
+    x = c.join(far, ["i", "j"]).join(n2, ["i", "j"], "left").fillna(0)
+    log = lambda name, v, digits=6: F.round(F.log1p(v), digits).alias(name)
+    counts = [log("log_bld", "nb"), log("log_bld_2km", "nb_n"), log("log_roof200", "n200"), log("log_roof600", "n600"), log("log_roof_max", "amax")]
+    roads = [F.round(F.least("maj", F.lit(5.0)), 4).alias("major_road_km"), log("log_minor_road_km", "mnr", 4)]
+    away = [log(f"log_dist_{n}", F.col(k) / 1000) for n, k in (("major_road", "major"), ("power", "power"), ("centre", "settlement"))]
+    return x.select("i", "j", *counts, *roads, *away, r6(F.coalesce(F.try_divide("nu", "nb"), F.lit(0.0))).alias("urban_share"), "y", "y_any")
+
+
+FOOTPRINTS = sql("b s wn wt np", """, fp AS (SELECT id, x, y, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS DOUBLE) AS perimeter, greatest(w, h) / CAST(least(w, h) AS DOUBLE) AS elongation FROM (SELECT *, 5 + id % 7 AS w, 4 + id % 5 AS h FROM b)),
+nb AS (SELECT p.id, count(*) FILTER (""" + D2 + """ <= 200) - 1 AS n200, count(*) - 1 AS n1000, max(q.area) FILTER (""" + D2 + """ <= 200) AS amax FROM fp p, fp q WHERE """ + D2 + """ <= 1000 GROUP BY p.id),
+nd AS (SELECT node AS id, bool_or(highway <> 'track') AS major FROM wn JOIN wt USING (way) GROUP BY node),
+dr AS (SELECT p.id, min(""" + D2 + """) FILTER (major) AS dmaj, min(""" + D2 + """) AS dany FROM b p, np q JOIN nd ON nd.id = q.id GROUP BY p.id),
+ds AS (SELECT p.id, min(""" + D2 + """) FILTER (q.kind IN (1, 2)) AS pw, min(""" + D2 + """) FILTER (q.kind IN (5, 6, 7)) AS st FROM b p, s q GROUP BY p.id)
+SELECT fp.id, round(ln(area), 6) AS log_area, round(ln(perimeter), 6) AS log_perimeter, round(elongation, 6) AS elongation, 1.0::DOUBLE AS rectangularity, round(ln(1 + n200), 6) AS log_near, round(ln(1 + n1000), 6) AS log_around, round(area / amax, 6) AS area_share, round(ln(1 + least(coalesce(dmaj, 15000), 15000)), 6) AS log_major, round(ln(1 + least(coalesce(dany, 5000), 5000)), 6) AS log_road, round(ln(1 + least(coalesce(st, 15000), 15000)), 6) AS log_settlement, round(ln(1 + least(coalesce(pw, 25000), 25000)), 6) AS log_power FROM fp JOIN nb USING (id) JOIN dr USING (id) JOIN ds USING (id)""").replace(" , fp", ", fp")
+
+
+@QUERIES.add("eva2_footprint_features", FOOTPRINTS)
 def eva2(spark: SparkSession, sf: str) -> DataFrame:
-    return buildings(spark, sf).select("id", r6(F.log1p("roof")).alias("log_area"), r6(F.least(F.col("x") / 1000, F.lit(5.0))).alias("road"), r6(F.log1p(F.abs(F.col("x") - F.col("y")) / 1000)).alias("centre"), F.when(F.col("roof") >= 150, 1).otherwise(0).alias("large"))
+    """Eleven features of a footprint: its shape, the footprints around it and its share of the largest near it, and the way
+    to a major road, any road, a settlement and the grid, up to their caps. Road points are the nodes of ways."""
+    b = buildings(spark, sf)
+    shape = saved(footprint_shape(rectangles(b)), "footprint-shapes")
+    p = spatial.pairs_within(b, b, 1000).join(shape.select(F.col("id").alias("other"), F.col("area").alias("_a")), "other")
+    close = F.col("d") <= 200
+    near = p.groupBy("id").agg((F.count_if(close) - 1).alias("n200"), (F.count("*") - 1).alias("n1000"), F.max(F.when(close, F.col("_a"))).alias("amax"))
+    kind = ways(spark, sf).select(F.explode("nodes").alias("id"), (F.col("highway") != "track").alias("major")).groupBy("id").agg(F.bool_or("major").alias("major"))
+    layer = F.explode(F.when(F.col("major"), F.array(F.lit("major"), F.lit("any"))).otherwise(F.array(F.lit("any"))))
+    points = node_points(spark, sf).join(kind, "id").select(layer.alias("layer"), "id", "x", "y").union(site_layers(spark, sf))
+    far = spatial.nearest_layers(b, points, FOOT_CAPS, 750.0).groupBy("id").agg(*[F.coalesce(F.min(F.when(F.col("layer") == k, F.col("d"))), F.lit(v)).alias(k) for k, v in FOOT_CAPS.items()])
+    x = shape.join(near, "id").join(far, "id")
+    log = lambda name, v: r6(F.log1p(v)).alias(name)
+    own = [r6(F.log(F.greatest(F.col(c), F.lit(1e-6)))).alias(n) for n, c in (("log_area", "area"), ("log_perimeter", "perimeter"))]
+    away = [log(n, k) for n, k in (("log_major", "major"), ("log_road", "any"), ("log_settlement", "settlement"), ("log_power", "power"))]
+    return x.select("id", *own, r6("elongation").alias("elongation"), r6("rectangularity").alias("rectangularity"), log("log_near", "n200"), log("log_around", "n1000"), r6(F.col("area") / F.col("amax")).alias("area_share"), *away)
 
 
 @QUERIES.add("eva3_standardisation", sql("b", "").rstrip() + ", " + CELL_SQL + ", f AS (SELECT DISTINCT block AS fold FROM cl) SELECT fold, round(avg(log_n), 6) AS mean, round(CASE WHEN stddev_pop(log_n) = 0 THEN 1 ELSE stddev_pop(log_n) END, 6) AS sd, count(*) AS n FROM cl, f WHERE block <> fold GROUP BY fold")
