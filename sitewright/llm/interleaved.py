@@ -22,6 +22,8 @@ WIDTH, SALTS = 192, 64
 PNG = b"\x89PNG\r\n\x1a\n"
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string,source:string>>"
 NAMED = "ni:///sha-256;"
+#: What is read back of a stored image.
+FACTS = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def encode_png(payload: bytes, width: int = WIDTH) -> bytes:
@@ -169,6 +171,9 @@ def parse_items(html: str) -> list[dict]:
     return reader.finish()
 
 
+SEQUENCE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("source", pa.string())]))
+
+
 def interleave(pages: DataFrame, key: str, html: str, texts: bool = True) -> DataFrame:
     """(key, items): each page's text blocks and media references in order, with positions from 0 and captions.
 
@@ -176,13 +181,12 @@ def interleave(pages: DataFrame, key: str, html: str, texts: bool = True) -> Dat
     and repeated keys stay as they are; broken mark-up gives what a browser's tokenizer finds in it; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("source", pa.string())]))
         for whole in batches:
             for batch in slices(whole, "_html", 4 << 20):
                 pages = [parse_items(h or "") for h in batch.column(1).to_pylist()]
                 if not texts:
                     pages = [[i | {"text": None} for i in items] for items in pages]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, kind)], names=[key, "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, SEQUENCE)], names=[key, "items"])
 
     rows = pages.select(F.col(key), F.col(html).cast("string").alias("_html"))
     return small_batches(rows).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, items {ITEMS}")
@@ -260,36 +264,44 @@ def document_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     by digest, read back, and put in place again.
 
     Returns (doc_id, n_bytes, items): all text blocks with their text and the media items in order, each media item with what
-    was read back of it: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A row is known by its
-    id, length and digest; rows equal in these have equal sequences, so null and repeated ids keep a row for each row. Pages
-    are parsed twice, for the references and for the sequences, so that texts move once, in the join that puts media in
-    place. A null text is empty, and an empty one is 192 spaces; rows of equal text share one stored media; an empty table
-    gives no rows.
+    was read back of it: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; null in an item that
+    names another digest than its document's. Texts move once, to the tasks of their digest and salt: there the images are made, once
+    for equal texts and a salt, and read back, and what was read meets the texts by digest where they lie; pages are parsed after
+    that, so neither images nor sequences are shuffled. Null and repeated ids keep a row for each row. A null text is empty,
+    and an empty one is 192 spaces; an empty table gives no rows.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    digest = F.sha2(padded(body), 256)
     about = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"))
-    row = F.struct("about.doc_id", "about.n_bytes", "digest")
-    pages = docs.select(about.alias("about"), digest.alias("digest"), body.alias("body")).select(row.alias("row"), document_page(F.col("body"), F.col("digest")).alias("html"))
-    store = media_store(docs.select(about.alias("about"), digest.alias("digest"), padded(body).alias("payload")), "digest", "payload", "about")
-    near = interleave(pages, "row", "html", texts=False).withColumn("about", F.struct("row.doc_id", "row.n_bytes"))
-    found = resolve(media_references(near, "row", "about"), store)
+    digest = F.coalesce(F.sha2(padded(body), 256), F.lit(""))  # never null, so that both sides below read the same rows
+    rows = docs.select(digest.alias("digest"), F.pmod(F.xxhash64(about), F.lit(SALTS)).cast("int").alias("salt"), F.struct(about.alias("about"), body.alias("body")).alias("r"))
+    rows = small_batches(rows).repartition("digest", "salt")  # whole structs on both sides, so that one shuffle serves both
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "payload", 4 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([encode_png(x.as_py()) for x in batch.column(2)], pa.binary())], names=["digest", "salt", "media"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "media", 4 << 20):
                 out = ([], [], [], [], [], [])
-                for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for digest, media in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                     payload = decode_png(media)
                     if (own := hashlib.sha256(payload).hexdigest()) != digest:
                         raise ValueError("stored media differs from its digest")
                     for c, v in zip(out, (len(payload), own, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload))):
                         c.append(v)
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["row", "position", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["digest", "salt", *FACTS])
 
-    facts = found.select("digest", "media", "row", "position").mapInArrow(read, "row struct<doc_id:long,n_bytes:long,digest:string>, position int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return assemble(facts, interleave(pages, "row", "html"), "row").select("row.doc_id", "row.n_bytes", "items")
+    once = rows.groupBy("digest", "salt").agg(F.first("r").alias("r")).select("digest", "salt", padded(F.col("r.body")).alias("payload"))
+    stored = once.mapInArrow(store, "digest string, salt int, media binary")
+    facts = stored.mapInArrow(read, "digest string, salt int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = rows.join(facts.select("digest", "salt", F.struct(*FACTS).alias("facts")), ["digest", "salt"], "left")
+    pages = found.select(F.struct("r.about", "digest", "facts").alias("row"), document_page(F.col("r.body"), F.col("digest")).alias("html"))
+    fields = ("position", "kind", "text", "digest", "caption", "source")
+    items = F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in fields], F.when(x["digest"] == F.col("row.digest"), F.col("row.facts")).alias("media")))
+    return interleave(pages, "row", "html").select("row.about.doc_id", "row.about.n_bytes", items.alias("items"))
 
 
 def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
