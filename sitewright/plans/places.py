@@ -314,14 +314,41 @@ def agg7(spark: SparkSession, sf: str) -> DataFrame:
     return g.join(b.select("id", "roof"), "id").select("id", "n400", "n1000", r6("largest").alias("largest"), r6(F.col("roof") / F.greatest("largest", F.lit(1e-9))).alias("own_share"))
 
 
-@QUERIES.add("agg13_empty_cells", sql("z b", ", u AS (SELECT DISTINCT i, j FROM z, (SELECT unnest(range(0, 21)) AS i), (SELECT unnest(range(0, 21)) AS j) WHERE (i + 0.5) * 1000 >= x0 AND (i + 0.5) * 1000 < x0 + 4100 AND (j + 0.5) * 1000 >= y0 AND (j + 0.5) * 1000 < y0 + 4100), n AS (SELECT CAST(floor(x / 1000) AS BIGINT) AS i, CAST(floor(y / 1000) AS BIGINT) AS j, count(*) AS k FROM b GROUP BY ALL) SELECT u.i, u.j, coalesce(k, 0) AS buildings, coalesce(k, 0) = 0 AS empty FROM u LEFT JOIN n USING (i, j)"))
+def zone_cells(zones_: DataFrame, large: float = 8e8, sizes: tuple[int, int] = (1000, 2000)) -> DataFrame:
+    """(zone, size, i, j): the cells whose centre lies in a zone, of the first size, or of the second in zones with over so much area
+    in square metres, holes taken off. Zones are as in edges_of; a zone without area has no cells."""
+    sign = F.aggregate("rings", F.lit(0.0), lambda t, r: t + F.when(r["hole"], -geo.ring_area(r["points"])).otherwise(geo.ring_area(r["points"])))
+    size = zones_.select("zone", F.when(sign > large, sizes[1]).otherwise(sizes[0]).alias("size"))
+    e = spatial.edges_of(zones_)
+    box = e.groupBy("zone").agg(F.min("x1").alias("x0"), F.max("x1").alias("x1"), F.min("y1").alias("y0"), F.max("y1").alias("y1")).join(size, "zone")
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("size")), F.floor(F.col(b) / F.col("size"))))
+    cells = box.select("zone", "size", "y0", "y1", span("x0", "x1").alias("i")).select("zone", "size", "i", span("y0", "y1").alias("j"))
+    points = cells.select(F.struct("zone", "size", "i", "j").alias("id"), ((F.col("i") + 0.5) * F.col("size")).alias("x"), ((F.col("j") + 0.5) * F.col("size")).alias("y"))
+    return spatial.points_in_zones(points, e, float(sizes[1])).filter("id.zone = zone").select("id.*")
+
+
+#: Zones of more square metres than this get the larger cells in the query; tonnes a person.
+LARGE, TONNES = 16e6, 0.35
+
+
+@QUERIES.add("agg13_empty_cells", sql("z b wn np", """, zz AS (SELECT *, CASE WHEN 16810000 - CASE WHEN holed THEN 1000000 ELSE 0 END > 16000000 THEN 2000 ELSE 1000 END AS size FROM z),
+u AS (SELECT zone, size, i, j FROM (SELECT *, (i + 0.5::DOUBLE) * size AS cx, (j + 0.5::DOUBLE) * size AS cy FROM zz, (SELECT unnest(range(0, 25)) AS i), (SELECT unnest(range(0, 25)) AS j)) WHERE cx >= x0 AND cx < x0 + 4100 AND cy >= y0 AND cy < y0 + 4100 AND NOT (holed AND cx >= x0 + 1000 AND cx < x0 + 2000 AND cy >= y0 + 1000 AND cy < y0 + 2000)),
+zs AS (SELECT unnest([1000, 2000]) AS size), ub AS (SELECT *, count(*) OVER (PARTITION BY floor(x / 2500), floor(y / 2500)) >= 25 AS urban FROM b),
+n AS (SELECT size, CAST(floor(x / size) AS BIGINT) AS i, CAST(floor(y / size) AS BIGINT) AS j, count(*) AS k, count(*) FILTER (NOT urban) AS rural FROM ub, zs GROUP BY ALL),
+v AS (SELECT size, CAST(floor(x / size) AS BIGINT) AS i, CAST(floor(y / size) AS BIGINT) AS j, count(*) AS m FROM np, zs WHERE id IN (SELECT node FROM wn) GROUP BY ALL)
+SELECT zone, size, i, j, coalesce(k, 0) AS buildings, coalesce(m, 0) AS vertices, coalesce(k, 0) = 0 AND coalesce(m, 0) < 3 AS empty, round((rural + 0.15::DOUBLE * (k - rural)) * 4.2::DOUBLE * 0.35::DOUBLE) AS tonnes FROM u LEFT JOIN n USING (size, i, j) LEFT JOIN v USING (size, i, j)""").replace(" , zz", ", zz"))
 def agg13(spark: SparkSession, sf: str) -> DataFrame:
-    e = spatial.edges_of(zones(spark, sf)).filter("NOT hole")
-    grid = spark.range(21 * 21).select((F.col("id") % 21).alias("i"), F.floor(F.col("id") / 21).alias("j"))
-    points = grid.select(F.struct("i", "j").alias("id"), ((F.col("i") + 0.5) * 1000).alias("x"), ((F.col("j") + 0.5) * 1000).alias("y"))
-    universe = spatial.points_in_zones(points, e, 2000).select("id.i", "id.j").distinct()
-    counts = building_cells(spark, sf).select("i", "j", "nb")
-    return universe.join(counts, ["i", "j"], "left").select("i", "j", F.coalesce("nb", F.lit(0)).alias("buildings"), F.col("nb").isNull().alias("empty"))
+    """Cells of each zone in the size that its area asks for: buildings, vertices of roads, whether there is nearly nothing
+    (no building and under three vertices), and the harvest of the people in it, null without buildings."""
+    sizes = F.explode(F.array(F.lit(1000), F.lit(2000))).alias("size")
+    at = ("size", F.floor(F.col("x") / F.col("size")).alias("i"), F.floor(F.col("y") / F.col("size")).alias("j"))
+    n = urban(buildings(spark, sf), 2500, 25).select("x", "y", "urban", sizes).groupBy(*at).agg(F.count("*").alias("k"), F.count_if(~F.col("urban")).alias("rural"))
+    used = ways(spark, sf).select(F.explode("nodes").alias("id"))
+    v = node_points(spark, sf).join(used, "id", "left_semi").select("x", "y", sizes).groupBy(*at).agg(F.count("*").alias("m"))
+    x = zone_cells(zones(spark, sf), LARGE).join(n, ["size", "i", "j"], "left").join(v, ["size", "i", "j"], "left")
+    k, m = F.coalesce("k", F.lit(0)), F.coalesce("m", F.lit(0))
+    tonnes = F.round((F.col("rural") + F.lit(0.15) * (F.col("k") - F.col("rural"))) * 4.2 * TONNES)
+    return x.select("zone", "size", "i", "j", k.alias("buildings"), m.alias("vertices"), ((k == 0) & (m < 3)).alias("empty"), tonnes.alias("tonnes"))
 
 
 @QUERIES.add("agg14_nearest_headcount", sql("b s near", "SELECT other AS site, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, other) AS INTEGER) AS rank FROM near WHERE d < 15000 GROUP BY other ORDER BY rank LIMIT 10"))
