@@ -44,6 +44,17 @@ def comparable_difference(a: Column, b: Column, *same: tuple[Column, Column]) ->
     return F.when(ok, a - b)
 
 
+def checked_difference(a: Column, b: Column, *same: tuple[Column, Column]) -> Column:
+    """As comparable_difference, but rows that can't be compared raise when they are read: attributes that differ or are null,
+    and operands that are null."""
+    alike = F.lit(True)
+    for x, y in same:
+        alike = alike & F.coalesce(x == y, F.lit(False))
+    known = a.isNotNull() & b.isNotNull()
+    fault = F.when(~alike, "dimension, unit or period differ").when(~known, "an operand is unknown")
+    return F.when(alike & known, a - b).otherwise(F.raise_error(fault).cast("double"))
+
+
 def airflow(cfm_per_bushel: Column, basis: Column) -> Column:
     """A struct (value, reason): cubic metres a second for a tonne where the basis is a bushel of 60 pounds."""
     known = F.coalesce(basis == "bushel_60lb", F.lit(False)) & cfm_per_bushel.isNotNull()

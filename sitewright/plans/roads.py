@@ -10,8 +10,8 @@ from sitewright.operators import graph, rank, spatial
 from sitewright.operators.catchments import people_within
 from sitewright.operators.checks import guarded_sum, small_side
 from sitewright.operators.welding import tile_links
-from sitewright.plans.places import urban
-from sitewright.sources.tables import STRIP, Queries, buildings, node_points, read, saved, sites, sql, ways
+from sitewright.plans.places import agg14, urban
+from sitewright.sources.tables import SQL, STRIP, Queries, buildings, node_points, read, saved, sites, sql, ways
 
 QUERIES = Queries()
 r6 = lambda c: F.round(c, 6)
@@ -218,6 +218,16 @@ def agg32(spark: SparkSession, sf: str) -> DataFrame:
     return one("dry").join(one("rainy"), "site").filter("rank_dry <> rank_rainy")
 
 
+@QUERIES.add("agg14_overlap", CATCHMENTS + ", " + SQL["near"] + """, bt AS (SELECT other AS site, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, other) AS rank FROM near WHERE d < 15000 GROUP BY other ORDER BY rank LIMIT 10),
+ft AS (SELECT site FROM pp WHERE season = 'dry' AND lim = 33.75 ORDER BY w DESC, site LIMIT 10)
+SELECT site, n, CAST(rank AS INTEGER) AS rank, site IN (SELECT site FROM ft) AS in_full, (SELECT count(*) FROM bt WHERE site IN (SELECT site FROM ft)) AS overlap FROM bt""")
+def agg14_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """The top ten of the straight-line headcount, which of them are among the ten with most people by road time in the dry season, and how many."""
+    full = season_people(spark, sf, (33.75,)).filter("season = 'dry'").orderBy(F.desc("weighted"), "site").limit(10).select("site", F.lit(True).alias("in_full"))
+    both = saved(agg14(spark, sf).join(full, "site", "left").withColumn("in_full", F.coalesce("in_full", F.lit(False))), "headcount-top")
+    return both.crossJoin(both.agg(F.count_if("in_full").alias("overlap")))
+
+
 @QUERIES.add("gra9_travel_matrix")
 def gra9(spark: SparkSession, sf: str) -> DataFrame:
     """(origin, site, minutes, status) of the origins whose id is divisible by 20 to every site: one search a site on reversed edges."""
