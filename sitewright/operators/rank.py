@@ -54,6 +54,15 @@ def ranked_within(df: DataFrame, by: list[str], order: list, name: str = "rank")
     return g.join(start, by).select(*df.columns, (F.col("_g") - F.col("_s") + 1).alias(name))
 
 
+def whole_quantile(values: str, percent: int) -> Column:
+    """The percent-th quantile of a column of sorted arrays of whole numbers, between neighbours in proportion, to the nearest
+    whole number, halves up; null for an empty array. In whole numbers throughout."""
+    last = F.size(values) - 1
+    at = F.floor(F.lit(percent) * last / 100).cast("int")
+    low, high = F.get(values, at), F.get(values, F.least(last, at + 1))
+    return F.floor((low * 100 + (F.lit(percent) * last % 100) * (high - low) + 50) / 100)
+
+
 def mid_ranks(df: DataFrame, value: str, name: str = "mid") -> DataFrame:
     """df with the mean place of the rows of equal value in ascending order. Equal values are counted before they are ordered."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))

@@ -198,10 +198,17 @@ def win3(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("id", "rank", F.when(F.col("rank") <= 10, tier).alias("tier"), F.when(F.col("spread") <= 1, "Robust").when(F.col("spread") <= 3, "Contested").otherwise("Check first").alias("tier_few"))
 
 
-@QUERIES.add("win4_quantiles", f"WITH {DRAWN} SELECT id, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, CAST(floor(quantile_cont(r, 0.05) + 0.5) AS BIGINT) AS rank_low, CAST(floor(quantile_cont(r, 0.95) + 0.5) AS BIGINT) AS rank_high FROM rk GROUP BY id")
+def _whole_quantile(k: int) -> str:
+    return f"(100 * rs[{k} * m // 100 + 1] + {k} * m % 100 * (rs[least(m, {k} * m // 100 + 1) + 1] - rs[{k} * m // 100 + 1]) + 50) // 100"
+
+
+@QUERIES.add("win4_quantiles", f"WITH {DRAWN}, q AS (SELECT id, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, count(*) - 1 AS m, list_sort(list(r)) AS rs FROM rk GROUP BY id) SELECT id, p5, p50, p95, CAST({_whole_quantile(5)} AS BIGINT) AS rank_low, CAST({_whole_quantile(95)} AS BIGINT) AS rank_high FROM q")
 def win4(spark: SparkSession, sf: str) -> DataFrame:
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return drawn(spark, sf).groupBy("id").agg(r6(q("v", 0.05)).alias("p5"), r6(q("v", 0.5)).alias("p50"), r6(q("v", 0.95)).alias("p95"), F.floor(q("r", 0.05) + 0.5).alias("rank_low"), F.floor(q("r", 0.95) + 0.5).alias("rank_high"))
+    """Quantiles of the draws, and those of ranks to the nearest whole one, halves up: in whole numbers, as a half that doubles
+    miss by their last bit would go either way."""
+    q = lambda p: r6(F.percentile("v", F.lit(p)))
+    g = drawn(spark, sf).groupBy("id").agg(q(0.05).alias("p5"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.sort_array(F.collect_list("r")).alias("_r"))
+    return g.select("id", "p5", "p50", "p95", rank.whole_quantile("_r", 5).alias("rank_low"), rank.whole_quantile("_r", 95).alias("rank_high"))
 
 
 @QUERIES.add("win5_area_percentile", f"WITH {UNITS} SELECT id, round(1 - (row_number() OVER (ORDER BY score DESC, id) - 1) / greatest(1, (SELECT count(*) FROM un) - 1), 6) AS percentile FROM un")

@@ -4,9 +4,16 @@ import random
 
 from pyspark.sql import functions as F
 
+from sitewright.operators import rank
 from sitewright.plans.rankings import agg24
 
 
+def test_half_between_ranks_goes_up(spark):
+    rows = [(1, list(range(0, 400, 10))), (2, [3]), (3, []), (4, [5800, *[5810] * 39])]
+    got = {r.id: (r.low, r.high) for r in spark.createDataFrame(rows, "id long, v array<int>").select("id", rank.whole_quantile("v", 5).alias("low"), rank.whole_quantile("v", 95).alias("high")).collect()}
+    assert got == {1: (20, 371), 2: (3, 3), 3: (None, None), 4: (5810, 5810)}  # 19.5 and 370.5
+
+
 def test_totals_agree_in_any_order_of_rows(spark, tmp_path):
     rng = random.Random(3)
     rows = [(k, k % 3, rng.randrange(10**12) / 100) for k in range(3000)]
