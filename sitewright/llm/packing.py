@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, key_back, slices, written
 
-#: Words, and pieces of words, whose ids a Python worker remembers before it starts again.
-REMEMBERED = 700_000
+#: Words, and as many pieces of words, whose ids a Python worker remembers; as many that were met before those stay until they fill up too.
+REMEMBERED = 100_000
 #: Fixed values of the vocabulary's form: how it splits lower-case text, and the character that stands for each byte.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
@@ -78,7 +78,26 @@ def best_two_fit(lengths: np.ndarray, room: int) -> np.ndarray:
     return bins
 
 
-class Words(dict):
+class Remembered(dict):
+    """Ids of keys, found out by `ids_of` when they are first asked for.
+
+    When it is full, it becomes the older half and starts again; a key that is found in the older half moves to the new one. So what
+    is met often stays, and memory is bounded whatever a batch holds."""
+
+    def __init__(self, ids_of: Callable[[str | bytes], bytes]) -> None:
+        self.ids_of, self.older = ids_of, {}
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        if (ids := self.older.get(key)) is None:
+            ids = self.ids_of(key)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
+class Words(Remembered):
     """Ids of words, each found out when it is first asked for.
 
     Words of plain characters are lower-cased and split here, and the tokenizer's model gives each piece's ids once; all
@@ -88,28 +107,24 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         assert sys.byteorder == "little" and array("I").itemsize == 4
+        super().__init__(self.word)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.pieces = self.tokenizer.model, {}
+        self.model, self.pieces = self.tokenizer.model, Remembered(self.piece)
 
     def piece(self, p: str) -> bytes:
-        if (found := self.pieces.get(p)) is None:
-            shown = p if p.isascii() else "".join(BYTES[b] for b in p.encode())
-            found = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return found
+        shown = p if p.isascii() else "".join(BYTES[b] for b in p.encode())
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        s = word.decode()
+    def word(self, word: bytes) -> bytes:
+        s, known = word.decode(), self.pieces
         low = s.lower()
         if not (word.isascii() and low.isalpha()) and ("<|" in s or not PLAIN.fullmatch(s)):
-            ids = array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
-        elif low.isalpha():
-            ids = self.piece(low)
-        elif low[:-1].isalpha() and low[-1] in ".,":
-            ids = self.piece(low[:-1]) + self.piece(low[-1])
-        else:
-            ids = b"".join(map(self.piece, PIECE.findall(low)))
-        self[word] = ids
-        return ids
+            return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        if low.isalpha():
+            return known[low]
+        if low[:-1].isalpha() and low[-1] in ".,":
+            return known[low[:-1]] + known[low[-1]]
+        return b"".join(map(known.__getitem__, PIECE.findall(low)))
 
 
 @lru_cache(maxsize=2)
@@ -123,9 +138,6 @@ def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     The vocabulary drops white space and never joins across it, so ids of a text are those of its words one after the
     other, and a worker remembers the words it has met."""
     known = words_of(path)
-    for memory in (known, known.pieces):
-        if len(memory) > REMEMBERED:
-            memory.clear()
     return [b"".join(map(known.__getitem__, t.split())) for t in texts]
 
 
@@ -135,7 +147,7 @@ def token_pieces(docs: DataFrame, path: str, room: int, doc_id: str = "doc_id",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 out = ([], [], [], [], [], [])
                 for i, (doc, copy, ids) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), token_ids([(t or "").encode() for t in batch.column(2).to_pylist()], path))):
                     ids += last
