@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.operators.rank import running_within
-from sitewright.sources.tables import saved
+from sitewright.sources.tables import discard, saved
 
 
 def bounded_equal_shares(totals: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("region",)) -> tuple[DataFrame, DataFrame]:
@@ -31,21 +31,35 @@ def bounded_equal_shares(totals: DataFrame, limits: DataFrame, keys: tuple[str,
 
 def nearest_first(edges: DataFrame, mass: DataFrame, capacity: DataFrame) -> DataFrame:
     """(origin, node, tonnes): edges (origin, node, minutes) taken in order of (minutes, origin, node), each with what its
-    origin still has and its node still holds.
+    origin still has and its node still holds. A null capacity has no bound.
 
-    An edge that is first for both its origin and its node is settled whatever happens elsewhere, so each round settles
-    all of those at once; every round empties an origin or fills a node of each. A null capacity has no bound."""
-    order = F.struct("minutes", "origin", "node")
-    left = saved(edges.join(mass.filter("mass > 0"), "origin").join(capacity.filter("capacity IS NULL OR capacity > 0"), "node").select("origin", "node", "minutes", "mass", "capacity"), "edges")
-    done = None
+    In each round every origin offers all it has to the first node it has left. Offers that fill a node end its list: whoever comes
+    later in the order gets nothing there, as offers by those before can only add to these; so most edges go in the first round.
+    Offers that come before all edges of their node by origins that offer elsewhere are settled, many a node and round; the
+    edge that is first of all is always one of them."""
+    order = ["minutes", "origin"]
+    have = saved(mass.filter("mass > 0").select("origin", "mass"), "origins")
+    room = saved(capacity.filter("capacity IS NULL OR capacity > 0").select("node", "capacity"), "nodes")
+    left = saved(edges.select("origin", "node", "minutes").join(have, "origin", "left_semi").join(room, "node", "left_semi"), "edges")
+    done, before = None, Window.partitionBy("node").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda m, o: F.col(m).isNull() | (F.col("minutes") < F.col(m)) | ((F.col("minutes") == F.col(m)) & (F.col("origin") <= F.col(o)))
     while not left.isEmpty():
-        by_origin = left.groupBy("origin").agg(F.min(order).alias("_o"))
-        by_node = left.groupBy("node").agg(F.min(order).alias("_n"))
-        first = left.join(by_origin, "origin").join(by_node, "node").filter((F.col("_o") == order) & (F.col("_n") == order))
-        now = saved(first.select("origin", "node", F.least("mass", "capacity").alias("tonnes"), (F.col("mass") - F.least("mass", "capacity")).alias("mass_left"), (F.col("capacity") - F.least("mass", "capacity")).alias("room")), "settled")
-        done = now.select("origin", "node", "tonnes") if done is None else done.union(now.select("origin", "node", "tonnes"))
-        o, n = now.select("origin", "mass_left"), now.select("node", "room", F.lit(True).alias("_hit"))
-        rest = left.join(now.select("origin", "node"), ["origin", "node"], "left_anti").join(o, "origin", "left").join(n, "node", "left")
-        rest = rest.select("origin", "node", "minutes", F.coalesce("mass_left", "mass").alias("mass"), F.when(F.col("_hit"), F.col("room")).otherwise(F.col("capacity")).alias("capacity"))
-        left = saved(rest.filter("mass > 0 AND (capacity IS NULL OR capacity > 0)"), "edges")
+        least = left.groupBy("origin").agg(F.min("minutes").alias("_m"))
+        first = left.join(least, "origin").filter("minutes = _m").groupBy("origin", "minutes").agg(F.min("node").alias("node"))
+        offers = first.join(have, "origin").join(room, "node").withColumn("_b", F.coalesce(F.sum("mass").over(before), F.lit(0.0)))
+        offers = saved(offers.withColumn("tonnes", F.coalesce(F.greatest(F.lit(0.0), F.least("mass", F.col("capacity") - F.col("_b"))), "mass")), "offers")
+        fills = offers.filter("_b < capacity AND _b + mass >= capacity").select("node", F.col("minutes").alias("_fm"), F.col("origin").alias("_fo"))
+        open_ = saved(left.join(fills, "node", "left").filter(upto("_fm", "_fo")).select("origin", "node", "minutes"), "edges-open")
+        other = open_.join(offers.select("origin", "node"), ["origin", "node"], "left_anti")
+        least = other.groupBy("node").agg(F.min("minutes").alias("_m"))
+        stops = other.join(least, "node").filter("minutes = _m").groupBy("node").agg(F.min("minutes").alias("_sm"), F.min("origin").alias("_so"))
+        now = saved(offers.filter("tonnes > 0").join(stops, "node", "left").filter(upto("_sm", "_so")).select("origin", "node", "tonnes"), "settled")
+        done = now if done is None else done.union(now)
+        given, taken = now.select("origin", F.col("tonnes").alias("_t")), now.groupBy("node").agg(F.sum("tonnes").alias("_t"))
+        old = [have, room, left, offers, open_]
+        have = saved(have.join(given, "origin", "left").select("origin", (F.col("mass") - F.coalesce("_t", F.lit(0.0))).alias("mass")).filter("mass > 0"), "origins")
+        room = saved(room.join(taken, "node", "left").select("node", (F.col("capacity") - F.coalesce("_t", F.lit(0.0))).alias("capacity")).filter("capacity IS NULL OR capacity > 0"), "nodes")
+        rest = open_.join(now, ["origin", "node"], "left_anti").join(have, "origin", "left_semi").join(room, "node", "left_semi")
+        left = saved(rest, "edges")
+        discard(*old)
     return done if done is not None else edges.select("origin", "node", F.lit(0.0).alias("tonnes")).limit(0)
