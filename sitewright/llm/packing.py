@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, key_back, slices, written
 
-#: Words, and as many pieces of words, whose ids a Python worker remembers; as many that were met before those stay until they fill up too.
-REMEMBERED = 100_000
+#: Words and pieces of words whose ids a Python worker remembers; as many that were met before those stay until they fill up too.
+REMEMBERED = 250_000
 #: Fixed values of the vocabulary's form: how it splits lower-case text, and the character that stands for each byte.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
@@ -78,53 +78,45 @@ def best_two_fit(lengths: np.ndarray, room: int) -> np.ndarray:
     return bins
 
 
-class Remembered(dict):
-    """Ids of keys, found out by `ids_of` when they are first asked for.
-
-    When it is full, it becomes the older half and starts again; a key that is found in the older half moves to the new one. So what
-    is met often stays, and memory is bounded whatever a batch holds."""
-
-    def __init__(self, ids_of: Callable[[str | bytes], bytes]) -> None:
-        self.ids_of, self.older = ids_of, {}
-
-    def __missing__(self, key: str | bytes) -> bytes:
-        if (ids := self.older.get(key)) is None:
-            ids = self.ids_of(key)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[key] = ids
-        return ids
-
-
-class Words(Remembered):
+class Words(dict):
     """Ids of words, each found out when it is first asked for.
 
     Words of plain characters are lower-cased and split here, and the tokenizer's model gives each piece's ids once; all
-    others, and those that may hold a special token, go through the whole tokenizer."""
+    others, and those that may hold a special token, go through the whole tokenizer. A piece is remembered as the word that it is
+    by itself. When the memory is full, it becomes the older half and starts again; a word that is found in the older half moves to the
+    new one. So what is met often stays, and memory is bounded whatever a batch holds."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         assert sys.byteorder == "little" and array("I").itemsize == 4
-        super().__init__(self.word)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.pieces = self.tokenizer.model, Remembered(self.piece)
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
 
-    def piece(self, p: str) -> bytes:
-        shown = p if p.isascii() else "".join(BYTES[b] for b in p.encode())
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def word(self, word: bytes) -> bytes:
-        s, known = word.decode(), self.pieces
+    def ids_of(self, word: bytes) -> bytes:
+        s = word.decode()
         low = s.lower()
         if not (word.isascii() and low.isalpha()) and ("<|" in s or not PLAIN.fullmatch(s)):
             return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
         if low.isalpha():
-            return known[low]
-        if low[:-1].isalpha() and low[-1] in ".,":
-            return known[low[:-1]] + known[low[-1]]
-        return b"".join(map(known.__getitem__, PIECE.findall(low)))
+            pieces = [low]
+        elif low[:-1].isalpha() and low[-1] in ".,":
+            pieces = [low[:-1], low[-1]]
+        else:
+            pieces = PIECE.findall(low)
+        if pieces == [s]:
+            shown = s if s.isascii() else "".join(BYTES[b] for b in word)
+            return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return b"".join([self[p.encode()] for p in pieces])
+
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.older.get(word)) is None:
+            ids = self.ids_of(word)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
