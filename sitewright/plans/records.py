@@ -136,6 +136,10 @@ def txt14(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), r6(tx.speed_limit(limit)).alias("kph"))
 
 
+#: Ways that a task asks the policy about: they are few bytes but much work, so a file of them is too much for one task.
+WAYS_A_TASK = 20_000
+
+
 @QUERIES.add("txt15_way_policy", """SELECT mode, season, status, count(*) AS n, CAST(round(sum(kph), 4) AS DOUBLE) AS kph FROM (SELECT mode, season, status, CASE WHEN status = 'retained' THEN CASE WHEN p_size % 5 = 0 AND mode <> 'foot' THEN least(speed, 20) ELSE speed END END AS kph FROM (SELECT p_size, mode, season,
 CASE h WHEN 'primary' THEN 50 WHEN 'track' THEN 15 WHEN 'path' THEN 5 WHEN 'trunk_link' THEN 40 END * CASE WHEN s = 'asphalt' THEN CASE season WHEN 'dry' THEN 1.0 ELSE 0.9 END WHEN s = 'dirt' THEN CASE season WHEN 'dry' THEN 0.7 END ELSE CASE season WHEN 'dry' THEN 0.8 ELSE 0.5 END END AS speed,
 CASE WHEN h = 'canal' THEN 'unconfigured_highway' WHEN p_partkey % 17 = 0 THEN 'unsupported_restriction_review' WHEN p_partkey % 13 = 0 THEN 'access_restricted_or_unresolved' WHEN mode = 'strict' THEN 'access_unknown' WHEN s = 'ice' THEN 'surface_unconfigured' WHEN s = 'dirt' AND season = 'wet' THEN 'scenario_impassable' WHEN mode = 'foot' AND p_partkey % 11 = 0 AND h = 'path' THEN 'pedestrian_oneway_ambiguous' WHEN mode <> 'foot' AND p_partkey % 11 = 0 THEN 'oneway_unresolved' WHEN mode <> 'foot' AND p_size % 7 = 0 AND p_size % 5 <> 0 THEN 'maxspeed_unresolved' ELSE 'retained' END AS status
@@ -146,7 +150,8 @@ def txt15(spark: SparkSession, sf: str) -> DataFrame:
         ("highway", pick(["primary", "track", "path", "trunk_link", "canal"], k)), ("surface", pick(["asphalt", "dirt", "UNKNOWN", "ice"], k)), ("maxweight", F.when(k % 17 == 0, "3")),
         ("access", F.when(k % 13 == 0, "private")), ("oneway", F.when(k % 11 == 0, "reversible")), ("maxspeed", F.when(n % 5 == 0, "20").when(n % 7 == 0, "signals")))])
     tags = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
-    rows = read(spark, sf, "part").select(tags.alias("tags"))
+    parts = read(spark, sf, "part").select("p_partkey", "p_size")
+    rows = parts.repartition(max(1, -(-parts.count() // WAYS_A_TASK))).select(tags.alias("tags"))
     modes = (("vehicle", {}), ("strict", {"missing_access": "exclude"}), ("foot", {"mode": "foot"}))
     cases = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(s).alias("season"), tx.way_policy(F.col("tags"), s, **how).alias("p")) for m, how in modes for s in ("dry", "wet")])
     each = rows.select(F.explode(cases).alias("x")).select("x.mode", "x.season", "x.p.*")
