@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from sitewright.sources.tables import WHILE_WRITING, discard, release
 from sitewright.sources.tables import saved as written
 
-__all__ = ["NULL_ID", "ascii_lower", "discard", "doc_key", "key_back", "release", "slices", "small_batches", "small_side", "text_key", "written"]
+__all__ = ["NULL_ID", "ascii_lower", "discard", "doc_key", "hand_back", "key_back", "release", "slices", "small_batches", "small_side", "text_key", "written"]
 
 #: A null id stands for one document before all others.
 NULL_ID = -(2**63)
@@ -65,4 +66,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # workers stay: what they hold for later adds up in an executor
+    hand_back()
+
+
+def hand_back() -> None:
+    """Free memory goes back to the system, that of Arrow and that of the C library: workers stay, and what they hold for
+    later adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # other C libraries than GNU's have none
+        trim(0)

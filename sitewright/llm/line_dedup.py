@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_back, slices, small_batches, small_side, text_key, written
+from .common import doc_key, hand_back, key_back, slices, small_batches, small_side, text_key, written
 
 #: Levels of the hash; keys that none of them places are kept in a list. Bits of a level for each key it gets.
 LEVELS, SPACE = 24, 1.5
@@ -162,6 +162,7 @@ def probe(lines: DataFrame, index: DataFrame, directory: DataFrame, shards: int)
                 at = shard.slots(keys_of(h, g))
                 drop = (shard.prints[at] == g.astype(np.int32).view(np.uint32)) & (shard.counts[at] >= 2) & (shard.firsts[at] != doc)
                 yield pa.RecordBatch.from_arrays([pa.array(part[c].to_numpy()[drop]) for c in ("_doc", "_t", "pos")], names=["_doc", "_t", "pos"])
+        hand_back()
 
     return rows.mapInArrow(run, "_doc long, _t long, pos int")
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_back, slices, written
+from .common import doc_key, hand_back, key_back, slices, written
 
 #: Words and pieces of words whose ids a Python worker remembers; as many that were met before those stay until they fill up too.
 REMEMBERED = 250_000
@@ -118,6 +118,10 @@ class Words(dict):
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 @lru_cache(maxsize=2)
 def words_of(path: str) -> Words:
@@ -134,7 +138,9 @@ def token_ids(texts: list[bytes], path: str) -> list[bytes]:
 
 
 def token_pieces(docs: DataFrame, path: str, room: int, doc_id: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, copy): documents as ids and the end id, cut where they pass room."""
+    """(doc_id, piece, start, length, ids_crc32, copy): documents as ids and the end id, cut where they pass room.
+
+    A task's words are forgotten when it ends: its worker goes on to other work, and would hold them through all of it."""
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +154,8 @@ def token_pieces(docs: DataFrame, path: str, room: int, doc_id: str = "doc_id",
                         for c, v in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), copy)):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32", "copy"])
+        words_of(path).forget()
+        hand_back()
 
     rows = docs.select(doc_key(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, copy long")
