@@ -22,22 +22,22 @@ def _around(points: DataFrame, size: float, columns: list[str]) -> DataFrame:
     return at.select(*columns, (F.col("_ci") + F.col("_s.i")).alias("_i"), (F.col("_cj") + F.col("_s.j")).alias("_j"))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, unlike: str | None = None, reach: str | None = None) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, unlike: str | None = None, reach: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, other, d) of all pairs at most radius apart. The smaller table should be on the right: it is the one dealt to nine cells.
 
     unlike: a column of both tables; pairs that have the same value in it don't count. reach: a column of left, the farthest that
-    the row asks for. Points are shuffled by cell: dealt to nine cells and read from packed files they are many more than
+    the row asks for. carry: columns of right that pairs keep. Points are shuffled by cell: dealt to nine cells and read from packed files they are many more than
     Spark believes, so it must not choose to broadcast them."""
     mark = [F.col(unlike).alias("_mine")] if unlike else []
     theirs = [F.col(unlike).alias("_theirs")] if unlike else []
     far = [F.col(reach).alias("_reach")] if reach else []
-    near = _around(right.select(F.col("id").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"), *theirs), radius, ["other", "_x", "_y", *["_theirs"] * len(theirs)])
+    near = _around(right.select(F.col("id").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"), *theirs, *carry), radius, ["other", "_x", "_y", *["_theirs"] * len(theirs), *carry])
     mine = left.select("id", "x", "y", *mark, *far, cell(F.col("x"), radius).alias("_i"), cell(F.col("y"), radius).alias("_j"))
     d = distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
     found = mine.join(near.hint("merge"), ["_i", "_j"])
     found = found.filter("_mine <> _theirs") if unlike else found
     found = found.withColumn("d", d).filter((F.col("d") <= radius) & (F.col("d") <= F.col("_reach") if reach else F.lit(True)))
-    return found.select("id", "other", "d")
+    return found.select("id", "other", "d", *carry)
 
 
 def nearest(left: DataFrame, right: DataFrame, cap: float, first: float | None = None, unlike: str | None = None) -> DataFrame:
