@@ -64,10 +64,12 @@ def whole_quantile(values: str, percent: int) -> Column:
 
 
 def mid_ranks(df: DataFrame, value: str, name: str = "mid") -> DataFrame:
-    """df with the mean place of the rows of equal value in ascending order. Equal values are counted before they are ordered."""
+    """df with the mean place of the rows of equal value in ascending order. Equal values are counted before they are ordered.
+
+    Rows meet their places by a shuffle: packed files make a long table look short, and Spark would broadcast all rows."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
     places = running(counts, [value], {"_b": F.col("_n")}).select(value, (F.col("_b") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(places, value)
+    return df.join(places.hint("merge"), value)
 
 
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -118,7 +120,7 @@ def block_spearman(df: DataFrame, a: str, b: str, block: str, draws: list[list])
         counts = rows.groupBy(c).agg(*[F.sum(F.when(F.col("_block") == F.lit(x), F.col("_n")).otherwise(0)).alias(f"_n{i}") for i, x in enumerate(names)])
         before = running(counts, [c], {f"_c{i}": F.col(f"_n{i}") for i in range(len(names))})
         vector = F.array(*[F.col(f"_c{i}") + (F.col(f"_n{i}") - F.lit(sizes[x])) / F.lit(2.0) for i, x in enumerate(names)])
-        rows = rows.join(before.select(c, vector.alias(f"{c}_v")), c)
+        rows = rows.join(before.select(c, vector.alias(f"{c}_v")).hint("merge"), c)
     places = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     pairs = rows.select("_block", "_n", "_a_v", "_b_v", places.alias("i")).select("*", places.alias("j"))
     at = lambda v, k: F.get(f"_{v}_v", F.col(k))
