@@ -20,6 +20,8 @@ from .line_dedup import Shard, build
 SHARDS = 128
 #: Bytes of text that one chunk of documents has, unless a single one is longer; links a group may have before they are counted by id.
 CHUNK, WIDE = 4 << 20, 4096
+#: Rows that a file of chunks, or of arrays of a shard, holds in memory at once, and those of a file of a chunk's pairs by shard.
+LARGE, SMALL = 2, 256
 #: How the byte-level tokenizer splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DOCS = "chunk long, docs array<long>, na array<int>, nb array<int>, a binary, b binary"
@@ -130,7 +132,7 @@ def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text:
             yield chunk(number, ids, texts)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    return written(rows.mapInArrow(run, DOCS + ", pairs binary, seen binary"), "token-chunks")
+    return written(rows.mapInArrow(run, DOCS + ", pairs binary, seen binary"), "token-chunks", LARGE)
 
 
 def by_shard(pairs: np.ndarray) -> list[np.ndarray]:
@@ -150,7 +152,7 @@ def chunk_parts(chunks: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "shard", "pairs", "seen"])
 
-    return written(chunks.select("chunk", "pairs", "seen").mapInArrow(run, PARTS), "token-pairs")
+    return written(chunks.select("chunk", "pairs", "seen").mapInArrow(run, PARTS), "token-pairs", SMALL)
 
 
 def folded(rows: DataFrame, keys: list[str], start: Callable, schema: str, then: list | None = None, tasks: int = 1) -> DataFrame:
@@ -266,7 +268,7 @@ def pair_index(parts: DataFrame, chunks: int, fan: int = 64) -> DataFrame:
     width, rows = -(-chunks // fan), parts.select("shard", F.col("chunk").alias("sub"), "pairs")
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("sub"), F.lit(max(1, width))).cast("int"))
     while width > 1:
-        rows = written(folded(rows, ["shard", "sub"], Union, "shard int, sub int, pairs binary"), "distinct-pairs")
+        rows = written(folded(rows, ["shard", "sub"], Union, "shard int, sub int, pairs binary"), "distinct-pairs", LARGE)
         width = -(-width // fan)
         rows = rows.withColumn("sub", F.pmod("sub", F.lit(width)).cast("int"))
 
@@ -278,7 +280,7 @@ def pair_index(parts: DataFrame, chunks: int, fan: int = 64) -> DataFrame:
             own[slot] = self.all
             return [(key[0], sizes, np.packbits(bits).tobytes(), tail.tobytes(), own.tobytes())]
 
-    return written(folded(rows.drop("sub"), ["shard"], Built, "shard int, sizes array<int>, bits binary, tail binary, own binary"), "pair-index")
+    return written(folded(rows.drop("sub"), ["shard"], Built, "shard int, sizes array<int>, bits binary, tail binary, own binary"), "pair-index", LARGE)
 
 
 def with_index(rows: DataFrame, index: DataFrame, width: int) -> DataFrame:
@@ -290,11 +292,11 @@ def with_index(rows: DataFrame, index: DataFrame, width: int) -> DataFrame:
 def pair_counts(parts: DataFrame, index: DataFrame, width: int, fan: int = 64) -> DataFrame:
     """(shard, sub, vector), written: dense counts by slot, summed in a tree; sub is 0."""
     dealt = with_index(parts.withColumn("sub", F.pmod(F.xxhash64("chunk"), F.lit(width)).cast("int")), index, width).withColumn("vector", F.lit(None).cast("binary"))
-    sums = written(folded(dealt, ["shard", "sub"], Vector, "shard int, sub int, vector binary", [F.col("sizes").isNull()]), "count-vectors")
+    sums = written(folded(dealt, ["shard", "sub"], Vector, "shard int, sub int, vector binary", [F.col("sizes").isNull()]), "count-vectors", LARGE)
     while width > 1:
         width = -(-width // fan)
         rows = sums.select("shard", F.pmod("sub", F.lit(width)).cast("int").alias("sub"), F.lit(None).alias("sizes"), F.lit(None).alias("pairs"), "vector")
-        sums, before = written(folded(rows, ["shard", "sub"], Vector, "shard int, sub int, vector binary"), "count-vectors"), sums
+        sums, before = written(folded(rows, ["shard", "sub"], Vector, "shard int, sub int, vector binary"), "count-vectors", LARGE), sums
         discard(before)
     return sums
 
@@ -371,8 +373,8 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "d
     width = max(1, -(-entries // (4 * max(1, distinct))))  # a vector sums at least about four times as many entries as it has slots
     counts = pair_counts(parts, index, width)
     asked = parts.select("chunk", "shard", "pairs", F.pmod(F.xxhash64("chunk"), F.lit(width)).cast("int").alias("sub"))
-    answers = folded(with_index(asked, index.join(counts.drop("sub"), "shard"), width), ["shard", "sub"], Answer, "chunk long, shard int, count binary, best binary", [F.col("sizes").isNull()])
-    answers = written(answers, "pair-answers")
+    answers = folded(with_index(asked, index.join(counts.drop("sub").hint("merge"), "shard"), width), ["shard", "sub"], Answer, "chunk long, shard int, count binary, best binary", [F.col("sizes").isNull()])
+    answers = written(answers, "pair-answers", SMALL)
     discard(parts, index, counts)
     rows = answers.unionByName(chunks.drop("pairs", "seen"), allowMissingColumns=True)
     out = folded(rows, ["chunk"], lambda: Documents(path_a, path_b), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string", [F.col("a").isNotNull()], -(-n // 4))
